@@ -1,0 +1,59 @@
+"""Cleaning of the documents table for training, in stages.
+
+Each stage is ``(name, function)``; a function takes (spark, docs, sf_dir) and
+returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import functools
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import bpe_codec, language_id
+from quire.llm.frames import stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document stays if one language has at least this probability.
+LEAST_SCORE = 0.5
+
+
+@functools.cache
+def _vocabulary() -> str:
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        return f.read()
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters, or whose language stays in doubt."""
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))), "text", "lang", "doc_id")
+    named = language_id.identify(docs, model, keep=tuple(COLUMNS))
+    return named.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, with the text that they decode to."""
+    ids = bpe_codec.encode(docs, _vocabulary(), keep=("lang", "source"))
+    return bpe_codec.decode(ids, _vocabulary(), keep=("doc_id", "lang", "source", "n_tokens"), digests=True)
+
+
+STAGES = [
+    ("language_id", keep_identified),
+    ("bpe_codec", encode),
+]
+
+#: SQL cannot express language identification, nor the encoding.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name}")
+    return docs
