@@ -154,5 +154,6 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
 
         return work
 
-    docs = pick(df, {**{k: k for k in keep}, "__text": text_col})
-    return map_text(docs, "__text", list(keep), "lang_pred string, score double", make)
+    text = text_col if text_col in keep else "__text"
+    docs = pick(df, {**{k: k for k in keep}, text: text_col})
+    return map_text(docs, text, list(keep), "lang_pred string, score double", make)
