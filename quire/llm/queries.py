@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, language_id, token_counts
+from quire.llm import bpe_codec, language_id, media, token_counts, token_files
 from quire.llm.frames import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,8 +37,17 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.decode(ids, vocabulary, digests=True)
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = media.store(table(spark, sf_dir, "documents"))
+    return media.features(images, pixels=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), content(WORD_MODEL).decode(), end_id=1)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op5_language_id, op6_bpe_codec)}
+    return {f.__name__: f for f in (op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
