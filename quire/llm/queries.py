@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, language_id, media, token_counts, token_files
+from quire.llm import bpe_codec, language_id, media, near_duplicates, token_counts, token_files
 from quire.llm.frames import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -42,12 +42,16 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(images, pixels=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.similar_components(table(spark, sf_dir, "documents"), size=4)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), content(WORD_MODEL).decode(), end_id=1)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op9_token_files)}
+    return {f.__name__: f for f in (op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op8_near_duplicates, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
