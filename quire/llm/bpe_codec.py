@@ -23,19 +23,34 @@ from pyspark.sql import DataFrame
 from quire.llm.frames import map_text, pick, strings
 from quire.llm.word_bpe import loaded, split_words
 
-#: Entries of a worker's cache before it starts afresh; about 50 MB.
-CACHE_ENTRIES = 200_000
+#: Entries of each of the two generations of a worker's cache; about 50 MB each.
+CACHE_ENTRIES = 250_000
 #: Longest word that a cache keeps.
 KEEP_CHARS = 64
 
-_cache: dict[int, dict[str, bytes]] = {}
 
+class WordCache:
+    """Ids of words met lately. When the young generation is full it becomes the old one,
+    and words of the old one that are met again move on; the rest is forgotten."""
 
-def word_cache(content: str) -> dict[str, bytes]:
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def add(self, fresh: dict[str, bytes]) -> None:
+        if len(self.young) + len(fresh) > CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        self.young.update((w, ids) for w, ids in fresh.items() if len(w) <= KEEP_CHARS)
+
+
+_cache: dict[int, WordCache] = {}
+
+
+def word_cache(content: str) -> WordCache:
     key = hash(content)
     if key not in _cache:
         _cache.clear()
-        _cache[key] = {}
+        _cache[key] = WordCache()
     return _cache[key]
 
 
@@ -43,22 +58,15 @@ def encode_texts(content: str, texts: list[str]) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers."""
     cache = word_cache(content)
     split = [split_words(t) for t in texts]
-    found = [list(map(cache.get, ws)) for ws in split]
-    missing = {w for ws, fs in zip(split, found, strict=True) if None in fs for w, f in zip(ws, fs, strict=True) if f is None}
-    fresh: dict[str, bytes] = {}
-    if missing:
-        order = list(missing)
-        bpe = loaded(content)
-        fresh = {w: ids.astype("<i4").tobytes() for w, ids in zip(order, bpe.encode_words(order), strict=True)}
-        if len(cache) + len(fresh) > CACHE_ENTRIES:
-            cache.clear()
-        cache.update((w, ids) for w, ids in fresh.items() if len(w) <= KEEP_CHARS)
-    out = []
-    for ws, fs in zip(split, found, strict=True):
-        if None in fs:
-            fs = [fresh[w] if f is None else f for w, f in zip(ws, fs, strict=True)]
-        out.append(b"".join(fs))
-    return out
+    found = [list(map(cache.young.get, ws)) for ws in split]
+    fresh = dict.fromkeys(w for ws, fs in zip(split, found, strict=True) if None in fs for w, f in zip(ws, fs, strict=True) if f is None)
+    if fresh:
+        old = cache.old
+        missing = [w for w in fresh if w not in old]
+        fresh.update((w, old[w]) for w in fresh if w in old)
+        fresh.update(zip(missing, loaded(content).encode_words(missing), strict=True))
+        cache.add(fresh)
+    return [b"".join([fresh[w] if f is None else f for w, f in zip(ws, fs, strict=True)] if None in fs else fs) for ws, fs in zip(split, found, strict=True)]
 
 
 def encode(df: DataFrame, content: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, language_id, media, near_duplicates, token_counts, token_files
+from quire.llm import bpe_codec, language_id, line_dedup, media, near_duplicates, token_counts, token_files
 from quire.llm.frames import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,6 +21,11 @@ def content(path: str) -> bytes:
         return f.read()
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), content(PIECE_MODEL))
 
@@ -51,8 +56,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op8_near_duplicates, op9_token_files)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op8_near_duplicates, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.SQL}

@@ -218,6 +218,8 @@ class WordBpe:
 
     def pieces(self, word: str) -> list[bytes | int]:
         """Pre-tokens of a word without spaces or newlines, as bytes; an added token as its id."""
+        if word.isascii() and word.isalpha():
+            return [word.lower().encode()]
         if PLAIN.fullmatch(word) and not (self._added and "<" in word):
             return [p.encode() for p in PLAIN_PIECES.findall(word.lower())]
         out: list[bytes | int] = []
@@ -229,25 +231,23 @@ class WordBpe:
                     out.append(bytes(self._byte[c] for c in piece))
         return out
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit integers."""
         split = [self.pieces(w) for w in words]
         place: dict[bytes, int] = {}
         for ps in split:
             for p in ps:
                 if isinstance(p, bytes):
                     place.setdefault(p, len(place))
+        made: dict[bytes | int, bytes] = {i: i.to_bytes(4, "little") for i in self.added.values()}
         if place:
             flat, counts = self.encode_pieces(list(place))
-            cut = np.concatenate([[0], np.cumsum(counts)])
-        out = []
-        for ps in split:
-            if len(ps) == 1 and isinstance(ps[0], bytes):
-                i = place[ps[0]]
-                out.append(flat[cut[i] : cut[i + 1]])
-            else:
-                out.append(np.concatenate([flat[cut[i] : cut[i + 1]] if isinstance(p, bytes) and (i := place[p]) >= 0 else np.array([p], np.int64) for p in ps]) if ps else np.zeros(0, np.int64))
-        return out
+            raw = flat.astype("<i4").tobytes()
+            end = 0
+            for p, n in zip(place, (4 * counts).tolist(), strict=True):
+                made[p] = raw[end : end + n]
+                end += n
+        return [made[ps[0]] if len(ps) == 1 else b"".join([made[p] for p in ps]) for ps in split]
 
 
 def split_words(text: str) -> list[str]:
