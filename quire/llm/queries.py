@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, language_id, line_dedup, media, near_duplicates, token_counts, token_files
+from quire.llm import bpe_codec, language_id, line_dedup, media, near_duplicates, substring_dedup, token_counts, token_files
 from quire.llm.frames import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,8 +55,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), content(WORD_MODEL).decode(), end_id=1)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_passages(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_line_dedup, op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op8_near_duplicates, op9_token_files)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op8_near_duplicates, op9_token_files, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
