@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding of whole texts.
 
-``encode`` and ``decode`` map texts to ids and ids to texts. Words keep their
-ids in a bounded cache of the worker; words not in it are encoded together by
-``word_bpe``. Ids and texts equal those of the tokenizers library for the same
+``encode`` and ``decode`` map texts to ids and ids to texts. Pieces of words
+keep their ids in a bounded table of the worker; pieces not in it are encoded
+together by the dynamic program of ``word_bpe``. Ids and texts equal those of the tokenizers library for the same
 file, without special tokens added; strings of added tokens inside a text are
 taken as such tokens, as the library does by default.
 
@@ -20,53 +20,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quire.llm.frames import map_text, pick, strings
-from quire.llm.word_bpe import loaded, split_words
+from quire.llm.frames import map_text, pick
+from quire.llm.piece_table import PieceTable
+from quire.llm.word_bpe import loaded
 
-#: Entries of each of the two generations of a worker's cache; about 50 MB each.
-CACHE_ENTRIES = 250_000
-#: Longest word that a cache keeps.
-KEEP_CHARS = 64
+_tables: dict[int, PieceTable] = {}
 
 
-class WordCache:
-    """Ids of words met lately. When the young generation is full it becomes the old one,
-    and words of the old one that are met again move on; the rest is forgotten."""
-
-    def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def add(self, fresh: dict[str, bytes]) -> None:
-        if len(self.young) + len(fresh) > CACHE_ENTRIES:
-            self.young, self.old = {}, self.young
-        self.young.update((w, ids) for w, ids in fresh.items() if len(w) <= KEEP_CHARS)
-
-
-_cache: dict[int, WordCache] = {}
-
-
-def word_cache(content: str) -> WordCache:
+def encode_array(content: str, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another (int32), and where each text's begin; one more than texts."""
     key = hash(content)
-    if key not in _cache:
-        _cache.clear()
-        _cache[key] = WordCache()
-    return _cache[key]
-
-
-def encode_texts(content: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers."""
-    cache = word_cache(content)
-    split = [split_words(t) for t in texts]
-    found = [list(map(cache.young.get, ws)) for ws in split]
-    fresh = dict.fromkeys(w for ws, fs in zip(split, found, strict=True) if None in fs for w, f in zip(ws, fs, strict=True) if f is None)
-    if fresh:
-        old = cache.old
-        missing = [w for w in fresh if w not in old]
-        fresh.update((w, old[w]) for w in fresh if w in old)
-        fresh.update(zip(missing, loaded(content).encode_words(missing), strict=True))
-        cache.add(fresh)
-    return [b"".join([fresh[w] if f is None else f for w, f in zip(ws, fs, strict=True)] if None in fs else fs) for ws, fs in zip(split, found, strict=True)]
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = PieceTable(loaded(content))
+    return _tables[key].encode(text)
 
 
 def encode(df: DataFrame, content: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -77,11 +44,8 @@ def encode(df: DataFrame, content: str, id_col: str = "doc_id", text_col: str =
         content = shared.value
 
         def work(text: pa.Array) -> list:
-            ids = encode_texts(content, strings(text))
-            sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            return [pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
+            ids, begins = encode_array(content, text)
+            return [np.diff(begins), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))]
 
         return work
 
@@ -121,8 +85,9 @@ def decode(ids: DataFrame, content: str, keep: tuple[str, ...] = ("doc_id", "n_t
 
         return work
 
-    rows = pick(ids, {**{k: k for k in keep}, "__ids": ids_col})
-    return map_lists(rows, "__ids", list(keep), fields, make)
+    column = ids_col if ids_col in keep else "__ids"
+    rows = pick(ids, {**{k: k for k in keep}, column: ids_col})
+    return map_lists(rows, column, list(keep), fields, make)
 
 
 def map_lists(df: DataFrame, column: str, keep: list[str], fields: str, make) -> DataFrame:

@@ -18,14 +18,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import rans
-from quire.llm.bpe_codec import encode_texts
-from quire.llm.frames import pick, slices, stored, strings
+from quire.llm.bpe_codec import encode_array
+from quire.llm.frames import SLICE_BYTES, pick, slices, stored
 
-#: Ids in a file before the next document opens another.
+#: Ids in a file after which the next batch of texts opens another.
 FILE_TOKENS = 1_000_000
 #: Stands for a null id inside a file.
 NO_ID = -(1 << 63)
@@ -43,28 +44,24 @@ def write(df: DataFrame, content: str, end_id: int, id_col: str = "doc_id", text
 
         part, seq = TaskContext.get().partitionId(), 0
         content = shared.value
-        end = np.array([end_id], "<i4").tobytes()
-        ids: list[bytes] = []
-        docs: list[int] = []
-        sizes: list[int] = []
-        total = 0
+        ids: list[np.ndarray] = []
+        docs: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
 
         def closed():
-            flat = np.frombuffer(b"".join(ids), "<i4").astype(np.int64)
-            file = rans.compress(flat, np.array(docs, np.int64), np.array(sizes, np.int64))
+            flat = np.concatenate(ids)
+            file = rans.compress(flat, np.concatenate(docs), np.concatenate(sizes))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([file], pa.binary())], names=["part", "seq", "n_tokens", "file"])
 
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                names = batch.column(0).slice(a, b - a).to_pylist()
-                for name, x in zip(names, encode_texts(content, strings(batch.column(1).slice(a, b - a))), strict=True):
-                    ids.append(x + end)
-                    docs.append(NO_ID if name is None else name)
-                    sizes.append(len(x) // 4 + 1)
-                    total += sizes[-1]
-                    if total >= file_tokens:
-                        yield closed()
-                        ids, docs, sizes, total, seq = [], [], [], 0, seq + 1
+            for a, b in slices(batch.column(1), min(SLICE_BYTES, 4 * file_tokens)):
+                flat, begins = encode_array(content, batch.column(1).slice(a, b - a))
+                ids.append(np.insert(flat, begins[1:], end_id))
+                sizes.append(np.diff(begins) + 1)
+                docs.append(pc.fill_null(batch.column(0).slice(a, b - a).cast(pa.int64()), NO_ID).to_numpy())
+                if sum(map(len, ids)) >= file_tokens:
+                    yield closed()
+                    ids, docs, sizes, seq = [], [], [], seq + 1
         if docs:
             yield closed()
 

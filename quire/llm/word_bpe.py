@@ -250,11 +250,6 @@ class WordBpe:
         return [made[ps[0]] if len(ps) == 1 else b"".join([made[p] for p in ps]) for ps in split]
 
 
-def split_words(text: str) -> list[str]:
-    """``text`` cut at spaces and newlines, which no token of such a file holds."""
-    return [w for w in text.replace("\n", " ").split(" ") if w]
-
-
 _loaded: dict[int, WordBpe] = {}
 
 

@@ -87,6 +87,11 @@ def words(text: pa.Array, lower: bool = False) -> Words:
     opens[edge] = inside[edge]
     closes[edge - 1] = inside[edge - 1]
     begins, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return Words(spans(data, begins, ends, BYTES[lower]), np.searchsorted(begins, offsets), begins, ends, data)
+
+
+def spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hash of each span of ``data``; spans come in order and do not overlap. ``table`` has a value for each byte."""
     hashes = np.empty(len(begins), np.uint64)
     first = 0
     while first < len(begins):
@@ -95,11 +100,11 @@ def words(text: pa.Array, lower: bool = False) -> Words:
         stop = int(ends[last - 1])
         power, inverse = _power_tables(max(PIECE, stop - at) + 1)
         sums = np.zeros(stop - at + 1, np.uint64)
-        np.cumsum(BYTES[lower][data[at:stop]] * power[: stop - at], out=sums[1:])
+        np.cumsum(table[data[at:stop]] * power[: stop - at], out=sums[1:])
         b, e = begins[first:last] - at, ends[first:last] - at
         hashes[first:last] = mixed((sums[e] - sums[b]) * inverse[b] + (e - b).astype(np.uint64))
         first = last
-    return Words(hashes, np.searchsorted(begins, offsets), begins, ends, data)
+    return hashes
 
 
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:
