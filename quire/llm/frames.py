@@ -58,11 +58,12 @@ def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         yield begin, len(sizes)
 
 
-def map_text(df: DataFrame, text: str, keep: Sequence[str], fields: str | T.StructType, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
+def map_text(df: DataFrame, text: str, keep: Sequence[str], fields: str | T.StructType, make: Callable[[], Callable[[pa.Array], list]], limit: int = SLICE_BYTES) -> DataFrame:
     """``keep`` columns of ``df`` and the columns ``fields`` computed from its text column.
 
     ``make`` runs once a task and returns a function from a string array to a
-    list of arrays (or lists) of the same length, one for each field.
+    list of arrays (or lists) of the same length, one for each field. It gets
+    about ``limit`` bytes at a time.
     """
     extra = T.StructType.fromDDL(fields) if isinstance(fields, str) else fields
     kept = T.StructType([df.schema[c] for c in keep])
@@ -76,7 +77,7 @@ def map_text(df: DataFrame, text: str, keep: Sequence[str], fields: str | T.Stru
         types = [f.type for f in to_arrow_schema(extra)]
         work = None
         for batch in batches:
-            for a, b in slices(batch.column(at)):
+            for a, b in slices(batch.column(at), limit):
                 work = work or make()
                 part = batch.slice(a, b - a)
                 made = work(part.column(at))

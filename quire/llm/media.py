@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from quire.llm import jpeg
 from quire.llm.frames import map_text, pick, strings
 
+#: Bytes of text or of images coded at once; numpy takes some hundred times as many.
+IMAGE_BYTES = 1 << 19
 FEATURES = "width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -33,7 +35,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
         return work
 
-    return map_text(pick(df, {id_col: id_col, "__text": text_col}), "__text", [id_col], "n_bytes long, media binary", make)
+    return map_text(pick(df, {id_col: id_col, "__text": text_col}), "__text", [id_col], "n_bytes long, media binary", make, IMAGE_BYTES)
 
 
 def _read(files: list[bytes]) -> list:
@@ -73,4 +75,4 @@ def features(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("
 
         return work
 
-    return map_text(pick(df, {**{k: k for k in keep}, "__media": media_col}), "__media", list(keep), fields, make)
+    return map_text(pick(df, {**{k: k for k in keep}, "__media": media_col}), "__media", list(keep), fields, make, IMAGE_BYTES)
