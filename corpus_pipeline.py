@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, language_id
+from quire.llm import bpe_codec, decontamination, language_id, line_dedup, near_duplicates
 from quire.llm.frames import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,18 +34,38 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return named.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes boilerplate lines of each source out of the texts; n_chars follows."""
+    kept = line_dedup.drop_boilerplate(docs)
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) keeps the document with the smallest id."""
+    copies = near_duplicates.similar_components(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item or a passage of one."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, with the text that they decode to."""
+    """Ids of every document, with digests of them and of the text that they decode to."""
     ids = bpe_codec.encode(docs, _vocabulary(), keep=("lang", "source"))
-    return bpe_codec.decode(ids, _vocabulary(), keep=("doc_id", "lang", "source", "n_tokens"), digests=True)
+    return bpe_codec.decode(ids, _vocabulary(), keep=("doc_id", "lang", "source", "n_tokens", "ids"), digests=True)
 
 
 STAGES = [
     ("language_id", keep_identified),
+    ("line_dedup", without_boilerplate),
+    ("near_duplicates", without_copies),
+    ("decontamination", without_benchmark),
     ("bpe_codec", encode),
 ]
 
-#: SQL cannot express language identification, nor the encoding.
+#: SQL cannot express language identification, near-duplicates, alignment or the encoding.
 ORACLE_SQL = None
 
 

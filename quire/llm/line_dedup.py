@@ -53,8 +53,9 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
     small = found.count() <= broadcast_lines
     lists = found.groupBy("host").agg(F.collect_list(F.struct("x", "y")).alias("list")).withColumnRenamed("host", "__host")
 
-    names = [n for n in df.columns if n.lower() not in ("n_lines", "n_dropped")]
-    pages = numbered(df.select(*[F.col(f"`{n}`") for n in names]))
+    kept_at = [i for i, n in enumerate(df.columns) if n.lower() not in ("n_lines", "n_dropped")]
+    names = [df.columns[i] for i in kept_at]
+    pages = numbered(numbered(df).select(*[f"_{i}" for i in kept_at]))
     host, text = f"_{names.index(host_col)}", f"_{names.index(text_col)}"
     if small:
         joined = pages.join(F.broadcast(lists), F.col(host) == F.col("__host"), "left")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, language_id, line_dedup, media, near_duplicates, substring_dedup, token_counts, token_files
+from quire.llm import bpe_codec, decontamination, language_id, line_dedup, lm_scores, media, near_duplicates, substring_dedup, token_counts, token_files
 from quire.llm.frames import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,6 +21,15 @@ def content(path: str) -> bytes:
         return f.read()
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scores.score(table(spark, sf_dir, "documents"), target, content(WORD_MODEL).decode(), boundary=49_408)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -61,7 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_line_dedup, op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op8_near_duplicates, op9_token_files, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_line_dedup, op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op8_near_duplicates, op9_token_files, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
