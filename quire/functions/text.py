@@ -162,9 +162,18 @@ def closed_up(text: Column, size: Column) -> Column:
 
 def rejoined(lines: Column) -> Column:
     """Lines of a paragraph as one text; a word broken by a hyphen before a small letter is mended."""
-    broken = lambda acc, line: acc.rlike("[a-z][-\u2010\u00ad]$") & line.rlike("^[a-z]")
-    joined = lambda acc, line: F.when(broken(acc, line), F.concat(F.regexp_replace(acc, "[-\u2010\u00ad]$", ""), line)).otherwise(F.concat(acc, F.lit(" "), line))
-    return F.aggregate(lines, F.lit(""), lambda acc, line: F.when(acc == "", line).otherwise(joined(acc, line)))
+
+    def glued(ls: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            before, after = F.when(i > 0, F.try_element_at(ls, F.greatest(i, F.lit(1)))), F.try_element_at(ls, i + 2)
+            breaks = lambda a, b: F.coalesce(a.rlike("[a-z][-\u2010\u00ad]$") & b.rlike("^[a-z]"), F.lit(False))
+            own = F.when(breaks(line, after), F.regexp_replace(line, "[-\u2010\u00ad]$", "")).otherwise(line)
+            return F.concat(F.when((i == 0) | breaks(before, line), "").otherwise(" "), own)
+
+        return F.array_join(F.transform(ls, one), "")
+
+    full = lambda ls: F.slice(ls, F.greatest(F.coalesce(F.array_position(F.transform(ls, lambda x: x != ""), True), F.lit(1)), F.lit(1)).cast("int"), F.size(ls))
+    return let(let(lines, full), glued)
 
 
 def escaped(text: Column) -> Column:
