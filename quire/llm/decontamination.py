@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.frames import numbered, pick, slices, strings
+from quire.llm.frames import map_arrow, numbered, pick, slices, strings
 from quire.llm.wordhash import mixed
 
 Q = 10
@@ -256,7 +256,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
         def run(batches, shared=shared):
             made, ids, segments = shared.value
             for batch in batches:
-                for a, b in slices(batch.column(1), 1 << 20):
+                for a, b in slices(batch.column(1)):
                     one = batch.column(0).slice(a, b - a).to_pylist()
                     sums: dict[tuple[int, int], list[int]] = {}
                     for t, s, e in matches(made, strings(batch.column(1).slice(a, b - a))):
@@ -267,7 +267,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
                     columns = list(zip(*rows, strict=True)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "item", "segments", "matched", "edits"])
 
-        found = docs.mapInArrow(run, "id long, item long, segments long, matched long, edits long")
+        found = map_arrow(docs, run, "id long, item long, segments long, matched long, edits long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "id long, item long, segments long, matched long, edits long")
@@ -287,11 +287,11 @@ def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
 
         def run(batches, shared=shared):
             for batch in batches:
-                for a, b in slices(batch.column(at), 1 << 20):
+                for a, b in slices(batch.column(at)):
                     part = batch.slice(a, b - a)
                     keep = np.ones(part.num_rows, bool)
                     keep[[t for t, _, _ in matches(shared.value, strings(part.column(at)))]] = False
                     yield part.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, out.schema)
+        out = map_arrow(out, run, out.schema)
     return out.toDF(*names)

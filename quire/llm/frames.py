@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a worker holds as numpy temporaries at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Rows that go to a worker at once.
+BATCH_ROWS = 1_000
 
 
 def pick(df: DataFrame, columns: dict[str, str | None]) -> DataFrame:
@@ -58,6 +60,18 @@ def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         yield begin, len(sizes)
 
 
+def map_arrow(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches small enough for whole texts.
+
+    Spark's own batch is 10,000 rows, however long they are. Where the session
+    leaves it at that, it is set to ``BATCH_ROWS``.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def map_text(df: DataFrame, text: str, keep: Sequence[str], fields: str | T.StructType, make: Callable[[], Callable[[pa.Array], list]], limit: int = SLICE_BYTES) -> DataFrame:
     """``keep`` columns of ``df`` and the columns ``fields`` computed from its text column.
 
@@ -84,7 +98,7 @@ def map_text(df: DataFrame, text: str, keep: Sequence[str], fields: str | T.Stru
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in place], *arrays], names=out.names)
 
-    return df.mapInArrow(run, out)
+    return map_arrow(df, run, out)
 
 
 def strings(array: pa.Array) -> list[str]:

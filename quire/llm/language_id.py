@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.frames import map_text, pick, strings, unsigned_fraction
+from quire.llm.frames import map_arrow, map_text, pick, strings, unsigned_fraction
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -101,7 +101,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, fit_row
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(own[at], docs[name]), pa.int64())], names=["label", "bucket", "n"])
 
-    sums = rows.mapInArrow(counted, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = map_arrow(rows, counted, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sums.column("label").to_numpy(zero_copy_only=False)
     bucket, n = sums.column("bucket").to_numpy(), sums.column("n").to_numpy()
     languages = sorted(set(names.tolist()))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe_codec import encode_array
-from quire.llm.frames import pick, slices, stored
+from quire.llm.frames import map_arrow, pick, slices, stored
 from quire.llm.word_bpe import IntMap
 
 DISCOUNT = 0.75
@@ -89,7 +89,7 @@ def counts(docs: DataFrame, content: str, boundary: int) -> DataFrame:
         if held:
             yield rows(batch_of(held))
 
-    return docs.select("text", "marked").mapInArrow(run, "code long, t long, b long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    return map_arrow(docs.select("text", "marked"), run, "code long, t long, b long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
 @dataclass
@@ -148,7 +148,7 @@ def score(df: DataFrame, marked: DataFrame, content: str, boundary: int, id_col:
         rows = table.where(F.pmod(F.xxhash64(context), F.lit(blocks)) == k).toArrow() if blocks > 1 else table.toArrow()
         codes, seen = rows.column("code").to_numpy(), np.array([rows.column("t").to_numpy(), rows.column("b").to_numpy()])
         added = spark.sparkContext.broadcast((codes, corrections(shared.value[1], codes, seen).astype(np.float32)))
-        out = out.mapInArrow(_pass(shared, added, boundary, k == 0), "id long, text string, sums array<double>")
+        out = map_arrow(out, _pass(shared, added, boundary, k == 0), "id long, text string, sums array<double>")
     sums = F.col("sums")
     n = F.coalesce(sums[0], F.lit(0.0))
     target, background = (F.when(n > 0, -sums[i] / (n + 1)) for i in (1, 2))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import circulant
 from quire.llm.components import components
-from quire.llm.frames import map_text, pick, stored
+from quire.llm.frames import map_arrow, map_text, pick, stored
 
 #: Documents that are compared with one copy of a pivot.
 PIVOT_ROWS = 512
@@ -130,7 +130,7 @@ def compare(rows: DataFrame, share: int, whole: int) -> DataFrame:
                     found_b += index.ids[hit[first]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 80, whole: int = 100) -> DataFrame:
@@ -151,7 +151,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = stored(keyed.join(chosen, "key"), "buckets")
 
     wanted = buckets.select("id").distinct()
-    sets = stored(packed_sets(docs.join(wanted.hint("shuffle_hash"), "id").dropDuplicates(["id"]), size), "sets")
+    sets = stored(packed_sets(docs.join(wanted.hint("shuffle_hash"), "id"), size), "sets")
 
     # compare with pivots
     sizes = buckets.select("id", "n").distinct()

@@ -17,10 +17,10 @@ import pyarrow as pa
 from quire.llm import wordhash
 from quire.llm.word_bpe import WordBpe
 
-#: Entries before the table starts afresh; it takes about 60 MB then. One
+#: Entries before the table starts afresh; it takes about 30 MB then. One
 #: batch of texts adds fewer than the slots left free for it.
-ENTRIES = 800_000
-_SLOTS = 1 << 21
+ENTRIES = 400_000
+_SLOTS = 1 << 20
 KEEP = 64
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,7 +65,7 @@ class PieceTable:
         return first
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
-        slot = ((hashes * _FACTOR) >> np.uint64(43)).astype(np.int64)
+        slot = ((hashes * _FACTOR) >> np.uint64(44)).astype(np.int64)
         found = self.entry[slot]
         on = np.flatnonzero((found >= 0) & (self.keys[slot] != hashes))
         while on.size:
@@ -77,7 +77,7 @@ class PieceTable:
 
     def _insert(self, hashes: np.ndarray, entries: np.ndarray) -> None:
         """Adds distinct hashes that are not there yet."""
-        slot, left = ((hashes * _FACTOR) >> np.uint64(43)).astype(np.int64), np.arange(len(hashes))
+        slot, left = ((hashes * _FACTOR) >> np.uint64(44)).astype(np.int64), np.arange(len(hashes))
         while left.size:
             free = self.entry[slot] < 0
             self.entry[slot[free]] = entries[left[free]]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import wordhash
-from quire.llm.frames import map_text, pick, slices, stored
+from quire.llm.frames import map_arrow, map_text, pick, slices, stored
 
 WINDOW = 50
 #: Documents of an anchor for each part of its block.
@@ -116,7 +116,7 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["anchor", "part", "id", "digest", "first", "windows"])
 
-    return docs.select("id", "text", "shared").mapInArrow(run, "anchor long, part int, id long, digest long, first long, windows binary")
+    return map_arrow(docs.select("id", "text", "shared"), run, "anchor long, part int, id long, digest long, first long, windows binary")
 
 
 class ReferenceBlock:
@@ -167,7 +167,7 @@ def factored(rows: DataFrame, window: int) -> DataFrame:
             columns = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "digest", "start", "stop"])
 
-    return dealt.mapInArrow(run, "id long, digest long, start long, stop long")
+    return map_arrow(dealt, run, "id long, digest long, start long, stop long")
 
 
 def spans(docs: DataFrame, window: int, part_documents: int) -> DataFrame:
@@ -179,7 +179,7 @@ def spans(docs: DataFrame, window: int, part_documents: int) -> DataFrame:
     keyed = own.select("id", F.explode("anchors").alias("anchor"))
     shared = keyed.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", F.ceil(F.col("c") / part_documents).cast("int").alias("parts"))
     lists = keyed.join(shared, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "parts")).alias("shared"))
-    found = factored(occurrences(docs.join(lists.hint("shuffle_hash"), "id").dropDuplicates(["id", "text"]), window), window)
+    found = factored(occurrences(docs.join(lists.hint("shuffle_hash"), "id"), window), window)
     return found.union(copies).groupBy("id").agg(F.collect_list(F.struct("digest", "start", "stop")).alias("spans"))
 
 
@@ -213,4 +213,4 @@ def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, span), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "removed", "kept"])
 
-    return joined.select("id", "text", "spans").mapInArrow(run, "id long, n_words long, n_removed long, removed array<struct<start: long, stop: long>>, kept string").withColumnRenamed("id", id_col)
+    return map_arrow(joined.select("id", "text", "spans"), run, "id long, n_words long, n_removed long, removed array<struct<start: long, stop: long>>, kept string").withColumnRenamed("id", id_col)

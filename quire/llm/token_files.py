@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import rans
 from quire.llm.bpe_codec import encode_array
-from quire.llm.frames import SLICE_BYTES, pick, slices, stored
+from quire.llm.frames import SLICE_BYTES, map_arrow, pick, slices, stored
 
 #: Ids in a file after which the next batch of texts opens another.
 FILE_TOKENS = 1_000_000
@@ -65,7 +65,7 @@ def write(df: DataFrame, content: str, end_id: int, id_col: str = "doc_id", text
         if docs:
             yield closed()
 
-    return docs.mapInArrow(files, "part int, seq int, n_tokens long, file binary")
+    return map_arrow(docs, files, "part int, seq int, n_tokens long, file binary")
 
 
 def read(files: DataFrame, id_col: str = "doc_id", tokens: bool = True) -> DataFrame:
@@ -97,7 +97,7 @@ def read(files: DataFrame, id_col: str = "doc_id", tokens: bool = True) -> DataF
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
 
-    return placed.mapInArrow(documents, fields)
+    return map_arrow(placed, documents, fields)
 
 
 def round_trip(df: DataFrame, content: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False) -> DataFrame:
