@@ -53,8 +53,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with digests of them and of the text that they decode to."""
-    ids = bpe_codec.encode(docs, _vocabulary(), keep=("lang", "source"))
-    return bpe_codec.decode(ids, _vocabulary(), keep=("doc_id", "lang", "source", "n_tokens", "ids"), digests=True)
+    return bpe_codec.round_trip(docs, _vocabulary(), keep=("doc_id", "lang", "source"))
 
 
 STAGES = [

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quire.llm.frames import map_text, pick
+from quire.llm.frames import map_arrow, map_text, pick
 from quire.llm.piece_table import PieceTable
 from quire.llm.word_bpe import loaded
 
@@ -53,6 +53,35 @@ def encode(df: DataFrame, content: str, id_col: str = "doc_id", text_col: str =
     return map_text(docs, "__text", [id_col, *keep], "n_tokens long, ids array<int>", make)
 
 
+class Decoder:
+    """Texts and digests of rows of ids."""
+
+    def __init__(self, content: str):
+        name = loaded(content).name
+        size = max(name) + 1
+        self.text = [name.get(i, "") for i in range(size)]
+        self.number = [str(i) for i in range(size)]
+
+    def decoded(self, ids: list[int]) -> str:
+        return " ".join(map(self.text.__getitem__, ids))
+
+    def digests(self, ids: list[int]) -> tuple[str, str]:
+        """Of the ids in decimal with single spaces, and of the text that they decode to."""
+        listed = " ".join(map(self.number.__getitem__, ids))
+        return hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.decoded(ids).encode()).hexdigest()
+
+
+_decoders: dict[int, Decoder] = {}
+
+
+def decoder(content: str) -> Decoder:
+    key = hash(content)
+    if key not in _decoders:
+        _decoders.clear()
+        _decoders[key] = Decoder(content)
+    return _decoders[key]
+
+
 def decode(ids: DataFrame, content: str, keep: tuple[str, ...] = ("doc_id", "n_tokens"), ids_col: str = "ids", digests: bool = False) -> DataFrame:
     """``keep`` columns and the text that every row of ids stands for.
 
@@ -63,25 +92,13 @@ def decode(ids: DataFrame, content: str, keep: tuple[str, ...] = ("doc_id", "n_t
     fields = "ids_sha256 string, decoded_sha256 string" if digests else "text string"
 
     def make():
-        name = loaded(shared.value).name
-        size = max(name) + 1
-        text = [name.get(i, "") for i in range(size)]
-        number = [str(i) for i in range(size)]
+        own = decoder(shared.value)
 
         def work(column: pa.Array) -> list:
             values = column.flatten().to_pylist()
-            sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
-            first, second, at = [], [], 0
-            for n in sizes:
-                row = values[at : at + n]
-                at += n
-                decoded = " ".join(map(text.__getitem__, row))
-                if digests:
-                    first.append(hashlib.sha256(" ".join(map(number.__getitem__, row)).encode()).hexdigest())
-                    second.append(hashlib.sha256(decoded.encode()).hexdigest())
-                else:
-                    first.append(decoded)
-            return [first, second] if digests else [first]
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+            rows = [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            return [list(x) for x in zip(*map(own.digests, rows), strict=True)] if digests else [list(map(own.decoded, rows))]
 
         return work
 
@@ -90,6 +107,26 @@ def decode(ids: DataFrame, content: str, keep: tuple[str, ...] = ("doc_id", "n_t
     return map_lists(rows, column, list(keep), fields, make)
 
 
+def round_trip(df: DataFrame, content: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """``keep`` columns, n_tokens, ids, ids_sha256 and decoded_sha256: ``encode`` and ``decode`` in one pass, which needs half as many workers."""
+    shared = df.sparkSession.sparkContext.broadcast(content)
+
+    def make():
+        content = shared.value
+        own = decoder(content)
+
+        def work(text: pa.Array) -> list:
+            ids, begins = encode_array(content, text)
+            values, cuts = ids.tolist(), begins.tolist()
+            digests = [own.digests(values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return [np.diff(begins), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32())), [d[0] for d in digests], [d[1] for d in digests]]
+
+        return work
+
+    docs = pick(df, {**{k: k for k in keep}, "__text": text_col})
+    return map_text(docs, "__text", list(keep), "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string", make)
+
+
 def map_lists(df: DataFrame, column: str, keep: list[str], fields: str, make) -> DataFrame:
     """Like ``map_text`` over an array column, a few hundred thousand elements at a time."""
     from pyspark.sql import types as T
@@ -120,4 +157,4 @@ def map_lists(df: DataFrame, column: str, keep: list[str], fields: str, make) ->
                 made = [pa.array(x, type=t) for x, t in zip(work(part.column(at)), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in place), *made], names=out.names)
 
-    return df.mapInArrow(run, out)
+    return map_arrow(df, run, out)

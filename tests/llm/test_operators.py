@@ -91,6 +91,12 @@ def test_codec_equals_the_library(spark, awkward):
     assert rows_of(own, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
 
 
+def test_round_trip_equals_encode_and_decode(spark, awkward):
+    ids = bpe_codec.encode(awkward, WORD)
+    two = bpe_codec.decode(ids, WORD, keep=("doc_id", "n_tokens", "ids"), digests=True)
+    assert rows_of(bpe_codec.round_trip(awkward, WORD), *two.columns) == rows_of(two, *two.columns)
+
+
 def test_codec_texts(spark, awkward):
     ids = bpe_codec.encode(awkward, WORD)
     tokenizer = library()
