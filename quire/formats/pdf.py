@@ -344,8 +344,10 @@ def read_files(files: DataFrame, id_col: str = "path", content_col: str = "conte
             for name, content in zip(batch[id_col], batch[content_col], strict=True):
                 try:
                     file = File(bytes(content if content is not None else b""), password)
-                    title = file.info().get("Title")
-                    for n, page in enumerate(file.pages(), 1):
+                    title, pages = file.info().get("Title"), file.pages()
+                    if not pages:
+                        raise Unreadable("corrupt: the file has no pages")
+                    for n, page in enumerate(pages, 1):
                         box = [float(v) for v in file.of(page.get("MediaBox")) or (0, 0, 612, 792)]
                         rows.append((name, n, box[2] - box[0], box[3] - box[1], int(file.of(page.get("Rotate")) or 0) % 360, page_text(file, page), title, None))
                 except (Unreadable, ValueError, KeyError, TypeError, IndexError, zlib.error) as e:
