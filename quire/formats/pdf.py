@@ -43,6 +43,7 @@ class Placed:
 @dataclass
 class Page:
     lines: list[Placed] = field(default_factory=list)
+    drawn: list[bytes] = field(default_factory=list)  # operators of paths, as they stand
     width: float = 612.0
     height: float = 792.0
     rotation: int = 0
@@ -60,7 +61,7 @@ def write(pages: list[Page], info: dict[str, str] | None = None, password: str |
         3: [b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"],
     }
     for i, p in enumerate(pages):
-        ops = []
+        ops = list(p.drawn)
         for t in p.lines:
             c, s = math.cos(math.radians(t.degrees)), math.sin(math.radians(t.degrees))
             ops.append(b"BT /F1 %g Tf %.4f %.4f %.4f %.4f %.2f %.2f Tm " % (t.size, c, s, -s, c, t.x, t.y) + _text(t.text) + b" Tj ET")
@@ -319,6 +320,119 @@ class File:
             args = []
         return out
 
+    def marks(self, page: dict) -> tuple[list[tuple], list[tuple]]:
+        """What is drawn with straight lines on a page.
+
+        Rules (horizontal, pos, start, end, thickness, colour): stroked upright or
+        level lines, and filled boxes no thicker than 2. Fills (x0, y0, x1, y1,
+        colour): other filled boxes. Colours are RRGGBB.
+        """
+        rules, fills, saved, args = [], [], [], []
+        ctm, width, stroke, fill = (1, 0, 0, 1, 0, 0), 1.0, "000000", "000000"
+        path: list[tuple] = []  # lines and boxes, both as x0, y0, x1, y1 with their kind
+        at = start = (0.0, 0.0)
+
+        def point(x: float, y: float) -> tuple[float, float]:
+            return ctm[0] * x + ctm[2] * y + ctm[4], ctm[1] * x + ctm[3] * y + ctm[5]
+
+        def paint(stroked: bool, filled: bool) -> None:
+            for kind, x0, y0, x1, y1 in path:
+                x0, x1, y0, y1 = min(x0, x1), max(x0, x1), min(y0, y1), max(y0, y1)
+                if kind == "box" and filled:
+                    thin = min(x1 - x0, y1 - y0)
+                    if thin > 2:
+                        fills.append((x0, y0, x1, y1, fill))
+                    elif y1 - y0 <= x1 - x0:
+                        rules.append((True, (y0 + y1) / 2, x0, x1, thin, fill))
+                    else:
+                        rules.append((False, (x0 + x1) / 2, y0, y1, thin, fill))
+                if stroked:
+                    sides = [(x0, y0, x1, y0), (x0, y1, x1, y1), (x0, y0, x0, y1), (x1, y0, x1, y1)] if kind == "box" else [(x0, y0, x1, y1)]
+                    for a, b, c, d in sides:
+                        if abs(d - b) <= 0.5 < abs(c - a):
+                            rules.append((True, b, a, c, width, stroke))
+                        elif abs(c - a) <= 0.5 < abs(d - b):
+                            rules.append((False, a, b, d, width, stroke))
+
+        for t in tokens(self.content(page)):
+            if not isinstance(t, Word):
+                args.append(t)
+                continue
+            n = [float(a) for a in args if isinstance(a, (int, float))]
+            args = []
+            if t == b"q":
+                saved.append((ctm, width, stroke, fill))
+            elif t == b"Q" and saved:
+                ctm, width, stroke, fill = saved.pop()
+            elif t == b"cm" and len(n) == 6:
+                ctm = (n[0] * ctm[0] + n[1] * ctm[2], n[0] * ctm[1] + n[1] * ctm[3], n[2] * ctm[0] + n[3] * ctm[2], n[2] * ctm[1] + n[3] * ctm[3], n[4] * ctm[0] + n[5] * ctm[2] + ctm[4], n[4] * ctm[1] + n[5] * ctm[3] + ctm[5])
+            elif t == b"w" and n:
+                width = n[0]
+            elif t in (b"RG", b"G", b"K"):
+                stroke = color(n)
+            elif t in (b"rg", b"g", b"k"):
+                fill = color(n)
+            elif t == b"m" and len(n) == 2:
+                at = start = point(*n)
+            elif t == b"l" and len(n) == 2:
+                end = point(*n)
+                path.append(("line", *at, *end))
+                at = end
+            elif t in (b"c", b"v", b"y") and len(n) > 3:
+                at = point(*n[-2:])
+            elif t == b"h":
+                path.append(("line", *at, *start))
+                at = start
+            elif t == b"re" and len(n) == 4:
+                path.append(("box", *point(n[0], n[1]), *point(n[0] + n[2], n[1] + n[3])))
+            elif t in (b"S", b"s", b"f", b"F", b"f*", b"B", b"B*", b"b", b"b*", b"n"):
+                paint(t in (b"S", b"s", b"B", b"B*", b"b", b"b*"), t in (b"f", b"F", b"f*", b"B", b"B*", b"b", b"b*"))
+                path = []
+        return rules, fills
+
+    def images(self, page: dict) -> list[tuple[str, int, int, str]]:
+        """(name, width, height, filter) of the pictures that a page may draw, each once."""
+        found = self.of((self.of(page.get("Resources")) or {}).get("XObject")) or {}
+        out = []
+        for name, ref in found.items():
+            d = self.of(ref)
+            if isinstance(d, dict) and d.get("Subtype") == "Image":
+                f = self.of(d.get("Filter"))
+                out.append((str(name), self.of(d.get("Width")), self.of(d.get("Height")), str(f[-1] if isinstance(f, list) and f else f or "")))
+        return out
+
+    def fields(self) -> list[dict]:
+        """Form fields: name, kind, value, choices, read_only, required, page (from 1) if a page shows them."""
+        shown = {r[0]: n for n, p in enumerate(self.pages(), 1) for r in self.of(p.get("Annots")) or [] if isinstance(r, Ref)}
+        out: list[dict] = []
+
+        def walk(ref, name: str, above: dict) -> None:
+            d = self.of(ref)
+            if not isinstance(d, dict):
+                return
+            number = ref[0] if isinstance(ref, Ref) else 0
+            own = above | {k: d[k] for k in ("FT", "V", "Ff", "Opt") if k in d}
+            part = _decoded(self.plain(number, d["T"])) if isinstance(d.get("T"), bytes) else ""
+            full = f"{name}.{part}" if name and part else name or part
+            kids = self.of(d.get("Kids")) or []
+            named = [k for k in kids if "T" in (self.of(k) or {})]
+            if named:
+                for k in named:
+                    walk(k, full, own)
+                return
+            flags, kind = own.get("Ff", 0), own.get("FT")
+            what = {"Tx": "text", "Sig": "signature", "Ch": "dropdown" if flags & 1 << 17 else "list", "Btn": "radio" if flags & 1 << 15 else "button" if flags & 1 << 16 else "checkbox"}.get(kind)
+            if what and what not in ("signature", "button"):
+                said = lambda v: _decoded(self.plain(number, v)) if isinstance(v, bytes) else "" if v is None else str(v)
+                choices = [said(o[-1] if isinstance(o, list) else o) for o in self.of(own.get("Opt")) or []]
+                value = self.of(own.get("V"))
+                pages = [shown[r[0]] for r in [ref, *kids] if isinstance(r, Ref) and r[0] in shown]
+                out.append({"name": full, "kind": what, "value": ", ".join(map(said, value)) if isinstance(value, list) else said(value), "choices": choices, "read_only": bool(flags & 1), "required": bool(flags & 2), "page": min(pages, default=None)})
+
+        for f in self.of((self.of(self.root.get("AcroForm")) or {}).get("Fields")) or []:
+            walk(f, "", {})
+        return sorted(out, key=lambda f: f["page"] or 1_000_000)
+
     def info(self) -> dict[str, str]:
         ref = self.trailer.get("Info")
         d = self.of(ref) or {}
@@ -326,6 +440,14 @@ class File:
         return {k: _decoded(self.plain(n, d[k])) for k in INFO if isinstance(d.get(k), bytes)}
 
 
+def color(n: list[float]) -> str:
+    """RRGGBB of a grey, RGB or CMYK colour with parts from 0 to 1."""
+    if len(n) == 4:
+        n = [(1 - c) * (1 - n[3]) for c in n[:3]]
+    parts = n * 3 if len(n) == 1 else n[:3]
+    return "".join(f"{max(0, min(255, int(p * 255 + 0.5))):02X}" for p in parts) or "000000"
+
+
 def _decoded(raw: bytes) -> str:
     return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
 

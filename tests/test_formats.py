@@ -42,7 +42,7 @@ def test_late_passwords(revision):
 
 
 def test_pdf_round_trip():
-    pages = [pdf.Page([pdf.Placed("Hello (world) \\ é", 72, 700), pdf.Placed("second", 72, 680, 14)], rotation=90), pdf.Page([], 300, 400)]
+    pages = [pdf.Page([pdf.Placed("Hello (world) \\ é", 72, 700), pdf.Placed("second", 72, 680, 14)], rotation=90), pdf.Page(width=300, height=400)]
     file = pdf.File(pdf.write(pages, {"Title": "T (x)", "Author": "Ä"}))
     assert [pdf.page_text(file, p) for p in file.pages()] == ["Hello (world) \\ é second", ""]
     assert file.info() == {"Title": "T (x)", "Author": "Ä"}
@@ -91,3 +91,28 @@ def test_office_files_with_errors(spark):
     files = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(good[:50])), ("c", None), ("d", bytearray(b"\xd0\xcf\x11\xe0" * 4))], "path string, content binary")
     got = {r.path: r for r in office.read_files(files, "docx").collect()}
     assert got["a"].text == "x" and all(got[k].error for k in "bcd")
+
+
+def test_pdf_marks():
+    drawn = [b"q 2 0 0 2 10 10 cm 0 0 1 RG 0.5 w 0 0 m 50 0 l S Q", b"1 0 0 rg 100 100 80 40 re f", b"0.5 g 10 300 200 1 re f", b"0 0 0 1 K 20 20 m 20 90 l S", b"5 5 m 9 30 l S"]
+    file = pdf.File(pdf.write([pdf.Page(drawn=drawn)]))
+    rules, fills = file.marks(file.pages()[0])
+    assert rules == [(True, 10, 10, 110, 0.5, "0000FF"), (True, 300.5, 10, 210, 1, "808080"), (False, 20, 20, 90, 1.0, "000000")]
+    assert fills == [(100, 100, 180, 140, "FF0000")]
+
+
+def test_pdf_fields_and_images():
+    body = b"""%PDF-1.7
+1 0 obj << /Type /Catalog /Pages 2 0 R /AcroForm << /Fields [4 0 R 5 0 R 8 0 R] >> >> endobj
+2 0 obj << /Type /Pages /Count 1 /Kids [3 0 R] >> endobj
+3 0 obj << /Type /Page /Parent 2 0 R /Annots [6 0 R 4 0 R] /Resources << /XObject << /I 7 0 R >> >> >> endobj
+4 0 obj << /T (pick) /FT /Ch /Ff 131072 /V (b) /Opt [(a) [(x) (b)]] >> endobj
+5 0 obj << /T (who) /FT /Tx /Ff 3 /Kids [6 0 R] >> endobj
+6 0 obj << /T (name) /Parent 5 0 R /V (Jane \\(J\\)) >> endobj
+7 0 obj << /Type /XObject /Subtype /Image /Width 8 /Height 9 /Filter /DCTDecode /Length 0 >> stream
+endstream endobj
+8 0 obj << /T (sign) /FT /Sig >> endobj
+trailer << /Root 1 0 R >>"""
+    file = pdf.File(body)
+    assert [(f["name"], f["kind"], f["value"], f["choices"], f["read_only"], f["required"], f["page"]) for f in file.fields()] == [("pick", "dropdown", "b", ["a", "b"], False, False, 1), ("who.name", "text", "Jane (J)", [], True, True, 1)]
+    assert file.images(file.pages()[0]) == [("I", 8, 9, "DCTDecode")]
