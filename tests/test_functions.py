@@ -139,3 +139,14 @@ def test_streamed_ingestion(spark, tmp_path):
         ingest(spark, source, batch.schema, summary.summaries, sink, str(tmp_path / "position"))
     got = spark.read.parquet(sink)
     assert {r.doc_id for r in got.collect()} == {0, 1} and got.where("doc_id = 0").count() == summary.summaries(batch).count()
+
+
+def test_checksums(spark, sf_dir):
+    import hashlib
+    import zlib
+
+    from quire import plans
+
+    text = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in plans.queries()["file_checksums"](spark, sf_dir).collect():
+        assert (r.crc32, r.sha384, r.sha512) == (zlib.crc32(text[r.doc_id]), hashlib.sha384(text[r.doc_id]).hexdigest(), hashlib.sha512(text[r.doc_id]).hexdigest())
