@@ -38,12 +38,12 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
 def scored(rows: DataFrame) -> DataFrame:
     """Adds score and picked to ``sentences``: the mean frequency of the terms, a bonus, and whether it is among the best."""
-    terms = rows.select("id", "idx", F.explode(T.terms(F.col("s"))).alias("term"))
-    terms = terms.withColumn("f", F.count("*").over(Window.partitionBy("id", "term")))
-    sums = terms.groupBy("id", "idx").agg(F.sum("f").alias("f"), F.count("*").alias("n"))
-    out = rows.join(sums, ["id", "idx"], "left")
+    # each sentence goes along with its first term only
+    terms = rows.select("id", "idx", "s", F.posexplode_outer(T.terms(F.col("s"))).alias("n", "term")).withColumn("s", F.when(F.coalesce("n", F.lit(0)) == 0, F.col("s")))
+    terms = terms.withColumn("f", F.when(F.col("term").isNotNull(), F.count("*").over(Window.partitionBy("id", "term"))))
+    out = terms.groupBy("id", "idx").agg(F.max("s").alias("s"), F.coalesce(F.sum("f"), F.lit(0)).alias("f"), F.count("term").alias("n"))
     bonus = F.when(F.col("idx") < BONUS_FIRST, BONUS).otherwise(0.0)
-    out = out.withColumn("score", F.coalesce(F.col("f"), F.lit(0)) / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)) + bonus)
+    out = out.withColumn("score", F.col("f") / F.greatest(F.col("n"), F.lit(1)) + bonus)
     total = F.count("*").over(Window.partitionBy("id"))
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "idx"))
     picks = F.least(F.lit(MOST), F.greatest(F.lit(1), F.ceil(total.cast("double") * SHARE)))
