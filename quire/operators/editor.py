@@ -65,3 +65,16 @@ def longest(rules: DataFrame, upright: int = 60, level: int = 80) -> DataFrame:
     """The rules of each page that count: the longest of either direction."""
     n = F.row_number().over(Window.partitionBy("page", "horizontal").orderBy(F.desc(F.col("end") - F.col("start")), "rule_id"))
     return rules.withColumn("n", n).where(F.col("n") <= F.when(F.col("horizontal"), level).otherwise(upright)).drop("n")
+
+
+def inherited(shapes: DataFrame, layout: DataFrame, master: DataFrame, page: str, value: str) -> DataFrame:
+    """Placeholders with a value of their own, else that of the layout's placeholder of the same idx, else of its kind, else the master's of that kind.
+
+    ``layout`` (page, ord, idx, kind, value) and ``master`` (page, ord, kind, value) may hold several alike; the first counts.
+    """
+
+    def first(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.where(F.col(key).isNotNull()).groupBy(page, key).agg(F.min_by(value, "ord").alias(name))
+
+    out = shapes.join(first(layout, "idx", "by_idx"), [page, "idx"], "left").join(first(layout, "kind", "by_kind"), [page, "kind"], "left").join(first(master, "kind", "by_master"), [page, "kind"], "left")
+    return out.withColumn(value, F.coalesce(value, "by_idx", "by_kind", "by_master")).drop("by_idx", "by_kind", "by_master")

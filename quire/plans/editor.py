@@ -67,7 +67,15 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("page", "line_id", F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0", "line_id")).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (editor_annotations, editor_transforms, editor_removed_pages, editor_front, table_with_headers, longest_rules, tool_catalogue, event_properties, reading_order)}
+def slide_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as shapes of slides, orders as the layouts, suppliers as the masters."""
+    shapes = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), "l_orderkey", F.col("l_linenumber").cast("long").alias("idx"), F.col("l_returnflag").alias("kind"), F.when(F.col("l_discount") > 0.05, F.col("l_quantity")).alias("x"))
+    layout = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100 + 1).alias("page"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 9).alias("idx"), F.when(F.col("o_orderkey") % 2 == 0, "A").otherwise("R").alias("kind"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice")).alias("x")).where("page % 3 > 0 and x is not null")
+    master = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), F.col("s_suppkey").alias("ord"), F.lit("N").alias("kind"), F.col("s_acctbal").alias("x"))
+    return E.inherited(shapes, layout, master, "page", "x").select("page", "l_orderkey", "idx", "kind", "x")
+
+
+QUERIES = {f.__name__: f for f in (editor_annotations, editor_transforms, editor_removed_pages, editor_front, table_with_headers, longest_rules, tool_catalogue, event_properties, reading_order, slide_placeholders)}
 SQL = {
     "editor_annotations": "WITH a AS (SELECT l_orderkey AS page, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey) AS a FROM lineitem WHERE l_quantity > 40 GROUP BY 1) SELECT o_orderkey AS page, coalesce(a, '') AS annotations FROM orders LEFT JOIN a ON o_orderkey = page",
     "editor_transforms": """WITH p AS (SELECT p_partkey, p_size::DOUBLE AS s, p_size / 8 AS a, 0.5::DOUBLE AS b, -0.25::DOUBLE AS c, p_size / 16 AS d, p_partkey::DOUBLE AS e, 3.0::DOUBLE AS f FROM part),
@@ -81,4 +89,8 @@ SELECT p_partkey, any_value(a) AS a, any_value(f) AS f, min(a * x + c * y + e) A
     "tool_catalogue": "SELECT * FROM (VALUES ('merge', 'organize'), ('redact', 'edit,security'), ('protect', 'security')) t(name, categories)",
     "event_properties": "SELECT event_type, count(*) AS n, CAST(sum(coalesce(CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT), 0)) AS BIGINT) AS k FROM events GROUP BY event_type",
     "reading_order": f"WITH l AS ({G.LINES}) SELECT page, line_id, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0, line_id) AS INTEGER) AS n FROM l",
+    "slide_placeholders": """WITH l AS (SELECT o_custkey % 100 + 1 AS page, o_orderkey AS ord, o_orderkey % 9 AS idx, CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'R' END AS kind, o_totalprice AS x FROM orders WHERE (o_custkey % 100 + 1) % 3 > 0 AND o_orderkey % 5 > 0),
+a AS (SELECT page, idx, arg_min(x, ord) AS x FROM l GROUP BY page, idx), b AS (SELECT page, kind, arg_min(x, ord) AS x FROM l GROUP BY page, kind)
+SELECT l_suppkey AS page, l_orderkey, l_linenumber::BIGINT AS idx, l_returnflag AS kind, coalesce(CASE WHEN l_discount > 0.05::DOUBLE THEN l_quantity END, a.x, b.x, CASE WHEN l_returnflag = 'N' THEN s_acctbal END) AS x
+FROM lineitem LEFT JOIN a ON l_suppkey = a.page AND l_linenumber = a.idx LEFT JOIN b ON l_suppkey = b.page AND l_returnflag = b.kind LEFT JOIN supplier ON l_suppkey = s_suppkey""",
 }
