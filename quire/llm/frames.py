@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a worker holds as numpy temporaries at once.
 SLICE_BYTES = 1 << 19
+#: Ids that may be broadcast, at some 180 bytes each with Spark's hash map.
+BROADCAST_IDS = 300_000
 #: Rows that go to a worker at once.
 BATCH_ROWS = 1_000
 
@@ -146,6 +148,17 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def only(df: DataFrame, ids: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows of ``df`` whose id is among ``ids`` (one column, id, written already).
+
+    Up to ``limit`` ids are broadcast, so that texts are filtered where they
+    are read; more are joined by a shuffle.
+    """
+    if ids.count() <= (BROADCAST_IDS if limit is None else limit):
+        return df.join(F.broadcast(ids), "id", "left_semi")
+    return df.join(ids.hint("shuffle_hash"), "id", "left_semi")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -38,8 +38,8 @@ DISCOUNT = 0.75
 SMOOTHING = 0.1
 #: Seen bigrams in a block; it takes 32 bytes for each in a worker.
 BLOCK_BIGRAMS = 2_000_000
-#: Marked documents whose ids may be broadcast, at 8 bytes each.
-BROADCAST_IDS = 1_000_000
+#: Marked documents whose ids may be broadcast, at some 180 bytes each with Spark's hash map.
+BROADCAST_IDS = 300_000
 #: Distinct bigrams that a task holds before it passes them on.
 TASK_BIGRAMS = 1_000_000
 

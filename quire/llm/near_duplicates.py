@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import circulant
 from quire.llm.components import components
-from quire.llm.frames import map_arrow, map_text, pick, stored
+from quire.llm.frames import map_arrow, map_text, only, pick, stored
 
 #: Documents that are compared with one copy of a pivot.
 PIVOT_ROWS = 512
@@ -150,8 +150,8 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chosen = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min(F.col("id").bitwiseXOR(mask)).alias("m")).where("c > 1").select("key", "c", F.col("m").bitwiseXOR(mask).alias("pivot"))
     buckets = stored(keyed.join(chosen, "key"), "buckets")
 
-    wanted = buckets.select("id").distinct()
-    sets = stored(packed_sets(docs.join(wanted.hint("shuffle_hash"), "id"), size), "sets")
+    wanted = stored(buckets.select("id").distinct(), "wanted")
+    sets = stored(packed_sets(only(docs, wanted), size), "sets")
 
     # compare with pivots
     sizes = buckets.select("id", "n").distinct()

@@ -37,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import wordhash
-from quire.llm.frames import map_arrow, map_text, pick, slices, stored
+from quire.llm.frames import map_arrow, map_text, only, pick, slices, stored
 
 WINDOW = 50
 #: Documents of an anchor for each part of its block.
 PART_DOCUMENTS = 20_000
+#: Spans of all documents that may be broadcast to be cut out, at some 100 bytes each.
+BROADCAST_SPANS = 300_000
 
 
 def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,15 +180,17 @@ def spans(docs: DataFrame, window: int, part_documents: int) -> DataFrame:
     own = rows.join(classes.withColumnRenamed("rep", "id"), ["digest", "n_words", "id"], "left_semi").dropDuplicates(["digest", "n_words"])
     keyed = own.select("id", F.explode("anchors").alias("anchor"))
     shared = keyed.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", F.ceil(F.col("c") / part_documents).cast("int").alias("parts"))
-    lists = keyed.join(shared, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "parts")).alias("shared"))
-    found = factored(occurrences(docs.join(lists.hint("shuffle_hash"), "id"), window), window)
+    lists = stored(keyed.join(shared, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "parts")).alias("shared")), "shared")
+    found = factored(occurrences(only(docs, lists.select("id")).join(lists.hint("shuffle_hash"), "id"), window), window)
     return found.union(copies).groupBy("id").agg(F.collect_list(F.struct("digest", "start", "stop")).alias("spans"))
 
 
-def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, part_documents: int = PART_DOCUMENTS) -> DataFrame:
+def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, part_documents: int = PART_DOCUMENTS, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
     """id, n_words, n_removed, removed (spans of words) and kept (words left, joined by spaces) of every row of ``df``."""
     docs = pick(df, {"id": id_col, "text": text_col})
-    joined = docs.join(stored(spans(docs, window, part_documents), "spans").hint("shuffle_hash"), "id", "left")
+    lost = stored(spans(docs, window, part_documents), "spans")
+    size = lost.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0]
+    joined = docs.join(F.broadcast(lost) if size <= broadcast_spans else lost.hint("shuffle_hash"), "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
