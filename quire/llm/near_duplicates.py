@@ -12,8 +12,8 @@
    copies costs no pairs.
 
 A group is never in one task as a whole: pivots are repeated for every few
-hundred documents, and homes are dealt out in blocks of bounded size, which
-each outsider visits.
+hundred documents, and homes are dealt out in blocks of bounded size. Each
+outsider visits every block; for many outsiders a block is repeated.
 
 Only links between documents in different components are sought, as others
 change nothing. Sets of at least the similarity sought miss each other in all
@@ -42,7 +42,9 @@ from quire.llm.frames import map_arrow, map_text, only, pick, stored
 #: Documents that are compared with one copy of a pivot.
 PIVOT_ROWS = 512
 #: Shingles of a block of a home.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 17
+#: Outsiders that are compared with one copy of a block.
+PROBE_ROWS = 1_000
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
@@ -171,11 +173,14 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     homes = counts.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("c", (-F.col("grp")).alias("g"))).alias("best")).where("groups > 1").select("key", (-F.col("best.g")).alias("home"))
     sent = placed.join(homes, "key").select("home", "id", "n", "grp").distinct()
     sent = stored(sent, "sent")
-    blocks = sent.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    probes = F.greatest(F.lit(1), F.ceil(F.count_if(F.col("grp") != F.col("home")) / PROBE_ROWS))
+    blocks = sent.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"), probes.cast("int").alias("probes"))
     dealt = sent.join(blocks, "home")
-    index = dealt.select("home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("block"), F.lit(False).alias("probe"), "id", "grp")
-    probe = dealt.where("grp <> home").select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(True).alias("probe"), "id", "grp")
-    late = compare(index.union(probe).join(sets, "id"), share, whole)
+    own, turn = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("probes")).cast("int")
+    index = dealt.select("home", "probes", "id", "grp", own.alias("part"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("turn"), F.lit(False).alias("probe"))
+    probe = dealt.where("grp <> home").select("home", "probes", "id", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), turn.alias("turn"), F.lit(True).alias("probe"))
+    cells = index.union(probe).select("home", (F.col("part") * F.col("probes") + F.col("turn")).alias("block"), "probe", "id", "grp")
+    late = compare(cells.join(sets, "id"), share, whole)
     owner = groups.select(F.col("node"), F.col("component"))
     late = late.join(owner.toDF("a", "ga"), "a", "left").join(owner.toDF("b", "gb"), "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
     merged = components(late)

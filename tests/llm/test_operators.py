@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from quire.llm import bpe_codec, decontamination, jpeg, language_id, line_dedup, lm_scores, media, near_duplicates, queries, rans, substring_dedup, token_counts, token_files
+from quire.llm import bpe_codec, decontamination, frames, jpeg, language_id, line_dedup, lm_scores, media, near_duplicates, queries, rans, substring_dedup, token_counts, token_files
 from quire.llm.frames import pick
 
 WORD = open(public_tokenizers.path("word_bpe_49k.json")).read()
@@ -318,14 +318,19 @@ def test_near_duplicates(spark, documents, monkeypatch):
     got = near_duplicates.similar_components(df, size=4)
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
     # the same with pivots and homes dealt into many parts
+    monkeypatch.setattr(frames, "BROADCAST_IDS", 0)
     monkeypatch.setattr(near_duplicates, "PIVOT_ROWS", 2)
     monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(near_duplicates, "PROBE_ROWS", 2)
     got = near_duplicates.similar_components(df, size=4)
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
 
 
-def test_near_duplicates_of_a_large_group(spark):
+@pytest.mark.parametrize("probes, shingles", [(1_000, 1 << 17), (7, 900)])
+def test_near_duplicates_of_a_large_group(spark, monkeypatch, probes, shingles):
     """One text changed here and there, so that many copies are far from each other."""
+    monkeypatch.setattr(near_duplicates, "PROBE_ROWS", probes)
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", shingles)
     rng = random.Random(5)
     base = [rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(100)]
     texts = []
@@ -376,8 +381,9 @@ def brute_passages(texts, window):
     return out
 
 
-@pytest.mark.parametrize("part_documents", [3, 20_000])
-def test_passages(spark, documents, part_documents):
+@pytest.mark.parametrize("part_documents, broadcast", [(3, 0), (20_000, 1_000_000)])
+def test_passages(spark, documents, monkeypatch, part_documents, broadcast):
+    monkeypatch.setattr(frames, "BROADCAST_IDS", broadcast)
     rng = random.Random(6)
     passages = [t.split(" ")[5:] for t in documents.values() if len(t.split(" ")) > 150][:6]
     texts = list(documents.items())[:60] + [(10_000 + i, t) for i, t in enumerate(list(documents.values())[:10])]
@@ -387,7 +393,7 @@ def test_passages(spark, documents, part_documents):
         cut = p[a : a + rng.randint(45, 100)]
         texts.append((d, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 70))), *cut, *(["same"] * rng.randint(0, 120)), *rng.choice(passages)[:52]])))
     texts += [(30_000 + i, t or "") for i, t in enumerate(BLANK)]
-    got = substring_dedup.drop_passages(spark.createDataFrame(texts, "doc_id long, text string"), part_documents=part_documents)
+    got = substring_dedup.drop_passages(spark.createDataFrame(texts, "doc_id long, text string"), part_documents=part_documents, broadcast_spans=broadcast)
     want = brute_passages(texts, 50)
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept") == sorted(((d, *x) for d, x in want.items()), key=repr)
     assert sum(x[1] for x in want.values()) > 2_000
