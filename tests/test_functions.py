@@ -88,6 +88,25 @@ def test_masked_text_has_no_pattern_left(spark):
     assert one(spark, pii.masked(F.lit(masked))) == masked
 
 
+#: Each line holds exactly one kind of hit.
+SINGLE = (
+    ("email", "to jane@x.io"), ("phone", "call 5559876543"), ("ssn", "id 123-45-6789"), ("dob", "born 1.2.1999"), ("label-name", "Name: Jane"), ("label-location", "location – Pune"),
+    ("address", "Hill Road, Pune"), ("profile-url", "linkedin.com/in/janedoe"), ("profile-url", "see github.com/jane"), ("profile-url", "see GitHub.com/jane"),
+)
+
+
+def test_no_line_with_a_hit_is_left_out(spark):
+    docs = spark.createDataFrame(list(enumerate(line for _, line in SINGLE)), "doc_id int, text string")
+    text = F.col("text")
+    rows = docs.select("doc_id", pii.line_hits(text).alias("hits"), pii.masked(text).alias("masked")).collect()
+    scanned = {(r.doc_id, r.value, r.start, r.stop) for r in pii.scan(docs).collect()}
+    for r in rows:
+        assert SINGLE[r.doc_id][0] in {h.kind for h in r.hits}
+        assert {(r.doc_id, h.value, h.start, h.stop) for h in r.hits} <= scanned
+        assert all(set(r.masked[h.start : h.stop]) == {pii.MASK} for h in r.hits)
+    assert pii.kinds(docs).count() == len(SINGLE)
+
+
 def test_label_alone_takes_the_next_line(spark):
     lines = F.array(*map(F.lit, ("Address", "Flat 4, Hill View", "Mumbai, India", "Skills")))
     got = [(h.line, h.kind) for h in one(spark, pii.context_hits(lines))]
