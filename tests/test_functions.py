@@ -107,6 +107,26 @@ def test_no_line_with_a_hit_is_left_out(spark):
     assert pii.kinds(docs).count() == len(SINGLE)
 
 
+def test_all_detectors_are_scanned_and_masked(spark):
+    texts = [
+        "amit kumar\nplain prose without any mark\nj a n e @ x . c o m\nAda Lovelace\n5 5 5 9 8 7 6 5 4 3\nAddress\nHill View\nMumbai, India\nSkills",
+        "\nAddress: Goa\nnear Hill Road\nnothing here",
+        "\U0001f600 j a n e @ x . c o m",
+        "\n" * 30 + "Ada Lovelace",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {(r.id, r.line, r.kind, r.value, r.start, r.stop) for r in pii.scan(docs, "id").collect()}
+    assert {
+        (0, 0, "name", "amit kumar", 0, 10), (0, 2, "email", "j a n e @ x . c o m", 0, 19), (0, 3, "name", "Ada Lovelace", 0, 12), (0, 4, "phone", "5 5 5 9 8 7 6 5 4 3", 0, 19),
+        (0, 6, "address", "Hill View", 0, 9), (0, 6, "name", "Hill View", 0, 9), (0, 7, "address", "Mumbai, India", 0, 13), (1, 1, "address", "Goa", 9, 12), (1, 2, "address", "near Hill Road", 0, 14),
+        (2, 0, "email", "j a n e @ x . c o m", 2, 21),
+    } == got
+    masked = {r.id: r.t for r in docs.select("id", pii.masked(F.col("text")).alias("t")).collect()}
+    assert masked[0].split("\n") == ["█" * 10, "plain prose without any mark", "█" * 19, "█" * 12, "█" * 19, "Address", "█" * 9, "█" * 13, "Skills"]
+    assert masked[1] == "\nAddress: ███\n" + "█" * 14 + "\nnothing here" and masked[2] == "\U0001f600 " + "█" * 19 and masked[3] == texts[3]
+    assert {r.id: r.kinds for r in pii.kinds(docs, "id").collect()} == {0: ["name", "email", "phone", "address"], 1: ["address"], 2: ["email"]}
+
+
 def test_label_alone_takes_the_next_line(spark):
     lines = F.array(*map(F.lit, ("Address", "Flat 4, Hill View", "Mumbai, India", "Skills")))
     got = [(h.line, h.kind) for h in one(spark, pii.context_hits(lines))]
