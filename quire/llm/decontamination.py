@@ -2,7 +2,10 @@
 
 Texts are compared as lower-case letters and digits with single spaces between
 words. A benchmark item is searched for as a whole if it is short, else as
-overlapping segments, so that a passage of it is enough. A segment of m
+overlapping segments of ``SEGMENT`` characters. Besides, every item longer than
+``PIECE`` is cut into pieces so close together that each passage of it of
+``PASSAGE`` characters holds a whole one: whatever its place in the item, such
+a passage is found, with the edits that one of its pieces may have. A segment of m
 characters may be matched with at most k = m * edits / 100 edits. By the q-gram
 lemma such a match keeps at least m + 1 - q (k + 1) of its q-grams, and as an
 edit shifts what follows by one at most, they lie on k + 1 neighbouring
@@ -45,6 +48,9 @@ SEGMENT = 100
 #: Items of up to this many characters are one segment.
 WHOLE = 150
 MIN_CHARS = 20
+#: Characters of the least passage of an item that counts, and of the pieces that find it.
+PASSAGE = 80
+PIECE = 60
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 2_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -88,10 +94,11 @@ def qgrams(code: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Segments of some items and their q-grams."""
+    """Segments of some items and their q-grams; equal segments are looked for once."""
 
     items: np.ndarray  # row of the item of each segment
-    texts: list[np.ndarray]  # code points of each segment
+    copies: list[list[int]]  # segments with each text
+    texts: list[np.ndarray]  # code points of each distinct segment
     sizes: np.ndarray
     budgets: np.ndarray
     bounds: np.ndarray  # q-grams that a match keeps at least
@@ -102,6 +109,11 @@ class Block:
     marked: np.ndarray  # bit for the leading bits of every q-gram
 
 
+def _cuts(length: int, size: int, stride: int) -> list[tuple[int, int]]:
+    """Stretches of one size, one at every stride and one at the end."""
+    return [(s, s + size) for s in [*range(0, length - size, stride), length - size]]
+
+
 def block(texts: list[str], q: int = Q, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Block | None:
     code, cut = normalized(texts)
     segments, items = [], []
@@ -111,12 +123,19 @@ def block(texts: list[str], q: int = Q, edits: int = EDITS, min_chars: int = MIN
             own = own[:-1]
         if len(own) < max(min_chars, q):
             continue
-        starts = [0] if len(own) <= WHOLE else [*range(0, len(own) - SEGMENT, SEGMENT // 2), len(own) - SEGMENT]
-        size = len(own) if len(own) <= WHOLE else SEGMENT
-        segments += [own[s : s + size] for s in starts]
-        items += [i] * len(starts)
+        cuts = [(0, len(own))] if len(own) <= WHOLE else _cuts(len(own), SEGMENT, SEGMENT // 2)
+        if len(own) > PIECE:
+            # size + stride - 1 is at most PASSAGE
+            cuts += _cuts(len(own), PIECE, PASSAGE - PIECE + 1)
+        segments += [own[a:b] for a, b in cuts]
+        items += [i] * len(cuts)
     if not segments:
         return None
+    same: dict[bytes, list[int]] = {}
+    for n, s in enumerate(segments):
+        same.setdefault(s.tobytes(), []).append(n)
+    copies = list(same.values())
+    segments = [segments[c[0]] for c in copies]
     sizes = np.array([len(s) for s in segments], np.int64)
     budgets = np.minimum(sizes * edits // 100, (sizes - q) // q)
     grams = [qgrams(s, q) for s in segments]
@@ -127,7 +146,7 @@ def block(texts: list[str], q: int = Q, edits: int = EDITS, min_chars: int = MIN
     distinct, begin = np.unique(flat[order], return_index=True)
     marked = np.zeros(1 << _FILTER_BITS, bool)
     marked[(distinct >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Block(np.array(items), segments, sizes, budgets, sizes + 1 - q * (budgets + 1), distinct, np.append(begin, len(flat)), owner[order], place[order], marked)
+    return Block(np.array(items), copies, segments, sizes, budgets, sizes + 1 - q * (budgets + 1), distinct, np.append(begin, len(flat)), owner[order], place[order], marked)
 
 
 def _aligned(texts: list[np.ndarray], regions: list[np.ndarray], shifts: np.ndarray, budget: np.ndarray, half: np.ndarray) -> np.ndarray:
@@ -226,7 +245,7 @@ def matches(b: Block, texts: list[str], q: int = Q) -> list[tuple[int, int, int]
         for t, s, e, k in zip(text[part].tolist(), segment[part].tolist(), edits.tolist(), b.budgets[segment[part]].tolist(), strict=True):
             if e <= k and e <= best.get((t, s), k):
                 best[t, s] = e
-    return [(t, s, e) for (t, s), e in best.items()]
+    return [(t, n, e) for (t, s), e in best.items() for n in b.copies[s]]
 
 
 def _blocks(items: DataFrame, chars: int) -> Iterator[tuple[list[int], list[str]]]:

@@ -444,6 +444,22 @@ def test_leaks(spark, sf_dir, documents):
     assert clean == {*documents, *(d for d, _ in rows)} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("length", [85, 120, 150, 300])
+def test_passages_of_an_item_are_found_at_every_offset(length):
+    rng = random.Random(length)
+    words = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(100))
+    item = words[: length - 1] + "q"
+    made, size = decontamination.block([item]), 80
+    texts = [f"0 {item[a : a + size]} 0" for a in range(length - size + 1)]
+    assert {t for t, _, _ in decontamination.matches(made, texts)} == set(range(len(texts)))
+    # a whole item keeps its own budget of edits besides
+    k = min(length, 100) * 6 // 100
+    spread = list(item[:100])
+    for n in range(k):
+        spread[(n * len(spread)) // k + 3] = "0"
+    assert decontamination.matches(made, ["".join(spread) + item[100:]])
+
+
 def test_alignment_counts_edits():
     rng, text = random.Random(8), "".join(random.Random(9).choice("abcdefgh ") for _ in range(100))
 
