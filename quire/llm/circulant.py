@@ -9,8 +9,6 @@ one row of it for each shingle.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 
@@ -59,13 +57,11 @@ def bands(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sets(text: pa.Array, size: int) -> list[np.ndarray]:
+def sets(w: wordhash.Words, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text; a short text is one shingle, one without words none."""
-    w = wordhash.words(text, lower=True)
     whole = wordhash.runs(w.hashes, size)
     out = []
-    for i in range(len(text)):
-        a, b = int(w.cuts[i]), int(w.cuts[i + 1])
+    for a, b in zip(w.cuts[:-1].tolist(), w.cuts[1:].tolist(), strict=True):
         if b - a >= size:
             out.append(np.unique(whole[a : b - size + 1]))
         elif b > a:
@@ -75,5 +71,24 @@ def sets(text: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def digest(shingles: np.ndarray) -> bytes:
-    return hashlib.md5(shingles.tobytes(), usedforsecurity=False).digest()
+def shingles(text: str, size: int) -> set[bytes]:
+    """The shingles of one text as words with spaces between them."""
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def set_sizes(w: wordhash.Words, found: list[np.ndarray], size: int, texts) -> list[int]:
+    """Number of distinct shingles of every text, given its ``sets``.
+
+    The second hashes of the words are put to the same count; where the two
+    differ, which takes a collision, the shingles themselves are counted.
+    """
+    whole = wordhash.runs(w.others, size)
+    out = []
+    for i, s in enumerate(found):
+        a, b = w.of(i).start, w.of(i).stop
+        if b - a > len(s) + size - 1 and len(np.unique(whole[a : b - size + 1])) != len(s):
+            out.append(len(shingles(texts[i].as_py(), size)))
+        else:
+            out.append(len(s))
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.frames import dropped, stored
+from quire.llm.frames import dropped, spread_join, stored
 
 
 def _state(links: DataFrame) -> tuple:
@@ -20,8 +20,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     neighbour of a node, then every smaller one, is linked to the least node
     around instead. Links shrink to stars in a number of rounds that grows with
     the logarithm of the longest path. Every round is written to the shared
-    folder, so lost executors do not cost earlier rounds. No links or labels
-    go to the driver, only their number and a checksum.
+    folder, so lost executors do not cost earlier rounds; a hub with many links
+    is spread. No links or labels go to the driver, only their number and a
+    checksum.
     """
     spark = links.sparkSession
     now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "links")
@@ -30,10 +31,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = now.select(F.col("high").alias("u"), F.col("low").alias("v")).union(now.select(F.col("low").alias("u"), F.col("high").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("high"), F.col("m").alias("low")).where("high <> low").distinct()
-        least = large.groupBy("high").agg(F.min("low").alias("m"))
-        moved = large.join(least, "high")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
+        large = spread_join(both, least, ["u"], "c", F.col("v"), 2 * state[0]).where("v > u").select(F.col("v").alias("high"), F.col("m").alias("low")).where("high <> low").distinct()
+        least = large.groupBy("high").agg(F.min("low").alias("m"), F.count("*").alias("c"))
+        moved = spread_join(large, least, ["high"], "c", F.col("low"), state[0])
         small = moved.select(F.col("low").alias("high"), F.col("m").alias("low")).where("high <> low").union(least.select("high", F.col("m").alias("low"))).distinct()
         after = stored(small, "links")
         dropped(spark, now)

@@ -15,6 +15,11 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 19
 #: Ids that may be broadcast, at some 180 bytes each with Spark's hash map.
 BROADCAST_IDS = 300_000
+#: A key is hot with more than one of so many rows, and more than HOT_ROWS of them.
+HOT_SHARE = 4_096
+HOT_ROWS = 1_000
+#: Rows of a table that need no spreading, whatever their keys.
+FEW_ROWS = 100_000
 #: Rows that go to a worker at once.
 BATCH_ROWS = 1_000
 
@@ -111,8 +116,8 @@ def strings(array: pa.Array) -> list[str]:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for ``name`` below the one that driver and executors share.
 
-    That is ``spark.checkpoint.dir``; only where the session has none, as in
-    local tests, a temporary folder is set.
+    That is ``spark.checkpoint.dir``. Only a session on one machine, as in
+    tests, may do without: it gets a temporary folder.
     """
     base = checkpoint_dir(spark)
     jvm = spark.sparkContext._jvm
@@ -124,6 +129,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not base:
         chosen = spark.sparkContext.getCheckpointDir()
         if not chosen:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
             chosen = spark.sparkContext.getCheckpointDir()
         base = chosen
@@ -141,13 +148,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table made by ``stored``."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``stored``, once nothing reads them any more."""
+    for f in {x.rsplit("/", 1)[0] for df in tables for x in df.inputFiles()}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, by: Column, rows: int) -> DataFrame:
+    """Left join of ``left``, of some ``rows`` rows, with ``right``, which has one row for each key.
+
+    ``weight`` is a column of ``right`` with the number of left rows of the key.
+    A key that holds more than one of ``HOT_SHARE`` rows of ``left`` is hot. As
+    there cannot be more hot keys than that, they are joined by broadcast. Hot
+    rows, and rows without a key, are then dealt out by the hash of ``by`` and
+    match nothing in the join by shuffle that serves the rest. A left side of at
+    most ``FEW_ROWS`` is joined plainly.
+    """
+    if rows <= FEW_ROWS:
+        return left.join(right, keys, "left").select(*left.columns, *[c for c in right.columns if c not in keys])
+    bound = F.lit(float(max(rows / HOT_SHARE, HOT_ROWS)))
+    values = [c for c in right.columns if c not in keys]
+    hot = right.where(F.col(weight) > bound).select(*keys, F.struct(*values).alias("__hot"))
+    marked = left.join(F.broadcast(hot), keys, "left")
+    apart = F.col("__hot").isNotNull() | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    marked = marked.withColumn("__salt", F.when(apart, F.xxhash64(by)).otherwise(F.lit(0)))
+    cold = right.where(F.col(weight) <= bound).select(*keys, F.struct(*values).alias("__cold"), F.lit(0).cast("long").alias("__salt"))
+    joined = marked.join(cold, [*keys, "__salt"], "left")
+    return joined.select(*left.columns, *[F.coalesce(F.col("__hot").getField(v), F.col("__cold").getField(v)).alias(v) for v in values])
+
+
 def only(df: DataFrame, ids: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows of ``df`` whose id is among ``ids`` (one column, id, written already).
 

@@ -1,12 +1,18 @@
 """Hashes of words and of word runs, over whole Arrow batches of texts.
 
-Words are maximal runs of bytes other than space and 0x09 to 0x0D. All work is
-on UTF-8 bytes in numpy; memory beyond the results is bounded by ``PIECE``,
-however long a text is.
+Words are maximal runs of bytes other than space and 0x09 to 0x0D. A word has
+two 64-bit hashes that do not depend on each other: of a word of up to
+``SHORT`` bytes, eight bytes at a time, each mixed into what came before; of a
+longer one, the halves of a cryptographic digest. All work is on UTF-8 bytes in
+numpy; memory beyond the results is bounded by the bytes of the batch.
+
+Hashes find what may be equal. Where equality decides (a link, a removal), the
+words themselves are compared.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +23,10 @@ import pyarrow.compute as pc
 PIECE = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x5851F42D4C957F2D
+#: Bytes of the longest word that is hashed in numpy.
+SHORT = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -56,6 +66,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Words:
     hashes: np.ndarray  # uint64, all texts one after another
+    others: np.ndarray  # second hash of each word
     cuts: np.ndarray  # where each text's words begin; one more than texts
     begins: np.ndarray  # places in ``data``
     ends: np.ndarray
@@ -76,8 +87,10 @@ def bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(text: pa.Array, lower: bool = False) -> Words:
-    """Words of every text; with ``lower`` A to Z are hashed as a to z."""
+    """Words of every text; with ``lower`` A to Z count as a to z, and stand so in ``data``."""
     data, offsets = bytes_of(text)
+    if lower:
+        data = LOWER[data]
     inside = ~SEPARATOR[data]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -87,7 +100,27 @@ def words(text: pa.Array, lower: bool = False) -> Words:
     opens[edge] = inside[edge]
     closes[edge - 1] = inside[edge - 1]
     begins, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return Words(spans(data, begins, ends, BYTES[lower]), np.searchsorted(begins, offsets), begins, ends, data)
+    return Words(*hashed(data, begins, ends), np.searchsorted(begins, offsets), begins, ends, data)
+
+
+def hashed(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each span of ``data``."""
+    size = ends - begins
+    first, second = size.astype(np.uint64) * _A, mixed(size.astype(np.uint64) + _B)
+    raw = np.append(data, np.zeros(8, np.uint8)).tobytes()
+    eight = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    live, step = np.flatnonzero(size <= SHORT), 0
+    while live.size:
+        left = size[live] - step
+        part = eight[begins[live] + step] & _MASKS[np.minimum(left, 8)]
+        first[live] = mixed(first[live] ^ part)
+        second[live] = mixed(second[live] * _A + (part ^ (part >> np.uint64(29))) * _B)
+        step += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        found = hashlib.blake2b(raw[begins[i] : ends[i]], digest_size=16).digest()
+        first[i], second[i] = np.frombuffer(found, np.uint64)
+    return first, second
 
 
 def spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from quire.llm import bpe_codec, decontamination, frames, jpeg, language_id, line_dedup, lm_scores, media, near_duplicates, queries, rans, substring_dedup, token_counts, token_files
+from quire.llm import bpe_codec, circulant, decontamination, frames, jpeg, language_id, line_dedup, lm_scores, media, near_duplicates, queries, rans, substring_dedup, token_counts, token_files
 from quire.llm.frames import pick
 
 WORD = open(public_tokenizers.path("word_bpe_49k.json")).read()
@@ -272,6 +272,72 @@ def test_frequencies_add_up():
 # near-duplicates
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_spread_join(spark, monkeypatch, few):
+    monkeypatch.setattr(frames, "FEW_ROWS", few)
+    monkeypatch.setattr(frames, "HOT_ROWS", 10)
+    left = [(i, None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 40}") for i in range(300)]
+    weights = Counter(k for _, k in left if k)
+    right = [(k, n, k.upper()) for k, n in weights.items() if k != "k9"] + [("unused", 1, "UNUSED")]
+    got = frames.spread_join(spark.createDataFrame(left, "id long, k string"), spark.createDataFrame(right, "k string, c long, name string"), ["k"], "c", frames.F.col("id"), len(left))
+    known = {k: (n, name) for k, n, name in right}
+    assert rows_of(got, "id", "k", "c", "name") == sorted(((i, k, *known.get(k, (None, None))) for i, k in left), key=repr)
+
+
+#: Two words of 1,024 letters that no polynomial modulo a power of two tells apart.
+TWINS = tuple("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1_024)) for k in (0, 1))
+
+
+def test_words_of_equal_polynomials_differ():
+    from quire.llm import wordhash
+
+    w = wordhash.words(pa.array([*TWINS, "a" * 8, "a" * 9, "a" * 16, "a" * 64, "a" * 65, "A" * 8]))
+    assert len(set(w.hashes.tolist())) == len(set(w.others.tolist())) == 8
+    low = wordhash.words(pa.array(["AbC" * 9, "aBc" * 9, "É"]), lower=True)
+    assert low.hashes[0] == low.hashes[1] and low.others[0] == low.others[1]
+    texts = random_texts(3_000, 11)
+    w = wordhash.words(pa.array(texts))
+    words = [x for t in texts for x in re.findall(rb"[^\x20\x09-\x0D]+", t.encode())]
+    assert len(words) == len(w.hashes) and len(set(words)) == len(set(w.hashes.tolist())) == len(set(w.others.tolist()))
+    assert len(set(zip(words, w.hashes.tolist(), w.others.tolist(), strict=True))) == len(set(words))
+
+
+def test_twin_words_are_not_copies(spark):
+    texts = [(1, TWINS[0]), (2, TWINS[1]), (3, TWINS[0].upper()), (4, f"{TWINS[0]} x y z"), (5, f"{TWINS[1]} x y z")]
+    got = near_duplicates.similar_components(spark.createDataFrame(texts, "doc_id long, text string"), size=4)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted((d, *x) for d, x in brute_components(texts, 4).items())
+
+
+def test_a_collision_makes_no_link(spark, monkeypatch):
+    """With all words hashed alike, links still need equal words."""
+    from quire.llm import wordhash
+
+    w = wordhash.words(pa.array(["a b c d e", "f g h i j", "a b c d e"]), lower=True)
+    same = [np.zeros(1, np.uint64)] * 3
+    index = near_duplicates.Index([1, 2], [1, 2], same[:2], ["a b c d e", "f g h i j"], 4)
+    assert index.linked("f g h i j", same[0], 3, 80, 100) == [2]
+    assert index.linked("k l m n o", same[0], 3, 80, 100) == []
+    monkeypatch.setattr(wordhash, "runs", lambda hashes, size: np.zeros(max(0, len(hashes) - size + 1), np.uint64))
+    assert len(circulant.sets(w, 4)[0]) == 1
+
+
+def test_recall_of_bands():
+    """Pairs of sets at 0.8 or just above, of all sizes: none may be missed by all bands."""
+    rng = np.random.default_rng(12)
+    missed = pairs = 0
+    for n in (5, 9, 20, 45, 100, 300, 900, 2_000):
+        for _ in range(150):
+            both = math.ceil(0.8 * n)
+            values = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
+            own = int(rng.integers(both, n + 1))
+            a, b = np.sort(values[:own]), np.sort(np.append(values[:both], values[own:n]))
+            assert 100 * both >= 80 * (len(a) + len(b) - both)
+            keys = circulant.bands(np.array([circulant.signature(a), circulant.signature(b)]))
+            pairs += 1
+            missed += not (keys[0] == keys[1]).any()
+    assert pairs > 1_000 and missed == 0
+
+
 def brute_components(texts, size, share=80, whole=100):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
