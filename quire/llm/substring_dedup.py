@@ -4,26 +4,35 @@ A window is ``WINDOW`` consecutive words of a document. A word goes if a window
 over it also starts in a document with a smaller id, judged on the input.
 
 Reference blocks. Every window has an anchor: the least hash of the runs of
-half its length inside it. Equal windows have equal anchors, so the windows of
-one anchor make a block that can be parsed by itself, and only anchors of
-several documents need one. Within a block, documents come in order of their
-ids. Each is factored greedily against the block: a factor begins at a window
-that the block has from an earlier document and runs on while the windows that
-follow are there too; where a factor ends, the next window is looked up anew.
-What the block did not have is then added to it. A factor of r windows covers
-r + WINDOW - 1 words. Factors of neighbouring anchors meet or overlap, and
-their union is what goes.
+half its length inside it. Equal windows have equal anchors, so the stretches of
+text whose windows have one anchor make a block that is complete for them, and
+only anchors of several documents need one. A block is the words of its
+stretches in order of document ids, with an index: chains from the hash of a
+window to its positions.
+
+Parsing. In each block every stretch is factored greedily. Where a window is
+found in the block, compared word by word, the copy is carried on for as long as
+the words agree, within one stretch of the reference: a factor (position in the
+block, place in the stretch, words). A factor of n words covers n - WINDOW + 1
+windows; the first window beyond them, which lies over the factor's end, is
+looked up anew, so no window across a boundary is missed. Windows that no factor
+covers are added to the index once the document is done, each at its first
+position; where another occurrence would carry a copy further, that shows as a
+factor of its own. Factors of neighbouring anchors meet or overlap, and their
+union is what goes.
 
 Documents of the same words form a class. Only the one with the smallest id is
-parsed; the others, if a window long, go whole. Blocks of anchors that very
-many documents share are dealt into parts by the hash of the window, so that
-none grows beyond a set number of windows; parts need no order but that of
-documents. Windows are known by two 64-bit hashes, the anchor's and their own.
-
-Null, empty and blank texts have 0 words and stay empty. A row without an id
-keeps all its words and is no reference for others. Rows of one id are not
-references for each other. An empty table gives an empty result. Other columns
-of the input are ignored, whatever their names.
+parsed; the others, if a window long, go whole. Anchors that more than
+``BLOCK_DOCUMENTS`` documents share would make blocks without bound. Their
+windows are blocks of one window each, known by a cryptographic digest of its
+words: the smallest id of each is summed map-side, and a factor is a window that
+a smaller id has.
+
+Null, empty and blank texts have 0 words and stay empty. A text may be of any
+length that a row can hold. A row without an id keeps all its words and is no
+reference for others. Rows of one id are not references for each other, so
+repeated rows lose nothing to each other. An empty table gives an empty result.
+Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,25 +46,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import wordhash
-from quire.llm.frames import map_arrow, map_text, only, pick, slices, stored
+from quire.llm.frames import map_arrow, map_text, only, pick, slices, spread_join, stored, strings
 
 WINDOW = 50
-#: Documents of an anchor for each part of its block.
-PART_DOCUMENTS = 20_000
+#: Documents of the largest block.
+BLOCK_DOCUMENTS = 1_000
 
 
-def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor and hash of every window of the words ``hashes``."""
+def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Anchor of every window of the words ``hashes``."""
     half = window // 2
-    return wordhash.lowest(wordhash.runs(hashes, half), window - half + 1), wordhash.runs(hashes, window)
+    return wordhash.lowest(wordhash.runs(hashes, half), window - half + 1)
 
 
-def digest(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.md5(hashes.tobytes(), usedforsecurity=False).digest()[:8], "little", signed=True)
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def halves(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
 def profiles(docs: DataFrame, window: int) -> DataFrame:
-    """id, n_words, digest and distinct anchors of every row of ``docs`` (id, text)."""
+    """id, n_words, d1, d2 (digest of the words) and distinct anchors of every row of ``docs`` (id, text)."""
 
     def make():
         def work(text: pa.Array) -> list:
@@ -63,22 +76,22 @@ def profiles(docs: DataFrame, window: int) -> DataFrame:
             found = []
             for i in range(len(text)):
                 own = w.hashes[w.of(i)]
-                found.append(np.unique(anchors(own, window)[0]).view(np.int64) if len(own) >= window else np.zeros(0, np.int64))
-            sizes = np.diff(w.cuts)
+                found.append(np.unique(anchors(own, window)).view(np.int64) if len(own) >= window else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in found])), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            return [sizes, [digest(w.hashes[w.of(i)]) for i in range(len(text))], lists]
+            names = halves([digest(t.encode().split()) for t in strings(text)])
+            return [np.diff(w.cuts), names[:, 0], names[:, 1], lists]
 
         return work
 
-    return map_text(docs, "text", ["id"], "n_words long, digest long, anchors array<long>", make)
+    return map_text(docs, "text", ["id"], "n_words long, d1 long, d2 long, anchors array<long>", make)
 
 
-def occurrences(docs: DataFrame, window: int) -> DataFrame:
-    """Rows anchor, part, id, digest, first, windows of ``docs`` (id, text, shared: anchors with their parts).
+def stretches(docs: DataFrame, window: int) -> DataFrame:
+    """Stretches of ``docs`` (id, text, shared: anchors, and whether each is hot) whose windows have one shared anchor.
 
-    Each row has consecutive windows of one anchor from word ``first`` on, as
-    64-bit hashes. For an anchor of several parts the windows of each part are
-    in a row of their own, with their places before them.
+    Columns: id, d1, d2, first (word), anchor, and words, joined by spaces. For
+    a hot anchor words is null, and hot has both halves of the digest of each
+    window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,120 +100,159 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
                 piece = batch.slice(a, b - a)
                 w = wordhash.words(piece.column(1))
                 rows: list[tuple] = []
-                for i, (one, shared) in enumerate(zip(piece.column(0).to_pylist(), piece.column(2), strict=True)):
+                for i, (one, text, shared) in enumerate(zip(piece.column(0).to_pylist(), strings(piece.column(1)), piece.column(2), strict=True)):
                     own = w.hashes[w.of(i)]
                     if len(own) < window:
                         continue
+                    words = text.encode().split()
                     shared = shared.values
                     known = shared.field("anchor").to_numpy(zero_copy_only=False).view(np.uint64)
-                    parts = shared.field("parts").to_numpy(zero_copy_only=False)
+                    hot = shared.field("hot").to_numpy(zero_copy_only=False)
                     order = np.argsort(known)
-                    known, parts = known[order], parts[order]
-                    anchor, whole = anchors(own, window)
+                    known, hot = known[order], hot[order]
+                    anchor = anchors(own, window)
                     at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
                     inside = known[at] == anchor
                     edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-                    name = digest(own)
+                    d1, d2 = halves([digest(words)])[0].tolist()
                     for first, last in zip(edge.tolist(), [*edge[1:].tolist(), len(anchor)], strict=True):
                         if not inside[first]:
                             continue
-                        key, n = int(anchor[first : first + 1].view(np.int64)[0]), int(parts[at[first]])
-                        if n == 1:
-                            rows.append((key, 0, one, name, first, whole[first:last].tobytes()))
-                            continue
-                        dealt = whole[first:last] % np.uint64(n)
-                        for p in np.unique(dealt).tolist():
-                            places = np.flatnonzero(dealt == p)
-                            rows.append((key, 1 + p, one, name, first, np.concatenate([places.astype(np.uint64), whole[first:last][places]]).tobytes()))
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["anchor", "part", "id", "digest", "first", "windows"])
+                        key = int(anchor[first : first + 1].view(np.int64)[0])
+                        if hot[at[first]]:
+                            made = halves([digest(words[p : p + window]) for p in range(first, last)])
+                            rows.append((one, d1, d2, first, key, None, [{"w1": x, "w2": y} for x, y in made.tolist()]))
+                        else:
+                            rows.append((one, d1, d2, first, key, b" ".join(words[first : last + window - 1]), None))
+                columns = list(zip(*rows, strict=True)) or [[]] * 7
+                kinds = (*[pa.int64()] * 5, pa.binary(), pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "d1", "d2", "first", "anchor", "words", "hot"])
 
-    return map_arrow(docs.select("id", "text", "shared"), run, "anchor long, part int, id long, digest long, first long, windows binary")
+    return map_arrow(docs.select("id", "text", "shared"), run, "id long, d1 long, d2 long, first long, anchor long, words binary, hot array<struct<w1: long, w2: long>>")
 
 
 class ReferenceBlock:
-    """Windows of one anchor met so far, each with the smallest id that has it."""
-
-    def __init__(self):
-        self.first: dict[int, int] = {}
-
-    def factors(self, one: int, windows: list[int], places: list[int]) -> list[tuple[int, int]]:
-        """Places of the first and behind the last window of each factor of document ``one``; then adds its windows.
-
-        Documents come in ascending order, so an entry of another document is of an earlier one.
+    """Words of one anchor's stretches met so far, and the positions of their windows."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.words: list[bytes | None] = []
+        self.chains: dict[int, list[int]] = {}
+        self.waiting: list[tuple[list[bytes], list[int], list[int]]] = []  # of the document being parsed
+        self.document: int | None = None
+
+    def find(self, key: int, words: list[bytes]) -> int | None:
+        """Position of a window of the block, of the hash ``key``, with the words given."""
+        for place in self.chains.get(key, ()):
+            if self.words[place : place + self.window] == words:
+                return place
+        return None
+
+    def add(self, words: list[bytes], keys: list[int], new: list[int]) -> None:
+        """Puts a stretch at the end of the block and its windows at the places ``new`` into the index."""
+        base = len(self.words)
+        self.words += [*words, None]  # no copy runs over the end of a stretch
+        for at in new:
+            if self.find(keys[at], words[at : at + self.window]) is None:
+                self.chains.setdefault(keys[at], []).append(base + at)
+
+    def factors(self, document: int, words: list[bytes], keys: list[int]) -> list[tuple[int, int, int]]:
+        """Position in the block, place in the stretch and number of words of each factor.
+
+        Documents come in ascending order; one is added when the next begins,
+        so all that the block holds is of earlier ones.
         """
-        known, out, begin, end = self.first, [], -1, -1
-        for place, window in zip(places, windows, strict=True):
-            if known.setdefault(window, one) == one:
+        if document != self.document:
+            for stretch in self.waiting:
+                self.add(*stretch)
+            self.document, self.waiting = document, []
+        out, new, at = [], [], 0
+        while at < len(keys):
+            place = self.find(keys[at], words[at : at + self.window])
+            if place is None:
+                new.append(at)
+                at += 1
                 continue
-            if place == end:  # the factor runs on
-                end += 1
-                continue
-            if begin >= 0:
-                out.append((begin, end))
-            begin, end = place, place + 1
-        if begin >= 0:
-            out.append((begin, end))
+            n = self.window
+            while at + n < len(words) and self.words[place + n] == words[at + n]:
+                n += 1
+            out.append((place, at, n))
+            at += n - self.window + 1
+        if new:
+            self.waiting.append((words, keys, new))
         return out
 
 
+SPANS = "id long, d1 long, d2 long, start long, stop long"
+
+
 def factored(rows: DataFrame, window: int) -> DataFrame:
-    """id, digest, start, stop: words covered by factors of the ``occurrences``."""
+    """id, d1, d2, start, stop: words covered by factors of the ``stretches`` of anchors that are not hot."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "id", "first")
+    dealt = rows.where("words is not null").select("anchor", "id", "d1", "d2", "first", "words").repartition(n, "anchor").sortWithinPartitions("anchor", "id", "d1", "d2", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block = None, ReferenceBlock()
+        key, block = None, ReferenceBlock(window)
         for batch in batches:
             found: list[tuple] = []
-            for anchor, part, one, name, first, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (anchor, part) != key:
-                    key, block = (anchor, part), ReferenceBlock()
-                windows = np.frombuffer(raw, np.uint64).tolist()
-                if part:
-                    half = len(windows) // 2
-                    places, windows = windows[:half], windows[half:]
-                else:
-                    places = range(len(windows))
-                found += [(one, name, first + a, first + b + window - 1) for a, b in block.factors(one, windows, places)]
-            columns = list(zip(*found, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "digest", "start", "stop"])
-
-    return map_arrow(dealt, run, "id long, digest long, start long, stop long")
-
-
-def spans(docs: DataFrame, window: int, part_documents: int) -> DataFrame:
-    """id, spans (digest, start, stop) for each document of ``docs`` (id, text) that loses words; stop -1 for all words."""
-    rows = stored(profiles(docs, window), "profiles").where(F.col("id").isNotNull() & (F.col("n_words") >= window))
-    classes = rows.groupBy("digest", "n_words").agg(F.min("id").alias("rep"))
-    copies = rows.select("id", "digest", "n_words").join(classes, ["digest", "n_words"]).where("id > rep").select("id", "digest", F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("stop")).distinct()
-    own = rows.join(classes.withColumnRenamed("rep", "id"), ["digest", "n_words", "id"], "left_semi").dropDuplicates(["digest", "n_words"])
-    keyed = own.select("id", F.explode("anchors").alias("anchor"))
-    shared = keyed.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", F.ceil(F.col("c") / part_documents).cast("int").alias("parts"))
-    lists = stored(keyed.join(shared, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "parts")).alias("shared")), "shared")
-    found = factored(occurrences(only(docs, lists.select("id")).join(lists.hint("shuffle_hash"), "id"), window), window)
-    return found.union(copies).groupBy("id").agg(F.collect_list(F.struct("digest", "start", "stop")).alias("spans"))
+            w = wordhash.words(batch.column(5))
+            for i, (anchor, one, d1, d2, first, raw) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if anchor != key:
+                    key, block = anchor, ReferenceBlock(window)
+                keys = wordhash.runs(w.hashes[w.of(i)], window).tolist()
+                found += [(one, d1, d2, first + at, first + at + n) for _, at, n in block.factors(one, raw.split(), keys)]
+            columns = list(zip(*found, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "d1", "d2", "start", "stop"])
+
+    return map_arrow(dealt, run, SPANS)
 
 
-def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, part_documents: int = PART_DOCUMENTS) -> DataFrame:
+def hot_windows(rows: DataFrame, window: int) -> DataFrame:
+    """id, d1, d2, start, stop: windows of hot anchors that a document with a smaller id has."""
+    each = rows.where("hot is not null").select("id", "d1", "d2", "first", F.posexplode("hot").alias("k", "w")).select("id", "d1", "d2", (F.col("first") + F.col("k")).alias("start"), "w.w1", "w.w2")
+    each = stored(each, "hot-windows")
+    least = each.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("c")).where("least < most").select("w1", "w2", "least", "c")
+    found = spread_join(each, least, ["w1", "w2"], "c", F.xxhash64("id", "start"), each.count()).where("id > least")
+    return found.select("id", "d1", "d2", "start", (F.col("start") + window).alias("stop"))
+
+
+def spans(docs: DataFrame, window: int, block_documents: int) -> DataFrame:
+    """id, spans (d1, d2, start, stop) for each document of ``docs`` (id, text) that loses words; stop -1 for all words."""
+    rows = stored(profiles(docs, window), "profiles").where(F.col("id").isNotNull() & (F.col("n_words") >= window))
+    classes = rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
+    several = classes.where("c > 1")
+    copies = spread_join(rows.select("id", "d1", "d2"), several, ["d1", "d2"], "c", F.col("id"), rows.count()).where("id > rep").select("id", "d1", "d2", F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("stop")).distinct()
+    # the key holds the id, so copies of one text do not meet
+    own = rows.join(classes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi").dropDuplicates(["d1", "d2", "id"])
+    keyed = own.select("id", F.explode("anchors").alias("anchor"))
+    shared = keyed.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+    marked = spread_join(keyed, shared, ["anchor"], "c", F.col("id"), 10 * rows.count()).where("c > 1")
+    lists = stored(marked.groupBy("id").agg(F.collect_list(F.struct("anchor", (F.col("c") > block_documents).alias("hot"))).alias("shared"), F.max("c").alias("most")), "shared")
+    made = stretches(only(docs, lists.select("id")).join(lists.select("id", "shared").hint("shuffle_hash"), "id"), window)
+    found = factored(made, window)
+    if lists.where(F.col("most") > block_documents).limit(1).count():
+        busy = lists.where(F.col("most") > block_documents).select("id", F.filter("shared", lambda x: x["hot"]).alias("shared"))
+        found = found.union(hot_windows(stretches(only(docs, busy.select("id")).join(busy.hint("shuffle_hash"), "id"), window), window))
+    return found.union(copies).groupBy("id").agg(F.collect_list(F.struct("d1", "d2", "start", "stop")).alias("spans"))
+
+
+def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
     """id, n_words, n_removed, removed (spans of words) and kept (words left, joined by spaces) of every row of ``df``."""
     docs = pick(df, {"id": id_col, "text": text_col})
-    joined = docs.join(stored(spans(docs, window, part_documents), "spans").hint("shuffle_hash"), "id", "left")
+    joined = docs.join(stored(spans(docs, window, block_documents), "spans").hint("shuffle_hash"), "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 piece = batch.slice(a, b - a)
-                texts = [(t or "").encode() for t in piece.column(1).to_pylist()]
                 total, gone, removed, kept = [], [], [], []
-                for i, (text, found) in enumerate(zip(texts, piece.column(2).to_pylist(), strict=True)):
-                    words = text.split()
+                for text, found in zip(strings(piece.column(1)), piece.column(2).to_pylist(), strict=True):
+                    words = text.encode().split()
                     total.append(len(words))
                     ranges: list[tuple[int, int]] = []
                     if found:
-                        name = digest(wordhash.words(piece.column(1).slice(i, 1)).hashes)
-                        for s in sorted((f["start"], len(words) if f["stop"] < 0 else f["stop"]) for f in found if f["digest"] == name):
+                        d1, d2 = halves([digest(words)])[0].tolist()
+                        for s in sorted((f["start"], len(words) if f["stop"] < 0 else f["stop"]) for f in found if f["d1"] == d1 and f["d2"] == d2):
                             if ranges and s[0] <= ranges[-1][1]:
                                 ranges[-1] = ranges[-1][0], max(ranges[-1][1], s[1])
                             else:

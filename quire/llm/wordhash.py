@@ -78,7 +78,7 @@ class Words:
 
 def bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and where each begins; null as empty."""
-    text = pc.fill_null(text, "")
+    text = pc.fill_null(text, b"" if pa.types.is_binary(text.type) else "")
     kind = np.int64 if pa.types.is_large_string(text.type) else np.int32
     offsets = np.frombuffer(text.buffers()[1], kind)[text.offset : text.offset + len(text) + 1].astype(np.int64)
     raw = text.buffers()[2]

@@ -447,9 +447,11 @@ def brute_passages(texts, window):
     return out
 
 
-@pytest.mark.parametrize("part_documents, broadcast", [(3, 0), (20_000, 1_000_000)])
-def test_passages(spark, documents, monkeypatch, part_documents, broadcast):
+@pytest.mark.parametrize("block_documents, broadcast", [(3, 0), (20_000, 1_000_000)])
+def test_passages(spark, documents, monkeypatch, block_documents, broadcast):
     monkeypatch.setattr(frames, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(frames, "FEW_ROWS", broadcast)
+    monkeypatch.setattr(frames, "HOT_ROWS", block_documents)
     rng = random.Random(6)
     passages = [t.split(" ")[5:] for t in documents.values() if len(t.split(" ")) > 150][:6]
     texts = list(documents.items())[:60] + [(10_000 + i, t) for i, t in enumerate(list(documents.values())[:10])]
@@ -459,13 +461,32 @@ def test_passages(spark, documents, monkeypatch, part_documents, broadcast):
         cut = p[a : a + rng.randint(45, 100)]
         texts.append((d, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 70))), *cut, *(["same"] * rng.randint(0, 120)), *rng.choice(passages)[:52]])))
     texts += [(30_000 + i, t or "") for i, t in enumerate(BLANK)]
-    got = substring_dedup.drop_passages(spark.createDataFrame(texts, "doc_id long, text string"), part_documents=part_documents)
+    got = substring_dedup.drop_passages(spark.createDataFrame(texts, "doc_id long, text string"), block_documents=block_documents)
     want = brute_passages(texts, 50)
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept") == sorted(((d, *x) for d, x in want.items()), key=repr)
     assert sum(x[1] for x in want.values()) > 2_000
     assert all(r.n_removed == sum(s.stop - s.start for s in r.removed) for r in got.collect())
 
 
+def test_a_twin_word_keeps_a_passage(spark):
+    """Passages of 50 words that differ in one of two words with equal polynomials."""
+    rest = " ".join(f"w{i}" for i in range(49))
+    texts = [(1, f"{TWINS[0]} {rest}"), (2, f"{TWINS[1]} {rest}"), (3, f"x {TWINS[1]} {rest} y")]
+    got = substring_dedup.drop_passages(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept") == sorted((d, *x) for d, x in brute_passages(texts, 50).items())
+
+
+def test_factors_are_compared_by_words():
+    """All windows hash alike: only equal words make a factor, at the place where they stand."""
+    block = substring_dedup.ReferenceBlock(3)
+    parse = lambda d, text: block.factors(d, text.encode().split(), [0] * (len(text.split()) - 2))
+    assert parse(1, "a b c d e") == [] and parse(1, "a b c") == []
+    assert parse(2, "x b c d e y") == [(1, 1, 4)]
+    assert parse(3, "q a b c d y") == [(0, 1, 4)]
+    # over the end of one factor the next window is looked up anew
+    assert parse(4, "b c d y d e y") == [(1, 0, 3), (20, 1, 3), (13, 4, 3)]
+
+
 def test_passages_of_awkward_rows(spark, awkward, empty):
     got = substring_dedup.drop_passages(awkward)
     want = brute_passages({d: t for d, t in texts_of(awkward) if d is not None}.items(), 50)
