@@ -4,8 +4,9 @@
 one 8 x 8 block for each unit, its bytes as quantized coefficients in scan
 order (the first, less 128, is the DC coefficient). Entropy coding loses
 nothing, so the bytes can be read back. ``unpack`` parses the markers of such
-files, decodes their Huffman scans and returns the coefficients; the DC
-coefficients alone give a luminance thumbnail of one pixel a block.
+or any other baseline files, of one component or several, decodes their Huffman
+scans and returns the coefficients of the luminance; its DC coefficients alone
+give a thumbnail of one pixel a block.
 
 Restart intervals of a few blocks make short runs of code that do not depend
 on each other; numpy decodes all runs of a batch in step.
@@ -33,7 +34,7 @@ RARE = 13
 
 
 class Damaged(ValueError):
-    """A file that is not a whole baseline JPEG of one component."""
+    """A file that is not a whole baseline JPEG."""
 
 
 def _canonical(lengths: dict[int, int]) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
@@ -171,31 +172,60 @@ def pack(payloads: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Image:
+    """A baseline image up to the scan that holds its first component, the luminance."""
+
     width: int
     height: int
     comment: bytes
-    steps: np.ndarray  # 64 quantization steps in scan order
-    restart: int
-    dc: bytes  # Huffman tables as in their segments
-    ac: bytes
+    steps: np.ndarray  # 64 quantization steps of the luminance in scan order
+    restart: int  # units of a restart interval, 0 for one interval
+    tables: tuple[tuple[bytes, bytes], ...]  # DC and AC Huffman tables of each component of the scan, as in their segments
+    pattern: tuple[int, ...]  # component of each block of a unit
+    lead: int  # the luminance among the components of the scan
+    shape: tuple[int, int]  # blocks of luminance in a unit, across and down
+    most: tuple[int, int]  # the same of the component with most
+    own: tuple[int, int]  # sampling factors of the luminance
     scan: bytes
 
     @property
     def blocks(self) -> tuple[int, int]:
-        return -(-self.width // 8), -(-self.height // 8)
+        """Blocks of luminance across and down, without those that fill up units."""
+        return tuple(-(-(-(-size * own // most)) // 8) for size, own, most in zip((self.width, self.height), self.own, self.most, strict=True))
+
+    @property
+    def units(self) -> tuple[int, int]:
+        """Units of the scan across and down: single blocks in a scan of one component."""
+        if len(self.tables) == 1:
+            return self.blocks
+        return -(-self.width // (8 * self.most[0])), -(-self.height // (8 * self.most[1]))
+
+
+def _scan_end(file: bytes, at: int) -> int:
+    """Place of the first marker after the entropy-coded bytes that begin at ``at``."""
+    while (at := file.find(b"\xff", at)) >= 0 and at + 1 < len(file):
+        if file[at + 1] not in (0, 0xFF, *range(0xD0, 0xD8)):
+            return at
+        at += 1 if file[at + 1] == 0xFF else 2
+    raise Damaged("the image has no end")
 
 
 def parse(file: bytes) -> Image:
-    """Markers of a baseline JPEG of one component, up to its scan."""
+    """Markers of a baseline JPEG up to the scan of its luminance.
+
+    Components may be one or several, sampled alike or not, in one scan or in
+    a scan each. Progressive, lossless and arithmetic images are refused.
+    """
     if file[:2] != b"\xff\xd8":
         raise Damaged("no image begins here")
-    at, found, comment, restart = 2, {}, b"", 0
+    at, found, comment, restart, frame = 2, {}, b"", 0, None
     while True:
+        while file[at : at + 2] == b"\xff\xff":
+            at += 1
         if at + 4 > len(file) or file[at] != 0xFF:
             raise Damaged("a marker is missing")
         marker, size = file[at + 1], int.from_bytes(file[at + 2 : at + 4], "big")
         content = file[at + 4 : at + 2 + size]
-        if len(content) != size - 2:
+        if marker == 0xD9 or len(content) != size - 2:
             raise Damaged("a segment is cut short")
         at += 2 + size
         if marker == 0xFE:
@@ -208,10 +238,12 @@ def parse(file: bytes) -> Image:
                 found["steps", content[0] & 15] = np.frombuffer(content[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.int64)
                 content = content[65 + 64 * wide :]
         elif marker == 0xC0:
-            depth, height, width, components = struct.unpack(">BHHB", content[:6])
-            if depth != 8 or components != 1:
-                raise Damaged("not of one 8-bit component")
-            found["frame"] = width, height, content[8]
+            if len(content) < 9 or len(content) != 6 + 3 * content[5] or content[0] != 8:
+                raise Damaged("not a frame of 8-bit components")
+            height, width = struct.unpack(">HH", content[1:5])
+            frame = [(content[i], content[i + 1] >> 4, content[i + 1] & 15, content[i + 2]) for i in range(6, len(content), 3)]
+            if not (width and height and all(h and v for _, h, v, _ in frame)):
+                raise Damaged("an image without extent")
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise Damaged("not a baseline image")
         elif marker == 0xC4:
@@ -220,8 +252,21 @@ def parse(file: bytes) -> Image:
                 found["huffman", content[0]] = content[1:n]
                 content = content[n:]
         elif marker == 0xDA:
-            width, height, steps = found["frame"]
-            return Image(width, height, comment, found["steps", steps], restart, found["huffman", content[2] >> 4], found["huffman", 0x10 | content[2] & 15], file[at:])
+            if frame is None:
+                raise Damaged("a scan before its frame")
+            named = {c: (h, v) for c, h, v, _ in frame}
+            parts = [(content[i], content[i + 1]) for i in range(1, 1 + 2 * content[0], 2)]
+            order = [c for c, _ in parts]
+            if frame[0][0] not in order:
+                at = _scan_end(file, at)
+                continue
+            alone = len(parts) == 1
+            shapes = [(1, 1) if alone else named[c] for c in order]
+            pattern = tuple(i for i, (h, v) in enumerate(shapes) for _ in range(h * v))
+            tables = tuple((found["huffman", t >> 4], found["huffman", 0x10 | t & 15]) for _, t in parts)
+            most = max(h for _, h, _, _ in frame), max(v for _, _, v, _ in frame)
+            lead = order.index(frame[0][0])
+            return Image(width, height, comment, found["steps", frame[0][3]], restart, tables, pattern, lead, shapes[lead], most, frame[0][1:3], file[at:])
 
 
 def _lookup(table: bytes) -> np.ndarray:
@@ -257,19 +302,19 @@ def _runs(scan: bytes) -> tuple[np.ndarray, list[int], list[int]]:
 
 
 def coefficients(images: list[Image]) -> list[np.ndarray]:
-    """Quantized coefficients of each image: blocks x 64 in scan order."""
+    """Quantized coefficients of each image's luminance: blocks x 64 in scan order, blocks by rows."""
     out: list[np.ndarray] = [np.zeros((0, UNIT), np.int64)] * len(images)
-    alike: dict[tuple[bytes, bytes], list[int]] = {}
+    alike: dict[tuple, list[int]] = {}
     for i, image in enumerate(images):
-        alike.setdefault((image.dc, image.ac), []).append(i)
-    for (dc, ac), members in alike.items():
+        alike.setdefault((image.tables, image.pattern), []).append(i)
+    for (tables, pattern), members in alike.items():
         parts, begin, end, blocks, first, offset, row = [], [], [], [], [], 0, 0
         rows = []
         for i in members:
             data, b, e = _runs(images[i].scan)
-            across, down = images[i].blocks
-            n = across * down
-            each = images[i].restart or n
+            across, down = images[i].units
+            n = across * down * len(pattern)
+            each = images[i].restart * len(pattern) or n
             if len(b) != -(-n // each):
                 raise Damaged("restart intervals are missing")
             parts.append(data)
@@ -279,22 +324,34 @@ def coefficients(images: list[Image]) -> list[np.ndarray]:
             first += [row + each * j for j in range(len(b))]
             rows.append((row, row + n))
             offset, row = offset + len(data), row + n
-        made = _decode(np.concatenate([*parts, np.zeros(8, np.uint8)]), *(np.array(x, np.int64) for x in (begin, end, blocks, first)), row, _lookup(dc), _lookup(ac))
+        made = _decode(np.concatenate([*parts, np.zeros(8, np.uint8)]), *(np.array(x, np.int64) for x in (begin, end, blocks, first)), row, tables, pattern)
         for i, (a, b) in zip(members, rows, strict=True):
-            out[i] = made[a:b]
+            out[i] = _luminance(images[i], made[a:b])
     return out
 
 
-def _decode(data: np.ndarray, begin, end, blocks, first, total: int, dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
+def _luminance(image: Image, made: np.ndarray) -> np.ndarray:
+    """Blocks of the luminance, by rows, out of all blocks of a scan."""
+    if len(image.pattern) == 1:
+        return made
+    (across, down), (wide, tall) = image.units, image.shape
+    own = made.reshape(down, across, len(image.pattern), UNIT)[:, :, [i for i, c in enumerate(image.pattern) if c == image.lead]]
+    whole = own.reshape(down, across, tall, wide, UNIT).transpose(0, 2, 1, 3, 4).reshape(down * tall, across * wide, UNIT)
+    return whole[: image.blocks[1], : image.blocks[0]].reshape(-1, UNIT)
+
+
+def _decode(data: np.ndarray, begin, end, blocks, first, total: int, tables: tuple[tuple[bytes, bytes], ...], pattern: tuple[int, ...]) -> np.ndarray:
     """All intervals in step, one symbol of each at a time."""
     wide = data.astype(np.uint64)
     n = len(wide) - 5
     window = wide[:n] << np.uint64(32) | wide[1 : n + 1] << np.uint64(24) | wide[2 : n + 2] << np.uint64(16) | wide[3 : n + 3] << np.uint64(8) | wide[4 : n + 4]
     window = window.astype(np.int64)
     out = np.zeros(total * UNIT, np.int64)
-    tables = np.concatenate([dc, ac])
+    lookup = np.concatenate([_lookup(t) for both in tables for t in both])
+    of = np.array(pattern, np.int64)
     at, limit = begin * 8, end * 8
-    cell, close, past = first * UNIT, (first + blocks) * UNIT, np.zeros(len(begin), np.int64)
+    # the last DC value of each component; of one component, a flat array
+    cell, close, past = first * UNIT, (first + blocks) * UNIT, np.zeros((len(tables), len(begin)) if len(of) > 1 else len(begin), np.int64)
     while at.size:
         if (at >= limit).any():
             raise Damaged("a scan is cut short")
@@ -302,7 +359,12 @@ def _decode(data: np.ndarray, begin, end, blocks, first, total: int, dc: np.ndar
         sight &= 0xFFFFFFFF
         k = cell & 63
         lead = k == 0
-        entry = tables[(sight >> 16) + np.where(lead, 0, 1 << 16)]
+        place, before = (sight >> 16) + np.where(lead, 0, 1 << 16), past
+        if len(of) > 1:  # intervals are whole units, which begin at multiples of the pattern
+            component = of[(cell >> 6) % len(of)]
+            place += component << 17
+            before = past[component, np.arange(len(at))]
+        entry = lookup[place]
         size, symbol = entry >> 8, entry & 255
         if not size.all():
             raise Damaged("no code begins so")
@@ -315,29 +377,34 @@ def _decode(data: np.ndarray, begin, end, blocks, first, total: int, dc: np.ndar
         target = cell + skip
         if (target - (cell - k) > 63)[~stop].any():
             raise Damaged("a block has too many coefficients")
-        past = np.where(lead, past + value, past)
+        now = np.where(lead, before + value, before)
+        if len(of) > 1:
+            past[component, np.arange(len(at))] = now
+        else:
+            past = now
         put = ~stop
-        out[target[put]] = np.where(lead, past, value)[put]
+        out[target[put]] = np.where(lead, now, value)[put]
         cell = np.where(stop, cell - k + UNIT, target + 1)
         on = cell < close
         if not on.all():
-            at, limit, cell, close, past = at[on], limit[on], cell[on], close[on], past[on]
+            at, limit, cell, close, past = at[on], limit[on], cell[on], close[on], past[..., on]
     return out.reshape(-1, UNIT)
 
 
-def unpack(files: list[bytes]) -> list[tuple[Image, bytes, np.ndarray]]:
-    """For each file its markers, the payload read from its coefficients, and its thumbnail."""
+def unpack(files: list[bytes]) -> list[tuple[Image, bytes | None, np.ndarray]]:
+    """For each file its markers, the payload read from its coefficients (None if it carries none), and its thumbnail."""
     images = [parse(f) for f in files]
     out = []
     for image, coef in zip(images, coefficients(images), strict=True):
-        label, _, size = image.comment.partition(b"=")
-        if label != b"payload":
-            raise Damaged("the image holds no payload")
         across, down = image.blocks
         small = np.clip(coef[:, 0] * image.steps[0] // 8 + 128, 0, 255).astype(np.uint8).reshape(down, across)
-        stored = coef.copy()
-        stored[:, 0] += 128
-        out.append((image, stored.astype(np.uint8).tobytes()[: int(size)], small))
+        label, _, size = image.comment.partition(b"=")
+        payload = None
+        if label == b"payload" and size.isdigit() and int(size) <= coef.size:
+            stored = coef.copy()
+            stored[:, 0] += 128
+            payload = stored.astype(np.uint8).tobytes()[: int(size)]
+        out.append((image, payload, small))
     return out
 
 

@@ -1,13 +1,17 @@
 """Media columns: payloads stored as baseline JPEG, and features of stored images.
 
 ``store`` puts bytes into a JPEG column without loss; ``features`` reads such a
-column back: dimensions, the payload, a luminance thumbnail made of the DC
-coefficients, and a hash of the thumbnail. Files that are not such images give
-null columns and the reason in ``error``; a null file gives nulls throughout.
-
-A null text is stored like an empty one, as one block of zeros. Equal texts
-give equal files and features. Rows are independent of each other; other
-columns of the input are ignored, whatever their names.
+column, or one of any baseline JPEG images, back: dimensions, the payload if the
+image carries one, a luminance thumbnail made of the DC coefficients, and a hash
+of the thumbnail. An image without a payload has null payload columns. Files
+that are not baseline images give null columns and the reason in ``error``; a
+null file gives nulls throughout.
+
+A null text is stored like an empty one, as one block of zeros; a text may be of
+any length that a row can hold. Equal texts, and repeated rows, give equal files
+and features, so there are no ties. Rows are independent of each other; an empty
+table gives an empty one, and other columns of the input are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -67,7 +71,8 @@ def features(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("
                     continue
                 image, payload, small = got
                 name = f"{image.width}x{image.height}:{jpeg.thumbnail_hash(small):016x}"
-                row = (image.width, image.height, len(payload), hashlib.sha256(payload).hexdigest(), jpeg.tail_checksum(payload), len(f), hashlib.sha256(f).hexdigest(), name)
+                carried = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), jpeg.tail_checksum(payload))
+                row = (image.width, image.height, *carried, len(f), hashlib.sha256(f).hexdigest(), name)
                 rows.append(row + ((payload, small.tobytes()) if pixels else ()) + (None,))
             return [list(x) for x in zip(*rows, strict=True)]
 

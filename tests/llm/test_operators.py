@@ -216,6 +216,73 @@ def test_damaged_images(spark):
     assert got[5].error is None and got[5].payload_bytes is None
 
 
+def drawn(width, height, planes, restart=0, separate=False, comment=None):
+    """A baseline file of flat blocks. ``planes``: sampling factors and DC values (rows of blocks) of each component."""
+    step, dc, ac = 4, jpeg.DC, jpeg.AC
+    most = [max(p[k] for p in planes) for k in (0, 1)]
+
+    def scan(parts):
+        units = [-(-size // (8 * m)) for size, m in zip((width, height), most, strict=True)]
+        if len(parts) == 1:
+            h, v, values = parts[0]
+            units, parts = [-(-(-(-size * own // m)) // 8) for size, own, m in zip((width, height), (h, v), most, strict=True)], [(1, 1, values)]
+        out, bits, last, done = b"", "", [0] * len(parts), 0
+
+        def closed():
+            raw = int("1" + (bits + "1" * (-len(bits) % 8)), 2).to_bytes(len(bits) // 8 + (len(bits) % 8 > 0) + 1, "big")[1:] if bits else b""
+            return raw.replace(b"\xff", b"\xff\0")
+
+        for unit in range(units[0] * units[1]):
+            if restart and unit and unit % restart == 0:
+                out, bits, last, done = out + closed() + bytes([0xFF, 0xD0 + done % 8]), "", [0] * len(parts), done + 1
+            y, x = divmod(unit, units[0])
+            for c, (h, v, values) in enumerate(parts):
+                for j in range(v):
+                    for i in range(h):
+                        row = values[min(y * v + j, len(values) - 1)]
+                        value = row[min(x * h + i, len(row) - 1)]
+                        d, last[c] = value - last[c], value
+                        n = abs(d).bit_length()
+                        bits += format(int(dc[2][n]), f"0{dc[3][n]}b") + (format(d if d > 0 else d + (1 << n) - 1, f"0{n}b") if n else "")
+                        bits += format(int(ac[2][0]), f"0{ac[3][0]}b")
+        return out + closed()
+
+    segment = jpeg._segment
+    file = b"\xff\xd8" + (segment(0xFE, comment) if comment else b"") + segment(0xDB, bytes([0, *[step] * 64]))
+    frame = b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v, _) in enumerate(planes))
+    file += b"\xff" + segment(0xC0, bytes([8, *height.to_bytes(2, "big"), *width.to_bytes(2, "big"), len(planes)]) + frame)
+    file += segment(0xC4, b"\0" + dc[0] + dc[1]) + segment(0xC4, b"\x10" + ac[0] + ac[1])
+    if restart:
+        file += segment(0xDD, restart.to_bytes(2, "big"))
+    order = [[c] for c in reversed(range(len(planes)))] if separate else [list(range(len(planes)))]
+    for parts in order:
+        file += segment(0xDA, bytes([len(parts), *[x for c in parts for x in (c + 1, 0)], 0, 63, 0])) + scan([planes[c] for c in parts])
+    return file + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("restart", [0, 3])
+@pytest.mark.parametrize("factors, width, height, separate", [([(1, 1)], 20, 30, False), ([(2, 2), (1, 1), (1, 1)], 50, 41, False), ([(2, 1), (1, 1), (1, 1)], 33, 9, False), ([(1, 1)] * 3, 16, 16, False), ([(2, 2), (1, 1), (1, 1)], 50, 41, True), ([(1, 2), (2, 1), (1, 1)], 70, 70, False)])
+def test_any_baseline_image(restart, factors, width, height, separate):
+    rng, most = random.Random(width + restart), [max(f[k] for f in factors) for k in (0, 1)]
+    planes = []
+    for h, v in factors:
+        across, down = -(-(-(-width * h // most[0])) // 8), -(-(-(-height * v // most[1])) // 8)
+        planes.append((h, v, [[rng.randrange(-255, 256) for _ in range(across)] for _ in range(down)]))
+    image, payload, small = jpeg.unpack([drawn(width, height, planes, restart, separate)])[0]
+    assert (image.width, image.height, payload) == (width, height, None)
+    assert small.tolist() == [[min(255, max(0, v * 4 // 8 + 128)) for v in row] for row in planes[0][2]]
+
+
+def test_images_without_a_payload(spark):
+    grey, colour = drawn(8, 8, [(1, 1, [[16]])], comment=b"a photo"), drawn(16, 16, [(2, 2, [[1, 2], [3, 4]]), (1, 1, [[9]]), (1, 1, [[-9]])])
+    df = spark.createDataFrame([(1, grey), (2, colour), (3, colour), (4, grey.replace(b"\xff\xc0", b"\xff\xc2"))], "doc_id long, media binary")
+    got = {r.doc_id: r for r in media.features(df, keep=("doc_id",)).collect()}
+    assert (got[1].width, got[1].height, got[2].width, got[2].error) == (8, 8, 16, None)
+    assert got[1].payload_bytes is None and got[1].payload is None and got[1].media_bytes == len(grey) and got[1].feature.startswith("8x8:")
+    assert got[2].feature == got[3].feature and bytes(got[2].thumbnail) == bytes([128, 129, 129, 130])
+    assert got[4].width is None and "baseline" in got[4].error
+
+
 # token files
 
 
