@@ -1,30 +1,38 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts are compared as lower-case letters and digits with single spaces between
-words. A benchmark item is searched for as a whole if it is short, else as
-overlapping segments of ``SEGMENT`` characters. Besides, every item longer than
-``PIECE`` is cut into pieces so close together that each passage of it of
-``PASSAGE`` characters holds a whole one: whatever its place in the item, such
-a passage is found, with the edits that one of its pieces may have. A segment of m
-characters may be matched with at most k = m * edits / 100 edits. By the q-gram
-lemma such a match keeps at least m + 1 - q (k + 1) of its q-grams, and as an
-edit shifts what follows by one at most, they lie on k + 1 neighbouring
-diagonals. So
+words. One rule holds for items of all lengths: an item is cut into pieces of
+``PIECE`` characters, the last of them at its end, so close together that each
+passage of the item of ``PASSAGE`` characters holds a whole piece; an item no
+longer than that is one piece. A text holds an item if it holds a piece of it.
+A piece of m characters may be matched with at most m * edits / 100 edits, but
+with none if it has fewer than ``EXACT`` characters; such a short one must
+stand there as whole words. Spread over an item, that many edits leave some
+piece within its budget.
+
+By the q-gram lemma a match with k edits keeps at least m + 1 - q (k + 1)
+q-grams of the piece, and as an edit shifts what follows by one at most, they
+lie on k + 1 neighbouring diagonals. So
 
 1. places of a document whose q-gram occurs in the benchmark are marked, and
-   stretches with too few marks for any segment are left out;
-2. for the rest, hits are counted by segment in overlapping diagonal bands, and
-   bands that reach the segment's bound are retained;
+   stretches with too few marks for any piece are left out;
+2. for the rest, hits are counted by piece in overlapping diagonal bands, and
+   bands that reach the piece's bound are retained;
 3. the region of each is verified by alignment within the band of diagonals.
 
 The benchmark comes in blocks of bounded size, each broadcast by itself and
 compared with all documents; one block holds a benchmark of a few thousand
-items. No document is shuffled or compared with another.
-
-Null, empty and blank texts have no match, on either side. Items of fewer than
-``min_chars`` characters are too common to tell and are not searched for.
-Repeated rows and items each match on their own; rows without an id match too,
-with a null id. Other columns are ignored, whatever their names.
+items. Of several blocks, each is done, and its result written to the shared
+folder, before the next is broadcast. No document is shuffled or compared with
+another.
+
+Null, empty and blank texts have no match, on either side, nor have texts
+without letters and digits; short items are searched for however common their
+words are, unless ``min_chars`` says otherwise. Texts may be of any length that
+a row can hold. Repeated rows and items each match on their own; among equally
+good places of a piece none is preferred, as only its least edits are told. Rows
+without an id match too, with a null id. An empty table, on either side, gives
+no match. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,21 +46,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.frames import map_arrow, numbered, pick, slices, strings
+from quire.llm.frames import dropped, map_arrow, numbered, pick, position, slices, stored, strings
 from quire.llm.wordhash import mixed
 
 Q = 10
 #: Edits for each hundred characters.
 EDITS = 6
-SEGMENT = 100
-#: Items of up to this many characters are one segment.
-WHOLE = 150
-MIN_CHARS = 20
 #: Characters of the least passage of an item that counts, and of the pieces that find it.
 PASSAGE = 80
 PIECE = 60
-#: Characters of benchmark text in a block.
-BLOCK_CHARS = 2_000_000
+#: Characters from which on a piece may have edits.
+EXACT = 20
+#: Characters of benchmark text in a block; it takes some 40 bytes for each in a worker.
+BLOCK_CHARS = 1_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 
@@ -94,59 +100,70 @@ def qgrams(code: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Segments of some items and their q-grams; equal segments are looked for once."""
+    """Pieces of some items and their q-grams; equal pieces are looked for once."""
 
-    items: np.ndarray  # row of the item of each segment
-    copies: list[list[int]]  # segments with each text
-    texts: list[np.ndarray]  # code points of each distinct segment
+    items: np.ndarray  # row of the item of each piece
+    short: dict[int, dict[bytes, list[int]]]  # pieces that must match exactly, by length and code points
+    copies: list[list[int]]  # pieces with each text
+    texts: list[np.ndarray]  # code points of each distinct piece
     sizes: np.ndarray
     budgets: np.ndarray
     bounds: np.ndarray  # q-grams that a match keeps at least
     grams: np.ndarray  # sorted distinct q-grams
     begin: np.ndarray
-    owner: np.ndarray  # segment and place of each occurrence, by q-gram
+    owner: np.ndarray  # piece and place of each occurrence, by q-gram
     place: np.ndarray
     marked: np.ndarray  # bit for the leading bits of every q-gram
 
 
-def _cuts(length: int, size: int, stride: int) -> list[tuple[int, int]]:
-    """Stretches of one size, one at every stride and one at the end."""
-    return [(s, s + size) for s in [*range(0, length - size, stride), length - size]]
-
-
-def block(texts: list[str], q: int = Q, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Block | None:
+def block(texts: list[str], q: int = Q, edits: int = EDITS, min_chars: int = 1) -> Block | None:
     code, cut = normalized(texts)
-    segments, items = [], []
+    pieces, items = [], []
     for i in range(len(texts)):
         own = code[cut[i] : cut[i + 1]]
         while len(own) and own[-1] == 32:
             own = own[:-1]
-        if len(own) < max(min_chars, q):
+        if len(own) < max(min_chars, 1):
             continue
-        cuts = [(0, len(own))] if len(own) <= WHOLE else _cuts(len(own), SEGMENT, SEGMENT // 2)
-        if len(own) > PIECE:
-            # size + stride - 1 is at most PASSAGE
-            cuts += _cuts(len(own), PIECE, PASSAGE - PIECE + 1)
-        segments += [own[a:b] for a, b in cuts]
+        # PIECE + stride - 1 is at most PASSAGE
+        size = min(PIECE, len(own))
+        cuts = [*range(0, len(own) - size, PASSAGE - PIECE + 1), len(own) - size]
+        pieces += [own[a : a + size] for a in cuts]
         items += [i] * len(cuts)
-    if not segments:
+    if not pieces:
         return None
+    short: dict[int, dict[bytes, list[int]]] = {}
     same: dict[bytes, list[int]] = {}
-    for n, s in enumerate(segments):
-        same.setdefault(s.tobytes(), []).append(n)
+    for n, s in enumerate(pieces):
+        (same if len(s) >= max(EXACT, q) else short.setdefault(len(s), {})).setdefault(s.tobytes(), []).append(n)
     copies = list(same.values())
-    segments = [segments[c[0]] for c in copies]
-    sizes = np.array([len(s) for s in segments], np.int64)
+    pieces = [pieces[c[0]] for c in copies]
+    sizes = np.array([len(s) for s in pieces], np.int64)
     budgets = np.minimum(sizes * edits // 100, (sizes - q) // q)
-    grams = [qgrams(s, q) for s in segments]
-    flat = np.concatenate(grams)
-    owner = np.repeat(np.arange(len(segments)), sizes - q + 1)
-    place = np.concatenate([np.arange(len(g)) for g in grams])
+    grams = [qgrams(s, q) for s in pieces]
+    flat = np.concatenate([*grams, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes - q + 1)
+    place = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in grams), np.zeros(0, np.int32)])
     order = np.argsort(flat, kind="stable")
     distinct, begin = np.unique(flat[order], return_index=True)
     marked = np.zeros(1 << _FILTER_BITS, bool)
     marked[(distinct >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Block(np.array(items), copies, segments, sizes, budgets, sizes + 1 - q * (budgets + 1), distinct, np.append(begin, len(flat)), owner[order], place[order], marked)
+    return Block(np.array(items), short, copies, pieces, sizes, budgets, sizes + 1 - q * (budgets + 1), distinct, np.append(begin, len(flat)), owner[order], place[order], marked)
+
+
+def _whole_words(b: Block, code: np.ndarray, cut: np.ndarray) -> list[tuple[int, int, int]]:
+    """Text, piece and no edits for each text that holds a short piece as whole words."""
+    found = set()
+    opens = np.flatnonzero(np.append(True, code[:-1] == 32)[: len(code)])
+    for size, pieces in b.short.items():
+        at = opens[opens + size < len(code)]
+        at = at[code[at + size] == 32]
+        wanted = qgrams(np.frombuffer(b"".join(pieces), np.uint32), size)[::size]
+        for p in at[np.isin(qgrams(code, size)[at], wanted)].tolist() if at.size else ():
+            text = int(np.searchsorted(cut, p, "right")) - 1
+            if p + size < cut[text + 1]:
+                found |= {(text, n, 0) for n in pieces.get(code[p : p + size].tobytes(), ())}
+    return sorted(found)
 
 
 def _aligned(texts: list[np.ndarray], regions: list[np.ndarray], shifts: np.ndarray, budget: np.ndarray, half: np.ndarray) -> np.ndarray:
@@ -188,10 +205,15 @@ def _aligned(texts: list[np.ndarray], regions: list[np.ndarray], shifts: np.ndar
 
 
 def matches(b: Block, texts: list[str], q: int = Q) -> list[tuple[int, int, int]]:
-    """Text, segment and edits of every match, the best for each text and segment."""
+    """Text, piece and edits of every match, the best for each text and piece."""
     code, cut = normalized(texts)
+    return _whole_words(b, code, cut) + _near(b, code, cut, q)
+
+
+def _near(b: Block, code: np.ndarray, cut: np.ndarray, q: int) -> list[tuple[int, int, int]]:
+    """Matches of the pieces that may have edits."""
     grams = qgrams(code, q)
-    if not len(grams):
+    if not len(grams) or not b.texts:
         return []
     maybe = np.flatnonzero(b.marked[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
     at = np.searchsorted(b.grams, grams[maybe])
@@ -199,7 +221,7 @@ def matches(b: Block, texts: list[str], q: int = Q) -> list[tuple[int, int, int]
     hit, gram = maybe[sure], at[sure]
     if not hit.size:
         return []
-    # stretches in which the least demanding segment could be
+    # stretches in which the least demanding piece could be
     reach, least = int((b.sizes + b.budgets).max()), int(b.bounds.min())
     ahead = np.searchsorted(hit, hit + reach, "left") - np.arange(len(hit))
     dense = np.zeros(len(hit) + 1, np.int64)
@@ -213,7 +235,7 @@ def matches(b: Block, texts: list[str], q: int = Q) -> list[tuple[int, int, int]
     counts = b.begin[gram + 1] - b.begin[gram]
     occurrence = np.repeat(b.begin[gram] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     where = np.repeat(hit, counts)
-    segment, place = b.owner[occurrence], b.place[occurrence]
+    segment, place = b.owner[occurrence].astype(np.int64), b.place[occurrence]
     # overlapping bands: of twice the width, one beginning at every width of diagonals
     width = b.budgets[segment] + 1
     diagonal = where - place + int(b.sizes.max())
@@ -262,14 +284,17 @@ def _blocks(items: DataFrame, chars: int) -> Iterator[tuple[list[int], list[str]
         yield ids, texts
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """id, item_id, segments (of the item), matched (of them) and edits for every row of ``df`` and item that it holds."""
+def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS, min_chars: int = 1) -> DataFrame:
+    """id, item_id, segments (pieces of the item), matched (of them) and edits for every row of ``df`` and item that it holds."""
     docs = pick(df, {"id": id_col, "text": text_col})
-    out = None
+    out, shared = [], None
     for ids, texts in _blocks(pick(benchmark, {"item": item_col, "text": item_text_col}), block_chars):
-        made = block(texts)
+        made = block(texts, min_chars=min_chars)
         if made is None:
             continue
+        if shared is not None:
+            out[-1] = stored(out[-1], "leaks")
+            shared.destroy()
         shared = df.sparkSession.sparkContext.broadcast((made, ids, np.bincount(made.items, minlength=len(ids)).tolist()))
 
         def run(batches, shared=shared):
@@ -286,22 +311,26 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
                     columns = list(zip(*rows, strict=True)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "item", "segments", "matched", "edits"])
 
-        found = map_arrow(docs, run, "id long, item long, segments long, matched long, edits long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], "id long, item long, segments long, matched long, edits long")
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "segments", "matched", "edits")
+        out.append(map_arrow(docs, run, "id long, item long, segments long, matched long, edits long"))
+    none = docs.sparkSession.createDataFrame([], "id long, item long, segments long, matched long, edits long")
+    found = functools.reduce(DataFrame.unionByName, out) if out else none
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "segments", "matched", "edits")
 
 
-def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS, min_chars: int = 1) -> DataFrame:
     """Rows of ``df`` that hold no benchmark item, with all their columns. A null text holds none."""
     names = df.columns
-    at = names.index(text_col)
-    out = numbered(df)
+    at = position(names, text_col)
+    out, shared, before = numbered(df), None, []
     for _, texts in _blocks(pick(benchmark, {"item": item_col, "text": item_text_col}), block_chars):
-        made = block(texts)
+        made = block(texts, min_chars=min_chars)
         if made is None:
             continue
+        if shared is not None:
+            out = stored(out, "clean")
+            shared.destroy()
+            dropped(df.sparkSession, *before)
+            before = [out]
         shared = df.sparkSession.sparkContext.broadcast(made)
 
         def run(batches, shared=shared):

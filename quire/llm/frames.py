@@ -36,14 +36,19 @@ def pick(df: DataFrame, columns: dict[str, str | None]) -> DataFrame:
     for new, old in columns.items():
         if old is None:
             continue
-        exact = [i for i, n in enumerate(names) if n == old] or [i for i, n in enumerate(names) if n.lower() == old.lower()]
-        if not exact:
-            raise ValueError(f"no column {old!r} in {names}")
-        place[new] = exact[0]
+        place[new] = position(names, old)
     flat = df.toDF(*[f"_{i}" for i in range(len(names))])
     return flat.select(*[(F.col(f"_{place[new]}") if new in place else F.lit(None).cast("string")).alias(new) for new in columns])
 
 
+def position(names: Sequence[str], name: str) -> int:
+    """Place of a column: of the first exact match, else of the first match without case."""
+    found = [i for i, n in enumerate(names) if n == name] or [i for i, n in enumerate(names) if n.lower() == name.lower()]
+    if not found:
+        raise ValueError(f"no column {name!r} in {names}")
+    return found[0]
+
+
 def restore(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns ``_0, _1, ...`` of ``df`` under the names of ``schema`` again."""
     return df.select(*[F.col(f"_{i}") for i in range(len(schema.names))]).toDF(*schema.names)

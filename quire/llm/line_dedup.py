@@ -2,9 +2,10 @@
 
 A line, without spaces at its ends, is boilerplate of a site if it stands in
 more than ``percent`` of the site's pages and in at least ``min_pages`` of
-them. Pages lose such lines; lines of nothing but spaces stay. A page made of
-nothing but boilerplate is kept whole: it is a copy of other pages, which is
-for document de-duplication to settle.
+them; with 2, the default, a line is only left alone for being on one page.
+Pages lose every such line; lines of nothing but spaces stay. With
+``keep_pages`` a page made of nothing but boilerplate is kept whole, for use
+before document de-duplication, which settles copies of pages.
 
 All work is in DataFrame functions. Lines are counted by two 64-bit hashes, one
 count for each page, summed before the shuffle, so neither a large site nor a
@@ -12,9 +13,10 @@ common line meets in one task, and no text is shuffled. The boilerplate of one
 site numbers less than 100 / percent times its mean lines a page. It is joined
 to the pages by broadcast while it is small in all, else by site and a salt.
 
-A null text stays null, with 0 lines; an empty one has 1 line. A page without
-a site has nothing to be compared with and stays as it is. Repeated rows count
-as pages of their own. An empty table gives an empty result. Columns of the
+A null text stays null, with 0 lines; an empty one has 1 line. A text may be of
+any length that a row can hold. A page without a site has nothing to be compared
+with and stays as it is. Repeated rows count as pages of their own. A line at
+exactly the ratio stays. An empty table gives an empty result. Columns of the
 input pass through; one named n_lines or n_dropped is replaced.
 """
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.frames import numbered, pick, stored
+from quire.llm.frames import numbered, pick, position, stored
 
 #: Boilerplate lines of all sites that may be broadcast, at about 50 bytes each.
 BROADCAST_LINES = 100_000
@@ -37,7 +39,7 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("x"), F.xxhash64(F.lit(7), bare).alias("y"))
 
 
-def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", percent: float = 8.0, min_pages: int = 5) -> DataFrame:
+def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", percent: float = 8.0, min_pages: int = 2) -> DataFrame:
     """host, x, y (hashes), n (pages with the line) and pages (of the host) for each boilerplate line."""
     pages = pick(df, {"host": host_col, "text": text_col}).where("host is not null")
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
@@ -47,7 +49,7 @@ def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text",
     return counts.join(totals, "host").where(F.col("n") * 100 > F.lit(float(percent)) * F.col("pages"))
 
 
-def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", percent: float = 8.0, min_pages: int = 5, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", percent: float = 8.0, min_pages: int = 2, broadcast_lines: int = BROADCAST_LINES, keep_pages: bool = False) -> DataFrame:
     """``df`` with boilerplate lines taken out of its text, and n_lines, n_dropped."""
     found = stored(boilerplate(df, host_col, text_col, percent, min_pages).select("host", "x", "y"), "boilerplate")
     small = found.count() <= broadcast_lines
@@ -56,7 +58,7 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
     kept_at = [i for i, n in enumerate(df.columns) if n.lower() not in ("n_lines", "n_dropped")]
     names = [df.columns[i] for i in kept_at]
     pages = numbered(numbered(df).select(*[f"_{i}" for i in kept_at]))
-    host, text = f"_{names.index(host_col)}", f"_{names.index(text_col)}"
+    host, text = f"_{position(names, host_col)}", f"_{position(names, text_col)}"
     if small:
         joined = pages.join(F.broadcast(lists), F.col(host) == F.col("__host"), "left")
     else:
@@ -66,7 +68,8 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
     lines = F.split(F.col(text), "\n", -1)
     kept = F.filter("__lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("list"), line_key(x)))
     joined = joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("list").isNotNull(), kept))
-    joined = joined.withColumn("__cut", F.coalesce(F.exists("__kept", lambda x: F.trim(x) != ""), F.lit(False)) & (F.size("__kept") < F.size("__lines")))
+    left = F.exists("__kept", lambda x: F.trim(x) != "") if keep_pages else F.lit(True)
+    joined = joined.withColumn("__cut", F.coalesce(left & (F.size("__kept") < F.size("__lines")), F.lit(False)))
     out = [F.when(F.col("__cut"), F.array_join("__kept", "\n")).otherwise(F.col(c)) if c == text else F.col(c) for c in pages.columns]
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines"))
     dropped = F.when(F.col("__cut"), F.size("__lines") - F.size("__kept")).otherwise(0)
@@ -82,13 +85,13 @@ totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 counts AS (SELECT source, line, count(*) AS n FROM lines GROUP BY source, line),
 boiler AS (
   SELECT c.source, list(c.line) AS found FROM counts c JOIN totals t ON c.source = t.source
-  WHERE c.n >= 5 AND c.n * 100 > CAST(8 AS DOUBLE) * t.pages GROUP BY c.source),
+  WHERE c.n >= 2 AND c.n * 100 > CAST(8 AS DOUBLE) * t.pages GROUP BY c.source),
 cut AS (
   SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS whole,
     CASE WHEN b.found IS NOT NULL THEN list_filter(string_split(d.text, chr(10)), lambda x: trim(x, ' ') = '' OR NOT list_contains(b.found, trim(x, ' '))) END AS kept
   FROM documents d LEFT JOIN boiler b ON d.source = b.source),
 judged AS (
-  SELECT *, coalesce(len(list_filter(kept, lambda x: trim(x, ' ') <> '')) > 0 AND len(kept) < len(whole), false) AS changed FROM cut)
+  SELECT *, coalesce(len(kept) < len(whole), false) AS changed FROM cut)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE CAST(len(whole) AS BIGINT) END AS n_lines,
   CASE WHEN changed THEN CAST(len(whole) - len(kept) AS BIGINT) ELSE 0 END AS n_dropped,
   sha256(CASE WHEN changed THEN array_to_string(kept, chr(10)) ELSE text END) AS kept_sha256

@@ -614,6 +614,54 @@ def test_passages_of_an_item_are_found_at_every_offset(length):
     assert decontamination.matches(made, ["".join(spread) + item[100:]])
 
 
+def brute_leaks(texts, items):
+    """Every piece of every item against every text by a full table of edit distances."""
+    plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split())
+    out = Counter()
+    for d, text in texts:
+        text = plain(text)
+        code = np.array([ord(c) for c in text], np.int64)
+        for i, item in items:
+            item = plain(item)
+            if len(item) < 20:
+                if item and f" {item} " in f" {text} ":
+                    out[d, i, 1, 1, 0] += 1
+                continue
+            size = min(60, len(item))
+            pieces = [item[a : a + size] for a in [*range(0, len(item) - size, 21), len(item) - size]]
+            found = []
+            for piece in pieces:
+                row = np.zeros(len(code) + 1, np.int64)
+                for c in piece:
+                    new = row + 1
+                    new[1:] = np.minimum(new[1:], row[:-1] + (code != ord(c)))
+                    steps = np.arange(len(new))
+                    row = np.minimum.accumulate(new - steps) + steps
+                if row.min() <= size * 6 // 100:
+                    found.append(int(row.min()))
+            if found:
+                out[d, i, len(pieces), len(found), sum(found)] += 1
+    return out
+
+
+def test_leaks_equal_brute_force(spark, sf_dir):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()][:8]
+    rng = random.Random(13)
+    items += [(900, "forty two"), (901, "Yes!"), (902, "a b"), (903, "exactly nineteen ch"), (904, "just over twenty chars"), (905, "x" * 61), (906, "..."), (907, None), (901, "yes")]
+    plain = [re.sub(r"[\W_]+", " ", (t or "").lower()).strip() for _, t in items]
+    filler = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(0, 15)))
+    texts = [(1, None), (2, ""), (3, "yes"), (4, "oh yes, forty-two"), (5, "yesterday forty twofold"), (6, "forty"), (7, "two yes forty two a"), (8, "b"), (9, "x A-b. y")]
+    for d in range(10, 130):
+        p = rng.choice(plain)
+        a = rng.randrange(max(1, len(p) - 50))
+        cut = p[a : a + rng.choice([30, 60, 80, 100, 400])]
+        texts.append((d, f"{filler()} {changed(cut, rng.randint(0, 5), rng) if cut else ''} {filler()}"))
+    got = decontamination.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_leaks(texts, items)
+    assert Counter(map(tuple, got.collect())) == want
+    assert len(want) > 40 and {k[1] for k in want} >= {900, 901, 902}
+
+
 def test_alignment_counts_edits():
     rng, text = random.Random(8), "".join(random.Random(9).choice("abcdefgh ") for _ in range(100))
 
@@ -697,7 +745,7 @@ def test_losses_of_awkward_rows(spark, awkward, empty):
 # lines
 
 
-def brute_lines(rows, percent, least):
+def brute_lines(rows, percent, least, keep_pages=False):
     pages, seen = Counter(), Counter()
     for _, t, s in rows:
         if s is not None:
@@ -711,14 +759,14 @@ def brute_lines(rows, percent, least):
             continue
         lines = t.split("\n")
         kept = [x for x in lines if not x.strip(" ") or not (seen[s, x.strip(" ")] >= least and seen[s, x.strip(" ")] * 100 > percent * pages[s])] if s is not None else lines
-        if not any(x.strip(" ") for x in kept):
+        if keep_pages and not any(x.strip(" ") for x in kept):
             kept = lines
         out.append((d, "\n".join(kept) if len(kept) < len(lines) else t, len(lines), len(lines) - len(kept)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("broadcast", [0, 100_000])
-def test_boilerplate(spark, documents, broadcast):
+@pytest.mark.parametrize("broadcast, least, keep", [(0, 5, True), (100_000, 2, False), (100_000, 5, True)])
+def test_boilerplate(spark, documents, broadcast, least, keep):
     rng = random.Random(10)
     rows = []
     for d, t in list(documents.items())[:80]:
@@ -727,8 +775,8 @@ def test_boilerplate(spark, documents, broadcast):
         rows.append((d, "\n".join(lines), rng.choice(["a", "a", "b", None])))
     rows += [(900, "menu", "a"), (901, "menu\n \nfooter", "a"), (902, None, "a"), (903, "", "b"), (904, "x\n", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = line_dedup.drop_boilerplate(df, percent=20, broadcast_lines=broadcast)
-    want = brute_lines(rows, 20, 5)
+    got = line_dedup.drop_boilerplate(df, percent=20, min_pages=least, broadcast_lines=broadcast, keep_pages=keep)
+    want = brute_lines(rows, 20, least, keep)
     assert rows_of(got, "doc_id", "text", "n_lines", "n_dropped") == want
     assert sum(x[3] for x in want) > 30
 
