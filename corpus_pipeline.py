@@ -35,8 +35,12 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes boilerplate lines of each source out of the texts; n_chars follows."""
-    kept = line_dedup.drop_boilerplate(docs)
+    """Takes boilerplate lines of each source out of the texts; n_chars follows.
+
+    A page of nothing but boilerplate is a copy of other pages, of which the
+    next stage keeps one; without its text that stage could not tell.
+    """
+    kept = line_dedup.drop_boilerplate(docs, min_pages=5, keep_pages=True)
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
