@@ -655,7 +655,7 @@ def test_leaks_equal_brute_force(spark, sf_dir):
         p = rng.choice(plain)
         a = rng.randrange(max(1, len(p) - 50))
         cut = p[a : a + rng.choice([30, 60, 80, 100, 400])]
-        texts.append((d, f"{filler()} {changed(cut, rng.randint(0, 5), rng) if cut else ''} {filler()}"))
+        texts.append((d, f"{filler()} {changed(cut, rng.randint(0, min(5, len(cut) - 1)), rng) if cut else ''} {filler()}"))
     got = decontamination.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     want = brute_leaks(texts, items)
     assert Counter(map(tuple, got.collect())) == want
