@@ -1,22 +1,36 @@
 """Cross-entropy difference of documents under matched n-gram models.
 
-A target model is trained on marked documents, a background model on all. Both
-are bigram models over the tokens of one fixed vocabulary and a boundary, with
-the same absolute discounting, interpolated with smoothed unigrams. The score
-of a document is its mean loss per token under the target model less that
+A target model is trained on marked documents, a background model on all
+others. Both are bigram models over the tokens of one fixed vocabulary and a
+boundary, smoothed alike: a context's counts are joined by ``PRIOR`` more that
+follow the model's unigrams, which have ``SMOOTHING`` added to each count. The
+score of a document is its mean loss per token under the target model less that
 under the background model: the lower, the more like the target.
 
-Counts cover every document. Each task sums the bigrams of its texts before
-they are shuffled. What belongs to single tokens or contexts is bounded by the
-vocabulary and is broadcast. Seen bigrams are as many as the corpus makes
-them: they come in blocks of bounded size by context, and as a seen bigram only
-adds a correction to the unigram part, a pass over the documents for each
-block adds up the losses, without a shuffle.
+No document is scored by a model that has seen it: its own counts are taken out
+of the model it was trained on. That needs no second training, as each
+probability is a ratio of counts.
+
+The background is every document that is not marked. It is not cut down to the
+size of the target, as statistics here are to cover the whole corpus; models
+are matched in order, vocabulary, smoothing and in leaving out what they score.
+
+Texts are encoded once, and their ids written to the shared folder. Counts cover
+every document; each task sums its bigrams before they are shuffled. What
+belongs to single tokens or contexts is bounded by the vocabulary and is
+broadcast, and so are the counts of at most ``HELD_BIGRAMS`` bigrams, the more
+frequent ones. Of the rest, which are as many as the corpus makes them, each
+document sends its own to their counts in a shuffle, where only a logarithm is
+left to be taken, and the losses are summed up by document. None of those
+bigrams is frequent, so no key of that shuffle is hot.
 
 Null and empty texts, and texts without tokens, have 0 tokens and null losses,
-and are not trained on. Without a marked document the target model knows
-nothing and is uniform. Repeated rows count each time. Rows without an id are
-scored, but never marked. Other columns are ignored, whatever their names.
+and are not trained on. A text may be of any length that a row can hold. Without
+a marked document the target model knows nothing and is uniform. Repeated rows
+count each time, and each leaves out itself alone. Equal texts have equal losses
+if they are marked alike; nothing is ranked, so there are no ties. Rows without
+an id are scored, but never marked. An empty table gives an empty result. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,158 +47,224 @@ from quire.llm.bpe_codec import encode_array
 from quire.llm.frames import map_arrow, pick, slices, stored
 from quire.llm.word_bpe import IntMap
 
-DISCOUNT = 0.75
+#: Counts that a context's distribution gets from the unigrams.
+PRIOR = 50.0
 #: Added to every unigram count.
 SMOOTHING = 0.1
-#: Seen bigrams in a block; it takes 32 bytes for each in a worker.
-BLOCK_BIGRAMS = 2_000_000
+#: Bigrams whose counts are broadcast; they take 48 bytes each in a worker.
+HELD_BIGRAMS = 1_000_000
 #: Marked documents whose ids may be broadcast, at some 180 bytes each with Spark's hash map.
 BROADCAST_IDS = 300_000
 #: Distinct bigrams that a task holds before it passes them on.
 TASK_BIGRAMS = 1_000_000
+#: Tokens that a worker takes at once.
+SLICE_TOKENS = 1 << 17
+#: Ranges of bigram counts in which to look for the bound of frequent ones, by doubling.
+STEPS = 4
+
+
+def encoded(docs: DataFrame, content: str) -> DataFrame:
+    """row (a number of its own), id and token ids of every row of ``docs`` (id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(content)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                ids, begins = encode_array(shared.value, part.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + part.num_rows)), part.column(0), lists], names=["row", "id", "ids"])
+                row += part.num_rows
+
+    return map_arrow(docs.select("id", "text"), run, "row long, id long, ids array<int>")
+
+
+def _slices(lists: pa.ListArray):
+    """Ranges of rows with about ``SLICE_TOKENS`` ids each; a long row stands alone."""
+    offsets = lists.offsets.to_numpy()
+    begin = 0
+    for i in range(1, len(lists) + 1):
+        if i == len(lists) or offsets[i + 1] - offsets[begin] > SLICE_TOKENS:
+            yield begin, i
+            begin = i
 
 
-def pairs(ids: np.ndarray, begins: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all bigrams, where those of each text begin, and texts with tokens. One boundary stands between texts."""
-    sizes = np.diff(begins)
+def bigrams(lists: pa.ListArray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and code of every bigram of rows of ids; a boundary stands before and after each row with ids."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    ids, offsets = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64), offsets - offsets[0]
+    sizes = np.diff(offsets)
     some = np.flatnonzero(sizes)
-    line = np.insert(ids.astype(np.int64), np.append(begins[:-1][some], len(ids)), boundary)
-    return line[:-1] * (boundary + 1) + line[1:], np.append(0, np.cumsum(sizes[some] + 1)), some
+    line = np.insert(ids, np.append(offsets[:-1][some], len(ids)), boundary) if len(some) else np.zeros(1, np.int64)
+    return np.repeat(some, sizes[some] + 1), line[:-1] * (boundary + 1) + line[1:]
 
 
-def _summed(codes: np.ndarray, target: np.ndarray, all_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _summed(codes: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct codes, and sums of the columns by code."""
     order = np.argsort(codes, kind="stable")
     codes = codes[order]
-    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-    return codes[first], np.add.reduceat(target[order], first), np.add.reduceat(all_[order], first)
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], *(np.add.reduceat(c[order], first) if len(first) else c[:0] for c in columns)
 
 
-def counts(docs: DataFrame, content: str, boundary: int) -> DataFrame:
-    """code, target and background counts of all bigrams in ``docs`` (text, marked)."""
-    shared = docs.sparkSession.sparkContext.broadcast(content)
+def counts(texts: DataFrame, boundary: int) -> DataFrame:
+    """code, target and background counts of all bigrams in ``texts`` (ids, marked)."""
 
     def run(batches):
         held: list[tuple] = []
 
-        def batch_of(parts):
-            codes, target, all_ = _summed(*map(np.concatenate, zip(*parts, strict=True)))
-            return codes, target, all_
+        def together():
+            return _summed(*map(np.concatenate, zip(*held, strict=True)))
 
         def rows(parts):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in parts], names=["code", "t", "b"])
 
         for batch in batches:
-            for a, b in slices(batch.column(0)):
-                part = batch.slice(a, b - a)
-                code, begins, some = pairs(*encode_array(shared.value, part.column(0)), boundary)
-                if not len(some):
-                    continue
-                marked = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[some]
-                held.append(_summed(code, np.repeat(marked, np.diff(begins)), np.ones(len(code), np.int64)))
+            for a, b in _slices(batch.column(0)):
+                row, code = bigrams(batch.column(0).slice(a, b - a), boundary)
+                marked = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+                held.append(_summed(code, marked, 1 - marked))
                 if sum(len(x[0]) for x in held) > TASK_BIGRAMS:
-                    held = [batch_of(held)]
+                    held = [together()]
                     if len(held[0][0]) > TASK_BIGRAMS // 2:
                         yield rows(held[0])
                         held = []
         if held:
-            yield rows(batch_of(held))
+            yield rows(together())
 
-    return map_arrow(docs.select("text", "marked"), run, "code long, t long, b long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    return map_arrow(texts.select("ids", "marked"), run, "code long, t long, b long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
 @dataclass
 class Base:
-    """What both models have for single tokens: row 0 target, row 1 background."""
+    """Counts of both models for single tokens: row 0 target, row 1 background."""
 
-    unigram: np.ndarray  # log-probability of each token
-    weight: np.ndarray  # log of the unigram part after each context
-    total: np.ndarray  # bigrams from each context
+    unigram: np.ndarray  # of each token behind a context
+    total: np.ndarray  # of each token as context
 
 
 def base(table: DataFrame, boundary: int) -> Base:
     size = boundary + 1
-    u, v = F.floor(F.col("code") / size).cast("long"), F.col("code") % size
-    sums = [F.sum("t").alias("t"), F.sum("b").alias("b")]
-    kinds = [F.count_if(F.col("t") > 0).alias("kt"), F.count_if(F.col("b") > 0).alias("kb")]
-    unigram, total, distinct = (np.zeros((2, size)) for _ in range(3))
-    after = table.groupBy(v.alias("k")).agg(*sums).toArrow()
-    unigram[:, after.column("k").to_numpy()] = after.column("t").to_numpy(), after.column("b").to_numpy()
-    before = table.groupBy(u.alias("k")).agg(*sums, *kinds).toArrow()
-    at = before.column("k").to_numpy()
-    total[:, at] = before.column("t").to_numpy(), before.column("b").to_numpy()
-    distinct[:, at] = before.column("kt").to_numpy(), before.column("kb").to_numpy()
-    smooth = unigram + SMOOTHING
-    weight = np.where(total > 0, DISCOUNT * distinct / np.maximum(total, 1), 1.0)
-    return Base(np.log(smooth / smooth.sum(axis=1, keepdims=True)), np.log(weight), total)
-
-
-def corrections(of: Base, codes: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """What seen bigrams add to the log-probabilities of their unigram parts; ``seen``: counts in both models."""
-    u, v = codes // of.total.shape[1], codes % of.total.shape[1]
-    low = of.weight[:, u] + of.unigram[:, v]
-    direct = np.maximum(seen - DISCOUNT, 0) / np.maximum(of.total[:, u], 1)
-    return np.logaddexp(low, np.log(np.maximum(direct, 1e-300))) - low
-
-
-def score(df: DataFrame, marked: DataFrame, content: str, boundary: int, id_col: str = "doc_id", text_col: str = "text", marked_col: str = "doc_id", block_bigrams: int = BLOCK_BIGRAMS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """id, n_tokens, target_loss, background_loss and score (their difference) of every row of ``df``.
+    made = []
+    for key in (F.col("code") % size, F.floor(F.col("code") / size).cast("long")):
+        rows = table.groupBy(key.alias("k")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
+        sums = np.zeros((2, size))
+        sums[:, rows.column("k").to_numpy()] = rows.column("t").to_numpy(), rows.column("b").to_numpy()
+        made.append(sums)
+    return Base(*made)
+
+
+def frequent(table: DataFrame, held: int) -> tuple[DataFrame, bool]:
+    """The bigrams of at least some count, no more than ``held``, and whether there are others."""
+    n = F.col("t") + F.col("b")
+    step = F.floor(F.log2(n) * STEPS).cast("int")
+    sizes = sorted(((r.step, r.c) for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    total, least = 0, None
+    for s, c in sizes:
+        if total + c > held:
+            break
+        total, least = total + c, s
+    if least is None:
+        return table.limit(0), bool(sizes)
+    return table.where(step >= least), least != sizes[-1][0]
 
-    ``marked`` has the ids of target documents; ``content`` is a tokenizer file
-    (see ``word_bpe``) all of whose ids are below ``boundary``.
-    """
-    spark = df.sparkSession
-    docs = pick(df, {"id": id_col, "text": text_col})
-    ids = pick(marked, {"id": marked_col}).where("id is not null").distinct().withColumn("marked", F.lit(True))
-    if ids.count() <= broadcast_ids:
-        ids = F.broadcast(ids)
-    train = docs.where("text is not null").join(ids, "id", "left").select("text", F.coalesce("marked", F.lit(False)).alias("marked"))
-    table = stored(counts(train, content, boundary), "bigrams")
-    shared = spark.sparkContext.broadcast((content, base(table, boundary)))
-    blocks = max(1, -(-table.count() // block_bigrams))
-
-    out = docs.select("id", "text", F.lit(None).cast("array<double>").alias("sums"))
-    for k in range(blocks):
-        context = F.floor(F.col("code") / (boundary + 1)).cast("long")
-        rows = table.where(F.pmod(F.xxhash64(context), F.lit(blocks)) == k).toArrow() if blocks > 1 else table.toArrow()
-        codes, seen = rows.column("code").to_numpy(), np.array([rows.column("t").to_numpy(), rows.column("b").to_numpy()])
-        added = spark.sparkContext.broadcast((codes, corrections(shared.value[1], codes, seen).astype(np.float32)))
-        out = map_arrow(out, _pass(shared, added, boundary, k == 0), "id long, text string, sums array<double>")
-    sums = F.col("sums")
-    n = F.coalesce(sums[0], F.lit(0.0))
-    target, background = (F.when(n > 0, -sums[i] / (n + 1)) for i in (1, 2))
-    return out.select(F.col("id").alias(id_col), n.cast("long").alias("n_tokens"), target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("score"))
+
+@dataclass
+class Parts:
+    """Distinct bigrams of some rows, in order of rows, and what their probabilities are made of."""
+
+    row: np.ndarray
+    code: np.ndarray
+    n: np.ndarray
+    more: np.ndarray  # for both models: to be added to the bigram's count
+    whole: np.ndarray  # what the sum is divided by
+
+
+def parts(of: Base, row: np.ndarray, code: np.ndarray, marked: np.ndarray) -> Parts:
+    """The probability of a bigram is (count + more) / whole, without what its own row adds to the counts."""
+    size = of.total.shape[1]
+    keys, n = np.unique(row * (size * size) + code, return_counts=True)
+    row, code = keys // (size * size), keys % (size * size)
+    u, v = code // size, code % size
+
+    def own(key):
+        _, place = np.unique(key, return_inverse=True)
+        return np.bincount(place, weights=n)[place]
+
+    after, before, all_ = own(row * size + v), own(row * size + u), np.bincount(row, weights=n)[row]
+    more, whole = np.empty((2, len(n))), np.empty((2, len(n)))
+    for m in (0, 1):
+        mine = marked[row] == (m == 0)
+        unigram = (of.unigram[m, v] - mine * after + SMOOTHING) / (of.unigram[m].sum() - mine * all_ + SMOOTHING * size)
+        more[m], whole[m] = PRIOR * unigram - mine * n, of.total[m, u] - mine * before + PRIOR
+    return Parts(row, code, n, more, whole)
 
 
 _maps: dict[str, tuple[IntMap, np.ndarray]] = {}
 
 
-def _pass(shared, added, boundary: int, first: bool):
-    """Adds the corrections of one block to the sums of each text; the first pass brings tokens and unigram parts."""
+def score(df: DataFrame, marked: DataFrame, content: str, boundary: int, id_col: str = "doc_id", text_col: str = "text", marked_col: str = "doc_id", held_bigrams: int = HELD_BIGRAMS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """id, n_tokens, target_loss, background_loss and score (their difference) of every row of ``df``.
+
+    ``marked`` has the ids of target documents; ``content`` is a tokenizer file
+    (see ``word_bpe``) all of whose ids are below ``boundary``.
+    """
+    spark = df.sparkSession
+    targets = pick(marked, {"id": marked_col}).where("id is not null").distinct().withColumn("marked", F.lit(True))
+    if targets.count() <= broadcast_ids:
+        targets = F.broadcast(targets)
+    texts = encoded(pick(df, {"id": id_col, "text": text_col}), content).join(targets, "id", "left")
+    texts = stored(texts.select("row", "id", "ids", F.coalesce("marked", F.lit(False)).alias("marked")), "encoded")
+    table = stored(counts(texts, boundary), "bigrams")
+    some, others = frequent(table, held_bigrams)
+    rows = some.toArrow()
+    known = rows.column("code").to_numpy(), np.array([rows.column("t").to_numpy(), rows.column("b").to_numpy()])
+    shared = spark.sparkContext.broadcast((base(table, boundary), *known))
+    sums = map_arrow(texts, _sums(shared, boundary), "id long, row long, n_tokens long, logs array<double>, rest array<struct<code: long, n: long, t: double, b: double>>")
+    target, background = F.col("logs")[0], F.col("logs")[1]
+    if others:
+        sums = stored(sums, "sums")
+        each = sums.select("row", F.inline("rest")).toDF("row", "code", "n", "mt", "mb").join(table, "code")
+        late = each.groupBy("row").agg(*[F.sum(F.col("n") * F.log(F.col(c) + F.col(f"m{c}"))).alias(f"late_{c}") for c in "tb"])
+        sums = sums.join(late, "row", "left")
+        target, background = (x + F.coalesce(f"late_{c}", F.lit(0.0)) for x, c in ((target, "t"), (background, "b")))
+    some = F.col("n_tokens") > 0
+    target, background = (F.when(some, -x / (F.col("n_tokens") + 1)) for x in (target, background))
+    return sums.select(F.col("id").alias(id_col), "n_tokens", target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("score"))
+
+
+def _sums(shared, boundary: int):
+    """Sums of logarithms of each row's probabilities, but for the counts of bigrams that are not held: these make ``rest``."""
 
     name = uuid.uuid4().hex
 
     def run(batches):
-        content, of = shared.value
+        of, codes, held = shared.value
         if name not in _maps:
             _maps.clear()
-            codes, more = added.value
-            _maps[name] = IntMap(codes, np.arange(len(codes))), np.append(more, np.zeros((2, 1), np.float32), axis=1)
-        known, more = _maps[name]
+            _maps[name] = IntMap(codes, np.arange(len(codes))), held
+        known, held = _maps[name]
+        kind = pa.struct([("code", pa.int64()), ("n", pa.int64()), ("t", pa.float64()), ("b", pa.float64())])
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                ids, begins = encode_array(content, part.column(1))
-                code, cuts, some = pairs(ids, begins, boundary)
-                sums = np.zeros((part.num_rows, 3))
-                if len(some):
-                    logs = more[:, known.get(code)].astype(np.float64)
-                    if first:
-                        sums[:, 0] = np.diff(begins)
-                        logs += of.weight[:, code // (boundary + 1)] + of.unigram[:, code % (boundary + 1)]
-                    sums[some, 1:] = np.add.reduceat(logs, cuts[:-1], axis=1).T
-                if not first:
-                    sums += part.column(2).flatten().to_numpy().reshape(-1, 3)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * part.num_rows + 1, 3), pa.int32()), pa.array(sums.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "text", "sums"])
+            lists, flags = batch.column(batch.schema.get_field_index("ids")), batch.column(batch.schema.get_field_index("marked"))
+            for a, b in _slices(lists):
+                size = b - a
+                sizes = lists.slice(a, size).value_lengths().to_numpy()
+                row, code = bigrams(lists.slice(a, size), boundary)
+                p = parts(of, row, code, flags.slice(a, size).to_numpy(zero_copy_only=False))
+                at = known.get(p.code)
+                there = at >= 0
+                logs = -p.n * np.log(p.whole)
+                logs[:, there] += p.n[there] * np.log(held[:, at[there]] + p.more[:, there])
+                sums = np.array([np.bincount(p.row, weights=x, minlength=size) for x in logs]).reshape(2, size)
+                left = ~there
+                rest = pa.StructArray.from_arrays([pa.array(x) for x in (p.code[left], p.n[left], *p.more[:, left])], fields=list(kind))
+                cuts = np.append(0, np.cumsum(np.bincount(p.row[left], minlength=size)))
+                pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * size + 1, 2), pa.int32()), pa.array(sums.T.ravel()))
+                columns = [batch.column(batch.schema.get_field_index(c)).slice(a, size) for c in ("id", "row")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pairs, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rest)], names=["id", "row", "n_tokens", "logs", "rest"])
 
     return run

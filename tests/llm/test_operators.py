@@ -704,35 +704,52 @@ def test_losses_equal_a_plain_model(spark, documents):
         if ids := tokenizer.encode(t or "", add_special_tokens=False).ids:
             line = [boundary, *ids, boundary]
             seqs[d] = list(zip(line, line[1:], strict=False))
-    models = []
-    for own in (marked, list(seqs)):
-        pairs = Counter(p for d in own if d in seqs for p in seqs[d])
-        unigram, total, kinds = Counter(), Counter(), Counter()
+    def trained(own):
+        pairs = Counter(p for d in own for p in seqs[d])
+        unigram, total = Counter(), Counter()
         for (u, v), n in pairs.items():
             unigram[v] += n
             total[u] += n
-            kinds[u] += 1
-        models.append((pairs, unigram, total, kinds))
+        return pairs, unigram, total
 
     def loss(model, u, v):
-        pairs, unigram, total, kinds = model
+        pairs, unigram, total = model
         p = (unigram[v] + lm_scores.SMOOTHING) / (sum(unigram.values()) + lm_scores.SMOOTHING * (boundary + 1))
-        if total[u]:
-            p = max(pairs[u, v] - lm_scores.DISCOUNT, 0) / total[u] + lm_scores.DISCOUNT * kinds[u] / total[u] * p
-        return -math.log(p)
+        return -math.log((pairs[u, v] + lm_scores.PRIOR * p) / (total[u] + lm_scores.PRIOR))
 
     df = spark.createDataFrame(texts, "doc_id long, text string")
     ids = spark.createDataFrame([(d,) for d in [*marked, marked[0], None]], "doc_id long")
-    for block, limit in ((2_000_000, 1_000), (3_000, 0)):
-        got = {r.doc_id: r for r in lm_scores.score(df, ids, WORD, boundary, block_bigrams=block, broadcast_ids=limit).collect()}
+    results = []
+    for held, limit in ((1_000_000, 1_000), (3_000, 0), (0, 1_000)):
+        got = {r.doc_id: r for r in lm_scores.score(df, ids, WORD, boundary, held_bigrams=held, broadcast_ids=limit).collect()}
         assert len(got) == len(texts)
-        for d, r in got.items():
-            if d not in seqs:
-                assert r.n_tokens == 0 and r.score is None
-                continue
-            t, b = (sum(loss(m, u, v) for u, v in seqs[d]) / len(seqs[d]) for m in models)
-            assert r.n_tokens == len(seqs[d]) - 1
-            assert (r.target_loss, r.background_loss, r.score) == pytest.approx((t, b, t - b), abs=1e-4)
+        results.append(got)
+    for d in got:
+        if d not in seqs:
+            assert all(r[d].n_tokens == 0 and r[d].score is None for r in results)
+            continue
+        # models trained afresh without the document
+        models = [trained([x for x in seqs if x != d and (x in marked) == own]) for own in (True, False)]
+        t, b = (sum(loss(m, u, v) for u, v in seqs[d]) / len(seqs[d]) for m in models)
+        for r in results:
+            assert r[d].n_tokens == len(seqs[d]) - 1
+            assert (r[d].target_loss, r[d].background_loss, r[d].score) == pytest.approx((t, b, t - b), abs=1e-9)
+
+
+def test_probabilities_add_up():
+    """Over all tokens after a context, with a document left out."""
+    rng, size = np.random.default_rng(14), 30
+    table = rng.integers(0, 9, (2, size, size)).astype(float)
+    of = lm_scores.Base(table.sum(axis=1), table.sum(axis=2))
+    for m, marked in ((0, True), (1, False), (0, False)):
+        u = 4
+        code = u * size + np.arange(size)
+        p = lm_scores.parts(of, np.zeros(size, np.int64), code, np.array([marked]))
+        held = np.maximum(table[m, u], 1)  # what a document holds is in the counts of its model
+        of.total[m, u] += (held - table[m, u]).sum()
+        p = lm_scores.parts(of, np.zeros(size, np.int64), code, np.array([marked]))
+        assert ((held + p.more[m]) / p.whole[m]).sum() == pytest.approx(1)
+        of.total[m, u] -= (held - table[m, u]).sum()
 
 
 def test_losses_of_awkward_rows(spark, awkward, empty):
