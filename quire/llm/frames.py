@@ -19,7 +19,7 @@ BROADCAST_IDS = 300_000
 HOT_SHARE = 4_096
 HOT_ROWS = 1_000
 #: Rows of a table that need no spreading, whatever their keys.
-FEW_ROWS = 100_000
+FEW_ROWS = 20_000
 #: Rows that go to a worker at once.
 BATCH_ROWS = 1_000
 
@@ -178,7 +178,8 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     marked = left.join(F.broadcast(hot), keys, "left")
     apart = F.col("__hot").isNotNull() | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
     marked = marked.withColumn("__salt", F.when(apart, F.xxhash64(by)).otherwise(F.lit(0)))
-    cold = right.where(F.col(weight) <= bound).select(*keys, F.struct(*values).alias("__cold"), F.lit(0).cast("long").alias("__salt"))
+    # 0 for every row, but no constant to the optimizer, which would take it out of the key
+    cold = right.where(F.col(weight) <= bound).select(*keys, F.struct(*values).alias("__cold"), F.least(F.col(weight), F.lit(0)).cast("long").alias("__salt"))
     joined = marked.join(cold, [*keys, "__salt"], "left")
     return joined.select(*left.columns, *[F.coalesce(F.col("__hot").getField(v), F.col("__cold").getField(v)).alias(v) for v in values])
 
