@@ -11,9 +11,12 @@ from quire.sources.tables import table
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the one before it in its source."""
+    """Each document with the one before it in its source. Only ids go through the window; texts are joined to the pairs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", F.lag("text").over(w).alias("before"), "text").where("before is not null")
+    pairs = docs.select("doc_id", F.lag("doc_id").over(w).alias("earlier")).where("earlier is not null")
+    pairs = pairs.join(docs.select(F.col("doc_id").alias("earlier"), F.col("text").alias("before")).where("before is not null"), "earlier")
+    return pairs.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "before", "text")
 
 
 def diff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
