@@ -239,14 +239,14 @@ def write_presentation(slides: list[list[tuple[str, str]]]) -> bytes:
 
 
 READERS = {
-    "xlsx": (lambda b: [(f"{s}!{column_name(c)}{r + 1}", t) for s, r, c, t, _ in read_workbook(b)]),
-    "docx": (lambda b: [(f"{n}:{k}", t) for n, (k, t) in enumerate(read_document(b))]),
-    "pptx": (lambda b: [(f"{n}.{k}:{ph}", t) for n, k, ph, t in read_presentation(b)]),
+    "xlsx": (lambda b: [(f"{s}!{column_name(c)}{r + 1}", t, x) for s, r, c, t, x in read_workbook(b)]),
+    "docx": (lambda b: [(f"{n}:{k}", t, None) for n, (k, t) in enumerate(read_document(b))]),
+    "pptx": (lambda b: [(f"{n}.{k}:{ph}", t, None) for n, k, ph, t in read_presentation(b)]),
 }
 
 
 def read_files(files: DataFrame, kind: str, id_col: str = "path", content_col: str = "content") -> DataFrame:
-    """id, ord, place, text, error of office files of one kind; a file over the size limit or damaged has one row with its error."""
+    """id, ord, place, text, number (of number cells) and error of office files of one kind; a file over the size limit or damaged has one row with its error."""
 
     def run(batches):
         for batch in batches:
@@ -255,10 +255,10 @@ def read_files(files: DataFrame, kind: str, id_col: str = "path", content_col: s
                 try:
                     if content is None or len(content) > MAX_BYTES:
                         raise ValueError("the file is missing or too large")
-                    rows += [(name, n, place, text, None) for n, (place, text) in enumerate(READERS[kind](bytes(content)))]
+                    rows += [(name, n, place, text, number, None) for n, (place, text, number) in enumerate(READERS[kind](bytes(content)))]
                 except (ValueError, KeyError, IndexError, ET.ParseError, zipfile.BadZipFile) as e:
-                    rows.append((name, 0, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=[id_col, "ord", "place", "text", "error"])
+                    rows.append((name, 0, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[id_col, "ord", "place", "text", "number", "error"]).astype({"number": "float64"})
 
     own = files.schema[id_col].dataType.simpleString()
-    return files.select(id_col, content_col).mapInPandas(run, f"`{id_col}` {own}, ord int, place string, text string, error string")
+    return files.select(id_col, content_col).mapInPandas(run, f"`{id_col}` {own}, ord int, place string, text string, number double, error string")

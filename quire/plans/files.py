@@ -53,7 +53,10 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"c_nationkey": [int(rows["c_nationkey"].iloc[0])], "content": [office.write_workbook(sheets)]})
 
     books = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name", "c_acctbal", "c_mktsegment").groupBy("c_nationkey").applyInPandas(write, "c_nationkey int, content binary")
-    return office.read_files(books, "xlsx", "c_nationkey").where("place not like '%!B%' or place like '%!B1'").select("c_nationkey", "place", "text", "error")
+    cells = office.read_files(books, "xlsx", "c_nationkey")
+    # of number cells the value is compared, not its text
+    number = F.when(~F.isnan("number"), F.col("number"))
+    return cells.select("c_nationkey", "place", F.when(number.isNull(), F.col("text")).alias("text"), number.alias("number"), "error")
 
 
 def document_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +148,7 @@ SQL = {
     "file_digests": "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents",
     "pdf_text": f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS page, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, regexp_replace(regexp_replace(text, '{BLANK}+', ' ', 'g'), '^ | $', '', 'g') AS text, 'Conversation ' || conv_id AS title, CAST(NULL AS VARCHAR) AS error FROM conversations",
     "pdf_errors": "SELECT * FROM (VALUES (0, 0, 'password'), (1, 0, 'corrupt'), (2, 0, 'corrupt'), (3, 1, NULL), (3, 2, NULL), (4, 0, 'corrupt')) t(id, page, error)",
-    "workbook_cells": "WITH r AS (SELECT c_nationkey, c_mktsegment, c_name, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) + 1 AS n FROM customer) SELECT c_nationkey, c_mktsegment || '!A' || n AS place, c_name AS text, CAST(NULL AS VARCHAR) AS error FROM r UNION ALL SELECT DISTINCT c_nationkey, c_mktsegment || '!' || unnest(['A1', 'B1']), unnest(['Customer', 'Balance']), NULL FROM customer",
+    "workbook_cells": "WITH r AS (SELECT c_nationkey, c_mktsegment, c_name, CAST(c_acctbal AS DOUBLE) AS c_acctbal, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) + 1 AS n FROM customer) SELECT c_nationkey, c_mktsegment || '!A' || n AS place, c_name AS text, CAST(NULL AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS error FROM r UNION ALL SELECT c_nationkey, c_mktsegment || '!B' || n, NULL, c_acctbal, NULL FROM r UNION ALL SELECT DISTINCT c_nationkey, c_mktsegment || '!' || unnest(['A1', 'B1']), unnest(['Customer', 'Balance']), NULL, NULL FROM customer",
     "document_paragraphs": "SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS ord, replace(unnest(p), '|', chr(9)) AS text, CAST(NULL AS VARCHAR) AS error FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)",
     "presentation_slides": "WITH s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text FROM conversations) SELECT conv_id, n || '.0:title' AS place, role AS text, CAST(NULL AS VARCHAR) AS error FROM s UNION ALL SELECT conv_id, n || '.1:body', text, NULL FROM s",
     "cipher_round_trips": "SELECT p_partkey, p_name AS aes, p_name AS rc4, p_name AS spark FROM part",

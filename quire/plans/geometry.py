@@ -71,12 +71,15 @@ def geo_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geo_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _view(spark, sf_dir, LINES).where("x0 % 100 < 40").withColumn("x1", F.col("x0") + 10)
+    """Lines set in columns 100 wide, 40 of which are taken."""
+    lines = _view(spark, sf_dir, LINES).withColumn("x0", F.expr("floor(x0 / 100) * 100D + x0 % 40")).withColumn("x1", F.col("x0") + 10)
     return G.gutters(lines)
 
 
 def geo_band_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.band_cut(_view(spark, sf_dir, LINES).where("y0 % 100 < 60"))
+    """Lines set in bands 100 high, 60 of which are taken."""
+    lines = _view(spark, sf_dir, LINES).withColumn("y0", F.expr("floor(y0 / 100) * 100D + y0 % 60"))
+    return G.band_cut(lines.withColumns({"y1": F.col("y0") + 10, "baseline": F.col("y0") + 8}))
 
 
 def geo_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +162,8 @@ def geo_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geo_page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = _view(spark, sf_dir, LINES).where("line_id % 9 = 0").groupBy("page").agg((F.count("*") * 3).alias("chars"))
+    """Pages on which every ninth line has three characters and the others none."""
+    text = _view(spark, sf_dir, LINES).groupBy("page").agg(F.sum(F.when(F.col("line_id") % 9 == 0, 3).otherwise(0)).alias("chars"))
     pictures = _view(spark, sf_dir, FILLS).groupBy("page").agg(F.max(G.area()).alias("picture"))
     pages = text.join(pictures, "page", "left").withColumn("width", F.lit(300.0)).withColumn("height", F.lit(400.0))
     rows = G.scanned(pages)
@@ -206,8 +210,8 @@ SELECT s.page, s.span_id, coalesce(u, false) AS underline, coalesce(k, false) AS
     "geo_touched_pages": f"WITH {_L}, {_F} SELECT DISTINCT page, page IN (SELECT page FROM f WHERE color = 'FFFFFF') AS rebuilt FROM l",
     "geo_slots": f"WITH {_S}, {_F} SELECT s.page, fill_id AS s_fill_id, count(*) AS n, min(span_id) AS first FROM s JOIN f ON s.page = f.page AND (x + x_end) / 2 BETWEEN x0 - 1 AND x1 + 1 AND baseline BETWEEN y0 - 1 AND y1 + 1 GROUP BY ALL",
     "geo_clusters": f"WITH {_R}, g AS (SELECT page, pos, CASE WHEN coalesce(pos - lag(pos) OVER (PARTITION BY page ORDER BY pos), 0) > 2.5 THEN 1 ELSE 0 END AS o FROM r), s AS (SELECT page, pos, CAST(sum(o) OVER (PARTITION BY page ORDER BY pos) AS BIGINT) AS grp FROM g) SELECT page, grp, sum(pos) / count(*) AS mean, count(*) AS n FROM s GROUP BY page, grp",
-    "geo_gutters": f"WITH {_L}, n AS (SELECT page, line_id, x0, x0 + 10 AS x1 FROM l WHERE x0 % 100 < 40), p AS (SELECT page, min(x0) AS p0, max(x1) AS p1 FROM n GROUP BY page), g AS (SELECT page, x0, max(x1) OVER (PARTITION BY page ORDER BY x0, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM n) SELECT g.page, reach AS g0, x0 AS g1 FROM g JOIN p ON g.page = p.page WHERE x0 - reach >= 16 AND reach - p0 >= greatest(40, (p1 - p0) * 0.12::DOUBLE) AND p1 - x0 >= greatest(40, (p1 - p0) * 0.12::DOUBLE)",
-    "geo_band_cuts": f"WITH {_L}, n AS (SELECT *, max(y1) OVER (PARTITION BY page ORDER BY y0, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, baseline - lag(baseline) OVER (PARTITION BY page ORDER BY y0, line_id) AS lead FROM l WHERE y0 % 100 < 60), m AS (SELECT page, list_sort(list(lead))[len(list(lead)) // 2 + 1] AS typical FROM n WHERE lead > 0 GROUP BY page), c AS (SELECT n.page, line_id, y0, y0 - reach AS gap, row_number() OVER (PARTITION BY n.page ORDER BY y0 - reach DESC, y0, line_id) AS k FROM n LEFT JOIN m ON n.page = m.page WHERE y0 - reach > greatest(coalesce(typical, 0) * 1.9::DOUBLE, 9)) SELECT page, gap, line_id FROM c WHERE k = 1",
+    "geo_gutters": f"WITH {_L}, n AS (SELECT page, line_id, floor(x0 / 100) * 100 + x0 % 40 AS x0, floor(x0 / 100) * 100 + x0 % 40 + 10 AS x1 FROM l), p AS (SELECT page, min(x0) AS p0, max(x1) AS p1 FROM n GROUP BY page), g AS (SELECT page, x0, max(x1) OVER (PARTITION BY page ORDER BY x0, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM n) SELECT g.page, reach AS g0, x0 AS g1 FROM g JOIN p ON g.page = p.page WHERE x0 - reach >= 16 AND reach - p0 >= greatest(40, (p1 - p0) * 0.12::DOUBLE) AND p1 - x0 >= greatest(40, (p1 - p0) * 0.12::DOUBLE)",
+    "geo_band_cuts": f"WITH {_L}, k AS (SELECT page, line_id, floor(y0 / 100) * 100 + y0 % 60 AS y0, floor(y0 / 100) * 100 + y0 % 60 + 10 AS y1, floor(y0 / 100) * 100 + y0 % 60 + 8 AS baseline FROM l), n AS (SELECT *, max(y1) OVER (PARTITION BY page ORDER BY y0, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, baseline - lag(baseline) OVER (PARTITION BY page ORDER BY y0, line_id) AS lead FROM k), m AS (SELECT page, list_sort(list(lead))[len(list(lead)) // 2 + 1] AS typical FROM n WHERE lead > 0 GROUP BY page), c AS (SELECT n.page, line_id, y0, y0 - reach AS gap, row_number() OVER (PARTITION BY n.page ORDER BY y0 - reach DESC, y0, line_id) AS k FROM n LEFT JOIN m ON n.page = m.page WHERE y0 - reach > greatest(coalesce(typical, 0) * 1.9::DOUBLE, 9)) SELECT page, gap, line_id FROM c WHERE k = 1",
     "geo_spacing": f"WITH {_L} SELECT page, line_id, y0 - max(y1) OVER (PARTITION BY page ORDER BY y0, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM l",
     "geo_coverage": f"""WITH {_R}, {_F}, n AS (SELECT DISTINCT f.page, fill_id, f.x0 AS low, f.x1 AS high, "start", "end" FROM f JOIN r ON f.page = r.page AND horizontal AND abs(pos - y0) <= 2.5 AND "end" > x0 + 0.5 AND "start" < x1 - 0.5),
 w AS (SELECT *, greatest(low, coalesce(max("end") OVER (PARTITION BY page, fill_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), low)) AS reach FROM n),
@@ -228,7 +232,7 @@ n AS (SELECT *, CAST(sum(CASE WHEN o THEN 1 ELSE 0 END) OVER (PARTITION BY page,
     "geo_changed_pages": f"{_change} SELECT page FROM c WHERE change > 0.002",
     "geo_colors": f"WITH {_P('p', 'true')}, s AS (SELECT page, floor(r / (256 / 24::DOUBLE)) AS rb, floor(g / (256 / 24::DOUBLE)) AS gb, floor(b / (256 / 24::DOUBLE)) AS bb, count(*) AS n, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM p GROUP BY 1, 2, 3, 4), k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, rb, gb, bb) AS k FROM s) SELECT page, CAST(floor(r / n + 0.5) AS INTEGER) AS r, CAST(floor(g / n + 0.5) AS INTEGER) AS g, CAST(floor(b / n + 0.5) AS INTEGER) AS b, n FROM k WHERE k = 1",
     "geo_signature": f"WITH {_P('p', 'true')} SELECT page, x, y, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.75::DOUBLE - (r * 2 + g * 5 + b) / 2048) / 0.35::DOUBLE)), 9) AS ink FROM p",
-    "geo_page_kinds": f"WITH {_L}, {_F}, t AS (SELECT page, count(*) * 3 AS chars FROM l WHERE line_id % 9 = 0 GROUP BY page), p AS (SELECT page, max((x1 - x0) * (y1 - y0)) AS picture FROM f GROUP BY page) SELECT t.page, chars < 24 AND coalesce(picture, 0) >= 300.0::DOUBLE * 400 * 0.55::DOUBLE AS scanned, t.page = 1 AND ((chars <= 40 AND picture IS NOT NULL) OR (chars = 0 AND picture IS NULL) OR (chars <= 800 AND picture IS NOT NULL)) AS cover FROM t LEFT JOIN p ON t.page = p.page",
+    "geo_page_kinds": f"WITH {_L}, {_F}, t AS (SELECT page, sum(CASE WHEN line_id % 9 = 0 THEN 3 ELSE 0 END) AS chars FROM l GROUP BY page), p AS (SELECT page, max((x1 - x0) * (y1 - y0)) AS picture FROM f GROUP BY page) SELECT t.page, chars < 24 AND coalesce(picture, 0) >= 300.0::DOUBLE * 400 * 0.55::DOUBLE AS scanned, t.page = 1 AND ((chars <= 40 AND picture IS NOT NULL) OR (chars = 0 AND picture IS NULL) OR (chars <= 800 AND picture IS NOT NULL)) AS cover FROM t LEFT JOIN p ON t.page = p.page",
     "geo_bars": f"WITH {_F}, g AS (SELECT page, count(*) AS n, count(DISTINCT floor((x1 - x0) / 2 + 0.5)) AS widths, count(DISTINCT floor((y1 - y0) / 2 + 0.5)) AS heights FROM f WHERE color <> 'FFFFFF' GROUP BY page) SELECT *, n >= 4 AND (widths >= 3 OR heights >= 3) AS bars FROM g",
     "geo_horizontal": f"WITH {_S} SELECT page, count(*) AS n FROM s WHERE abs(span_id % 13 - 6) < 4 GROUP BY page",
     "list_numbers": """WITH e AS (SELECT user_id, event_id AS ord, CAST(event_id * 7 % 5 % 3 AS INTEGER) AS level FROM events),

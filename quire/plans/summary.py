@@ -54,7 +54,7 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return summary.answers(docs, docs.select("doc_id", F.lit(QUESTION).alias("question")))
+    return summary.answers(docs, F.lit(QUESTION))
 
 
 def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
