@@ -196,7 +196,12 @@ def only(df: DataFrame, ids: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. Documents that come in fewer parts than there are cores are dealt out to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores, "doc_id")
+    return rows
 
 
 def unsigned_fraction(key: Column, fraction: float) -> Column:
