@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.functions import text as T
 
@@ -37,7 +38,6 @@ def pieces(text: Column) -> Column:
 def _by_row(docs: DataFrame, id_col: str, text_col: str, names: list[str], fields: str, work: Callable[[list[str], list[str]], list[tuple]]) -> DataFrame:
     """id and ``fields``: the rows that ``work`` makes of each document's sentences, met once each, and their lower-case forms."""
     rows = docs.select(F.col(id_col).alias("id"), T.normalized(F.col(text_col)).alias("t")).where("t <> ''").select("id", pieces(F.col("t")).alias("s"))
-    rows = rows.select("id", "s", F.transform("s", F.lower).alias("low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -45,10 +45,10 @@ def _by_row(docs: DataFrame, id_col: str, text_col: str, names: list[str], field
         own = to_arrow_schema(made)
         for batch in batches:
             out, source = [], []
-            for n, (s, low) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for n, s in enumerate(batch.column(1).to_pylist()):
                 first: dict[str, str] = {}
-                for x, y in zip(s, low, strict=True):
-                    first.setdefault(y, x)
+                for x in s:
+                    first.setdefault(x.lower(), x)
                 found = work(list(first.values()), list(first))
                 out += found
                 source += [n] * len(found)
@@ -56,8 +56,6 @@ def _by_row(docs: DataFrame, id_col: str, text_col: str, names: list[str], field
             arrays = [pa.array(c, f.type) for c, f in zip(columns, list(own)[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *arrays], names=own.names)
 
-    from pyspark.sql.types import StructType
-
     made = StructType([rows.schema["id"], *StructType.fromDDL(fields).fields])
     return rows.mapInArrow(run, made)
 
