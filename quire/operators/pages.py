@@ -30,8 +30,9 @@ def selection(text: Column, total: Column) -> Column:
 
 def selection_text(picked: Column) -> Column:
     """The shortest text for sorted distinct pages from 0."""
-    edges = F.filter(picked, lambda p: ~F.array_contains(picked, p - 1))
-    ends = F.filter(picked, lambda p: ~F.array_contains(picked, p + 1))
+    # a run begins where the page before is not the one in the list before, and ends likewise
+    edges = F.filter(picked, lambda p, i: (i == 0) | (F.get(picked, i - 1) < p - 1))
+    ends = F.filter(picked, lambda p, i: F.coalesce(F.get(picked, i + 1) > p + 1, F.lit(True)))
     return F.array_join(F.zip_with(edges, ends, lambda a, b: F.when(a == b, (a + 1).cast("string")).otherwise(F.concat_ws("-", (a + 1).cast("string"), (b + 1).cast("string")))), ", ")
 
 
@@ -85,8 +86,8 @@ def without_pages(pages: DataFrame, drop: DataFrame, doc: str, page: str) -> Dat
     return kept.unionByName(whole)
 
 
-def merged(*parts: DataFrame, order: str = "page") -> DataFrame:
-    """All pages of all parts, numbered through: part by part, each in its order."""
+def merged(*parts: DataFrame) -> DataFrame:
+    """All pages of all parts, each with the number of its part; by part and then their own order they are one document."""
     rows = None
     for n, part in enumerate(parts):
         one = part.withColumn("part", F.lit(n))

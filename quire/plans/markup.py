@@ -92,6 +92,8 @@ pt AS (SELECT doc_id, n, kind, CASE kind WHEN 'blank' THEN NULL WHEN 'h3' THEN r
 blocks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS ord, kind, text FROM (SELECT * FROM pt UNION ALL SELECT * FROM code))"""
 QUERIES = {f.__name__: f for f in (html_text, html_words, html_safe, html_urls, html_layout, markdown_blocks, markdown_as_is, csv_cells, csv_ragged, plain_lines)}
 SQL = {
+    "csv_cells": """WITH l AS (SELECT p_brand, p_partkey, p_name, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey || ',"' || replace(p_name, ' ', ' ""') || '",' || p_type || ' "a,b"') - 1 AS n FROM part)
+SELECT p_brand, CAST(n AS INTEGER) AS row, CAST(unnest([0, 1, 2]) AS INTEGER) AS col, unnest([CAST(p_partkey AS VARCHAR), replace(p_name, ' ', ' "'), p_type || ' a,b']) AS text FROM l""",
     "html_text": f"SELECT page_id, {TEXT} AS text FROM pages",
     "html_words": f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split({TEXT}, ' ')) AS word FROM pages) WHERE word <> '' GROUP BY word",
     "html_safe": "SELECT page_id, md5(regexp_replace(" + _SAFE.replace("{x}", "replace(html, '<p>', '<p onclick=\"x()\" ONLOAD=y>')") + ", '(?i)[ \\t\\r\\n]on[a-z]+[ \\t\\r\\n]*=[ \\t\\r\\n]*(?:\"[^\"]*\"|''[^'']*''|[^ \\t\\r\\n>]+)', '', 'g')) AS digest FROM pages",

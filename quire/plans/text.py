@@ -110,6 +110,7 @@ _norm = f"regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n|\\r', chr(1
 
 QUERIES = {f.__name__: f for f in (str_normalize, str_word_offsets, str_phrase_counts, str_word_chunks, str_markdown_inline, str_folded, str_headings, str_rejoined, str_markers, str_numbers, str_escaped, str_sheet_names, str_field_labels, str_font_names, str_list_numbers, str_sizes, text_layer_codes)}
 SQL = {
+    "text_layer_codes": "WITH p AS (SELECT conv_id, turn, list_filter(string_split(text, ''), lambda c: c <> '' AND unicode(c) < 65536) AS c FROM conversations) SELECT conv_id, turn, md5(array_to_string(list_transform(c, lambda x: printf('%04X', unicode(x))), '')) AS digest, CAST(len(c) AS INTEGER) AS units FROM p",
     "str_normalize": f"SELECT doc_id, md5({_norm}) AS digest FROM documents",
     "str_word_offsets": f"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[^{T.BLANKS}]+') AS m, string_split_regex(text, '[^{T.BLANKS}]+') AS b FROM conversations),
 f AS (SELECT conv_id, turn, unnest(range(len(m))) AS i, m, b FROM w),
