@@ -6,20 +6,23 @@ anywhere needs a scan of characters, done a batch at a time in Python.
 
 from __future__ import annotations
 
+import html.entities
 import html.parser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import BLANK, BLANKS, trimmed
+from quire.functions.text import BLANK, BLANKS, let, trimmed
 
 #: Elements whose content is not text of a page, elements that are taken out as unsafe, elements kept in one piece.
 SKIPPED = ("script", "style", "noscript", "title", "head", "template")
 UNSAFE = ("script", "object", "embed", "iframe", "frame")
 ATOMIC = ("img", "svg", "canvas", "video", "table")
-#: Entities that are decoded, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: A character reference, by number or by name.
+REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: The entities that the test pages hold, for their SQL, the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def without_elements(page: Column, names: tuple[str, ...]) -> Column:
@@ -34,10 +37,29 @@ def safe(page: Column) -> Column:
     return F.regexp_replace(without_elements(page, UNSAFE), r"""(?i)[ \t\r\n]on[a-z]+[ \t\r\n]*=[ \t\r\n]*(?:"[^"]*"|'[^']*'|[^ \t\r\n>]+)""", "")
 
 
+def _names() -> Column:
+    """Code points of the named characters of HTML 4, and the apostrophe."""
+    known = {**html.entities.name2codepoint, "apos": 39}
+    return F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+
+
 def decoded(text: Column) -> Column:
-    for a, b in ENTITIES:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
+    """Character references decoded, each once; an unknown name stays as it is, and a number of no character is a U+FFFD."""
+
+    def character(reference: Column) -> Column:
+        body = F.substring(reference, 2, F.length(reference) - 2)
+        number = F.when(body.rlike("^#[0-9]"), F.substring(body, 2, 7).cast("int")).when(body.startswith("#"), F.conv(F.substring(body, 3, 6), 16, 10).cast("int"))
+
+        def shown(code: Column) -> Column:
+            fits = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+            made = F.decode(F.unhex(F.lpad(F.hex(F.when(fits, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+            return F.when(code.isNull(), reference).otherwise(made)
+
+        return let(F.coalesce(number, F.try_element_at(_names(), body)), shown)
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({REFERENCE})"), F.lit(1)), character)
+    whole = F.array_join(F.zip_with(F.split(text, REFERENCE, -1), found, lambda b, c: F.concat(b, F.coalesce(c, F.lit("")))), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def page_text(page: Column) -> Column:

@@ -189,3 +189,15 @@ def test_checksums(spark, sf_dir):
     text = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in plans.queries()["file_checksums"](spark, sf_dir).collect():
         assert (r.crc32, r.sha384, r.sha512) == (zlib.crc32(text[r.doc_id]), hashlib.sha384(text[r.doc_id]).hexdigest(), hashlib.sha512(text[r.doc_id]).hexdigest())
+
+
+def test_character_references(spark):
+    import html
+
+    from pyspark.sql import functions as F
+
+    from quire.sources.markup import decoded
+
+    texts = ["a &lt;b&gt; &amp;amp; c", "caf&eacute; &copy;&#8217;&#x1F600;", "&unknown; & &; &#0; &#55296; &#9999999;", "no reference", "&nbsp;&quot;&apos;&#39;&Omega;&hearts;", ""]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(decoded(F.col("t"))).collect()]
+    assert got == [html.unescape(t) for t in texts]
