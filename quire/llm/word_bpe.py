@@ -2,15 +2,17 @@
 
 In a byte-pair encoding every prefix of a word ends in exactly one last token.
 That token is a suffix of the prefix for which the rest, another prefix, ends
-in a token that may stand before it. So for each prefix the tokens that match
-a suffix are found with an automaton over reversed tokens, tested against the
-stored last token of the prefix before them, and the one that passes is
-stored. Following the back-pointers from the whole word gives its ids.
+in a token that may stand before it. So an automaton goes through the word
+once; its suffix links give the tokens that end at each place, longest first.
+They are tested against the stored last token of the prefix before them, and
+the one that passes is stored. Following the back-pointers from the whole word
+gives its ids.
 
 A pair of tokens may stand side by side if undoing their merges, latest first,
 never meets a merge across the border that would have come earlier.
 
-All words of a batch take each step together, as numpy arrays.
+All words of a batch take each step together, as numpy arrays; the few that are
+far longer than the others go on alone.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:
 #: The same pattern as the tokenizer files of this kind state it (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NONE = np.int64(1) << 40
+#: Words that go on when fewer are left than this are taken one by one.
+FEW_WORDS = 16
+#: Pairs that a worker remembers for such words; they take some 20 MB.
+MET_PAIRS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,6 +118,8 @@ class WordBpe:
         self.length = np.array([len(s) for s in sequence], np.int64)
         merges = np.arange(self.base, self.size, dtype=np.int64)
         self.pairs = IntMap(self.left[merges] * self.size + self.right[merges], merges)
+        self._split, self._merge = split, dict(zip((self.left[merges] * self.size + self.right[merges]).tolist(), merges.tolist(), strict=True))
+        self._met: dict[int, bool] = {}
         # a token that its own text does not encode to never occurs
         whole = np.ones(self.size, bool)
         whole[merges] = self._side_by_side(self.left[merges], self.right[merges], merges)
@@ -124,20 +132,59 @@ class WordBpe:
         self._fits = np.zeros(1 << 17, bool)
 
     def _automaton(self, sequence: list[tuple], whole: np.ndarray) -> None:
-        """A trie of reversed tokens: a walk back from a position finds all tokens that end there."""
+        """Goes through a word once; its state is the longest suffix so far that begins a token.
+
+        ``step`` has the moves to longer prefixes, ``link`` the longest proper
+        suffix of a state that is a state too. ``ends`` is the longest token
+        that a state ends in, ``shorter`` the next one that ends there as well.
+        Every symbol is a token, so there is always one.
+        """
         step: dict[int, int] = {}
-        ends = [-1]
+        symbol, parent, token = [0], [0], [-1]
+        state_of = np.zeros(self.size, np.int64)
         for t in np.flatnonzero(whole).tolist():
             node = 0
-            for s in reversed(sequence[t]):
+            for s in sequence[t]:
                 key = node * self.base + s
                 if key not in step:
-                    step[key] = len(ends)
-                    ends.append(-1)
+                    step[key] = len(token)
+                    symbol.append(s)
+                    parent.append(node)
+                    token.append(-1)
                 node = step[key]
-            ends[node] = t
+            token[node] = t
+            state_of[t] = node
+        link, ends = [0] * len(token), list(token)
+        depth = [0] * len(token)
+        for node in range(1, len(token)):  # parents come before their children
+            depth[node] = depth[parent[node]] + 1
+        for node in sorted(range(1, len(token)), key=depth.__getitem__):
+            at = parent[node]
+            while at:
+                at = link[at]
+                to = step.get(at * self.base + symbol[node])
+                if to is not None:
+                    link[node] = to
+                    break
+            if token[node] < 0:
+                ends[node] = ends[link[node]]
         self.step = IntMap(np.fromiter(step, np.int64, len(step)), np.fromiter(step.values(), np.int64, len(step)))
-        self.ends = np.array(ends, np.int64)
+        self.link, self.ends = np.array(link, np.int64), np.array(ends, np.int64)
+        self.shorter = np.where(whole, self.ends[self.link[state_of]], -1)
+        self._plain = step, link, ends, self.shorter.tolist(), self.length.tolist()
+
+    def _moved(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """States after one more symbol each."""
+        to = self.step.get(state * self.base + symbol)
+        left = np.flatnonzero(to < 0)
+        at = state[left]
+        while left.size:
+            at = self.link[at]
+            found = self.step.get(at * self.base + symbol[left])
+            to[left] = found
+            on = found < 0
+            left, at = left[on], at[on]
+        return to
 
     def _side_by_side(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Whether each pair stays apart when merges up to ``limit`` are made in order."""
@@ -177,31 +224,26 @@ class WordBpe:
         ends = np.cumsum(sizes)
         if self.suffix:
             symbol[ends - 1] += 256
-        nth = np.arange(len(symbol)) - np.repeat(ends - sizes, sizes)
-        at, node, back = np.arange(len(symbol)), np.zeros(len(symbol), np.int64), 0
-        where, token = [], []
-        while at.size:
-            node = self.step.get(node * self.base + symbol[at - back])
-            on = node >= 0
-            at, node = at[on], node[on]
-            t = self.ends[node]
-            found = t >= 0
-            where.append(at[found])
-            token.append(t[found])
-            on = nth[at] > back
-            at, node, back = at[on], node[on], back + 1
-        where, token = np.concatenate(where), np.concatenate(token)
-        order = np.argsort(nth[where], kind="stable")
-        where, token = where[order], token[order]
-        bounds = np.searchsorted(nth[where], np.arange(int(sizes.max(initial=0)) + 1))
+        # words by falling length, so that those that go on come first
+        order = np.argsort(-sizes, kind="stable")
+        begin = (ends - sizes)[order]
+        going = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), "left")
+        state = np.zeros(len(pieces), np.int64)
         last = np.full(len(symbol), -1, np.int64)
-        for n in range(len(bounds) - 1):
-            p, t = where[bounds[n] : bounds[n + 1]], token[bounds[n] : bounds[n + 1]]
-            before = p - self.length[t]
-            fits = self.length[t] == n + 1
-            rest = np.flatnonzero(~fits)
-            fits[rest] = self._compatible(last[before[rest]], t[rest])
-            last[p[fits]] = t[fits]
+        for n, k in enumerate(going.tolist()):
+            if k < FEW_WORDS:
+                for b, e, at in zip(begin[:k].tolist(), ends[order[:k]].tolist(), state[:k].tolist(), strict=True):
+                    last[b:e] = self._rest(symbol[b:e].tolist(), last[b : b + n].tolist(), at)
+                break
+            at = begin[:k] + n
+            state[:k] = self._moved(state[:k], symbol[at])
+            token = self.ends[state[:k]]
+            while at.size:  # the longest token that ends here first
+                fits = self.length[token] == n + 1
+                rest = np.flatnonzero(~fits)
+                fits[rest] = self._compatible(last[at[rest] - self.length[token[rest]]], token[rest])
+                last[at[fits]] = token[fits]
+                at, token = at[~fits], self.shorter[token[~fits]]
         # back-pointers, all words at once
         p, word, first = ends - 1, np.arange(len(pieces)), ends - sizes
         words, tokens = [], []
@@ -216,6 +258,40 @@ class WordBpe:
         order = np.argsort(words, kind="stable")
         return self.external[tokens[order]], np.bincount(words, minlength=len(pieces))
 
+    def _rest(self, symbols: list[int], last: list[int], state: int) -> list[int]:
+        """Last tokens of all prefixes of one word, those of its first prefixes being known. For long words, a step at a time."""
+        step, link, ends, shorter, length = self._plain
+        for n in range(len(last), len(symbols)):
+            while (to := step.get(state * self.base + symbols[n])) is None:
+                state = link[state]
+            state = to
+            t = ends[state]
+            while length[t] <= n and not self._fit(last[n - length[t]], t):
+                t = shorter[t]
+            last.append(t)
+        return last
+
+    def _fit(self, a: int, b: int) -> bool:
+        """``_side_by_side`` of one pair without limit."""
+        code = a * self.size + b
+        known = self._met.get(code)
+        if known is None:
+            if len(self._met) >= MET_PAIRS:
+                self._met.clear()
+            limit, known = self.size, True
+            while True:
+                if self._merge.get(a * self.size + b, limit) < limit:
+                    known = False
+                    break
+                if a < self.base and b < self.base:
+                    break
+                if a > b:
+                    limit, a = a, self._split[a][1]
+                else:
+                    limit, b = b + 1, self._split[b][0]
+            self._met[code] = known
+        return known
+
     def pieces(self, word: str) -> list[bytes | int]:
         """Pre-tokens of a word without spaces or newlines, as bytes; an added token as its id."""
         if word.isascii() and word.isalpha():
