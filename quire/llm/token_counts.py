@@ -2,17 +2,20 @@
 
 Every text falls apart into pre-tokens that no merge of the model crosses, so
 the count of a text is the sum of the counts of its pre-tokens. Frequent
-pre-tokens and their counts form a small table that is broadcast; the others
-are encoded by the library and kept in a bounded cache of the worker. No
-pre-token is shuffled. The table and the caches only save time: every count is
-the library's own.
-
-Null and empty texts have 0 tokens. Repeated rows each get their row. Other
-columns of the input are ignored, whatever their names.
+pre-tokens of all texts and their counts form a small table that is broadcast;
+the others are encoded by the library and kept in a bounded cache of the
+worker. Texts and their pre-tokens are not shuffled, only one bounded summary
+of each task. The table and the caches only save time: every count is the
+library's own, so ties among frequent pre-tokens do not matter.
+
+Null and empty texts have 0 tokens, an empty table no rows. Repeated rows each
+get their row. A very long text is counted whole, as one slice of its batch.
+Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,15 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.frames import map_arrow, map_text, pick, strings, unsigned_fraction
+from quire.llm.frames import map_arrow, map_text, pick, slices, strings
 
 SPACE = "▁"
 #: Entries of a worker's cache before it starts afresh.
 CACHE_ENTRIES = 150_000
 #: Entries of the broadcast table; with texts of pre-tokens this is about 2 MB.
 FREQUENT = 30_000
-#: Rows that the broadcast table is fitted on. It never changes a count.
-FIT_ROWS = 4_000
+#: Words that a task holds while it counts; of more, those below the FREQUENT-th count go (see ``thinned``).
+HELD = 8 * FREQUENT
 #: Longest pre-token that a cache keeps.
 KEEP_CHARS = 64
 
@@ -134,39 +137,52 @@ def _counter(model: bytes, frequent: dict[str, int]) -> PieceCounter:
     return _models[key]
 
 
-def frequent_table(df: DataFrame, model: bytes, id_col: str, text_col: str, entries: int = FREQUENT, fit_rows: int = FIT_ROWS) -> dict[str, int]:
-    """Counts of pre-tokens frequent in about ``fit_rows`` whole texts.
+def thinned(seen: Counter[str], entries: int) -> Counter[str]:
+    """A summary of at most ``entries`` words: the next count is taken off every word, and words left with nothing go.
 
-    Each task sums up its own rows and passes on at most ``entries`` words.
+    Such summaries may be counted on, added up and thinned again; a word of a
+    share above one in ``entries`` of all words is never lost.
     """
-    docs = pick(df, {"id": id_col, "text": text_col})
-    n = docs.count()
-    if not n:
-        return {}
-    fitted = docs.where(unsigned_fraction(F.col("id"), min(1.0, fit_rows / n))).select("text")
+    if len(seen) <= entries:
+        return seen
+    off = heapq.nlargest(entries + 1, seen.values())[-1]
+    return Counter({w: c - off for w, c in seen.items() if c > off})
+
+
+def frequent_table(df: DataFrame, model: bytes, text_col: str, entries: int = FREQUENT) -> dict[str, int]:
+    """Counts of the pre-tokens most frequent in all texts.
+
+    Each task sums up its own rows in a summary of bounded size and passes on
+    at most ``entries`` words, those seen once left out.
+    """
+    texts = pick(df, {"text": text_col})
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
-            for t in strings(batch.column(0)):
-                seen.update(t.replace("\n", " \n").split(" "))
-        best = [(w, c) for w, c in seen.most_common(entries) if w and len(w) <= KEEP_CHARS and c > 1]
+            for a, b in slices(batch.column(0)):
+                for t in strings(batch.column(0).slice(a, b - a)):
+                    seen.update(t.replace("\n", " \n").split(" "))
+                if len(seen) > max(HELD, 2 * entries):
+                    seen = thinned(Counter({w: c for w, c in seen.items() if len(w) <= KEEP_CHARS}), entries)
+        best = [(w, c) for w, c in seen.items() if w and len(w) <= KEEP_CHARS and c > 1]
+        best = heapq.nlargest(entries, best, key=lambda x: (x[1], x[0]))
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([c for _, c in best], pa.int64())], names=["w", "c"])
 
-    rows = map_arrow(fitted, summed, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(entries).collect()
+    rows = map_arrow(texts, summed, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(entries).collect()
     counter = PieceCounter(model)
     words = [r.w for r in rows if SPACE not in r.w]
     return dict(zip(words, counter.encode_counts(words), strict=True)) if words and counter.splits else {}
 
 
-def token_counts(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, entries: int = FREQUENT, fit_rows: int = FIT_ROWS) -> DataFrame:
+def token_counts(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, entries: int = FREQUENT) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for every row of ``df``.
 
     ``model`` is the content of a sentencepiece model file. If its pieces cross
     spaces or it rewrites texts, whole texts are given to the library instead.
     """
     sc = df.sparkSession.sparkContext
-    shared = sc.broadcast((model, frequent_table(df, model, id_col, text_col, entries, fit_rows)))
+    shared = sc.broadcast((model, frequent_table(df, model, text_col, entries)))
 
     def make():
         counter = _counter(*shared.value)

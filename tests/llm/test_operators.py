@@ -78,6 +78,26 @@ def test_token_counts_of_odd_spacing():
     assert counter.counts(texts) == [len(counter.library.encode(t)) for t in texts]
 
 
+def test_frequent_pretokens_of_all_texts(spark):
+    texts = [" ".join(f"w{i % (n + 1)}" for i in range(40)) for n in range(400)] + [None, "", "x" * 5_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    seen = Counter(w for t in texts for w in (t or "").split(" ") if w)
+    best = sorted(seen, key=lambda w: (-seen[w], w))
+    assert set(token_counts.frequent_table(docs, PIECE, "text", entries=12)) == set(best[:12])
+
+
+def test_thinned_summaries_keep_frequent_words():
+    rng, seen, all_seen = random.Random(4), Counter(), Counter()
+    for _ in range(200):
+        words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(200)]
+        seen.update(words)
+        all_seen.update(words)
+        seen = token_counts.thinned(seen, 50)
+        assert len(seen) <= 50
+    assert {w for w, c in all_seen.items() if c > all_seen.total() / 50} <= set(seen)
+    assert all(0 <= all_seen[w] - c <= all_seen.total() / 50 for w, c in seen.items())
+
+
 # byte-pair encoding
 
 
@@ -111,6 +131,18 @@ def test_encoding_of_random_texts():
         assert ids[begins[i] : begins[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_few_long_words():
+    from quire.llm import word_bpe
+
+    rng, tokenizer, bpe = random.Random(9), library(), word_bpe.WordBpe(WORD)
+    stems = ["under", "standing", "lion", "ess", "qx", "é", "中文", "the", "ab"]
+    words = ["".join(rng.choice(stems) for _ in range(n)) for n in (1, 2, 3, 5, 400, 800, 2_000)] + ["a" * 3_000]
+    many = words + ["".join(rng.choice(stems) for _ in range(rng.randint(1, 6))) for _ in range(2 * word_bpe.FEW_WORDS)]
+    for batch in (words, many):
+        for w, ids in zip(batch, bpe.encode_words(batch), strict=True):
+            assert np.frombuffer(ids, "<i4").tolist() == tokenizer.encode(w, add_special_tokens=False).ids, w
+
+
 def test_table_starts_afresh(monkeypatch):
     from quire.llm import piece_table
     from quire.llm.word_bpe import WordBpe
