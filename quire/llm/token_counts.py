@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.frames import map_arrow, map_text, pick, slices, strings
+from quire.llm.frames import dropped, map_arrow, map_text, pick, slices, stored, strings
 
 SPACE = "▁"
 #: Entries of a worker's cache before it starts afresh.
@@ -33,6 +33,8 @@ CACHE_ENTRIES = 150_000
 FREQUENT = 30_000
 #: Words that a task holds while it counts; of more, those below the FREQUENT-th count go (see ``thinned``).
 HELD = 8 * FREQUENT
+#: Sizes of counts in a doubling; there are fewer than 64 doublings.
+STEPS = 16
 #: Longest pre-token that a cache keeps.
 KEEP_CHARS = 64
 
@@ -153,7 +155,10 @@ def frequent_table(df: DataFrame, model: bytes, text_col: str, entries: int = FR
     """Counts of the pre-tokens most frequent in all texts.
 
     Each task sums up its own rows in a summary of bounded size and passes on
-    at most ``entries`` words, those seen once left out.
+    at most ``entries`` words, those seen once left out. To the driver go the
+    numbers of words by the size of their count, in steps of ``STEPS`` to a
+    doubling, and then the words of the greatest sizes that together are no
+    more than ``entries``.
     """
     texts = pick(df, {"text": text_col})
 
@@ -169,7 +174,16 @@ def frequent_table(df: DataFrame, model: bytes, text_col: str, entries: int = FR
         best = heapq.nlargest(entries, best, key=lambda x: (x[1], x[0]))
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([c for _, c in best], pa.int64())], names=["w", "c"])
 
-    rows = map_arrow(texts, summed, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(entries).collect()
+    merged = stored(map_arrow(texts, summed, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")), "pretokens")
+    step = F.floor(F.log2("c") * STEPS).cast("long")
+    total, least = 0, None
+    for size, n in merged.groupBy(step.alias("size")).count().orderBy(F.desc("size")).collect():
+        total += n
+        if total > entries:
+            break
+        least = size
+    rows = [] if least is None else merged.where(step >= least).collect()
+    dropped(df.sparkSession, merged)
     counter = PieceCounter(model)
     words = [r.w for r in rows if SPACE not in r.w]
     return dict(zip(words, counter.encode_counts(words), strict=True)) if words and counter.splits else {}

@@ -83,7 +83,11 @@ def test_frequent_pretokens_of_all_texts(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     seen = Counter(w for t in texts for w in (t or "").split(" ") if w)
     best = sorted(seen, key=lambda w: (-seen[w], w))
-    assert set(token_counts.frequent_table(docs, PIECE, "text", entries=12)) == set(best[:12])
+    for entries in (5, 12, 30, 1_000):
+        got = set(token_counts.frequent_table(docs, PIECE, "text", entries=entries))
+        assert got == set(best[: len(got)]) and len(got) <= entries
+        below = seen[best[entries]] if entries < len(best) else 1
+        assert {w for w in best if seen[w] > 1.05 * below} <= got
 
 
 def test_thinned_summaries_keep_frequent_words():
