@@ -94,6 +94,11 @@ QUERIES = {f.__name__: f for f in (html_text, html_words, html_safe, html_urls,
 SQL = {
     "csv_cells": """WITH l AS (SELECT p_brand, p_partkey, p_name, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey || ',"' || replace(p_name, ' ', ' ""') || '",' || p_type || ' "a,b"') - 1 AS n FROM part)
 SELECT p_brand, CAST(n AS INTEGER) AS row, CAST(unnest([0, 1, 2]) AS INTEGER) AS col, unnest([CAST(p_partkey AS VARCHAR), replace(p_name, ' ', ' "'), p_type || ' a,b']) AS text FROM l""",
+    # an even number of quotes stands before each comma and line end that parts cells
+    "csv_ragged": f"""WITH q AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '"') AS p FROM documents),
+j AS (SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 THEN x WHEN i > 1 AND i < len(p) AND x = '' THEN '"' ELSE replace(replace(x, ',', chr(1)), chr(10), chr(2)) END), '') AS t FROM q),
+r AS (SELECT doc_id, string_split(row, chr(1)) AS cells FROM (SELECT doc_id, unnest(string_split(t, chr(2))) AS row FROM j) WHERE regexp_matches(row, '[^{T.BLANKS}\\x01]'))
+SELECT doc_id, CAST(count(*) - 1 AS INTEGER) AS rows, CAST(max(len(cells)) - 1 AS INTEGER) AS columns, CAST(sum(len(list_filter(cells, lambda c: c = ''))) + count(*) * max(len(cells)) - sum(len(cells)) AS BIGINT) AS blank FROM r GROUP BY doc_id""",
     "html_text": f"SELECT page_id, {TEXT} AS text FROM pages",
     "html_words": f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split({TEXT}, ' ')) AS word FROM pages) WHERE word <> '' GROUP BY word",
     "html_safe": "SELECT page_id, md5(regexp_replace(" + _SAFE.replace("{x}", "replace(html, '<p>', '<p onclick=\"x()\" ONLOAD=y>')") + ", '(?i)[ \\t\\r\\n]on[a-z]+[ \\t\\r\\n]*=[ \\t\\r\\n]*(?:\"[^\"]*\"|''[^'']*''|[^ \\t\\r\\n>]+)', '', 'g')) AS digest FROM pages",
