@@ -66,3 +66,29 @@ def filled(fields: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     rows = fields.join(new, [*keys, "name"], "left")
     value = F.when(F.col("read_only") | F.col("new_value").isNull(), F.col("value")).otherwise(F.col("new_value"))
     return rows.withColumn("value", value).withColumn("order", F.coalesce("page", F.lit(1_000_000))).drop("new_value")
+
+
+#: How thick a drawn rule may be, in English Metric Units, and what its wrapping is set to.
+HAIRLINE = 12700
+WRAPPING = (("<wp:wrapNone/>", "<wp:wrapTopAndBottom/>"), ('behindDoc="0"', 'behindDoc="1"'), ('<w10:wrap type="none"/>', '<w10:wrap type="topAndBottom"/>'))
+_DRAWING = "mc:AlternateContent"
+
+
+def repaired_rules(xml: Column) -> Column:
+    """The XML of a word-processor document whose drawn hairlines keep text above and below them; all else stays as it is."""
+
+    def mended(block: Column) -> Column:
+        out = F.regexp_replace(block, "z-index:([0-9])", r"z-index:-$1")
+        for old, new in WRAPPING:
+            # the first one only
+            out = F.regexp_replace(out, rf"(?s)^(.*?)\Q{old}\E", f"$1{new}")
+        thick = F.regexp_extract(block, '<wp:extent cx="[0-9]+" cy="([0-9]+)"', 1)
+        thin = F.contains(block, F.lit("<wp:wrapNone/>")) & (thick != "") & (F.try_to_number(thick, F.lit("9" * 38)) <= HAIRLINE)
+        return F.when(thin, out).otherwise(block)
+
+    def piece(text: Column) -> Column:
+        # what ends in one block, after what stands before it
+        at = F.instr(text, f"<{_DRAWING}>")
+        return F.when((at > 0) & text.endswith(f"</{_DRAWING}>"), F.concat(F.substring(text, F.lit(1), at - 1), mended(F.substring(text, at, F.length(text))))).otherwise(text)
+
+    return F.array_join(F.transform(F.split(xml, f"(?<=</{_DRAWING}>)"), piece), "")

@@ -7,9 +7,13 @@ filtered afterwards, so no page's rows all meet each other.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import matches
+
 #: Height of a grid row for range joins, in points.
 CELL = 64
 
@@ -256,3 +260,34 @@ def list_labels(items: DataFrame, keys: list[str], levels: int = 3) -> DataFrame
         out = out.withColumn(f"c{level}", F.sum(F.when(F.col("level") == level, 1).otherwise(0)).over(w))
     parts = F.array(*[F.when(F.col("level") >= i, F.greatest(F.col(f"c{i}"), F.lit(1))) for i in range(levels)])
     return out.withColumn("label", F.array_join(F.transform(F.filter(parts, lambda x: x.isNotNull()), lambda x: x.cast("string")), ".")).drop(*[f"c{i}" for i in range(levels)])
+
+
+# phrases
+
+
+def phrase_boxes(words: DataFrame, phrase: str, pad: float = 1.0) -> DataFrame:
+    """page, x, y, width, height around every occurrence of a phrase, case aside, none within another.
+
+    ``words`` has page, word_id, x, y, width, height and text. Words of one
+    rounded height are a line, joined by spaces; of a word that the phrase
+    covers in part, the box takes that part of its width.
+    """
+    needle = phrase.strip().lower()
+    texts = F.transform("ws", lambda w: w["text"])
+    lines = words.where("text <> ''").groupBy("page", F.floor(F.col("y") + 0.5).alias("level")).agg(F.array_sort(F.collect_list(F.struct("x", "word_id", "y", "width", "height", "text"))).alias("ws"))
+    lines = lines.withColumn("joined", F.lower(F.array_join(texts, " "))).where(F.lit(needle != "") & F.contains("joined", F.lit(needle)))
+    starts = F.transform("ws", lambda w, i: F.length(F.array_join(F.slice(texts, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0))
+    hits = lines.withColumn("at", starts).select("page", F.arrays_zip("ws", "at").alias("ws"), F.explode(matches(F.col("joined"), re.escape(needle))).alias("hit"))
+    start, stop = F.col("hit.start"), F.col("hit.stop")
+    size = lambda w: F.length(w["ws"]["text"])
+    under = F.filter("ws", lambda w: (w["at"] + size(w) > start) & (w["at"] < stop))
+    edge = lambda w, at: w["ws"]["x"] + at * (w["ws"]["width"] / size(w))
+    box = hits.select(
+        "page",
+        F.array_min(F.transform(under, lambda w: edge(w, F.greatest(F.lit(0), start - w["at"])))).alias("left"),
+        F.array_max(F.transform(under, lambda w: edge(w, F.least(size(w), stop - w["at"])))).alias("right"),
+        F.array_min(F.transform(under, lambda w: w["ws"]["y"])).alias("top"),
+        F.array_max(F.transform(under, lambda w: w["ws"]["y"] + w["ws"]["height"])).alias("bottom"),
+    )
+    sized = (F.col("right") - F.col("left") + 2 * pad).alias("width"), (F.col("bottom") - F.col("top") + 2 * pad).alias("height")
+    return box.where("right > left").select("page", (F.col("left") - pad).alias("x"), (F.col("top") - pad).alias("y"), *sized)

@@ -143,8 +143,22 @@ def form_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _size = lambda n: f"CASE WHEN {n} < 1024 THEN {n} || ' B' WHEN {n} < 1048576 THEN (CAST(floor({n} / 1024 * 10 + 0.5) AS BIGINT) // 10) || '.' || (CAST(floor({n} / 1024 * 10 + 0.5) AS BIGINT) % 10) || ' KB' ELSE (CAST(floor({n} / 1048576 * 10 + 0.5) AS BIGINT) // 10) || '.' || (CAST(floor({n} / 1048576 * 10 + 0.5) AS BIGINT) % 10) || ' MB' END"
-QUERIES = {f.__name__: f for f in (file_digests, file_checksums, pdf_text, pdf_errors, workbook_cells, document_paragraphs, presentation_slides, cipher_round_trips, uploads, file_kinds, compression_policy, compression_presets, recognised_words, recognised_counts, form_values)}
+#: A drawn rule of a part's size, which is a hairline up to size 25, wrapped by text unless the key says otherwise.
+DRAWN = """concat('<w:p>', p_name, '</w:p><mc:AlternateContent><wp:anchor behindDoc="0"><wp:extent cx="9" cy="', CAST(p_size * 508 AS VARCHAR(20)), '"/>', CASE WHEN p_partkey % 3 = 0 THEN '<wp:wrapSquare/>' ELSE '<wp:wrapNone/>' END,
+'</wp:anchor><v:line style="z-index:', CAST(p_partkey % 10 AS VARCHAR(20)), '"><w10:wrap type="none"/></v:line></mc:AlternateContent><w:p behindDoc="0">', p_brand, '</w:p>')"""
+
+
+def word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two drawn rules for each part, one of them of thickness 0, repaired."""
+    xml = F.expr(DRAWN.replace("VARCHAR(20)", "STRING"))
+    return table(spark, sf_dir, "part").select("p_partkey", O.repaired_rules(F.concat(xml, F.regexp_replace(xml, 'cy="[0-9]+"', 'cy="0"'))).alias("xml"))
+
+
+QUERIES = {f.__name__: f for f in (word_rules, file_digests, file_checksums, pdf_text, pdf_errors, workbook_cells, document_paragraphs, presentation_slides, cipher_round_trips, uploads, file_kinds, compression_policy, compression_presets, recognised_words, recognised_counts, form_values)}
 SQL = {
+    "word_rules": f"""WITH m AS (SELECT p_partkey, p_partkey % 3 <> 0 AS beside, p_size * 508 AS cy, {DRAWN} AS x FROM part),
+r AS (SELECT *, regexp_replace(replace(replace(replace(x, '<wp:wrapNone/>', '<wp:wrapTopAndBottom/>'), '<wp:anchor behindDoc="0">', '<wp:anchor behindDoc="1">'), '<w10:wrap type="none"/>', '<w10:wrap type="topAndBottom"/>'), 'z-index:([0-9])', 'z-index:-\\1') AS y FROM m)
+SELECT p_partkey, CASE WHEN beside AND cy <= 12700 THEN y ELSE x END || regexp_replace(CASE WHEN beside THEN y ELSE x END, 'cy="[0-9]+"', 'cy="0"') AS xml FROM r""",
     "file_digests": "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents",
     "pdf_text": f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS page, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, regexp_replace(regexp_replace(text, '{BLANK}+', ' ', 'g'), '^ | $', '', 'g') AS text, 'Conversation ' || conv_id AS title, CAST(NULL AS VARCHAR) AS error FROM conversations",
     "pdf_errors": "SELECT * FROM (VALUES (0, 0, 'password'), (1, 0, 'corrupt'), (2, 0, 'corrupt'), (3, 1, NULL), (3, 2, NULL), (4, 0, 'corrupt')) t(id, page, error)",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import geometry as G
 from quire.sources.tables import table
 
@@ -195,11 +196,28 @@ CHAIN = """WITH RECURSIVE chain(id, at, depth, path) AS (
   UNION ALL SELECT c.id, s.base, c.depth + 1, concat(c.path, CAST(s.id AS STRING), '/') FROM chain c JOIN {part_styles} s ON c.at = s.id WHERE c.depth < 20 AND instr(c.path, concat('/', CAST(s.id AS STRING), '/')) = 0)
 SELECT id, max(depth) AS depth, max_by(path, depth) AS path FROM chain GROUP BY id"""
 _near = "abs(x - sx) <= 1.5 AND abs(floor(baseline + 0.5) - floor(sy + 0.5)) <= 1"
-QUERIES = {f.__name__: f for f in (geo_decorations, geo_shading, geo_links, geo_band_join, geo_survivors, geo_touched_pages, geo_slots, geo_clusters, geo_gutters, geo_band_cuts, geo_spacing, geo_coverage, geo_segments, geo_runs, geo_paragraphs, geo_alignment, geo_column_alignment, geo_font_sizes, geo_page_turns, geo_medians, geo_bounds, geo_margins, geo_pixel_change, geo_changed_pages, geo_colors, geo_signature, geo_page_kinds, geo_bars, geo_horizontal, list_numbers, style_chains)}
+#: Two words, the second of them cut, as they stand in many documents.
+PHRASE_PART = "the wa"
+
+
+def geo_phrase_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents set twelve words to a line, the words of a line a little up and down."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.posexplode(T.words(F.col("text"))).alias("i", "text"))
+    placed = words.select("page", F.col("i").alias("word_id"), F.expr("i % 12 * 50D").alias("x"), F.expr("floor(i / 12) * 14D + i % 3 * 0.125D").alias("y"), (F.length("text") * 5.0).alias("width"), F.lit(10.0).alias("height"), "text")
+    return G.phrase_boxes(placed, PHRASE_PART)
+
+
+QUERIES = {f.__name__: f for f in (geo_phrase_boxes, geo_decorations, geo_shading, geo_links, geo_band_join, geo_survivors, geo_touched_pages, geo_slots, geo_clusters, geo_gutters, geo_band_cuts, geo_spacing, geo_coverage, geo_segments, geo_runs, geo_paragraphs, geo_alignment, geo_column_alignment, geo_font_sizes, geo_page_turns, geo_medians, geo_bounds, geo_margins, geo_pixel_change, geo_changed_pages, geo_colors, geo_signature, geo_page_kinds, geo_bars, geo_horizontal, list_numbers, style_chains)}
 _S, _R, _F, _L = f"s AS ({SPANS})", f"r AS ({RULES})", f"f AS ({FILLS})", f"l AS ({LINES})"
 _P = lambda name, w: f"{name} AS ({PIXELS.format(w=w)})"
 _change = f"WITH {_P('a', chr(108) + '_returnflag = ' + chr(39) + 'A' + chr(39))}, {_P('b', chr(108) + '_returnflag = ' + chr(39) + 'R' + chr(39))}, j AS (SELECT page, a.r IS NULL OR b.r IS NULL OR abs(a.r - b.r) + abs(a.g - b.g) + abs(a.b - b.b) > 48 AS c FROM a FULL JOIN b USING (page, x, y)), c AS (SELECT page, least(1.0::DOUBLE, count(*) FILTER (coalesce(c, true)) / count(*)) AS change FROM j GROUP BY page)"
 SQL = {
+    "geo_phrase_boxes": f"""WITH w AS (SELECT doc_id AS page, unnest(range(len(p))) AS i, unnest(p) AS t FROM (SELECT doc_id, regexp_extract_all(text, '[^{T.BLANKS}]+') AS p FROM documents)),
+o AS (SELECT *, i // 12 AS line, sum(length(t) + 1) OVER (PARTITION BY page, i // 12 ORDER BY i) - length(t) - 1 AS off, i % 12 * 50e0 AS x, i // 12 * 14e0 + i % 3 * 0.125e0 AS y FROM w),
+l AS (SELECT page, line, string_split(lower(string_agg(t, ' ' ORDER BY i)), '{PHRASE_PART}') AS p FROM o GROUP BY page, line),
+h AS (SELECT page, line, k, list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * {len(PHRASE_PART)} AS start FROM (SELECT *, unnest(range(1, len(p))) AS k FROM l)),
+b AS (SELECT o.page, o.line, k, min(x + greatest(0, start - off) * 5) AS l, max(x + least(length(t), start + {len(PHRASE_PART)} - off) * 5) AS r, min(y) AS t, max(y + 10) AS b FROM h JOIN o ON o.page = h.page AND o.line = h.line AND off + length(t) > start AND off < start + {len(PHRASE_PART)} GROUP BY o.page, o.line, k)
+SELECT page, l - 1 AS x, t - 1 AS y, r - l + 2 AS width, b - t + 2 AS height FROM b""",
     "geo_decorations": f"""WITH {_S}, {_R}, t AS (SELECT *, count(*) OVER (PARTITION BY page) AS n FROM r WHERE horizontal AND thickness <= 2), k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY rule_id) AS k FROM t WHERE n <= 400 OR "end" - "start" > 12),
 h AS (SELECT s.page, s.span_id, max(pos - baseline > 0.02::DOUBLE * size AND pos - baseline < 0.26::DOUBLE * size) AS u, max(pos - baseline < -0.15::DOUBLE * size AND pos - baseline > -0.45::DOUBLE * size) AS k FROM s JOIN k ON s.page = k.page AND (n <= 400 OR k.k <= 400) AND x_end > x AND least(x_end, "end") - greatest(x, "start") >= (x_end - x) * 0.6::DOUBLE GROUP BY s.page, s.span_id)
 SELECT s.page, s.span_id, coalesce(u, false) AS underline, coalesce(k, false) AS strike FROM s LEFT JOIN h ON s.page = h.page AND s.span_id = h.span_id""",
