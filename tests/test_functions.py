@@ -201,3 +201,44 @@ def test_character_references(spark):
     texts = ["a &lt;b&gt; &amp;amp; c", "caf&eacute; &copy;&#8217;&#x1F600;", "&unknown; & &; &#0; &#55296; &#9999999;", "no reference", "&nbsp;&quot;&apos;&#39;&Omega;&hearts;", ""]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(decoded(F.col("t"))).collect()]
     assert got == [html.unescape(t) for t in texts]
+
+
+def test_phrase_boxes(spark):
+    from quire.operators.geometry import phrase_boxes
+
+    kind = "page long, word_id long, x double, y double, width double, height double, text string"
+    words = spark.createDataFrame(
+        [(1, 0, 0.0, 10.25, 40.0, 10.0, "Jane"), (1, 1, 50.0, 10.0, 30.0, 10.0, "Doe"), (1, 2, 90.0, 10.0, 30.0, 10.0, "doe"), (1, 3, 0.0, 30.0, 40.0, 10.0, "jane"), (2, 4, 0.0, 0.0, 10.0, 10.0, ""), (2, 5, 5.0, 0.0, 20.0, 10.0, "A.B"), (3, 6, None, None, None, None, None)],
+        kind,
+    )
+    boxes = lambda phrase: sorted(tuple(r) for r in phrase_boxes(words, phrase).collect())
+    # from the third letter of one word to the second of the next
+    assert boxes(" NE do ") == [(1, 19.0, 9.0, 52.0, 12.25)]
+    assert boxes("doe") == [(1, 49.0, 9.0, 32.0, 12.0), (1, 89.0, 9.0, 32.0, 12.0)]
+    assert boxes("a.b") == [(2, 4.0, -1.0, 22.0, 12.0)] and boxes("a,b") == [] and boxes("  ") == []
+
+
+def test_repaired_rules(spark):
+    from quire.operators.files import repaired_rules
+
+    block = '<mc:AlternateContent><wp:extent cx="5" cy="{}"/>behindDoc="0" behindDoc="0"{}<w10:wrap type="none"/>z-index:1 z-index:2</mc:AlternateContent>'
+    thin, thick = block.format(12700, "<wp:wrapNone/>"), block.format(12701, "<wp:wrapNone/>")
+    mended = '<mc:AlternateContent><wp:extent cx="5" cy="12700"/>behindDoc="1" behindDoc="0"<wp:wrapTopAndBottom/><w10:wrap type="topAndBottom"/>z-index:-1 z-index:-2</mc:AlternateContent>'
+    cases = {
+        "a" + thin + "b" + thick + thin: "a" + mended + "b" + thick + mended,
+        block.format(1, ""): block.format(1, ""),
+        block.format("9" * 40, "<wp:wrapNone/>"): block.format("9" * 40, "<wp:wrapNone/>"),
+        "<mc:AlternateContent><wp:wrapNone/>": "<mc:AlternateContent><wp:wrapNone/>",
+        "": "",
+        None: None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "xml string")
+    assert [r[0] for r in rows.select(repaired_rules(F.col("xml"))).collect()] == list(cases.values())
+
+
+def test_values_follow_their_own_label(spark):
+    from quire.operators import pii
+
+    rows = spark.createDataFrame([("surname: x; name: x",), ("Name:   ",), ("email - a | phone: 1",)], "t string")
+    found = [[(h["kind"], h["value"], h["start"]) for h in r[0]] for r in rows.select(pii.label_hits(F.col("t"))).collect()]
+    assert found == [[("label-name", "x", 18)], [], [("label-email", "a", 8), ("label-phone", "1", 19)]]
