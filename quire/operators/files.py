@@ -92,3 +92,42 @@ def repaired_rules(xml: Column) -> Column:
         return F.when((at > 0) & text.endswith(f"</{_DRAWING}>"), F.concat(F.substring(text, F.lit(1), at - 1), mended(F.substring(text, at, F.length(text))))).otherwise(text)
 
     return F.array_join(F.transform(F.split(xml, f"(?<=</{_DRAWING}>)"), piece), "")
+
+
+#: How a document's XML shows the end of its first page, and what is put there where nothing shows it.
+PAGE_END, RENDERED_END = r'<w:br\b[^>]*w:type="page"[^/]*/>', r"<w:lastRenderedPageBreak\b"
+SECTION_END = r"<w:p\b.*?<w:sectPr\b.*?</w:sectPr>.*?</w:p>"
+NEW_PAGE = '<w:p><w:r><w:br w:type="page"/></w:r></w:p>'
+
+
+def pinned_cover(xml: Column, paragraph: Column) -> Column:
+    """The XML of a word-processor document with ``paragraph`` in place of its first page.
+
+    The first page ends before the paragraph of the first page break, else of
+    the first break as rendered, else at the first paragraph where sections
+    follow, else before the last section's properties. A document that shows no
+    end gets the paragraph on a page of its own; one without a body stays.
+    """
+    body = r"(?s)^(.*?<w:body(?:\s[^>]*)?>)(.*)$"
+    head, rest = F.regexp_extract(xml, body, 1), F.regexp_extract(xml, body, 2)
+
+    def last(text: Column, tag: str) -> Column:
+        """The characters before the last such tag, or null."""
+        back = F.instr(F.reverse(text), tag[::-1])
+        return F.when(back > 0, F.length(text) - back + 1 - len(tag))
+
+    def paragraph_of(mark: str) -> Column:
+        return F.when(rest.rlike(mark), last(F.regexp_extract(rest, f"(?s)^(.*?){mark}", 1), "<w:p"))
+
+    page, rendered, final = paragraph_of(PAGE_END), paragraph_of(RENDERED_END), last(rest, "<w:sectPr")
+    section = F.when(rest.rlike(f"(?s){SECTION_END}"), F.length(F.regexp_extract(rest, f"(?s)^(.*?){SECTION_END}", 1)))
+    single = ~rest.rlike(PAGE_END) & ~F.substring(rest, F.lit(1), final).rlike(RENDERED_END)
+    end = F.coalesce(page, F.when(rendered > 0, rendered), F.when(section < final, section), F.when(single, final))
+    kept = F.when(end.isNotNull(), F.substring(rest, end + 1, F.length(rest))).otherwise(F.concat(F.lit(NEW_PAGE), rest))
+    return F.when(head == "", xml).otherwise(F.concat(head, paragraph, kept))
+
+
+def next_link(relations: Column) -> Column:
+    """The first id of the form rId1, rId2, ... after all in a part's relationships."""
+    numbers = F.transform(F.regexp_extract_all(relations, F.lit(r'\bId="rId([0-9]+)"'), F.lit(1)), lambda n: n.cast("long"))
+    return F.concat(F.lit("rId"), (F.coalesce(F.array_max(numbers), F.lit(0)) + 1).cast("string"))

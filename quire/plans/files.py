@@ -154,8 +154,33 @@ def word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", O.repaired_rules(F.concat(xml, F.regexp_replace(xml, 'cy="[0-9]+"', 'cy="0"'))).alias("xml"))
 
 
-QUERIES = {f.__name__: f for f in (word_rules, file_digests, file_checksums, pdf_text, pdf_errors, workbook_cells, document_paragraphs, presentation_slides, cipher_round_trips, uploads, file_kinds, compression_policy, compression_presets, recognised_words, recognised_counts, form_values)}
+#: Documents by how their first page ends: what goes, and what stays.
+FIRST_PAGES = (
+    ("<w:p>{n}</w:p>", '<w:p a="1"><w:r><w:br w:type="page"/></w:r></w:p><w:p>{b}</w:p><w:sectPr/>'),
+    ("<w:p>{n}</w:p>", '<w:p><w:r><w:lastRenderedPageBreak/><w:t>{b}</w:t></w:r></w:p><w:sectPr/>'),
+    ("<w:tbl>{n}</w:tbl>", "<w:p><w:pPr><w:sectPr>{b}</w:sectPr></w:pPr></w:p><w:p>{b}</w:p><w:sectPr/>"),
+    ("<w:p>{n}</w:p><w:p>{b}</w:p>", "<w:sectPr>{b}</w:sectPr>"),
+    ("", "<w:p>{n}</w:p>"),
+)
+
+
+def word_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as documents of every form, and without a body, with a cover pinned to each."""
+    forms = F.array(*[F.lit(f'<w:document><w:body w:x="1">{gone}{kept}</w:body></w:document>') for gone, kept in FIRST_PAGES], F.lit("<w:document>{n}</w:document>"))
+    form = F.element_at(forms, (F.col("p_partkey") % (len(FIRST_PAGES) + 1)).cast("int") + 1)
+    xml = F.replace(F.replace(form, F.lit("{n}"), F.col("p_name")), F.lit("{b}"), F.col("p_brand"))
+    relations = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 12), lambda i: F.concat(F.lit('<Relationship Id="rId'), (i * F.col("p_size")).cast("string"), F.lit('"/>'))), "")
+    cover = F.concat(F.lit("<w:p>cover "), F.col("p_type"), F.lit("</w:p>"))
+    return table(spark, sf_dir, "part").select("p_partkey", O.pinned_cover(xml, cover).alias("xml"), O.next_link(relations).alias("link"))
+
+
+QUERIES = {f.__name__: f for f in (word_covers, word_rules, file_digests, file_checksums, pdf_text, pdf_errors, workbook_cells, document_paragraphs, presentation_slides, cipher_round_trips, uploads, file_kinds, compression_policy, compression_presets, recognised_words, recognised_counts, form_values)}
+_KEPT = ", ".join(f"'{O.NEW_PAGE * (gone == '')}{kept}'" for gone, kept in FIRST_PAGES)
 SQL = {
+    "word_covers": f"""WITH m AS (SELECT *, p_partkey % {len(FIRST_PAGES) + 1} AS form FROM part)
+SELECT p_partkey, CASE WHEN form = {len(FIRST_PAGES)} THEN '<w:document>' || p_name || '</w:document>'
+  ELSE '<w:document><w:body w:x="1"><w:p>cover ' || p_type || '</w:p>' || replace(replace([{_KEPT}][form + 1], '{{n}}', p_name), '{{b}}', p_brand) || '</w:body></w:document>' END AS xml,
+  'rId' || CAST(p_size % 12 * p_size + 1 AS VARCHAR) AS link FROM m""",
     "word_rules": f"""WITH m AS (SELECT p_partkey, p_partkey % 3 <> 0 AS beside, p_size * 508 AS cy, {DRAWN} AS x FROM part),
 r AS (SELECT *, regexp_replace(replace(replace(replace(x, '<wp:wrapNone/>', '<wp:wrapTopAndBottom/>'), '<wp:anchor behindDoc="0">', '<wp:anchor behindDoc="1">'), '<w10:wrap type="none"/>', '<w10:wrap type="topAndBottom"/>'), 'z-index:([0-9])', 'z-index:-\\1') AS y FROM m)
 SELECT p_partkey, CASE WHEN beside AND cy <= 12700 THEN y ELSE x END || regexp_replace(CASE WHEN beside THEN y ELSE x END, 'cy="[0-9]+"', 'cy="0"') AS xml FROM r""",

@@ -242,3 +242,24 @@ def test_values_follow_their_own_label(spark):
     rows = spark.createDataFrame([("surname: x; name: x",), ("Name:   ",), ("email - a | phone: 1",)], "t string")
     found = [[(h["kind"], h["value"], h["start"]) for h in r[0]] for r in rows.select(pii.label_hits(F.col("t"))).collect()]
     assert found == [[("label-name", "x", 18)], [], [("label-email", "a", 8), ("label-phone", "1", 19)]]
+
+
+def test_pinned_cover(spark):
+    from quire.operators.files import NEW_PAGE, next_link, pinned_cover
+
+    doc = "<w:body>{}</w:body>"
+    cases = {
+        # the nearest paragraph before the first break
+        doc.format('<w:p>1</w:p><w:p>2<w:br w:type="page"/></w:p><w:p>3<w:br w:type="page"/></w:p>'): doc.format('C<w:p>2<w:br w:type="page"/></w:p><w:p>3<w:br w:type="page"/></w:p>'),
+        # a line break is none, and a rendered break in the very first paragraph ends nothing
+        doc.format('<w:p>1<w:br/></w:p><w:sectPr/>'): doc.format("C<w:sectPr/>"),
+        doc.format("<w:p><w:lastRenderedPageBreak/></w:p><w:sectPr/>"): doc.format(f"C{NEW_PAGE}<w:p><w:lastRenderedPageBreak/></w:p><w:sectPr/>"),
+        doc.format(""): doc.format(f"C{NEW_PAGE}"),
+        "<w:bodyguard>": "<w:bodyguard>",
+        "": "",
+        None: None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "xml string")
+    assert [r[0] for r in rows.select(pinned_cover(F.col("xml"), F.lit("C"))).collect()] == list(cases.values())
+    links = spark.createDataFrame([('Id="rId9" Id="rId10" rId="rId77" Id="x5"',), ("",)], "r string")
+    assert [r[0] for r in links.select(next_link(F.col("r"))).collect()] == ["rId11", "rId1"]
