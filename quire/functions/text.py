@@ -279,3 +279,14 @@ def renamed(name: Column, suffix: str) -> Column:
     """``x.pdf`` as ``x-suffix.pdf``; a name without it gets it."""
     base = F.regexp_replace(name, r"(?i)\.pdf$", "")
     return F.concat(F.when(base == "", "document").otherwise(base), F.lit(f"-{suffix}.pdf"))
+
+
+def resolved_path(folder: Column, target: Column) -> Column:
+    """A relative path against a folder, with ``.`` and ``..`` taken away; one that begins with a slash starts at the root."""
+    steps = F.split(F.when(target.startswith("/"), target).otherwise(F.concat_ws("/", folder, target)), "/")
+
+    def step(path: Column, name: Column) -> Column:
+        down = F.concat(path, F.array(name))
+        return F.when(name.isin("", "."), path).when(name == "..", F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(down)
+
+    return F.when(target.isNotNull(), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), step), "/"))

@@ -108,8 +108,23 @@ for _a, _b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("
     _esc = f"replace({_esc}, '{_a}', '{_b}')"
 _norm = f"regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '^{B}+|{B}+$', '', 'g')"
 
-QUERIES = {f.__name__: f for f in (str_normalize, str_word_offsets, str_phrase_counts, str_word_chunks, str_markdown_inline, str_folded, str_headings, str_rejoined, str_markers, str_numbers, str_escaped, str_sheet_names, str_field_labels, str_font_names, str_list_numbers, str_sizes, text_layer_codes)}
+#: Folders of parts in packages, and targets of their links.
+FOLDERS = ("", "word", "ppt/slides", "xl/worksheets/more")
+TARGETS = ("{}.xml", "../media/{}.png", "/docProps/{}.xml", "./a/./{}.xml", "../../../{}.xml", "a/b/../../c//{}.xml", "..", "a/..")
+
+
+def str_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names)).cast("int") + 1)
+    target = F.replace(pick(TARGETS, F.col("p_partkey")), F.lit("{}"), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.resolved_path(pick(FOLDERS, F.floor(F.col("p_partkey") / len(TARGETS))), target).alias("path"))
+
+
+QUERIES = {f.__name__: f for f in (str_paths, str_normalize, str_word_offsets, str_phrase_counts, str_word_chunks, str_markdown_inline, str_folded, str_headings, str_rejoined, str_markers, str_numbers, str_escaped, str_sheet_names, str_field_labels, str_font_names, str_list_numbers, str_sizes, text_layer_codes)}
+_list = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
 SQL = {
+    "str_paths": f"""WITH m AS (SELECT p_partkey, {_list(FOLDERS)}[p_partkey // {len(TARGETS)} % {len(FOLDERS)} + 1] AS f, replace({_list(TARGETS)}[p_partkey % {len(TARGETS)} + 1], '{{}}', p_brand) AS t FROM part),
+s AS (SELECT p_partkey, string_split(CASE WHEN starts_with(t, '/') THEN t ELSE f || '/' || t END, '/') AS p FROM m)
+SELECT p_partkey, list_reduce(list_prepend('', p), lambda path, name: CASE WHEN name IN ('', '.') THEN path WHEN name = '..' THEN regexp_replace(path, '/?[^/]*$', '') WHEN path = '' THEN name ELSE path || '/' || name END) AS path FROM s""",
     "text_layer_codes": "WITH p AS (SELECT conv_id, turn, list_filter(string_split(text, ''), lambda c: c <> '' AND unicode(c) < 65536) AS c FROM conversations) SELECT conv_id, turn, md5(array_to_string(list_transform(c, lambda x: printf('%04X', unicode(x))), '')) AS digest, CAST(len(c) AS INTEGER) AS units FROM p",
     "str_normalize": f"SELECT doc_id, md5({_norm}) AS digest FROM documents",
     "str_word_offsets": f"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[^{T.BLANKS}]+') AS m, string_split_regex(text, '[^{T.BLANKS}]+') AS b FROM conversations),

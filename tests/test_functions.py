@@ -263,3 +263,8 @@ def test_pinned_cover(spark):
     assert [r[0] for r in rows.select(pinned_cover(F.col("xml"), F.lit("C"))).collect()] == list(cases.values())
     links = spark.createDataFrame([('Id="rId9" Id="rId10" rId="rId77" Id="x5"',), ("",)], "r string")
     assert [r[0] for r in links.select(next_link(F.col("r"))).collect()] == ["rId11", "rId1"]
+
+
+def test_resolved_path(spark):
+    rows = spark.createDataFrame([("word", "../x.xml", "x.xml"), ("a/b", "../../../x", "x"), ("a", "/b/./c", "b/c"), ("", "x/../y", "y"), ("a", "..", ""), ("a", "", "a"), (None, "x", "x"), ("a", None, None)], "f string, t string, want string")
+    assert [(r[0]) for r in rows.select(T.resolved_path(F.col("f"), F.col("t"))).collect()] == [r.want for r in rows.collect()]
