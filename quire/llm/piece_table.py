@@ -4,9 +4,10 @@ Texts are cut into pieces (see ``word_bpe``) as bytes: runs of letters, single
 digits, runs of other printable characters. This holds for words of ASCII and
 the letters of Latin-1 without an apostrophe or ``<``; any other word is odd
 and is cut by the library's own tables. A piece is looked up by a 64-bit hash
-of its lower-cased bytes; pieces that the table lacks are encoded together.
-Pieces and odd words of over ``KEEP`` bytes are never looked up, so no table
-entry can be met by a long text made to have its hash.
+of its lower-cased bytes, which are then compared with those of the entry;
+pieces that the table lacks are encoded together. A piece whose place another
+one of the same hash has taken is looked up by its bytes. Pieces and odd words
+of over ``KEEP`` bytes are not kept.
 """
 
 from __future__ import annotations
@@ -46,8 +47,12 @@ class PieceTable:
         self.begin = np.zeros(1 << 10, np.int64)
         self.size = np.zeros(1 << 10, np.int32)
         self.ids = np.zeros(1 << 12, np.int32)
-        self.count = self.used = 0
+        self.count = self.used = self.pooled = 0
+        self.pool = np.zeros(1 << 12, np.uint8)  # bytes of the pieces that have a slot
+        self.place = np.zeros(_SLOTS >> 1, np.int64)  # by entry, where they begin
+        self.width = np.zeros(_SLOTS >> 1, np.int64)  # and how many they are; 0 without a slot
         self.odd: dict[bytes, int] = {}
+        self.twins: dict[bytes, int] = {}
 
     def _append(self, ids: np.ndarray, sizes: np.ndarray) -> int:
         """Number of the first of new entries with these ids."""
@@ -64,6 +69,26 @@ class PieceTable:
         self.count, self.used = first + len(sizes), self.used + len(ids)
         return first
 
+    def _keep(self, first: int, pieces: list[bytes]) -> None:
+        """Stores the bytes of new entries from ``first`` on."""
+        widths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = self.pooled + np.cumsum(widths)
+        while len(self.pool) < ends[-1]:
+            self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint8))
+        while len(self.place) < first + len(pieces):
+            self.place = np.append(self.place, np.zeros(len(self.place), np.int64))
+            self.width = np.append(self.width, np.zeros(len(self.width), np.int64))
+        self.pool[self.pooled : ends[-1]] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.place[first : first + len(pieces)] = ends - widths
+        self.width[first : first + len(pieces)] = widths
+        self.pooled = int(ends[-1])
+
+    def _twin(self, piece: bytes) -> int:
+        """Entry of a piece whose slot belongs to another one."""
+        if piece not in self.twins:
+            self.twins[piece] = self._append(*self.bpe.encode_pieces([piece]))
+        return self.twins[piece]
+
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         slot = ((hashes * _FACTOR) >> np.uint64(44)).astype(np.int64)
         found = self.entry[slot]
@@ -122,17 +147,23 @@ class PieceTable:
         if odd_at.size:
             special |= np.isin(begins, words[wrong], assume_unique=True)
         plain = np.flatnonzero(~special)
-        hashes = wordhash.spans(low, begins[plain], ends[plain], wordhash.BYTES[False])
+        hashes, _ = wordhash.hashed(low, begins[plain], ends[plain])
         entry = np.empty(len(begins), np.int64)
         found = self._find(hashes)
         missing = found < 0
         if missing.any():
             new, where, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
             raw, at = low.tobytes(), plain[missing][where]
-            ids, sizes = self.bpe.encode_pieces([raw[b:e] for b, e in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
-            first = self._append(ids, sizes)
+            pieces = [raw[b:e] for b, e in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]
+            first = self._append(*self.bpe.encode_pieces(pieces))
+            self._keep(first, pieces)
             self._insert(new, np.arange(first, first + len(new), dtype=np.int32))
             found[missing] = first + back
+        width = ends[plain] - begins[plain]
+        alike = self.width[found] == width
+        alike[alike] = wordhash.same(low, begins[plain][alike], width[alike], self.pool[: self.pooled], self.place[found[alike]])
+        for i in np.flatnonzero(~alike).tolist():
+            found[i] = self._twin(low[begins[plain[i]] : ends[plain[i]]].tobytes())
         entry[plain] = found
         others = np.flatnonzero(special)
         if others.size:

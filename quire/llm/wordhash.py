@@ -19,10 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes hashed at once.
-PIECE = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_BASE = 0x5851F42D4C957F2D
 #: Bytes of the longest word that is hashed in numpy.
 SHORT = 64
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -30,8 +27,6 @@ LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers: list[np.ndarray] = []
-
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _B
@@ -39,30 +34,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _bytes(lower: bool) -> np.ndarray:
-    table = mixed(np.arange(1, 257, dtype=np.uint64) * _A)
-    if lower:
-        table[65:91] = table[97:123]
-    return table
-
-
-BYTES = {lower: _bytes(lower) for lower in (False, True)}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2 ** 64, and their inverses."""
-    if not _powers or len(_powers[0]) < n:
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            out = np.ones(n, np.uint64)
-            size = 1
-            while size < n:
-                out[size : 2 * size] = out[: min(size, n - size)] * np.uint64(pow(base, size, 1 << 64))
-                size *= 2
-            _powers.append(out)
-    return _powers[0], _powers[1]
-
-
 @dataclass
 class Words:
     hashes: np.ndarray  # uint64, all texts one after another
@@ -103,12 +74,16 @@ def words(text: pa.Array, lower: bool = False) -> Words:
     return Words(*hashed(data, begins, ends), np.searchsorted(begins, offsets), begins, ends, data)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as integers; zeros follow the last byte."""
+    return np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+
+
 def hashed(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each span of ``data``."""
     size = ends - begins
     first, second = size.astype(np.uint64) * _A, mixed(size.astype(np.uint64) + _B)
-    raw = np.append(data, np.zeros(8, np.uint8)).tobytes()
-    eight = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    eight = _eights(data)
     live, step = np.flatnonzero(size <= SHORT), 0
     while live.size:
         left = size[live] - step
@@ -118,26 +93,23 @@ def hashed(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.n
         step += 8
         live = live[left > 8]
     for i in np.flatnonzero(size > SHORT).tolist():
-        found = hashlib.blake2b(raw[begins[i] : ends[i]], digest_size=16).digest()
+        found = hashlib.blake2b(data[begins[i] : ends[i]].tobytes(), digest_size=16).digest()
         first[i], second[i] = np.frombuffer(found, np.uint64)
     return first, second
 
 
-def spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Hash of each span of ``data``; spans come in order and do not overlap. ``table`` has a value for each byte."""
-    hashes = np.empty(len(begins), np.uint64)
-    first = 0
-    while first < len(begins):
-        at = int(begins[first])
-        last = max(first + 1, int(np.searchsorted(ends, at + PIECE, "right")))
-        stop = int(ends[last - 1])
-        power, inverse = _power_tables(max(PIECE, stop - at) + 1)
-        sums = np.zeros(stop - at + 1, np.uint64)
-        np.cumsum(table[data[at:stop]] * power[: stop - at], out=sums[1:])
-        b, e = begins[first:last] - at, ends[first:last] - at
-        hashes[first:last] = mixed((sums[e] - sums[b]) * inverse[b] + (e - b).astype(np.uint64))
-        first = last
-    return hashes
+def same(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, other: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether each span of ``data`` has the bytes of the span of ``other`` of the same size at ``places``."""
+    left, right = _eights(data), _eights(other)
+    equal = np.ones(len(begins), bool)
+    live, step = np.flatnonzero(sizes > 0), 0
+    while live.size:
+        rest = sizes[live] - step
+        differs = ((left[begins[live] + step] ^ right[places[live] + step]) & _MASKS[np.minimum(rest, 8)]) != 0
+        equal[live[differs]] = False
+        step += 8
+        live = live[(rest > 8) & ~differs]
+    return equal
 
 
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:

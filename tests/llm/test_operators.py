@@ -160,6 +160,37 @@ def test_table_starts_afresh(monkeypatch):
         assert table.count < 3_000 and begins[-1] == len(ids)
 
 
+#: Two words that one polynomial modulo 2 ** 64 does not tell apart.
+POLYNOMIAL_TWINS = ("ababaaabbbaaaaabaaaaaaabababaabbbabababbabbabaabaaabbaaababaaaab", "aababbbaaababbaababbaabaaaaaaaaaabababaabaabaabaabbaabbaaaaaaaaa")
+
+
+def test_words_of_one_hash_keep_their_ids(spark):
+    tokenizer = library()
+    for pair in (POLYNOMIAL_TWINS, POLYNOMIAL_TWINS[::-1]):
+        text = " ".join(pair)
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert bpe_codec.encode_array(WORD, pa.array([text]))[0].tolist() == want
+        docs = spark.createDataFrame([(5, text)], "doc_id long, text string")
+        own = bpe_codec.decode(bpe_codec.encode(docs, WORD), WORD, digests=True).collect()
+        assert [(r.n_tokens, r.ids_sha256) for r in own] == [(len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())]
+        files = token_files.round_trip(docs, WORD, end_id=1).collect()
+        assert [(r.n_tokens, r.ids_crc32) for r in files] == [(len(want) + 1, zlib.crc32(np.array([*want, 1], "<u4").tobytes()))]
+
+
+@pytest.mark.parametrize("hashes", (1, 7, 1_000))
+def test_pieces_are_compared_by_bytes(monkeypatch, hashes):
+    from quire.llm import piece_table, wordhash
+    from quire.llm.word_bpe import WordBpe
+
+    plain = wordhash.hashed
+    monkeypatch.setattr(wordhash, "hashed", lambda *a: tuple(x % np.uint64(hashes) for x in plain(*a)))
+    table, tokenizer = piece_table.PieceTable(WordBpe(WORD)), library()
+    for k in range(4):
+        texts = [*random_texts(60, k), " ".join(POLYNOMIAL_TWINS), "aaaaaaaa aaaaaaab aaaaaaaaa aaaaaaaab b" + "a" * 63]
+        ids, _ = table.encode(pa.array(texts))
+        assert ids.tolist() == [x for t in texts for x in tokenizer.encode(t, add_special_tokens=False).ids]
+
+
 # language identification
 
 
