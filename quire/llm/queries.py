@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, decontamination, language_id, line_dedup, lm_scores, media, near_duplicates, substring_dedup, token_counts, token_files
+from quire.llm import bpe_codec, decontamination, exact_dedup, language_id, line_dedup, lm_scores, media, near_duplicates, substring_dedup, token_counts, token_files
 from quire.llm.frames import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -69,9 +69,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_decontamination, op2_lm_scores, op3_line_dedup, op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op8_near_duplicates,
+    op9_token_files, op10_substring_dedup, op11_exact_dedup,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_line_dedup, op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op8_near_duplicates, op9_token_files, op10_substring_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL}
+    return {"op3_line_dedup": line_dedup.SQL, "op11_exact_dedup": exact_dedup.SQL}
