@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, decontamination, exact_dedup, language_id, line_dedup, lm_scores, media, near_duplicates, substring_dedup, token_counts, token_files
+from quire.llm import bpe_codec, decontamination, exact_dedup, language_id, line_dedup, lm_scores, media, near_duplicates, substring_dedup, term_tries, token_counts, token_files
 from quire.llm.frames import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -73,9 +73,13 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_tries.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_decontamination, op2_lm_scores, op3_line_dedup, op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op8_near_duplicates,
-    op9_token_files, op10_substring_dedup, op11_exact_dedup,
+    op9_token_files, op10_substring_dedup, op11_exact_dedup, op12_source_divergence,
 )
 
 
@@ -84,4 +88,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL, "op11_exact_dedup": exact_dedup.SQL}
+    return {"op3_line_dedup": line_dedup.SQL, "op11_exact_dedup": exact_dedup.SQL, "op12_source_divergence": term_tries.SQL}
