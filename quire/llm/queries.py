@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_codec, decontamination, exact_dedup, language_id, line_dedup, lm_scores, media, near_duplicates, substring_dedup, term_tries, token_counts, token_files
-from quire.llm.frames import table
+from quire.llm import bpe_codec, decontamination, exact_dedup, language_id, line_dedup, lm_scores, media, near_duplicates, periodic_runs, substring_dedup, term_tries, token_counts, token_files
+from quire.llm.frames import pick, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -77,9 +77,15 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_tries.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), {"doc_id": "doc_id", "text": "text"}).select("doc_id", periodic_runs.made_periodic(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.periodic_runs(docs)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = (
     op1_decontamination, op2_lm_scores, op3_line_dedup, op4_token_counts, op5_language_id, op6_bpe_codec, op7_media_columns, op8_near_duplicates,
-    op9_token_files, op10_substring_dedup, op11_exact_dedup, op12_source_divergence,
+    op9_token_files, op10_substring_dedup, op11_exact_dedup, op12_source_divergence, op13_periodic_runs,
 )
 
 

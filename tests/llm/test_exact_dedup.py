@@ -3,7 +3,6 @@
 from collections import defaultdict
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from quire.llm import exact_dedup
