@@ -331,6 +331,8 @@ def made_periodic(text: Column, doc_id: Column) -> Column:
         size = F.size(ws)
         a = (g % size).cast("int")
         p = (F.lit(1) + F.floor((size - a) / (3 + g % 8))).cast("int")
-        return F.concat_ws(" ", F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(ws, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)))))
+        times = F.ceil((size - a) / p).cast("int")
+        return F.concat_ws(" ", F.slice(ws, 1, a), F.slice(F.flatten(F.array_repeat(F.slice(ws, a + 1, p), times)), 1, size - a))
 
-    return F.when((h % 10 == 0) & (n > 0), turned(words)).otherwise(text)
+    # as the variable of a function the words are cut once
+    return F.when((h % 10 == 0) & (n > 0), F.get(F.transform(F.array(words), turned), F.lit(0))).otherwise(text)
