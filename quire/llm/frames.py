@@ -59,8 +59,9 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 
-def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of ``text`` of about ``limit`` bytes each; a long text stands alone."""
+def slices(text: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of ``text`` of about ``limit`` bytes each, SLICE_BYTES without one; a long text stands alone."""
+    limit = limit or SLICE_BYTES
     sizes = pc.fill_null(pc.binary_length(text), 0).to_pylist()
     begin = total = 0
     for i, n in enumerate(sizes):

@@ -1,21 +1,23 @@
 """Counts of terms by language and source in byte tries, and how sources differ.
 
 Terms are runs of letters: bytes A to Z, a to z and everything beyond ASCII,
-with A to Z lower-cased. Each task counts the terms of its texts in one radix
-trie for each language, over the UTF-8 bytes of the terms. A leaf has a counter
-for each source: occurrences, and documents with the term. A trie of more than
-``COUNTERS`` counters is written out in byte order and a new one begun, so a
-task's memory does not grow with its input; tries are mergeable. They are
-merged by prefix range: the written leaves are dealt to tasks by ranges of
-(language, term) and equal leaves are added up in order. Ranges are chosen from
-the leaves that there are, so a common first letter is several ranges. A term
-has one written leaf for each task, trie and source, so no term is hot.
-
-The merged leaves, in UTF-8 order, are traversed twice. For pairs of sources a
-task goes through its range a block of terms at a time and adds up differences
-for all sources of a language; the blocks of sources that it has at hand are
-bounded by ``SOURCES``. For terms, each task keeps the best of each group in its
-range (ties in UTF-8 order), and those are merged.
+with A to Z lower-cased. Each task puts the terms of its texts into a radix trie
+over their UTF-8 bytes. A leaf has the number of documents of each language with
+the term, and a counter for each source; counters of all leaves lie in sorted
+arrays, so equal ones are added up in numpy. A trie of more than ``TERMS`` terms
+or ``COUNTERS`` counters is written out in byte order and a new one begun, so a
+task's memory does not grow with its input; tries are mergeable. Documents are
+added up by term first, which tells the terms to keep. The counters of those are
+merged by prefix range: dealt to tasks by ranges of (language, term, source),
+and equal ones added up. Ranges are chosen from the counters that there are, so
+a common first letter is several ranges. A counter is written once for each
+task and trie, so no term is hot.
+
+The merged leaves are traversed twice. For pairs of sources a task goes through
+its terms a block at a time and adds up differences for all sources of a
+language; the sources that it has at hand are bounded by ``SOURCES``. For terms,
+each task keeps the best of each group (ties in UTF-8 order), and those are
+merged.
 
 Shares are fixed-point integers: with ``n`` occurrences of a term among ``N`` of
 all V kept terms, 1 + floor(10**9 * (n + 5) / (N + 5 * V)). All arithmetic is in
@@ -31,7 +33,8 @@ empty result. Other columns are ignored whatever their names.
 from __future__ import annotations
 
 import functools
-from collections import Counter
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +44,11 @@ from pyspark.sql import functions as F
 
 from quire.llm.frames import map_arrow, pick, slices, spread_join, stored
 
-#: Leaf counters of the tries of a task before they are written out.
-COUNTERS = 200_000
-#: Terms that a task counts before it puts them into a trie.
-PENDING = 60_000
+#: Terms and counters of a task's trie before it is written out, some 60 and 50 MB.
+TERMS = 300_000
+COUNTERS = 2_000_000
+#: Kept terms that may be broadcast.
+BROADCAST_TERMS = 200_000
 #: Sources that the traversal for pairs has at hand at once.
 SOURCES = 1_024
 #: Shares at hand at once in the traversal for pairs.
@@ -55,20 +59,19 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else
 
 
 class Trie:
-    """A radix trie over bytes. A node is [label, children by first byte, counters or None]."""
+    """A radix trie over bytes; every leaf has a number. A node is [label, children by first byte, number or None]."""
 
     def __init__(self):
         self.root: list = [b"", {}, None]
-        self.counters = 0
 
-    def add(self, term: bytes, source: str, n: int, docs: int) -> None:
+    def add(self, term: bytes, number: int) -> None:
         node, at, size = self.root, 0, len(term)
         while at < size:
-            child = node[1].get(term[at])
+            children = node[1]
+            child = children.get(term[at])
             if child is None:
-                child = node[1][term[at]] = [term[at:], {}, None]
-                node = child
-                break
+                children[term[at]] = [term[at:], {}, number]
+                return
             label = child[0]
             if term.startswith(label, at):
                 node, at = child, at + len(label)
@@ -76,32 +79,19 @@ class Trie:
             k = 1
             while at + k < size and label[k] == term[at + k]:
                 k += 1
-            fork = node[1][term[at]] = [label[:k], {label[k]: child}, None]
+            fork = children[term[at]] = [label[:k], {label[k]: child}, None]
             child[0] = label[k:]
             node, at = fork, at + k
-        if node[2] is None:
-            node[2] = {}
-        seen = node[2].get(source)
-        if seen is None:
-            node[2][source] = [n, docs]
-            self.counters += 1
-        else:
-            seen[0] += n
-            seen[1] += docs
-
-    def merge(self, other: Trie) -> None:
-        for term, counters in other.walk():
-            for source, (n, docs) in counters.items():
-                self.add(term, source, n, docs)
-
-    def walk(self) -> Iterator[tuple[bytes, dict]]:
-        """Terms and their counters in byte order."""
+        node[2] = number
+
+    def walk(self) -> Iterator[tuple[bytes, int]]:
+        """Terms and their numbers in byte order."""
         waiting = [(b"", self.root)]
         while waiting:
-            prefix, (label, children, counters) = waiting.pop()
+            prefix, (label, children, number) = waiting.pop()
             term = prefix + label
-            if counters is not None:
-                yield term, counters
+            if number is not None:
+                yield term, number
             waiting += [(term, children[b]) for b in sorted(children, reverse=True)]
 
 
@@ -109,75 +99,117 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode().translate(_FOLD).split()
 
 
-class Tally:
-    """Tries of one task, by language."""
+class Counts:
+    """How often each of many keys (integers) was met, as sorted arrays."""
 
     def __init__(self):
-        self.tries: dict[str, Trie] = {}
-        self.pending: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        self.keys, self.ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
-    def count(self, lang: str, source: str, text: str) -> None:
-        """One document. The empty term stands for the document itself."""
-        pair = self.pending.get((lang, source))
-        if pair is None:
-            pair = self.pending[lang, source] = Counter(), Counter()
-        found = terms_of(text)
-        once = set(found)
-        once.add(b"")
-        before = len(pair[1])
-        pair[0].update(found)
-        pair[1].update(once)
-        self.waiting += len(pair[1]) - before
-        if self.waiting > PENDING:
+    def add(self, keys: np.ndarray) -> None:
+        self.pending.append(np.unique(keys, return_counts=True))
+        self.waiting += len(self.pending[-1][0])
+        if self.waiting > max(len(self.keys), 1 << 18):
             self.settle()
 
     def settle(self) -> None:
-        for (lang, source), (n, docs) in self.pending.items():
-            trie = self.tries.setdefault(lang, Trie())
-            for term, d in docs.items():
-                trie.add(term, source, n[term], d)
-        self.pending, self.waiting = {}, 0
+        keys, ns = (np.concatenate(x) for x in zip((self.keys, self.ns), *self.pending, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, ns = keys[order], ns[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        self.keys, self.ns = keys[first], np.add.reduceat(ns, first) if len(first) else ns
+        self.pending, self.waiting = [], 0
+
+
+class Tally:
+    """The trie of one task, its counters by group and term, and its documents by language and term."""
+
+    def __init__(self):
+        self.terms: dict[bytes, int] = defaultdict()
+        self.terms.default_factory = self.terms.__len__
+        self.groups: dict[tuple[str, str], int] = {}
+        self.langs: dict[str, int] = {}
+        self.occurrences, self.documents = Counts(), Counts()
+
+    def count(self, langs: list[str], sources: list[str], texts: list[str]) -> None:
+        found = list(map(terms_of, texts))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(sizes.sum())
+        terms = np.fromiter(map(self.terms.__getitem__, itertools.chain.from_iterable(found)), np.int64, total)
+        group = np.fromiter((self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources, strict=True)), np.int64, len(found))
+        lang = np.fromiter((self.langs.setdefault(x, len(self.langs)) for x in langs), np.int64, len(found))
+        text = np.repeat(np.arange(len(found)), sizes)
+        self.occurrences.add((group[text] << 40) + terms)
+        once = np.unique((text << 40) + terms)
+        self.documents.add((lang[once >> 40] << 40) + (once & ((1 << 40) - 1)))
 
     def full(self) -> bool:
-        return sum(t.counters for t in self.tries.values()) > COUNTERS
+        return len(self.terms) > TERMS or len(self.occurrences.keys) > COUNTERS
 
     def leaves(self) -> Iterator[pa.RecordBatch]:
-        """All counters in order of language and term; the tries are empty afterwards."""
-        self.settle()
-        for lang in sorted(self.tries):
-            terms, sources, ns, docs = [], [], [], []
-            for term, counters in self.tries[lang].walk():
-                for source, (n, d) in counters.items():
-                    terms.append(term.decode())
-                    sources.append(source)
-                    ns.append(n)
-                    docs.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.array(sources, pa.string()), pa.array(ns, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "term", "source", "n", "docs"])
-        self.tries = {}
+        """Leaves by language, in byte order of their terms; before them the groups, as leaves of no term."""
+        self.occurrences.settle()
+        self.documents.settle()
+        trie = Trie()
+        for term, number in self.terms.items():
+            trie.add(term, number)
+        walked = list(trie.walk())
+        names = pa.array([t for t, _ in walked], pa.binary()).cast(pa.string())
+        place = np.zeros(len(walked), np.int64)
+        place[np.fromiter((n for _, n in walked), np.int64, len(walked))] = np.arange(len(walked))
+        pairs = list(self.groups)
+        sources = pa.array([s for _, s in pairs], pa.string())
+        lang_of = np.array([self.langs[lang] for lang, _ in pairs], np.int64)
+        mask = (1 << 40) - 1
+        group, at = self.occurrences.keys >> 40, place[self.occurrences.keys & mask]
+        by = (lang_of[group] << 40) + at if len(group) else group
+        order = np.lexsort((group, by))
+        by, group, ns = by[order], group[order], self.occurrences.ns[order]
+        documents = (self.documents.keys >> 40 << 40) + place[self.documents.keys & mask]
+        inner = np.argsort(documents)
+        documents, docs = documents[inner], self.documents.ns[inner]
+        begins = np.searchsorted(by, documents)
+        own = pa.array(list(self.langs), pa.string())
+        if pairs:
+            yield _leaves(own.take(pa.array(lang_of)), pa.array([""] * len(pairs)), np.zeros(len(pairs), np.int64), np.arange(len(pairs) + 1), sources, np.zeros(len(pairs), np.int64))
+        for a in range(0, len(documents), 1 << 16):
+            b = min(len(documents), a + (1 << 16))
+            low, high = int(begins[a]), int(begins[b]) if b < len(documents) else len(by)
+            yield _leaves(own.take(pa.array(documents[a:b] >> 40)), names.take(pa.array(documents[a:b] & mask)), docs[a:b], np.append(begins[a:b], high) - low, sources.take(pa.array(group[low:high])), ns[low:high])
+
+
+def _leaves(lang: pa.Array, term: pa.Array, docs: np.ndarray, cuts: np.ndarray, sources: pa.Array, ns: np.ndarray) -> pa.RecordBatch:
+    cells = pa.StructArray.from_arrays([sources, pa.array(ns, pa.int64())], ["source", "n"])
+    return pa.RecordBatch.from_arrays([lang, term, pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), cells)], names=["lang", "term", "docs", "cells"])
 
 
 def counted(df: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """lang, term, source, n (occurrences) and docs: leaves of all tries, on shared files. Those of the empty term count the documents of a group."""
+    """lang, term, docs and cells (source, n): leaves of all tries, on shared files. Leaves of the empty term tell the groups that there are."""
     docs = pick(df, {"lang": lang_col, "source": source_col, "text": text_col}).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
     def run(batches):
         tally = Tally()
         for batch in batches:
             for a, b in slices(batch.column(2)):
-                for lang, source, text in zip(*[batch.column(i).slice(a, b - a).to_pylist() for i in range(3)], strict=True):
-                    tally.count(lang, source, text)
+                tally.count(*[batch.column(i).slice(a, b - a).to_pylist() for i in range(3)])
                 if tally.full():
                     yield from tally.leaves()
+                    tally = Tally()
         yield from tally.leaves()
 
-    return stored(map_arrow(docs, run, "lang string, term string, source string, n long, docs long"), "leaves")
+    return stored(map_arrow(docs, run, "lang string, term string, docs long, cells array<struct<source string, n long>>"), "leaves")
 
 
-def merged(leaves: DataFrame) -> DataFrame:
-    """The same with equal leaves added up, by ranges of (language, term, source)."""
-    ranges = leaves.repartitionByRange("lang", "term", "source")
-    return ranges.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+def kept_terms(leaves: DataFrame, least: int, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """lang, term, n and sources (source, n) of the terms in at least ``least`` documents of their language, on shared files."""
+    terms = leaves.where("term <> ''")
+    frequent = stored(terms.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term"), "frequent-terms")
+    wanted = F.broadcast(frequent) if frequent.count() <= broadcast_terms else frequent
+    cells = terms.join(wanted, ["lang", "term"], "left_semi").select("lang", "term", F.explode("cells").alias("c")).select("lang", "term", "c.source", "c.n")
+    merged = cells.repartitionByRange("lang", "term", "source").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    whole = merged.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("sources"))
+    return stored(whole, "kept-terms")
 
 
 def _share(n, total, terms):
@@ -252,7 +284,7 @@ def _pairs(leaves: DataFrame, groups: list[tuple[str, str, int]], terms: dict[st
     return map_arrow(leaves, run, "lang string, a string, b string, value long")
 
 
-def divergence(df: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = 30, best: int = 50, sources: int = SOURCES) -> DataFrame:
+def divergence(df: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = 30, best: int = 50, sources: int = SOURCES, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """lang, source, part, item, value and rank: how each (language, source) differs from the others and from its language.
 
     Each language keeps the terms in at least ``least`` of its documents. Part
@@ -261,11 +293,10 @@ def divergence(df: DataFrame, lang_col: str = "lang", source_col: str = "source"
     has more of than the language, by that difference.
     """
     leaves = counted(df, lang_col, source_col, text_col)
-    terms = merged(leaves.where("term <> ''")).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("sources"))
-    kept = stored(terms.where(F.col("docs") >= least).select("lang", "term", "n", "sources"), "kept-terms")
+    kept = kept_terms(leaves, least, broadcast_terms)
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("whole"))
     inside = kept.select("lang", F.explode("sources").alias("s")).groupBy("lang", "s.source").agg(F.sum("s.n").alias("total"), F.count("*").alias("own"))
-    present = leaves.where("term = ''").select("lang", "source").distinct()
+    present = leaves.where("term = ''").select("lang", F.explode("cells").alias("c")).select("lang", "c.source").distinct()
     groups = present.join(inside, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = stored(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "own", "terms", "whole")]), "groups")
 

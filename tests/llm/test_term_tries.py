@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quire.llm import term_tries
+from quire.llm import frames, term_tries
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -52,14 +52,14 @@ def rows_of(df):
     return sorted((r.lang, r.source, r.part, r.item, r.value, r.rank) for r in df.collect())
 
 
-@pytest.mark.parametrize(("sources", "counters", "least", "cells"), [(1_024, 200_000, 5, 1 << 20), (4, 20, 5, 16), (2, 1, 1, 4), (6, 100, 20, 1)])
-def test_divergence(spark, monkeypatch, sources, counters, least, cells):
+@pytest.mark.parametrize(("sources", "counters", "least", "cells", "broadcast"), [(1_024, 200_000, 5, 1 << 20, 1_000), (4, 20, 5, 16, 0), (2, 1, 1, 4, 1_000), (6, 100, 20, 1, 0)])
+def test_divergence(spark, monkeypatch, sources, counters, least, cells, broadcast):
     monkeypatch.setattr(term_tries, "COUNTERS", counters)
-    monkeypatch.setattr(term_tries, "PENDING", counters)
+    monkeypatch.setattr(frames, "SLICE_BYTES", 500)
     monkeypatch.setattr(term_tries, "CELLS", cells)
     rows = corpus(220, ["s0", "s1", "s2", "source three", None, "", "é", "Z"], 5)
     docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(4)
-    assert rows_of(term_tries.divergence(docs, least=least, best=7, sources=sources)) == brute(rows, least, 7)
+    assert rows_of(term_tries.divergence(docs, least=least, best=7, sources=sources, broadcast_terms=broadcast)) == brute(rows, least, 7)
 
 
 def test_awkward_tables(spark):
@@ -71,19 +71,34 @@ def test_awkward_tables(spark):
 
 
 def test_trie_walks_in_byte_order():
-    rng, trie, other, want = random.Random(1), term_tries.Trie(), term_tries.Trie(), {}
-    for _ in range(5_000):
+    rng, trie, want = random.Random(1), term_tries.Trie(), {}
+    for n in range(5_000):
         term = "".join(rng.choice("abé日😀") for _ in range(rng.randint(0, 6))).encode()
-        source, n = rng.choice("xyz"), rng.randint(1, 9)
-        rng.choice([trie, other]).add(term, source, n, 1)
-        seen = want.setdefault((term, source), [0, 0])
-        seen[0] += n
-        seen[1] += 1
-    trie.merge(other)
-    found = list(trie.walk())
-    assert [t for t, _ in found] == sorted({t for t, _ in want})
-    assert {(t, s): c for t, cs in found for s, c in cs.items()} == want
-    assert trie.counters == len(want)
+        trie.add(term, n)
+        want[term] = n
+    assert list(trie.walk()) == sorted(want.items())
+
+
+def test_tallies_are_mergeable():
+    """Leaves of several tries add up to those of one."""
+    rows = [(a or "", b or "", c or "") for a, b, c in corpus(200, ["s0", "s1", "é"], 8)]
+
+    def leaves(*parts):
+        found = {}
+        for part in parts:
+            tally = term_tries.Tally()
+            for begin in range(0, len(part), 7):
+                tally.count(*map(list, zip(*part[begin : begin + 7], strict=True)))
+            listed = [r for batch in tally.leaves() for r in batch.to_pylist()]
+            terms = [(list(tally.langs).index(r["lang"]), r["term"].encode()) for r in listed if r["term"]]
+            assert terms == sorted(set(terms))
+            for r in listed:
+                docs, cells = found.setdefault((r["lang"], r["term"]), (Counter(), Counter()))
+                docs["docs"] += r["docs"]
+                cells.update({c["source"]: c["n"] for c in r["cells"]})
+        return found
+
+    assert leaves(rows) == leaves(rows[:50], rows[50:51], rows[51:])
 
 
 def test_terms():
