@@ -2,16 +2,15 @@
 
 Terms are runs of letters: bytes A to Z, a to z and everything beyond ASCII,
 with A to Z lower-cased. Each task puts the terms of its texts into a radix trie
-over their UTF-8 bytes. A leaf has the number of documents of each language with
-the term, and a counter for each source; counters of all leaves lie in sorted
+over their UTF-8 bytes. A leaf has counters for each language and source:
+occurrences, and documents with the term. Counters of all leaves lie in sorted
 arrays, so equal ones are added up in numpy. A trie of more than ``TERMS`` terms
 or ``COUNTERS`` counters is written out in byte order and a new one begun, so a
-task's memory does not grow with its input; tries are mergeable. Documents are
-added up by term first, which tells the terms to keep. The counters of those are
-merged by prefix range: dealt to tasks by ranges of (language, term, source),
-and equal ones added up. Ranges are chosen from the counters that there are, so
-a common first letter is several ranges. A counter is written once for each
-task and trie, so no term is hot.
+task's memory does not grow with its input; tries are mergeable. They are merged
+by prefix range: written leaves are dealt to tasks by ranges of (language, term)
+and counters added up there. Ranges are chosen from the leaves that there are,
+so a common first letter is several ranges. A trie has one leaf for a language
+and term, so no term is hot.
 
 The merged leaves are traversed twice. For pairs of sources a task goes through
 its terms a block at a time and adds up differences for all sources of a
@@ -47,8 +46,6 @@ from quire.llm.frames import map_arrow, pick, slices, spread_join, stored
 #: Terms and counters of a task's trie before it is written out, some 60 and 50 MB.
 TERMS = 300_000
 COUNTERS = 2_000_000
-#: Kept terms that may be broadcast.
-BROADCAST_TERMS = 200_000
 #: Sources that the traversal for pairs has at hand at once.
 SOURCES = 1_024
 #: Shares at hand at once in the traversal for pairs.
@@ -123,7 +120,7 @@ class Counts:
 
 
 class Tally:
-    """The trie of one task, its counters by group and term, and its documents by language and term."""
+    """The trie of one task, and its counters of occurrences and documents by group and term."""
 
     def __init__(self):
         self.terms: dict[bytes, int] = defaultdict()
@@ -138,11 +135,12 @@ class Tally:
         total = int(sizes.sum())
         terms = np.fromiter(map(self.terms.__getitem__, itertools.chain.from_iterable(found)), np.int64, total)
         group = np.fromiter((self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources, strict=True)), np.int64, len(found))
-        lang = np.fromiter((self.langs.setdefault(x, len(self.langs)) for x in langs), np.int64, len(found))
+        for lang in langs:
+            self.langs.setdefault(lang, len(self.langs))
         text = np.repeat(np.arange(len(found)), sizes)
         self.occurrences.add((group[text] << 40) + terms)
         once = np.unique((text << 40) + terms)
-        self.documents.add((lang[once >> 40] << 40) + (once & ((1 << 40) - 1)))
+        self.documents.add((group[once >> 40] << 40) + (once & ((1 << 40) - 1)))
 
     def full(self) -> bool:
         return len(self.terms) > TERMS or len(self.occurrences.keys) > COUNTERS
@@ -165,27 +163,26 @@ class Tally:
         group, at = self.occurrences.keys >> 40, place[self.occurrences.keys & mask]
         by = (lang_of[group] << 40) + at if len(group) else group
         order = np.lexsort((group, by))
-        by, group, ns = by[order], group[order], self.occurrences.ns[order]
-        documents = (self.documents.keys >> 40 << 40) + place[self.documents.keys & mask]
-        inner = np.argsort(documents)
-        documents, docs = documents[inner], self.documents.ns[inner]
-        begins = np.searchsorted(by, documents)
+        by, group, ns, docs = by[order], group[order], self.occurrences.ns[order], self.documents.ns[order]
+        begins = np.flatnonzero(np.append(True, by[1:] != by[:-1])[: len(by)])
+        leaf = by[begins]
         own = pa.array(list(self.langs), pa.string())
         if pairs:
-            yield _leaves(own.take(pa.array(lang_of)), pa.array([""] * len(pairs)), np.zeros(len(pairs), np.int64), np.arange(len(pairs) + 1), sources, np.zeros(len(pairs), np.int64))
-        for a in range(0, len(documents), 1 << 16):
-            b = min(len(documents), a + (1 << 16))
-            low, high = int(begins[a]), int(begins[b]) if b < len(documents) else len(by)
-            yield _leaves(own.take(pa.array(documents[a:b] >> 40)), names.take(pa.array(documents[a:b] & mask)), docs[a:b], np.append(begins[a:b], high) - low, sources.take(pa.array(group[low:high])), ns[low:high])
+            nothing = np.zeros(len(pairs), np.int64)
+            yield _leaves(own.take(pa.array(lang_of)), pa.array([""] * len(pairs)), np.arange(len(pairs) + 1), sources, nothing, nothing)
+        for a in range(0, len(leaf), 1 << 16):
+            b = min(len(leaf), a + (1 << 16))
+            low, high = int(begins[a]), int(begins[b]) if b < len(leaf) else len(by)
+            yield _leaves(own.take(pa.array(leaf[a:b] >> 40)), names.take(pa.array(leaf[a:b] & mask)), np.append(begins[a:b], high) - low, sources.take(pa.array(group[low:high])), ns[low:high], docs[low:high])
 
 
-def _leaves(lang: pa.Array, term: pa.Array, docs: np.ndarray, cuts: np.ndarray, sources: pa.Array, ns: np.ndarray) -> pa.RecordBatch:
-    cells = pa.StructArray.from_arrays([sources, pa.array(ns, pa.int64())], ["source", "n"])
-    return pa.RecordBatch.from_arrays([lang, term, pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), cells)], names=["lang", "term", "docs", "cells"])
+def _leaves(lang: pa.Array, term: pa.Array, cuts: np.ndarray, sources: pa.Array, ns: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    cells = pa.StructArray.from_arrays([sources, pa.array(ns, pa.int64()), pa.array(docs, pa.int64())], ["source", "n", "docs"])
+    return pa.RecordBatch.from_arrays([lang, term, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), cells)], names=["lang", "term", "cells"])
 
 
 def counted(df: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """lang, term, docs and cells (source, n): leaves of all tries, on shared files. Leaves of the empty term tell the groups that there are."""
+    """lang, term and cells (source, n, docs): leaves of all tries, on shared files. Leaves of the empty term tell the groups that there are."""
     docs = pick(df, {"lang": lang_col, "source": source_col, "text": text_col}).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
     def run(batches):
@@ -198,18 +195,18 @@ def counted(df: DataFrame, lang_col: str = "lang", source_col: str = "source", t
                     tally = Tally()
         yield from tally.leaves()
 
-    return stored(map_arrow(docs, run, "lang string, term string, docs long, cells array<struct<source string, n long>>"), "leaves")
+    return stored(map_arrow(docs, run, "lang string, term string, cells array<struct<source string, n long, docs long>>"), "leaves")
 
 
-def kept_terms(leaves: DataFrame, least: int, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """lang, term, n and sources (source, n) of the terms in at least ``least`` documents of their language, on shared files."""
-    terms = leaves.where("term <> ''")
-    frequent = stored(terms.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term"), "frequent-terms")
-    wanted = F.broadcast(frequent) if frequent.count() <= broadcast_terms else frequent
-    cells = terms.join(wanted, ["lang", "term"], "left_semi").select("lang", "term", F.explode("cells").alias("c")).select("lang", "term", "c.source", "c.n")
-    merged = cells.repartitionByRange("lang", "term", "source").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    whole = merged.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("sources"))
-    return stored(whole, "kept-terms")
+def kept_terms(leaves: DataFrame, least: int) -> DataFrame:
+    """lang, term, n and sources (source, n) of the terms in at least ``least`` documents of their language, on shared files.
+
+    Both groupings find their rows together already, as terms are dealt by range.
+    """
+    cells = leaves.where("term <> ''").repartitionByRange("lang", "term").select("lang", "term", F.explode("cells").alias("c"))
+    merged = cells.groupBy("lang", "term", "c.source").agg(F.sum("c.n").alias("n"), F.sum("c.docs").alias("docs"))
+    whole = merged.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("sources"))
+    return stored(whole.where(F.col("docs") >= least).select("lang", "term", "n", "sources"), "kept-terms")
 
 
 def _share(n, total, terms):
@@ -284,7 +281,7 @@ def _pairs(leaves: DataFrame, groups: list[tuple[str, str, int]], terms: dict[st
     return map_arrow(leaves, run, "lang string, a string, b string, value long")
 
 
-def divergence(df: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = 30, best: int = 50, sources: int = SOURCES, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def divergence(df: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = 30, best: int = 50, sources: int = SOURCES) -> DataFrame:
     """lang, source, part, item, value and rank: how each (language, source) differs from the others and from its language.
 
     Each language keeps the terms in at least ``least`` of its documents. Part
@@ -293,7 +290,7 @@ def divergence(df: DataFrame, lang_col: str = "lang", source_col: str = "source"
     has more of than the language, by that difference.
     """
     leaves = counted(df, lang_col, source_col, text_col)
-    kept = kept_terms(leaves, least, broadcast_terms)
+    kept = kept_terms(leaves, least)
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("whole"))
     inside = kept.select("lang", F.explode("sources").alias("s")).groupBy("lang", "s.source").agg(F.sum("s.n").alias("total"), F.count("*").alias("own"))
     present = leaves.where("term = ''").select("lang", F.explode("cells").alias("c")).select("lang", "c.source").distinct()

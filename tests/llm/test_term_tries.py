@@ -52,14 +52,14 @@ def rows_of(df):
     return sorted((r.lang, r.source, r.part, r.item, r.value, r.rank) for r in df.collect())
 
 
-@pytest.mark.parametrize(("sources", "counters", "least", "cells", "broadcast"), [(1_024, 200_000, 5, 1 << 20, 1_000), (4, 20, 5, 16, 0), (2, 1, 1, 4, 1_000), (6, 100, 20, 1, 0)])
-def test_divergence(spark, monkeypatch, sources, counters, least, cells, broadcast):
+@pytest.mark.parametrize(("sources", "counters", "least", "cells"), [(1_024, 200_000, 5, 1 << 20), (4, 20, 5, 16), (2, 1, 1, 4), (6, 100, 20, 1)])
+def test_divergence(spark, monkeypatch, sources, counters, least, cells):
     monkeypatch.setattr(term_tries, "COUNTERS", counters)
     monkeypatch.setattr(frames, "SLICE_BYTES", 500)
     monkeypatch.setattr(term_tries, "CELLS", cells)
     rows = corpus(220, ["s0", "s1", "s2", "source three", None, "", "é", "Z"], 5)
     docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(4)
-    assert rows_of(term_tries.divergence(docs, least=least, best=7, sources=sources, broadcast_terms=broadcast)) == brute(rows, least, 7)
+    assert rows_of(term_tries.divergence(docs, least=least, best=7, sources=sources)) == brute(rows, least, 7)
 
 
 def test_awkward_tables(spark):
@@ -94,7 +94,7 @@ def test_tallies_are_mergeable():
             assert terms == sorted(set(terms))
             for r in listed:
                 docs, cells = found.setdefault((r["lang"], r["term"]), (Counter(), Counter()))
-                docs["docs"] += r["docs"]
+                docs.update({c["source"]: c["docs"] for c in r["cells"]})
                 cells.update({c["source"]: c["n"] for c in r["cells"]})
         return found
 
