@@ -8,8 +8,8 @@ array of one stretch.
 
 Windows over a whole page would put it into one task. Values are therefore cut
 into bands; a window runs inside a band, and what a band needs from the ones
-before comes from a table with one row a band. ``ranked`` numbers rows in the
-same way.
+before comes from a table with one row a band. ``running`` adds up and ``ranked``
+numbers rows in the same way.
 
 Keys must not be null.
 """
@@ -39,13 +39,18 @@ def stretches(rows: DataFrame, keys: list[str], value: str, reach: Column, name:
     return rows.drop("__band", "__before", "__reach", "__opens", "__last", "__carried")
 
 
+def running(rows: DataFrame, keys: list[str], order: list[str], weight: Column, name: str, band: float = BAND) -> DataFrame:
+    """``rows`` with the sum of ``weight`` over all rows up to their own in ``order``, the first column of which is a number. Rows that tie may come either way."""
+    rows = rows.withColumn("__band", F.floor(F.col(order[0]) / band)).withColumn("__w", weight)
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1))
+    sums = rows.groupBy(*keys, "__band").agg(F.sum("__w").alias("__n")).select(*keys, "__band", F.coalesce(before, F.lit(0)).alias("__before"))
+    own = F.sum("__w").over(Window.partitionBy(*keys, "__band").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(sums, [*keys, "__band"]).withColumn(name, F.col("__before") + own).drop("__band", "__before", "__w")
+
+
 def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, band: float = BAND) -> DataFrame:
     """``rows`` with their number from 0 in ``order``, the first column of which is a number."""
-    rows = rows.withColumn("__band", F.floor(F.col(order[0]) / band))
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1))
-    counts = rows.groupBy(*keys, "__band").agg(F.count("*").alias("__n")).select(*keys, "__band", F.coalesce(before, F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy(*keys, "__band").orderBy(*order))
-    return rows.join(counts, [*keys, "__band"]).withColumn(name, (F.col("__before") + own - 1).cast("int")).drop("__band", "__before")
+    return running(rows, keys, order, F.lit(1), name, band).withColumn(name, (F.col(name) - 1).cast("int"))
 
 
 def folded(rows: DataFrame, keys: list[str], order: list[str], values: list[str], start: Column, step) -> DataFrame:
