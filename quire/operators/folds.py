@@ -53,6 +53,22 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, band:
     return running(rows, keys, order, F.lit(1), name, band).withColumn(name, (F.col(name) - 1).cast("int"))
 
 
+def previous(rows: DataFrame, keys: list[str], order: list[str], column: str, name: str, band: float = BAND) -> DataFrame:
+    """``rows`` with ``column``, which is never null, of the row before in ``order``, the first column of which is a number."""
+    rows = rows.withColumn("__band", F.floor(F.col(order[0]) / band))
+    edges = rows.groupBy(*keys, "__band").agg(F.max_by(column, F.struct(*order)).alias("__last"))
+    edges = edges.select(*keys, "__band", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__band")).alias("__before"))
+    own = F.lag(column).over(Window.partitionBy(*keys, "__band").orderBy(*order))
+    return rows.join(edges, [*keys, "__band"]).withColumn(name, F.coalesce(own, F.col("__before"))).drop("__band", "__before")
+
+
+def upper_medians(rows: DataFrame, keys: list[str], value: str, name: str, band: float = BAND) -> DataFrame:
+    """``keys`` and the middle of ``value``, the higher of two."""
+    some = ranked(rows.select(*keys, value), keys, [value], "__rank", band)
+    middle = rows.groupBy(*keys).agg(F.floor(F.count("*") / 2).cast("int").alias("__rank"))
+    return some.join(middle, [*keys, "__rank"]).select(*keys, F.col(value).alias(name))
+
+
 def folded(rows: DataFrame, keys: list[str], order: list[str], values: list[str], start: Column, step) -> DataFrame:
     """keys, ``items`` (structs of ``order`` and ``values``, sorted) and ``state`` after ``step(state, item)`` over them."""
     items = F.array_sort(F.collect_list(F.struct(*order, *values)))
@@ -130,3 +146,41 @@ def distinct_hits(hits: DataFrame) -> DataFrame:
 
     start = F.array().cast("array<struct<hit_id:bigint,x:double,y:double,w:double>>")
     return folded(rows, ["page", "sy", "sx", "sw"], ["hit_id"], ["x", "y", "w"], start, step).select("page", F.explode("state.hit_id").alias("hit_id"))
+
+
+#: Fixed values of bands: lines of a page that has any, and of a band; the least gap in points, in leadings and in sizes;
+#: how much of a size a leading counts at least; the part of the page for a header, and above a footer; and how much larger than the body.
+LINES_OF_PAGE, LINES_OF_BAND, LEAST_GAP, LEADINGS, SIZES, OF_SIZE, TOP, BOTTOM, LARGER = 4, 3, 10.0, 2.2, 1.4, 0.3, 0.18, 0.82, 1.12
+
+
+def bands(lines: DataFrame) -> DataFrame:
+    """Lines (page, line_id, y0, y1, size, page_height) with band: header, body or footer.
+
+    A header is up to three lines at the top of the page above the first gap
+    that sets them apart, if they stand high enough and are not larger than the
+    body; a footer likewise from the bottom.
+    """
+    order = ["y0", "line_id"]
+    rows = ranked(previous(lines.select("page", "line_id", "y0", "y1", "size", "page_height"), ["page"], order, "y1", "above"), ["page"], order, "num")
+    rows = rows.withColumn("gap", F.col("y0") - F.col("above"))
+    pages = rows.groupBy("page").agg(F.count("*").alias("n"), F.max("page_height").alias("height"))
+    pages = pages.join(upper_medians(rows, ["page"], "size", "body"), "page").join(upper_medians(rows.where("gap > -2"), ["page"], "gap", "leading"), "page", "left")
+    leading = F.coalesce("leading", F.lit(0.0))
+    pages = pages.withColumn("apart", F.greatest(F.lit(LEAST_GAP), F.greatest(leading, F.col("body") * OF_SIZE) * LEADINGS, F.col("body") * SIZES))
+    near = rows.join(pages, "page").where((F.col("num") <= LINES_OF_BAND) | (F.col("num") >= F.col("n") - LINES_OF_BAND - 1))
+    edges = near.groupBy("page", "n", "height", "body", "apart").agg(F.collect_list(F.struct("num", "y0", "y1", "size", "gap")).alias("rows"))
+
+    def places(low, high):
+        return F.transform(F.filter("rows", lambda r: (r.num >= low) & (r.num <= high) & (r.gap >= F.col("apart"))), lambda r: r.num)
+
+    small = lambda inside: F.forall(F.filter("rows", inside), lambda r: r["size"] <= F.col("body") * LARGER)
+    below = F.array_min(places(F.lit(1), F.least(F.lit(LINES_OF_BAND), F.col("n") - 1)))
+    edges = edges.withColumn("i", below)
+    high = F.exists("rows", lambda r: (r.num == F.col("i") - 1) & (r.y1 <= F.col("height") * TOP))
+    edges = edges.withColumn("header_end", F.when((F.col("n") >= LINES_OF_PAGE) & F.col("i").isNotNull() & high & small(lambda r: r.num < F.col("i")), F.col("i")).otherwise(0))
+    edges = edges.withColumn("j", F.array_max(places(F.greatest(F.col("header_end") + 1, F.col("n") - LINES_OF_BAND), F.col("n") - 1)))
+    low = F.exists("rows", lambda r: (r.num == F.col("j")) & (r.y0 >= F.col("height") * BOTTOM))
+    edges = edges.withColumn("footer_start", F.when((F.col("n") >= LINES_OF_PAGE) & F.col("j").isNotNull() & low & small(lambda r: r.num >= F.col("j")), F.col("j")).otherwise(F.col("n")))
+    out = rows.join(edges.select("page", "header_end", "footer_start"), "page")
+    band = F.when(F.col("num") < F.col("header_end"), "header").when(F.col("num") >= F.col("footer_start"), "footer").otherwise("body")
+    return out.select("page", "line_id", band.alias("band"))

@@ -123,3 +123,47 @@ def test_empty_tables(spark):
     assert folds.text_lines(spark.createDataFrame([], "page int, span_id long, text string, x double, baseline double, size double")).collect() == []
     assert folds.text_groups(spark.createDataFrame([], "page int, item_id long, x double, y double, h double")).collect() == []
     assert folds.distinct_hits(spark.createDataFrame([], "page int, hit_id long, x double, y double, w double")).collect() == []
+
+
+def plain_bands(lines, height):
+    lines = sorted(lines, key=lambda x: (x[1], x[0]))
+    n = len(lines)
+    if n < 4:
+        return sorted((i, "body") for i, *_ in lines)
+    body = statistics.median_high([x[3] for x in lines])
+    gaps = [b[1] - a[2] for a, b in zip(lines, lines[1:], strict=False)]
+    near = [g for g in gaps if g > -2]
+    apart = max(10, max(statistics.median_high(near) if near else 0, body * 0.3) * 2.2, body * 1.4)
+    small = lambda band: all(x[3] <= body * 1.12 for x in band)
+    end, start = 0, n
+    i = next((i for i in range(1, min(3, n - 1) + 1) if gaps[i - 1] >= apart), None)
+    if i and lines[i - 1][2] <= height * 0.18 and small(lines[:i]):
+        end = i
+    j = next((j for j in range(n - 1, max(end + 1, n - 3) - 1, -1) if gaps[j - 1] >= apart), None)
+    if j and lines[j][1] >= height * 0.82 and small(lines[j:]):
+        start = j
+    return sorted((x[0], "header" if k < end else "footer" if k >= start else "body") for k, x in enumerate(lines))
+
+
+def test_bands(spark):
+    rng = random.Random(6)
+    pages = {}
+    for p in range(120):
+        tops = rng.sample(range(0, 790, rng.choice([11, 12, 40])), rng.choice([1, 3, 4, 5, 9, 18]))
+        pages[p] = [(i, float(y), y + 10.0, float(rng.choice([9, 9, 9, 10, 11, 30]))) for i, y in enumerate(tops)]
+    df = spark.createDataFrame([(p, *x, 792.0) for p, xs in pages.items() for x in xs], "page int, line_id long, y0 double, y1 double, size double, page_height double")
+    got = folds.bands(df.repartition(3)).collect()
+    want = sorted((p, *x) for p, xs in pages.items() for x in plain_bands(xs, 792.0))
+    assert sorted((r.page, r.line_id, r.band) for r in got) == want
+    assert {b for _, _, b in want} == {"header", "body", "footer"}
+
+
+def test_medians_and_rows_before(spark):
+    rng = random.Random(7)
+    rows = [(k, i, float(rng.randint(-300, 300))) for k, n in enumerate((1, 2, 9, 50)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, i long, v double").repartition(3)
+    assert {r.k: r.m for r in folds.upper_medians(df, ["k"], "v", "m").collect()} == {k: statistics.median_high([v for q, _, v in rows if q == k]) for k in range(4)}
+    got = {(r.k, r.i): r.p for r in folds.previous(df, ["k"], ["v", "i"], "v", "p").collect()}
+    for k in range(4):
+        ordered = sorted((v, i) for q, i, v in rows if q == k)
+        assert [got[k, i] for _, i in ordered] == [None, *[v for v, _ in ordered[:-1]]]
