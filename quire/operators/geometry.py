@@ -127,9 +127,9 @@ def band_cut(lines: DataFrame) -> DataFrame:
 
 
 def upper_median(value: str) -> Column:
-    """The middle value, the higher of two."""
+    """The middle value, the higher of two; null without any."""
     v = F.sort_array(F.collect_list(value))
-    return F.element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
+    return F.get(v, F.floor(F.size(v) / 2).cast("int"))
 
 
 def covered(rules: DataFrame, spans: DataFrame, snap: float = 2.5) -> DataFrame:
