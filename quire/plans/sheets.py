@@ -131,7 +131,37 @@ _FIX2 = "(n // 100) || '.' || lpad((n % 100)::VARCHAR, 2, '0')"
 _CODES = ", ".join("({}, '{}')".format(i, c.replace("'", "''")) for i, c in enumerate(CODES))
 CELLS = "cells AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_partkey % 5 AS style_id, ['s', 'inlineStr', 'str', 'b', 'e', 'n', 'n'][l_suppkey % 7 + 1] AS kind, [l_partkey::VARCHAR, l_returnflag, NULL, (l_linenumber % 2)::VARCHAR, NULL, l_quantity::VARCHAR, 'x'][l_suppkey % 7 + 1] AS raw FROM lineitem)"
 QUERIES = {f.__name__: f for f in (cell_references, column_names, serial_dates, serial_instants, date_codes, fixed_formats, cell_formats, cell_types, cell_styles, cell_merges, cell_grid, sheet_scales, column_sizes, theme_tints, sheet_rows, sheet_stack, sheet_names)}
+
+
+def _format_sql() -> str:
+    """Prices under every built-in format, an expression for each."""
+
+    def number(places: int, grouped: bool = False, times: int = 1) -> str:
+        scaled = f"CAST(floor(abs(v * {times}) * {10**places} + 2.220446049250313e-16 + 0.5e0) AS BIGINT)"
+        whole = f"format('{{:,}}', {scaled} // {10**places})" if grouped else f"CAST({scaled} // {10**places} AS VARCHAR)"
+        return whole + (f" || '.' || lpad(CAST({scaled} % {10**places} AS VARCHAR), {places}, '0')" if places else "")
+
+    signed = lambda text: f"CASE WHEN v < 0 THEN '-' ELSE '' END || {text}"
+    either = lambda text, end: f"CASE WHEN v < 0 THEN '(' || {text} || ')' ELSE {text} || '{end}' END"
+    general = "CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE rtrim(rtrim(CAST(round(v, 10 - CAST(floor(log10(abs(v))) AS INTEGER)) AS VARCHAR), '0'), '.') END"
+    date = lambda shape: f"CASE WHEN v < 0 THEN {general} ELSE strftime(t, '{shape}') END"
+    texts = {
+        0: general, 1: signed(number(0)), 2: signed(number(2)), 3: signed(number(0, True)), 4: signed(number(2, True)), 9: signed(number(0, times=100)) + " || '%'", 10: signed(number(2, times=100)) + " || '%'",
+        11: signed(number(2)) + " || 'E+'", 12: signed(number(0)) + " || ' /'", 13: signed(number(0)) + " || ' /'", 14: date("%m-%d-%y"), 15: date("%-d-%b-%y"), 16: date("%-d-%b"), 17: date("%b-%y"),
+        18: date("%-I:%M %p"), 19: date("%-I:%M:%S %p"), 20: date("%-H:%M"), 21: date("%-H:%M:%S"), 22: date("%-m/%-d/%y %-H:%M"), 37: either(number(0, True), " "), 38: either(number(0, True), " "),
+        39: either(number(2, True), ""), 40: either(number(2, True), ""), 45: date("%M:%S"), 46: f"CASE WHEN v < 0 THEN {general} ELSE CAST(CAST(floor(v * 24) AS BIGINT) AS VARCHAR) || strftime(t, ':%M:%S') END", 47: date("%M%S.0"),
+        48: signed(number(1)) + " || 'E+'", 49: general,
+    }
+    others = {'"d"0': signed("'d' || " + number(0)), "yyyy": date("%Y"), "[h]:mm": f"CASE WHEN v < 0 THEN {general} ELSE CAST(CAST(floor(v * 24) AS BIGINT) AS VARCHAR) || strftime(t, ':%M') END", "[Red]0": signed(number(0)), "": general}
+    cases = " ".join(f"WHEN '{code}' THEN {text}" for code, text in [*((S.BUILTIN[k], t) for k, t in texts.items()), *others.items()])
+    codes = ", ".join(f"'{c}'" for c in CODES)
+    return f"""WITH c AS (SELECT o_orderkey, o_totalprice - 1000 AS v, [{codes}][o_orderkey % {len(CODES)} + 1] AS code FROM orders),
+d AS (SELECT *, TIMESTAMP '1899-12-31' + to_days(CAST(floor(v) - CAST(floor(v) > 59 AS INTEGER) AS INTEGER)) + to_milliseconds(CAST(floor((v - floor(v)) * 86400000 + 0.5e0) AS BIGINT)) AS t FROM c)
+SELECT o_orderkey, code, CASE code {cases} END AS text FROM d"""
+
+
 SQL = {
+    "cell_formats": _format_sql(),
     "cell_references": f"WITH r AS (SELECT p_partkey, {_L.format(m='(p_partkey * 7 % 18000)')} || (p_size + 1) AS ref FROM part UNION ALL VALUES (-1, 'BC12'), (-2, 'a1'), (-3, 'A'), (-4, '12')), s AS (SELECT *, regexp_extract(ref, '^([A-Z]+)[0-9]+$', 1) AS l, regexp_extract(ref, '^[A-Z]+([0-9]+)$', 1) AS d FROM r) SELECT p_partkey, ref, CASE WHEN l <> '' THEN CAST(d AS INTEGER) - 1 END AS \"row\", CASE WHEN l <> '' THEN CAST(list_reduce(list_prepend(0, list_transform(string_split(l, ''), lambda c: ascii(c) - 64)), lambda a, c: a * 26 + c) - 1 AS INTEGER) END AS col FROM s",
     "column_names": f"SELECT p_partkey, {_L.format(m='(p_partkey * 9 % 18000)')} AS name FROM part",
     "serial_dates": "WITH s AS (SELECT CAST(date_diff('day', DATE '1899-12-31', CAST(o_orderdate AS DATE)) + 1 AS DOUBLE) AS serial FROM orders UNION ALL VALUES (1), (59), (60), (61), (45219)) SELECT serial, CAST(DATE '1899-12-31' + CAST(CASE WHEN serial > 59 THEN serial - 1 ELSE serial END AS INTEGER) AS VARCHAR) AS day FROM s",
