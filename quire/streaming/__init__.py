@@ -6,11 +6,68 @@ batch of new rows to the same DataFrame functions that batch queries use.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
+EVENTS = "query string, batch long, rows long, rows_so_far long, percent double, message string"
+
+
+class Progress(StreamingQueryListener):
+    """Keeps what running streams report, a row for each batch, start and end, in the order in which it came.
+
+    ``expected`` is the number of rows that the source holds, if it is known;
+    percent is then the part of them read so far, at most 99 before the end and
+    100 after it. Streams run without it until they fail or end.
+    """
+
+    def __init__(self, expected: int | None = None):
+        self.expected = expected
+        self.rows: list[tuple] = []
+        self.read: dict[str, int] = {}
+        self.ended = threading.Event()
+
+    def percent(self, so_far: int) -> float | None:
+        return None if self.expected is None else min(99.0, 100.0 * so_far / self.expected) if self.expected else 99.0
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.append((str(event.id), None, 0, 0, None if self.expected is None else 0.0, "started"))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        name = str(p.id)
+        self.read[name] = so_far = self.read.get(name, 0) + p.numInputRows
+        self.rows.append((name, p.batchId, p.numInputRows, so_far, self.percent(so_far), f"batch {p.batchId}: {p.numInputRows} rows"))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        so_far = self.read.get(str(event.id), 0)
+        failed = event.exception.splitlines()[0] if event.exception else None
+        done = self.percent(so_far) if failed else None if self.expected is None else 100.0
+        self.rows.append((str(event.id), None, 0, so_far, done, f"failed: {failed}" if failed else "ended"))
+        self.ended.set()
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, EVENTS)
+
+
+@contextmanager
+def reported(spark: SparkSession, expected: int | None = None, wait: float = 10.0) -> Iterator[Progress]:
+    """Progress of the stream that runs inside the block; its last event may come up to ``wait`` seconds behind it."""
+    progress = Progress(expected)
+    spark.streams.addListener(progress)
+    try:
+        yield progress
+    finally:
+        progress.ended.wait(wait)
+        spark.streams.removeListener(progress)
+
 
 def ingest(spark: SparkSession, source: str, schema: StructType, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, files_per_batch: int = 100) -> None:
     """Runs ``work`` over all Parquet files in ``source`` not seen before and writes its rows to ``sink``.
