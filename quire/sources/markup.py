@@ -7,7 +7,6 @@ anywhere needs a scan of characters, done a batch at a time in Python.
 from __future__ import annotations
 
 import html.entities
-import html.parser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,10 +14,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import BLANK, BLANKS, let, trimmed
 
-#: Elements whose content is not text of a page, elements that are taken out as unsafe, elements kept in one piece.
+#: Elements whose content is not text of a page, and elements that are taken out as unsafe.
 SKIPPED = ("script", "style", "noscript", "title", "head", "template")
 UNSAFE = ("script", "object", "embed", "iframe", "frame")
-ATOMIC = ("img", "svg", "canvas", "video", "table")
 #: A character reference, by number or by name.
 REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 #: The entities that the test pages hold, for their SQL, the ampersand last.
@@ -141,50 +139,6 @@ def csv_cells(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return files.select(id_col, text_col).mapInPandas(cells, f"`{id_col}` {kind}, row int, col int, text string")
 
 
-class _Layer(html.parser.HTMLParser):
-    """Words, forced breaks and boxes of a page in reading order, on an estimated grid of lines."""
-
-    WIDTH, LINE, CHAR = 80, 20.0, 1
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.lines: list[list[str]] = [[]]
-        self.skip, self.used = 0, 0
-        self.breaks: list[float] = []
-        self.boxes: list[tuple[float, float]] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.skip += 1
-        style = dict(attrs).get("style") or ""
-        if tag in ("p", "div", "li", "br", "h1", "h2", "h3", "ul", "table", "tr", "article", "nav", "footer"):
-            self._newline()
-        if "break-before" in style and ("page" in style or "always" in style):
-            self._newline()
-            self.breaks.append((len(self.lines) - 1) * self.LINE)
-        if tag in ATOMIC:
-            top = (len(self.lines) - 1) * self.LINE
-            self.boxes.append((top, top + self.LINE))
-
-    def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-
-    def handle_data(self, data):
-        if self.skip:
-            return
-        for word in data.split():
-            if self.used and self.used + 1 + len(word) > self.WIDTH:
-                self._newline()
-            self.lines[-1].append(word)
-            self.used += len(word) + 1
-
-    def _newline(self):
-        if self.lines[-1]:
-            self.lines.append([])
-            self.used = 0
-
-
 #: Height of a page's content in pixels, how far up a break may be pulled, and ink beyond a box.
 CONTENT_HEIGHT, PULL, BLEED = (842 - 72) * 96 / 72, 0.35, 2
 
@@ -202,26 +156,4 @@ def paginate(height: float, boxes: list[tuple[float, float]], forced: list[float
     return tops
 
 
-def html_pages(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """id, page, line, text of the text layer, laid out on an estimated grid and broken into pages."""
-
-    def laid(batches):
-        for batch in batches:
-            out = []
-            for name, source in zip(batch[id_col], batch[html_col], strict=True):
-                layer = _Layer()
-                layer.feed(source or "")
-                layer.close()
-                rows = [(i * layer.LINE, " ".join(w)) for i, w in enumerate(layer.lines) if w]
-                boxes = layer.boxes + [(y, y + layer.LINE) for y, _ in rows]
-                tops = paginate(len(layer.lines) * layer.LINE, boxes, layer.breaks)
-                for y, text in rows:
-                    n = sum(t <= y for t in tops) - 1
-                    out.append((name, n, int(y // layer.LINE), text))
-            yield pd.DataFrame(out, columns=[id_col, "page", "line", "text"])
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, html_col).mapInPandas(laid, f"`{id_col}` {kind}, page int, line int, text string")
-
-
-__all__ = ["BLANKS", "csv_cells", "decoded", "html_pages", "markdown_blocks", "page_text", "page_words", "paginate", "parse_csv", "public_url", "safe", "without_elements"]
+__all__ = ["BLANKS", "csv_cells", "decoded", "markdown_blocks", "page_text", "page_words", "paginate", "parse_csv", "public_url", "safe", "without_elements"]
