@@ -22,11 +22,14 @@ factor of its own. Factors of neighbouring anchors meet or overlap, and their
 union is what goes.
 
 Documents of the same words form a class. Only the one with the smallest id is
-parsed; the others, if a window long, go whole. Anchors that more than
-``BLOCK_DOCUMENTS`` documents share would make blocks without bound. Their
-windows are blocks of one window each, known by a cryptographic digest of its
-words: the smallest id of each is summed map-side, and a factor is a window that
-a smaller id has.
+parsed; the others, if a window long, go whole. The same holds of stretches. An
+anchor whose stretches have more than ``BLOCK_WORDS`` words would make a block
+that is too large, so its stretches are first cut back to windows that two
+documents may have, as two hashes of each window say, and equal ones are merged,
+word for word, under the smallest id; the others are factors as a whole. What is
+left is parsed in a block as above. Where even that is more than ``BLOCK_WORDS``,
+stretches of one window each are merged in the same way, and leave nothing to
+parse. Hashes say what may be left out; words are compared before any is removed.
 
 Null, empty and blank texts have 0 words and stay empty. A text may be of any
 length that a row can hold. A row without an id keeps all its words and is no
@@ -46,11 +49,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import wordhash
-from quire.llm.frames import map_arrow, map_text, only, pick, slices, spread_join, stored, strings
+from quire.llm.frames import dropped, map_arrow, map_text, only, pick, slices, spread_join, stored, strings
 
 WINDOW = 50
-#: Documents of the largest block.
-BLOCK_DOCUMENTS = 1_000
+#: Words of the largest block, at some 200 bytes each with their place in the index.
+BLOCK_WORDS = 200_000
+#: Windows that are sent on at once, with their words.
+SENT_WINDOWS = 2_000
 
 
 def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -67,68 +72,138 @@ def halves(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
+def changes(values: np.ndarray) -> np.ndarray:
+    """Where each stretch of equal ``values`` begins, and their number."""
+    return np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values))
+
+
 def profiles(docs: DataFrame, window: int) -> DataFrame:
-    """id, n_words, d1, d2 (digest of the words) and distinct anchors of every row of ``docs`` (id, text)."""
+    """id, n_words, d1, d2 (digest of the words) and distinct anchors, with the words of their stretches, of every row of ``docs`` (id, text)."""
 
     def make():
         def work(text: pa.Array) -> list:
             w = wordhash.words(text)
-            found = []
+            found, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i in range(len(text)):
-                own = w.hashes[w.of(i)]
-                found.append(np.unique(anchors(own, window)).view(np.int64) if len(own) >= window else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in found])), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+                made = anchors(w.hashes[w.of(i)], window)
+                edge = changes(made) if len(made) else np.zeros(1, np.int64)
+                known, at = np.unique(made[edge[:-1]], return_inverse=True)
+                found.append(known)
+                sizes.append(np.bincount(at, np.diff(edge) + window - 1, len(known)).astype(np.int64))
+            pairs = pa.StructArray.from_arrays([np.concatenate(found).view(np.int64), np.concatenate(sizes)], ["anchor", "size"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in found]), pa.int32()), pairs)
             names = halves([digest(t.encode().split()) for t in strings(text)])
             return [np.diff(w.cuts), names[:, 0], names[:, 1], lists]
 
         return work
 
-    return map_text(docs, "text", ["id"], "n_words long, d1 long, d2 long, anchors array<long>", make)
+    return map_text(docs, "text", ["id"], "n_words long, d1 long, d2 long, anchors array<struct<anchor: long, size: long>>", make)
 
 
-def stretches(docs: DataFrame, window: int) -> DataFrame:
-    """Stretches of ``docs`` (id, text, shared: anchors, and whether each is hot) whose windows have one shared anchor.
+def marked(batch: pa.RecordBatch, window: int) -> Iterator[tuple]:
+    """Id, words, digest, two hashes of each window, anchors and whether each is in the list, of rows (id, text, anchors) that have a window."""
+    w = wordhash.words(batch.column(1))
+    for i, (one, text, listed) in enumerate(zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2), strict=True)):
+        own = w.hashes[w.of(i)]
+        if len(own) >= window:
+            words, anchor = text.encode().split(), anchors(own, window)
+            known = listed.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            yield one, words, halves([digest(words)])[0].tolist(), (own, w.others[w.of(i)]), anchor, np.isin(anchor, known)
 
-    Columns: id, d1, d2, first (word), anchor, and words, joined by spaces. For
-    a hot anchor words is null, and hot has both halves of the digest of each
-    window.
-    """
+
+STRETCH = "id long, d1 long, d2 long, first long, anchor long, n long, words binary"
+_STRETCH = {"id": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "first": pa.int64(), "anchor": pa.int64(), "n": pa.int64(), "words": pa.binary()}
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(_STRETCH)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _STRETCH.values(), strict=True)], names=list(_STRETCH))
+
+
+def stretches(docs: DataFrame, window: int) -> DataFrame:
+    """Stretches of ``docs`` (id, text, shared: anchors) whose windows have one anchor of the list: id, d1, d2, first (word), anchor, n (words) and words, joined by spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                piece = batch.slice(a, b - a)
-                w = wordhash.words(piece.column(1))
                 rows: list[tuple] = []
-                for i, (one, text, shared) in enumerate(zip(piece.column(0).to_pylist(), strings(piece.column(1)), piece.column(2), strict=True)):
-                    own = w.hashes[w.of(i)]
-                    if len(own) < window:
-                        continue
-                    words = text.encode().split()
-                    shared = shared.values
-                    known = shared.field("anchor").to_numpy(zero_copy_only=False).view(np.uint64)
-                    hot = shared.field("hot").to_numpy(zero_copy_only=False)
-                    order = np.argsort(known)
-                    known, hot = known[order], hot[order]
-                    anchor = anchors(own, window)
-                    at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-                    inside = known[at] == anchor
-                    edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-                    d1, d2 = halves([digest(words)])[0].tolist()
-                    for first, last in zip(edge.tolist(), [*edge[1:].tolist(), len(anchor)], strict=True):
-                        if not inside[first]:
-                            continue
-                        key = int(anchor[first : first + 1].view(np.int64)[0])
-                        if hot[at[first]]:
-                            made = halves([digest(words[p : p + window]) for p in range(first, last)])
-                            rows.append((one, d1, d2, first, key, None, [{"w1": x, "w2": y} for x, y in made.tolist()]))
-                        else:
-                            rows.append((one, d1, d2, first, key, b" ".join(words[first : last + window - 1]), None))
-                columns = list(zip(*rows, strict=True)) or [[]] * 7
-                kinds = (*[pa.int64()] * 5, pa.binary(), pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "d1", "d2", "first", "anchor", "words", "hot"])
-
-    return map_arrow(docs.select("id", "text", "shared"), run, "id long, d1 long, d2 long, first long, anchor long, words binary, hot array<struct<w1: long, w2: long>>")
+                for one, words, (d1, d2), _, anchor, inside in marked(batch.slice(a, b - a), window):
+                    edge, keys = changes(anchor).tolist(), anchor.view(np.int64)
+                    for first, last in zip(edge, edge[1:], strict=False):
+                        if inside[first]:
+                            end = last + window - 1
+                            rows.append((one, d1, d2, first, int(keys[first]), end - first, b" ".join(words[first:end])))
+                yield _batch(rows)
+
+    return map_arrow(docs.select("id", "text", "shared"), run, STRETCH)
+
+
+def windows(docs: DataFrame, window: int) -> DataFrame:
+    """Windows of ``docs`` (id, text, shared: anchors) with an anchor of the list: id, d1, d2, start, anchor and two hashes of the words, w1 and w2."""
+    names = ["id", "d1", "d2", "start", "anchor", "w1", "w2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                for one, _, (d1, d2), hashes, anchor, inside in marked(batch.slice(a, b - a), window):
+                    at = np.flatnonzero(inside)
+                    w1, w2 = (wordhash.runs(h, window)[at].view(np.int64) for h in hashes)
+                    same = [np.full(len(at), x, np.int64) for x in (one, d1, d2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*same, at.astype(np.int64), anchor[at].view(np.int64), w1, w2)], names=names)
+
+    return map_arrow(docs.select("id", "text", "shared"), run, ", ".join(f"{n} long" for n in names))
+
+
+def trimmed(docs: DataFrame, window: int) -> DataFrame:
+    """Longest stretches, as of ``stretches``, of ``docs`` (id, text, places: d1, d2, start, anchor) whose windows are all among the places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for one, text, places in zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2), strict=True):
+                words = text.encode().split()
+                d1, d2 = halves([digest(words)])[0].tolist()
+                d1s, d2s, starts, keys = (places.values.field(k).to_numpy(zero_copy_only=False) for k in ("d1", "d2", "start", "anchor"))
+                mine = (d1s == d1) & (d2s == d2)
+                starts, at = np.unique(starts[mine], return_index=True)
+                if not len(starts):
+                    continue
+                keys = keys[mine][at]
+                edge = np.flatnonzero(np.append(True, (np.diff(starts) != 1) | (np.diff(keys) != 0)))
+                for first, last in zip(edge.tolist(), [*(edge[1:] - 1).tolist(), len(starts) - 1], strict=True):
+                    begin, end = int(starts[first]), int(starts[last]) + window
+                    rows.append((one, d1, d2, begin, int(keys[first]), end - begin, b" ".join(words[begin:end])))
+            yield _batch(rows)
+
+    return map_arrow(docs.select("id", "text", "places"), run, STRETCH)
+
+
+def single(rows: DataFrame, window: int) -> DataFrame:
+    """Stretches of one window each for every window of the stretches ``rows``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for one, d1, d2, first, anchor, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = raw.split()
+                for k in range(n - window + 1):
+                    out.append((one, d1, d2, first + k, anchor, window, b" ".join(words[k : k + window])))
+                    if len(out) == SENT_WINDOWS:
+                        yield _batch(out)
+                        out = []
+        yield _batch(out)
+
+    return map_arrow(rows.select(*_STRETCH), run, STRETCH)
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Stretches ``rows``, which are stored, with least: the smallest id that has the same words under the same anchor.
+
+    Copies are counted map-side. The keys that ``spread_join`` broadcasts have
+    no more bytes than 4,096 average rows, as each stands in one of 4,096 rows.
+    """
+    equal = rows.groupBy("anchor", "words").agg(F.min("id").alias("least"), F.count("*").alias("c"))
+    return spread_join(rows, equal, ["anchor", "words"], "c", F.xxhash64("id", "first"), rows.count()).select(*_STRETCH, "least")
 
 
 class ReferenceBlock:
@@ -187,9 +262,9 @@ SPANS = "id long, d1 long, d2 long, start long, stop long"
 
 
 def factored(rows: DataFrame, window: int) -> DataFrame:
-    """id, d1, d2, start, stop: words covered by factors of the ``stretches`` of anchors that are not hot."""
+    """id, d1, d2, start, stop: words covered by factors of the ``stretches`` of each anchor."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.where("words is not null").select("anchor", "id", "d1", "d2", "first", "words").repartition(n, "anchor").sortWithinPartitions("anchor", "id", "d1", "d2", "first")
+    dealt = rows.select("anchor", "id", "d1", "d2", "first", "words").repartition(n, "anchor").sortWithinPartitions("anchor", "id", "d1", "d2", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, ReferenceBlock(window)
@@ -207,16 +282,25 @@ def factored(rows: DataFrame, window: int) -> DataFrame:
     return map_arrow(dealt, run, SPANS)
 
 
-def hot_windows(rows: DataFrame, window: int) -> DataFrame:
-    """id, d1, d2, start, stop: windows of hot anchors that a document with a smaller id has."""
-    each = rows.where("hot is not null").select("id", "d1", "d2", "first", F.posexplode("hot").alias("k", "w")).select("id", "d1", "d2", (F.col("first") + F.col("k")).alias("start"), "w.w1", "w.w2")
-    each = stored(each, "hot-windows")
-    least = each.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("c")).where("least < most").select("w1", "w2", "least", "c")
-    found = spread_join(each, least, ["w1", "w2"], "c", F.xxhash64("id", "start"), each.count()).where("id > least")
-    return found.select("id", "d1", "d2", "start", (F.col("start") + window).alias("stop"))
-
-
-def spans(docs: DataFrame, window: int, block_documents: int) -> DataFrame:
+def busy(docs: DataFrame, window: int, block_words: int) -> DataFrame:
+    """id, d1, d2, start, stop: words covered by factors of ``docs`` (id, text, shared: anchors whose blocks would be too large)."""
+    each = stored(windows(docs, window), "windows")
+    twice = each.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("c")).where("least < most").select("w1", "w2", "c")
+    kept = spread_join(each, twice, ["w1", "w2"], "c", F.xxhash64("id", "start"), each.count()).where("c is not null")
+    places = stored(kept.groupBy("id").agg(F.collect_list(F.struct("d1", "d2", "start", "anchor")).alias("places")), "places")
+    cut = stored(trimmed(only(docs.select("id", "text"), places.select("id")).join(places.hint("shuffle_hash"), "id"), window), "cut")
+    rows = stored(merged(cut), "merged")
+    dropped(docs.sparkSession, each, places, cut)
+    whole, first = rows.where("id > least"), rows.where("id = least").drop("least")
+    sizes = first.groupBy("anchor").agg(F.count("*").alias("c"), F.sum("n").alias("size"))
+    first = spread_join(first, sizes, ["anchor"], "c", F.xxhash64("id", "first"), rows.count())
+    found = factored(first.where(F.col("size") <= block_words), window)
+    if sizes.where(F.col("size") > block_words).limit(1).count():
+        whole = whole.unionByName(merged(stored(single(first.where(F.col("size") > block_words), window), "single")).where("id > least"))
+    return found.union(whole.select("id", "d1", "d2", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("stop")))
+
+
+def spans(docs: DataFrame, window: int, block_words: int) -> DataFrame:
     """id, spans (d1, d2, start, stop) for each document of ``docs`` (id, text) that loses words; stop -1 for all words."""
     rows = stored(profiles(docs, window), "profiles").where(F.col("id").isNotNull() & (F.col("n_words") >= window))
     classes = rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
@@ -224,22 +308,22 @@ def spans(docs: DataFrame, window: int, block_documents: int) -> DataFrame:
     copies = spread_join(rows.select("id", "d1", "d2"), several, ["d1", "d2"], "c", F.col("id"), rows.count()).where("id > rep").select("id", "d1", "d2", F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("stop")).distinct()
     # the key holds the id, so copies of one text do not meet
     own = rows.join(classes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi").dropDuplicates(["d1", "d2", "id"])
-    keyed = own.select("id", F.explode("anchors").alias("anchor"))
-    shared = keyed.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
-    marked = spread_join(keyed, shared, ["anchor"], "c", F.col("id"), 10 * rows.count()).where("c > 1")
-    lists = stored(marked.groupBy("id").agg(F.collect_list(F.struct("anchor", (F.col("c") > block_documents).alias("hot"))).alias("shared"), F.max("c").alias("most")), "shared")
-    made = stretches(only(docs, lists.select("id")).join(lists.select("id", "shared").hint("shuffle_hash"), "id"), window)
-    found = factored(made, window)
-    if lists.where(F.col("most") > block_documents).limit(1).count():
-        busy = lists.where(F.col("most") > block_documents).select("id", F.filter("shared", lambda x: x["hot"]).alias("shared"))
-        found = found.union(hot_windows(stretches(only(docs, busy.select("id")).join(busy.hint("shuffle_hash"), "id"), window), window))
-    return found.union(copies).groupBy("id").agg(F.collect_list(F.struct("d1", "d2", "start", "stop")).alias("spans"))
-
-
-def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
+    keyed = own.select("id", F.explode("anchors").alias("a")).select("id", "a.anchor", "a.size")
+    shared = keyed.groupBy("anchor").agg(F.count("*").alias("c"), F.sum("size").alias("total")).where("c > 1")
+    found = spread_join(keyed.drop("size"), shared, ["anchor"], "c", F.col("id"), 10 * rows.count()).where("c > 1")
+    large = F.col("total") > block_words
+    lists = stored(found.groupBy("id").agg(F.collect_list(F.when(~large, F.col("anchor"))).alias("shared"), F.collect_list(F.when(large, F.col("anchor"))).alias("busy")), "shared")
+    made = factored(stretches(only(docs, lists.select("id")).join(lists.select("id", "shared").hint("shuffle_hash"), "id"), window), window)
+    crowded = lists.where("size(busy) > 0").select("id", F.col("busy").alias("shared"))
+    if crowded.limit(1).count():
+        made = made.union(busy(only(docs, crowded.select("id")).join(crowded.hint("shuffle_hash"), "id"), window, block_words))
+    return made.union(copies).groupBy("id").agg(F.collect_list(F.struct("d1", "d2", "start", "stop")).alias("spans"))
+
+
+def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """id, n_words, n_removed, removed (spans of words) and kept (words left, joined by spaces) of every row of ``df``."""
     docs = pick(df, {"id": id_col, "text": text_col})
-    joined = docs.join(stored(spans(docs, window, block_documents), "spans").hint("shuffle_hash"), "id", "left")
+    joined = docs.join(stored(spans(docs, window, block_words), "spans").hint("shuffle_hash"), "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

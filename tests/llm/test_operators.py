@@ -581,11 +581,11 @@ def brute_passages(texts, window):
     return out
 
 
-@pytest.mark.parametrize("block_documents, broadcast", [(3, 0), (20_000, 1_000_000)])
-def test_passages(spark, documents, monkeypatch, block_documents, broadcast):
+@pytest.mark.parametrize("block_words, broadcast", [(0, 0), (600, 0), (10**9, 1_000_000)])
+def test_passages(spark, documents, monkeypatch, block_words, broadcast):
     monkeypatch.setattr(frames, "BROADCAST_IDS", broadcast)
     monkeypatch.setattr(frames, "FEW_ROWS", broadcast)
-    monkeypatch.setattr(frames, "HOT_ROWS", block_documents)
+    monkeypatch.setattr(frames, "HOT_ROWS", 3 if block_words < 1_000 else 1_000)
     rng = random.Random(6)
     passages = [t.split(" ")[5:] for t in documents.values() if len(t.split(" ")) > 150][:6]
     texts = list(documents.items())[:60] + [(10_000 + i, t) for i, t in enumerate(list(documents.values())[:10])]
@@ -595,13 +595,42 @@ def test_passages(spark, documents, monkeypatch, block_documents, broadcast):
         cut = p[a : a + rng.randint(45, 100)]
         texts.append((d, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 70))), *cut, *(["same"] * rng.randint(0, 120)), *rng.choice(passages)[:52]])))
     texts += [(30_000 + i, t or "") for i, t in enumerate(BLANK)]
-    got = substring_dedup.drop_passages(spark.createDataFrame(texts, "doc_id long, text string"), block_documents=block_documents)
+    got = substring_dedup.drop_passages(spark.createDataFrame(texts, "doc_id long, text string"), block_words=block_words)
     want = brute_passages(texts, 50)
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept") == sorted(((d, *x) for d, x in want.items()), key=repr)
     assert sum(x[1] for x in want.values()) > 2_000
     assert all(r.n_removed == sum(s.stop - s.start for s in r.removed) for r in got.collect())
 
 
+@pytest.mark.parametrize("block_words", [5_000, substring_dedup.BLOCK_WORDS])
+def test_a_passage_of_thousands_of_documents(spark, block_words):
+    """One passage in 5,000 documents, between words of their own or of a few others; some only begin it."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(70)]
+    around = [[f"c{k}_{i}" for i in range(30)] for k in range(400)]
+    texts = []
+    for d in range(5_000):
+        cut = passage[: rng.randint(49, 70)] if d % 7 == 0 else passage
+        before = rng.choice(around) if d % 3 else [f"b{d}_{i}" for i in range(d % 40)]
+        after = rng.choice(around) if d % 2 else [f"a{d}_{i}" for i in range(d % 30)]
+        texts.append((d, " ".join([*before, *cut, *after])))
+    texts += [(6_000, " ".join(["same"] * 9_000)), (6_001, " ".join(["same"] * 9_001)), (6_002, " ".join(["same"] * 49))]
+    got = substring_dedup.drop_passages(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), block_words=block_words)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept") == sorted(((d, *x) for d, x in brute_passages(texts, 50).items()), key=repr)
+
+
+def test_stretches_are_cut_to_the_places_given(spark):
+    """Only runs of neighbouring places under one anchor, in the text that the digest names."""
+    words = "a b c d e f g h".split()
+    d1, d2 = substring_dedup.halves([substring_dedup.digest([w.encode() for w in words])])[0].tolist()
+    places = [(d1, d2, 4, 7), (d1, d2, 0, 7), (d1, d2, 1, 7), (d1, d2, 2, 8), (d1 + 1, d2, 3, 8)]
+    rows = spark.createDataFrame([(1, " ".join(words), places), (1, "other text", places)], "id long, text string, places array<struct<d1: long, d2: long, start: long, anchor: long>>")
+    got = substring_dedup.trimmed(rows, 3)
+    assert sorted((r[0], r[1], r[2], bytes(r[3])) for r in got.select("first", "anchor", "n", "words").collect()) == [(0, 7, 4, b"a b c d"), (2, 8, 3, b"c d e"), (4, 7, 3, b"e f g")]
+    one = substring_dedup.single(got, 3).select("first", "words").collect()
+    assert sorted((r[0], bytes(r.words)) for r in one) == [(0, b"a b c"), (1, b"b c d"), (2, b"c d e"), (4, b"e f g")]
+
+
 def test_a_twin_word_keeps_a_passage(spark):
     """Passages of 50 words that differ in one of two words with equal polynomials."""
     rest = " ".join(f"w{i}" for i in range(49))
