@@ -12,6 +12,10 @@ from quire.operators import files as O
 from quire.sources.tables import table
 
 
+#: Bytes that files of each kind begin with, in hex, and two beginnings of none.
+HEADS = ("255044462D", "504B0304", "D0CF11E0A1B11AE1", "FFD8FF", "89504E470D0A1A0A", "", "616263", "")
+
+
 def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
 
@@ -35,9 +39,19 @@ def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pdf_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = [(0, pdf.write([pdf.Page()], password="p")), (1, b"not a file"), (2, b""), (3, pdf.write([pdf.Page(), pdf.Page()]).replace(b"startxref", b"lost")), (4, b"%PDF-1.4\n")]
-    files = spark.createDataFrame([(i, bytearray(b)) for i, b in made], "id int, content binary").coalesce(1)
-    return pdf.read_files(files, "id").select("id", "page", F.split("error", ":")[0].alias("error"))
+    """A file of each supplier, locked, damaged or no file at all, read back."""
+
+    def write(batches):
+        for rows in batches:
+            files = []
+            for key, name in zip(rows["s_suppkey"].tolist(), rows["s_name"], strict=True):
+                page = pdf.Page([pdf.Placed(name, 54, 738)])
+                way = key % 5
+                files.append(pdf.write([page], password="p") if way == 0 else name.encode() if way == 1 else b"" if way == 2 else pdf.write([page, pdf.Page()]).replace(b"startxref", b"lost") if way == 3 else b"%PDF-1.4\n" + name.encode())
+            yield pd.DataFrame({"s_suppkey": rows["s_suppkey"], "content": files})
+
+    files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name").mapInPandas(write, "s_suppkey long, content binary")
+    return pdf.read_files(files, "s_suppkey").select("s_suppkey", "page", F.split("error", ":")[0].alias("error"))
 
 
 def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +122,11 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = [b"%PDF-1.7 ...", b"PK\x03\x04....", bytes.fromhex("d0cf11e0a1b11ae1"), b"\xff\xd8\xff\xe0....", bytes.fromhex("89504e470d0a1a0a00"), b"hello world", b"abc", b""]
-    return spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(made)], "id int, content binary").coalesce(1).select("id", O.file_kind(F.col("content")).alias("kind"))
+    """Kind of each document's bytes behind one of the heads of files; of two of them the text is left out."""
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % len(HEADS) + 1).cast("int"))
+    text = F.when(F.col("doc_id") % len(HEADS) < 6, F.coalesce("text", F.lit(""))).otherwise("")
+    content = F.concat(F.unhex(head), F.encode(text, "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", O.file_kind(content).alias("kind"))
 
 
 def compression_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +136,12 @@ def compression_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compression_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(O.PRESETS), "level string, settings string, color_dpi int, gray_dpi int, mono_dpi int, quality double").coalesce(1)
+    """Each order as a picture of so many dots an inch, with what its preset leaves of them; the second is taken where none is named."""
+    presets = spark.createDataFrame(list(O.PRESETS), "level string, settings string, color_dpi int, gray_dpi int, mono_dpi int, quality double")
+    names = F.array(*[F.lit(p[0]) for p in O.PRESETS])
+    level = F.coalesce(F.try_element_at(names, (F.col("o_orderkey") % 4 + 1).cast("int")), F.lit(O.PRESETS[1][0]))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", level.alias("level"), (F.col("o_custkey") % 600 + 50).cast("int").alias("dpi"))
+    return rows.join(F.broadcast(presets), "level").select("o_orderkey", "level", "settings", *[F.least("dpi", c).alias(c) for c in ("color_dpi", "gray_dpi", "mono_dpi")], "quality")
 
 
 def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,15 +208,15 @@ r AS (SELECT *, regexp_replace(replace(replace(replace(x, '<wp:wrapNone/>', '<wp
 SELECT p_partkey, CASE WHEN beside AND cy <= 12700 THEN y ELSE x END || regexp_replace(CASE WHEN beside THEN y ELSE x END, 'cy="[0-9]+"', 'cy="0"') AS xml FROM r""",
     "file_digests": "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents",
     "pdf_text": f"SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS page, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, regexp_replace(regexp_replace(text, '{BLANK}+', ' ', 'g'), '^ | $', '', 'g') AS text, 'Conversation ' || conv_id AS title, CAST(NULL AS VARCHAR) AS error FROM conversations",
-    "pdf_errors": "SELECT * FROM (VALUES (0, 0, 'password'), (1, 0, 'corrupt'), (2, 0, 'corrupt'), (3, 1, NULL), (3, 2, NULL), (4, 0, 'corrupt')) t(id, page, error)",
+    "pdf_errors": "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CAST(unnest(CASE WHEN s_suppkey % 5 = 3 THEN [1, 2] ELSE [0] END) AS INTEGER) AS page, CASE WHEN s_suppkey % 5 = 0 THEN 'password' WHEN s_suppkey % 5 <> 3 THEN 'corrupt' END AS error FROM supplier",
     "workbook_cells": "WITH r AS (SELECT c_nationkey, c_mktsegment, c_name, CAST(c_acctbal AS DOUBLE) AS c_acctbal, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) + 1 AS n FROM customer) SELECT c_nationkey, c_mktsegment || '!A' || n AS place, c_name AS text, CAST(NULL AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS error FROM r UNION ALL SELECT c_nationkey, c_mktsegment || '!B' || n, NULL, c_acctbal, NULL FROM r UNION ALL SELECT DISTINCT c_nationkey, c_mktsegment || '!' || unnest(['A1', 'B1']), unnest(['Customer', 'Balance']), NULL, NULL FROM customer",
     "document_paragraphs": "SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS ord, replace(unnest(p), '|', chr(9)) AS text, CAST(NULL AS VARCHAR) AS error FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)",
     "presentation_slides": "WITH s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text FROM conversations) SELECT conv_id, n || '.0:title' AS place, role AS text, CAST(NULL AS VARCHAR) AS error FROM s UNION ALL SELECT conv_id, n || '.1:body', text, NULL FROM s",
     "cipher_round_trips": "SELECT p_partkey, p_name AS aes, p_name AS rc4, p_name AS spark FROM part",
     "uploads": "WITH f AS (SELECT l_orderkey, l_partkey % 5 IN (0, 1, 4) AND CAST(l_extendedprice * 2000 AS BIGINT) <= 104857600 AS fit FROM lineitem) SELECT l_orderkey, count(*) FILTER (fit) AS taken, count(*) FILTER (NOT fit) AS refused, count(*) FILTER (fit) >= 2 AS enough FROM f GROUP BY l_orderkey",
-    "file_kinds": "SELECT * FROM (VALUES (0, 'pdf'), (1, 'package'), (2, 'encrypted'), (3, 'jpeg'), (4, 'png'), (5, 'unknown'), (6, 'empty'), (7, 'empty')) t(id, kind)",
+    "file_kinds": f"WITH c AS (SELECT doc_id, {list(HEADS)}[doc_id % 8 + 1] || CASE WHEN doc_id % 8 < 6 THEN hex(coalesce(text, '')) ELSE '' END AS c FROM documents) SELECT doc_id, CASE WHEN length(c) < 16 THEN 'empty' WHEN starts_with(c, '255044462D') THEN 'pdf' WHEN starts_with(c, '504B0304') THEN 'package' WHEN starts_with(c, 'D0CF11E0A1B11AE1') THEN 'encrypted' WHEN starts_with(c, 'FFD8FF') THEN 'jpeg' WHEN starts_with(c, '89504E470D0A1A0A') THEN 'png' ELSE 'unknown' END AS kind FROM c",
     "compression_policy": f"WITH s AS (SELECT o_orderkey, CAST(floor(o_totalprice * 16) AS BIGINT) AS b, CAST(floor(o_totalprice * (8 + o_orderkey % 12)) AS BIGINT) AS a FROM orders), p AS (SELECT *, least(a, b) AS s, (b - least(a, b)) * 100 / b AS pct FROM s) SELECT o_orderkey, a >= b AS kept, s AS size, CASE WHEN pct < 0.5 THEN 'Already small: kept at ' || {_size('s')} ELSE 'Reduced by ' || (CAST(floor(pct * 10 + 0.5) AS BIGINT) // 10) || '.' || (CAST(floor(pct * 10 + 0.5) AS BIGINT) % 10) || '% (' || {_size('b')} || ' to ' || {_size('s')} || ')' END AS message FROM p",
-    "compression_presets": "SELECT * FROM (VALUES " + ", ".join(f"{p[:-1]}"[:-1] + f", {p[-1]}::DOUBLE)" for p in O.PRESETS) + ") t(level, settings, color_dpi, gray_dpi, mono_dpi, quality)",
+    "compression_presets": "WITH p(level, settings, c, g, m, quality) AS (VALUES " + ", ".join(f"{p[:-1]}"[:-1] + f", {p[-1]}::DOUBLE)" for p in O.PRESETS) + f"), o AS (SELECT o_orderkey, coalesce({[p[0] for p in O.PRESETS]}[o_orderkey % 4 + 1], '{O.PRESETS[1][0]}') AS level, CAST(o_custkey % 600 + 50 AS INTEGER) AS dpi FROM orders) SELECT o_orderkey, o.level, settings, CAST(least(dpi, c) AS INTEGER) AS color_dpi, CAST(least(dpi, g) AS INTEGER) AS gray_dpi, CAST(least(dpi, m) AS INTEGER) AS mono_dpi, quality FROM o JOIN p ON p.level = o.level",
     "recognised_words": "SELECT l_suppkey AS page, count(*) AS n FROM lineitem WHERE l_suppkey % 40 < 24 AND l_quantity * 2 >= 40 GROUP BY 1",
     "recognised_counts": "WITH w AS (SELECT count(*) AS n FROM lineitem WHERE l_suppkey % 40 < 24 AND l_quantity * 2 >= 40 AND l_suppkey IN (SELECT s_suppkey FROM supplier)) SELECT count(*) FILTER (s_suppkey % 40 < 24) AS recognised, count(*) FILTER (s_suppkey % 40 >= 24) AS skipped, CAST(any_value(n) AS BIGINT) AS words FROM supplier, w",
     "form_values": "WITH i AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS p, max(l_returnflag) AS v FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_linenumber::VARCHAR AS name, CASE WHEN p % 3 = 0 OR p % 2 <> 0 THEN v ELSE p::VARCHAR END AS value, CASE WHEN p % 5 > 0 THEN CAST(p % 5 AS INTEGER) ELSE 1000000 END AS \"order\" FROM i",

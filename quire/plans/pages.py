@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import pages as P
 from quire.sources.tables import table
 
-#: Page selections with what they may name, total pages 10.
+#: Page selections as users write them, sound and unsound.
 SELECTIONS = ("1-3, 5, 8-10", "5-3", "x,2", "4-", "-3", " 2 - 4 ", "", "1,1,2", "9-99", "0-2", "7")
 
 
@@ -23,9 +23,11 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, s) for i, s in enumerate(SELECTIONS)], "id int, s string").coalesce(1)
-    rows = rows.select("id", P.selection(F.col("s"), F.lit(10)).alias("p"))
-    return rows.select("id", F.array_join("p", ",").alias("pages"), P.selection_text(F.col("p")).alias("again"))
+    """Pages that a selection made of each order's numbers names, of 10 to 14."""
+    written = F.element_at(F.array(*map(F.lit, SELECTIONS)), (F.col("o_orderkey") % len(SELECTIONS) + 1).cast("int"))
+    text = F.concat(written, F.lit(","), F.col("o_custkey") % 13, F.lit(" - "), F.col("o_orderkey") % 17)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", P.selection(text, (F.col("o_custkey") % 5 + 10).cast("int")).alias("p"))
+    return rows.select("o_orderkey", F.array_join("p", ",").alias("pages"), P.selection_text(F.col("p")).alias("again"))
 
 
 def page_selection_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,14 +156,14 @@ RANGES = f"{N}, ranges AS (SELECT l_orderkey, page AS ord, CAST(least(l_partkey
 ROT = "CAST(((floor((l_quantity * 37 - 500) / 90 + 0.5) * 90) % 360 + 360) % 360 AS INTEGER)"
 RUNS = "runs AS (SELECT {k}, min(page) AS a, max(page) AS b FROM (SELECT {k}, page, page - row_number() OVER (PARTITION BY {k} ORDER BY page) AS g FROM picked) GROUP BY {k}, g)"
 TEXT = "string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a)"
-SEL = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SELECTIONS))
+SEL = ", ".join(f"'{s}'" for s in SELECTIONS)
 QUERIES = {f.__name__: f for f in (page_selections, page_selection_texts, page_fixed_ranges, page_custom_ranges, page_split, page_split_parts, page_clamped, page_rotation, page_arranged, page_removed, page_merged, page_labels, page_running_text, page_crops, page_metadata, page_watermarks, page_history, page_moves, page_of_rows, page_duplicates, page_images)}
 SQL = {
-    "page_selections": f"""WITH s(id, s) AS (VALUES {SEL}), c AS (SELECT id, unnest(string_split(s, ',')) AS c FROM s),
-e AS (SELECT id, try_cast(nullif(regexp_extract(string_split(trim(c), '-')[1], '^[ \\t]*([+-]?[0-9]+)', 1), '') AS INTEGER) AS a, try_cast(nullif(regexp_extract(coalesce(string_split(trim(c), '-')[2], ''), '^[ \\t]*([+-]?[0-9]+)', 1), '') AS INTEGER) AS b FROM c),
-picked AS (SELECT DISTINCT id, unnest(range(greatest(1, a), least(10, coalesce(b, a)) + 1)) AS page FROM e WHERE a IS NOT NULL), {RUNS.format(k='id')},
+    "page_selections": f"""WITH s AS (SELECT o_orderkey AS id, CAST(o_custkey % 5 + 10 AS INTEGER) AS total, [{SEL}][o_orderkey % {len(SELECTIONS)} + 1] || ',' || (o_custkey % 13) || ' - ' || (o_orderkey % 17) AS s FROM orders), c AS (SELECT id, total, unnest(string_split(s, ',')) AS c FROM s),
+e AS (SELECT id, total, try_cast(nullif(regexp_extract(string_split(trim(c), '-')[1], '^[ \\t]*([+-]?[0-9]+)', 1), '') AS INTEGER) AS a, try_cast(nullif(regexp_extract(coalesce(string_split(trim(c), '-')[2], ''), '^[ \\t]*([+-]?[0-9]+)', 1), '') AS INTEGER) AS b FROM c),
+picked AS (SELECT DISTINCT id, unnest(range(greatest(1, a), least(total, coalesce(b, a)) + 1)) AS page FROM e WHERE a IS NOT NULL), {RUNS.format(k='id')},
 t AS (SELECT id, {TEXT} AS again FROM runs GROUP BY id), l AS (SELECT id, string_agg((page - 1)::VARCHAR, ',' ORDER BY page) AS pages FROM picked GROUP BY id)
-SELECT s.id, coalesce(pages, '') AS pages, coalesce(again, '') AS again FROM s LEFT JOIN t ON s.id = t.id LEFT JOIN l ON s.id = l.id""",
+SELECT s.id AS o_orderkey, coalesce(pages, '') AS pages, coalesce(again, '') AS again FROM s LEFT JOIN t ON s.id = t.id LEFT JOIN l ON s.id = l.id""",
     "page_selection_texts": f"WITH {N}, picked AS (SELECT l_orderkey, page FROM n WHERE l_discount >= 0.05), {RUNS.format(k='l_orderkey')} SELECT l_orderkey, {TEXT} AS pages FROM runs GROUP BY l_orderkey",
     "page_fixed_ranges": "WITH s AS (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS total, CAST(max(l_suppkey) % 3 + 1 AS INTEGER) AS every FROM lineitem GROUP BY l_orderkey), r AS (SELECT l_orderkey, total, every, unnest(range(1, total + 1, every)) AS start FROM s) SELECT l_orderkey, CAST((start - 1) // every AS INTEGER) AS ord, CAST(start AS INTEGER) AS start, CAST(least(total, start + every - 1) AS INTEGER) AS stop FROM r",
     "page_custom_ranges": f"WITH {RANGES} SELECT * FROM ranges",

@@ -9,12 +9,12 @@ from quire.functions import text as T
 from quire.operators import pii
 from quire.sources.tables import table
 
-#: Lines that show each detector at work, as the tables have none for some.
-EXAMPLES = (
-    "Contact: jane.doe@example.org or +91 98765 43210", "j a n e @ x . c o m", "SSN 123-45-6789", "4111 1111 1111 1111", "152.143.123.131",
-    "see https://www.linkedin.com/in/jane-doe and github.com/jane", "born 31/12/1999 or 1999-12-31", "Name: Jane Doe; Phone: 555.987.6543",
-    "E-mail: jane@x.io", "Address: 12 Park Road, Pune 411001", "221B Baker Street, London", "Jane Doe | Pune | jane@x.io", "Plot 7, Sector 21", "Dr. Ada Lovelace, PhD",
-    "Senior Engineer", "amit kumar", "Name", "Jane Doe", "call + 9 1 9 8 7 6 5 4 3 2 1 0 now", "see linkedin.com/in/janedoe", "Pune • jane@x.io • Pune", "Address", "Flat 4, Hill View", "Mumbai, India", "Skills", "DOB - 01.02.2003", "9876543210",
+#: Lines of a contact card: {k} stands for the customer's number in nine digits, {4} for the last four of them.
+CARD = (
+    "Contact: c{k}@example.org or +91 98765 4{4}", "j a n e {4} @ x . c o m", "SSN 123-45-{4}", "4111 1111 1111 {4}", "152.143.123.131",
+    "see https://www.linkedin.com/in/c-{k} and github.com/c{k}", "born 31/12/1999 or 1999-12-31", "Name: Jane Doe; Phone: 555.987.{4}",
+    "E-mail: c{k}@x.io", "Address: {4} Park Road, Pune 411001", "221B Baker Street, London", "Jane Doe | Pune | c{k}@x.io", "Plot {4}, Sector 21", "Dr. Ada Lovelace, PhD",
+    "Senior Engineer", "amit kumar", "Name", "Jane Doe", "call + 9 1 9 8 7 6 5 4 {4} now", "see linkedin.com/in/c{k}", "Pune • c{k}@x.io • Pune", "Address", "Flat {4}, Hill View", "Mumbai, India", "Skills", "DOB - 01.02.2003", "987654{4}",
 )
 
 
@@ -22,8 +22,16 @@ def _hits(rows: DataFrame, key: str) -> DataFrame:
     return pii.scan(rows, key).select(key, "line", "kind", "value", "start", "stop")
 
 
-def examples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, t) for i, t in enumerate(EXAMPLES)], "id int, text string").coalesce(1)
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: a contact card of each customer, whose lines begin at another one from customer to customer."""
+    key, turn = F.lpad(F.col("c_custkey").cast("string"), 9, "0"), (F.col("c_custkey") % len(CARD)).cast("int")
+    lines = F.array(*map(F.lit, CARD))
+    text = F.array_join(F.concat(F.slice(lines, turn + 1, len(CARD)), F.slice(lines, F.lit(1), turn)), "\n")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.replace(F.replace(text, F.lit("{k}"), key), F.lit("{4}"), F.substring(key, -4, 4)).alias("text"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def pii_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,43 +54,68 @@ def pii_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = examples(spark).select("id", F.explode(pii.pattern_hits(F.col("text"))).alias("h"))
-    return rows.select("id", "h.kind", "h.value", F.col("h.start").cast("long").alias("start"))
+    """Hits of every pattern in the lines of the cards."""
+    lines = cards(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return lines.select("doc_id", "line", F.explode(pii.pattern_hits(F.col("t"))).alias("h")).select("doc_id", "line", "h.kind", "h.value", F.col("h.start").cast("long").alias("start"))
 
 
 def pii_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return examples(spark).select("id", pii.is_address(t).alias("address"), pii.continues_address(t).alias("continues"), pii.is_person(t).alias("person"), pii.is_solo_label(t).alias("solo"), pii.is_phone(t).alias("phone"), pii.is_card(t).alias("card"))
+    """What each rule says of every line of the cards."""
+    t = F.col("t")
+    lines = cards(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return lines.select("doc_id", "line", pii.is_address(t).alias("address"), pii.continues_address(t).alias("continues"), pii.is_person(t).alias("person"), pii.is_solo_label(t).alias("solo"), pii.is_phone(t).alias("phone"), pii.is_card(t).alias("card"))
 
 
 def pii_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("t"))
-    rows = docs.unionByName(examples(spark).select(F.col("id").cast("long").alias("id"), F.col("text").alias("t")))
-    rows = rows.select("id", F.explode(pii.collapsed_hits(F.col("t"))).alias("h"))
-    return rows.select("id", "h.kind", "h.value")
+    """Hits in closed-up lines of documents and of cards."""
+    rows = _documents(spark, sf_dir).withColumn("card", F.lit(False)).union(cards(spark, sf_dir).withColumn("card", F.lit(True)))
+    rows = rows.select("card", F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("t"))
+    return rows.select("card", "id", F.explode(pii.collapsed_hits(F.col("t"))).alias("h")).select("card", "id", "h.kind", "h.value")
+
+
+def _context(rows: DataFrame) -> DataFrame:
+    hits = rows.select("doc_id", F.explode(pii.context_hits(F.split("text", "\n"))).alias("h"))
+    return hits.select("doc_id", "h.line", pii.kind_of(F.col("h.kind")).alias("kind"), "h.value")
 
 
-def _with_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text of the documents, and of the examples as the lines of one more."""
-    made = spark.createDataFrame([(-1, "\n".join(EXAMPLES))], "doc_id long, text string")
-    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(made)
+def _kinds(rows: DataFrame) -> DataFrame:
+    return pii.kinds(rows).select("doc_id", F.array_join("kinds", ",").alias("kinds"))
+
+
+def _masked(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", pii.masked(F.col("text")).alias("text"))
 
 
 def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(_with_examples(spark, sf_dir), "doc_id")
+    return _hits(_documents(spark, sf_dir), "doc_id")
 
 
 def pii_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _with_examples(spark, sf_dir).select("doc_id", F.explode(pii.context_hits(F.split("text", "\n"))).alias("h"))
-    return rows.select("doc_id", "h.line", pii.kind_of(F.col("h.kind")).alias("kind"), "h.value")
+    return _context(_documents(spark, sf_dir))
 
 
 def pii_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.kinds(_with_examples(spark, sf_dir)).select("doc_id", F.array_join("kinds", ",").alias("kinds"))
+    return _kinds(_documents(spark, sf_dir))
 
 
 def pii_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_examples(spark, sf_dir).select("doc_id", pii.masked(F.col("text")).alias("text"))
+    return _masked(_documents(spark, sf_dir))
+
+
+def pii_card_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(cards(spark, sf_dir), "doc_id")
+
+
+def pii_card_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _context(cards(spark, sf_dir))
+
+
+def pii_card_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kinds(cards(spark, sf_dir))
+
+
+def pii_card_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masked(cards(spark, sf_dir))
 
 
 def pii_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +140,8 @@ def _found(source: str, keys: str) -> str:
 
 
 KIND = "CASE WHEN kind = 'profile-url' THEN 'profile' ELSE kind END"
-VALUES = ", ".join(f"({i}, '{_sql(t)}')" for i, t in enumerate(EXAMPLES))
 DOC_LINES = "doc_lines AS (SELECT doc_id, lang, source, unnest(range(len(p))) AS line, unnest(p) AS t FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS p FROM documents))"
-QUERIES = {f.__name__: f for f in (pii_patterns, pii_in_conversations, pii_by_source, pii_examples, pii_rules, pii_collapsed, pii_scan, pii_context, pii_kinds, pii_masked, pii_status)}
+QUERIES = {f.__name__: f for f in (pii_patterns, pii_in_conversations, pii_by_source, pii_examples, pii_rules, pii_collapsed, pii_scan, pii_context, pii_kinds, pii_masked, pii_card_scan, pii_card_context, pii_card_kinds, pii_card_masked, pii_status)}
 _names = ", ".join(f"'{n}'" for n in pii.NOT_A_NAME)
 
 
@@ -156,9 +188,14 @@ def _closed(kind: str, also: str, pattern: str) -> str:
     return f"SELECT doc_id, line, '{kind}' AS kind, substring(t, open[start + 1], open[start + length(value)] - open[start + 1] + 1) AS value, open[start + 1] - 1 AS start, open[start + length(value)] AS stop FROM ({_places(f'({shut})', 'doc_id, line, t, open', 'm0', pattern)})" + (" WHERE length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 10 AND 15" if kind == "phone" else "")
 
 
-_LINES = f"""docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, array_to_string([{", ".join(f"'{_sql(t)}'" for t in EXAMPLES)}], chr(10))),
+_DOCS = "docs AS (SELECT doc_id, text FROM documents)"
+_CARD_LINES = "[" + ", ".join(f"'{_sql(t)}'" for t in CARD) + "]"
+#: The same columns, of the cards.
+_CARDS = f"""docs AS (SELECT CAST(c_custkey AS BIGINT) AS doc_id, replace(replace(array_to_string(list_concat(c[r + 1 : {len(CARD)}], c[1 : r]), chr(10)), '{{k}}', k), '{{4}}', right(k, 4)) AS text
+  FROM (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS k, CAST(c_custkey % {len(CARD)} AS INTEGER) AS r, {_CARD_LINES} AS c FROM customer))"""
+_LINES = f"""{_DOCS},
 l AS (SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM docs))"""
-#: Every hit of every detector, over documents and examples.
+#: Every hit of every detector.
 _ALL = f"""{_LINES}, {_CONTEXT},
 parts AS (SELECT doc_id, line, t, tr, list_filter(string_split_regex(tr, '{T.BLANK}*[|/•·]{T.BLANK}*'), lambda p: NOT contains(p, '@') AND NOT length(regexp_replace(p, '[^0-9]', '', 'g')) BETWEEN 10 AND 15 AND regexp_matches(p, '^[A-Za-z][A-Za-z .''-]{{2,40}}$') AND lower(p) NOT IN ({_names})) AS p
   FROM h WHERE regexp_matches(tr, '[|/•·]') AND (contains(tr, '@') OR regexp_matches(tr, '[0-9]{{8,}}'))),
@@ -176,13 +213,13 @@ SQL = {
     "pii_patterns": f"WITH {DOC_LINES} SELECT doc_id, line, {KIND} AS kind, value, CAST(start AS BIGINT) AS start FROM ({_found('doc_lines', 'doc_id, line')})",
     "pii_in_conversations": f"WITH l AS (SELECT role, unnest(string_split(text, chr(10))) AS t FROM conversations) SELECT role, {KIND} AS kind, count(*) AS n FROM ({_found('l', 'role')}) GROUP BY ALL",
     "pii_by_source": f"WITH {DOC_LINES} SELECT lang, source, {KIND} AS kind, count(*) AS n FROM ({_found('doc_lines', 'lang, source')}) GROUP BY ALL",
-    "pii_examples": f"WITH e(id, t) AS (VALUES {VALUES}) SELECT id, kind, value, CAST(start AS BIGINT) AS start FROM ({_found('e', 'id')})",
-    "pii_rules": f"WITH l(id, t) AS (VALUES {VALUES}), {_FLAGS} SELECT id, {_ADDRESS} AS address, {_CONTINUES} AS continues, {_NAMED} AND ({_CASED} OR {_UNCASED}) AS person, {_match(pii.SOLO_LABEL)} AS solo, d BETWEEN 10 AND 15 AS phone, d BETWEEN 13 AND 19 AS card FROM f",
-    "pii_collapsed": f"""WITH e(id, t) AS (VALUES {VALUES}), {DOC_LINES},
-l AS (SELECT doc_id AS id, t FROM doc_lines UNION ALL SELECT id, t FROM e),
-c AS (SELECT id, regexp_replace(t, '[{T.BLANKS}\\x{{200b}}\\x{{ad}}]', '', 'g') AS m, regexp_replace(t, '[{T.BLANKS}\\x{{200b}}]', '', 'g') AS p FROM l),
-f AS (SELECT id, 'email' AS kind, unnest(regexp_extract_all(m, '{_sql(pii.COLLAPSED_EMAIL)}')) AS value FROM c UNION ALL SELECT id, 'phone', unnest(regexp_extract_all(p, '{_sql(pii.COLLAPSED_PHONE)}')) FROM c)
-SELECT CAST(id AS BIGINT) AS id, kind, value FROM f WHERE kind = 'email' OR length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 10 AND 15""",
+    "pii_examples": f"WITH {_LINES.replace(_DOCS, _CARDS)} SELECT doc_id, CAST(line AS INTEGER) AS line, kind, value, CAST(start AS BIGINT) AS start FROM ({_found('l', 'doc_id, line')})",
+    "pii_rules": f"WITH {_LINES.replace(_DOCS, _CARDS)}, {_FLAGS} SELECT doc_id, CAST(line AS INTEGER) AS line, {_ADDRESS} AS address, {_CONTINUES} AS continues, {_NAMED} AND ({_CASED} OR {_UNCASED}) AS person, {_match(pii.SOLO_LABEL)} AS solo, d BETWEEN 10 AND 15 AS phone, d BETWEEN 13 AND 19 AS card FROM f",
+    "pii_collapsed": f"""WITH {_CARDS},
+l AS (SELECT false AS card, doc_id AS id, unnest(string_split(text, chr(10))) AS t FROM documents UNION ALL SELECT true, doc_id, unnest(string_split(text, chr(10))) FROM docs),
+c AS (SELECT id, regexp_replace(t, '[{T.BLANKS}\\x{{200b}}\\x{{ad}}]', '', 'g') AS m, regexp_replace(t, '[{T.BLANKS}\\x{{200b}}]', '', 'g') AS p, card FROM l),
+f AS (SELECT card, id, 'email' AS kind, unnest(regexp_extract_all(m, '{_sql(pii.COLLAPSED_EMAIL)}')) AS value FROM c UNION ALL SELECT card, id, 'phone', unnest(regexp_extract_all(p, '{_sql(pii.COLLAPSED_PHONE)}')) FROM c)
+SELECT card, CAST(id AS BIGINT) AS id, kind, value FROM f WHERE kind = 'email' OR length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 10 AND 15""",
     "pii_context": f"WITH {_LINES}, {_CONTEXT} SELECT doc_id, CAST(line AS INTEGER) AS line, {_REPORTED} AS kind, value FROM answers",
     "pii_scan": f"WITH RECURSIVE {_ALL} SELECT doc_id, line, {_REPORTED} AS kind, value, start, stop FROM hits",
     "pii_kinds": f"WITH RECURSIVE {_ALL}, k AS (SELECT doc_id, {_REPORTED} AS kind, min({{'line': line, 'start': start}}) AS spot FROM hits GROUP BY ALL) SELECT doc_id, string_agg(kind, ',' ORDER BY spot, kind) AS kinds FROM k GROUP BY doc_id",
@@ -191,3 +228,4 @@ m AS (SELECT l.doc_id, l.line, CASE WHEN places IS NULL THEN t ELSE array_to_str
 j AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY line) AS text FROM m GROUP BY doc_id) SELECT docs.doc_id, j.text FROM docs LEFT JOIN j ON j.doc_id = docs.doc_id""",
     "pii_status": f"SELECT doc_id, CAST(length(regexp_replace(coalesce(text, ''), '{T.BLANK}', '', 'g')) AS INTEGER) AS visible, CASE WHEN length(regexp_replace(coalesce(text, ''), '{T.BLANK}', '', 'g')) < 8 THEN 'ocr' ELSE 'scan' END AS status FROM documents",
 }
+SQL |= {f"pii_card_{n}": SQL[f"pii_{n}"].replace(_DOCS, _CARDS) for n in ("scan", "context", "kinds", "masked")}
