@@ -15,7 +15,7 @@ CATALOGUE = (("merge", ("organize",)), ("split", ("organize",)), ("compress", ("
 
 def editor_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"))
-    items = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("ord"), F.col("l_partkey").cast("string").alias("value"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("ord"), F.col("l_partkey").cast("string").alias("value"))
     return E.annotated(orders, items, "page", "ord", "value").select("page", F.array_join("annotations", ",").alias("annotations"))
 
 
@@ -50,8 +50,13 @@ def longest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tools = spark.createDataFrame([(n, list(c)) for n, c in CATALOGUE], "name string, categories array<string>").coalesce(1)
-    return tools.where(F.array_contains("categories", "security") | (F.col("name") == "merge")).select("name", F.array_join("categories", ",").alias("categories"))
+    """Tools of the category that each order asks for; one order in 7 asks for all."""
+    tools = spark.createDataFrame([(n, list(c)) for n, c in CATALOGUE], "name string, categories array<string>")
+    names = sorted({c for _, own in CATALOGUE for c in own})
+    asked = F.try_element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % (len(names) + 1) + 1).cast("int"))
+    wanted = tools.select("name", "categories", F.explode(F.concat("categories", F.array(F.lit("all")))).alias("asked"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(asked, F.lit("all")).alias("asked"))
+    return rows.join(F.broadcast(wanted), "asked").select("o_orderkey", "asked", "name", F.array_join("categories", ",").alias("categories"))
 
 
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +82,7 @@ def slide_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (editor_annotations, editor_transforms, editor_removed_pages, editor_front, table_with_headers, longest_rules, tool_catalogue, event_properties, reading_order, slide_placeholders)}
 SQL = {
-    "editor_annotations": "WITH a AS (SELECT l_orderkey AS page, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey) AS a FROM lineitem WHERE l_quantity > 40 GROUP BY 1) SELECT o_orderkey AS page, coalesce(a, '') AS annotations FROM orders LEFT JOIN a ON o_orderkey = page",
+    "editor_annotations": "WITH a AS (SELECT l_orderkey AS page, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey) AS a FROM lineitem GROUP BY 1) SELECT o_orderkey AS page, coalesce(a, '') AS annotations FROM orders LEFT JOIN a ON o_orderkey = page",
     "editor_transforms": """WITH p AS (SELECT p_partkey, p_size::DOUBLE AS s, p_size / 8 AS a, 0.5::DOUBLE AS b, -0.25::DOUBLE AS c, p_size / 16 AS d, p_partkey::DOUBLE AS e, 3.0::DOUBLE AS f FROM part),
 m AS (SELECT p_partkey, s, -b AS a, a AS b, -d AS c, c AS d, -f + 10 AS e, e + s AS f FROM p),
 k AS (SELECT *, unnest([0.0, 0.0, 8.0, 8.0])::DOUBLE AS x, unnest([0.0, 4.0, 0.0, 4.0])::DOUBLE AS y FROM m)
@@ -86,7 +91,7 @@ SELECT p_partkey, any_value(a) AS a, any_value(f) AS f, min(a * x + c * y + e) A
     "editor_front": "SELECT c_nationkey, c_custkey AS place, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 10 = 3, c_custkey) - 1 AS INTEGER) AS moved FROM customer",
     "table_with_headers": "WITH r AS (SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n FROM customer) SELECT c_nationkey, CAST(n // 37 AS INTEGER) AS page, CAST(n % 37 + 1 AS INTEGER) AS line, c_name AS text FROM r UNION ALL SELECT DISTINCT c_nationkey, CAST(n // 37 AS INTEGER), 0, 'Customer' FROM r",
     "longest_rules": f"WITH r AS ({G.RULES}), n AS (SELECT *, row_number() OVER (PARTITION BY page, horizontal ORDER BY \"end\" - \"start\" DESC, rule_id) AS n FROM r) SELECT page, rule_id FROM n WHERE n <= CASE WHEN horizontal THEN 80 ELSE 60 END",
-    "tool_catalogue": "SELECT * FROM (VALUES ('merge', 'organize'), ('redact', 'edit,security'), ('protect', 'security')) t(name, categories)",
+    "tool_catalogue": "WITH t(name, categories) AS (VALUES " + ", ".join(f"('{n}', '{','.join(c)}')" for n, c in CATALOGUE) + f"), o AS (SELECT o_orderkey, coalesce({sorted({c for _, own in CATALOGUE for c in own})}[o_orderkey % {len({c for _, own in CATALOGUE for c in own}) + 1} + 1], 'all') AS asked FROM orders) SELECT o_orderkey, asked, name, categories FROM o JOIN t ON asked = 'all' OR list_contains(string_split(categories, ','), asked)",
     "event_properties": "SELECT event_type, count(*) AS n, CAST(sum(coalesce(CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT), 0)) AS BIGINT) AS k FROM events GROUP BY event_type",
     "reading_order": f"WITH l AS ({G.LINES}) SELECT page, line_id, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0, line_id) AS INTEGER) AS n FROM l",
     "slide_placeholders": """WITH l AS (SELECT o_custkey % 100 + 1 AS page, o_orderkey AS ord, o_orderkey % 9 AS idx, CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'R' END AS kind, o_totalprice AS x FROM orders WHERE (o_custkey % 100 + 1) % 3 > 0 AND o_orderkey % 5 > 0),

@@ -28,9 +28,12 @@ def html_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = spark.createDataFrame([(-1, "ftp://a.b/c"), (-2, "http://localhost/x"), (-3, "https://printer.local/"), (-4, "https://a.example.com/" + "x" * 2100), (-5, "nonsense")], "page_id long, url string")
-    rows = table(spark, sf_dir, "pages").select("page_id", "url").unionByName(made)
-    return rows.select("page_id", M.public_url(F.col("url")).alias("public"))
+    """Whether each page's address is a public one; in five of seven it is changed to one that is not."""
+    way, page, url = F.col("page_id") % 7, F.col("page_id").cast("string"), F.col("url")
+    kinds = (F.concat(F.lit("ftp://a.b/"), page), F.concat(F.lit("http://localhost/"), page), F.concat(F.lit("https://printer.local/"), page), F.concat(url, F.repeat(F.lit("x"), 2100)), F.concat(F.lit("nonsense"), page))
+    for k, changed in enumerate(kinds, 1):
+        url = F.when(way == k, changed).otherwise(url)
+    return table(spark, sf_dir, "pages").select("page_id", M.public_url(url).alias("public"))
 
 
 #: Parts of every page's markup and what they become, by the remainder of the page's id by seven, so that text is hidden and pages are broken.
@@ -186,7 +189,7 @@ SELECT doc_id, CAST(count(*) - 1 AS INTEGER) AS rows, CAST(max(len(cells)) - 1 A
     "html_styled_layout": _grid(f"SELECT page_id, {_CHANGED} AS html FROM pages"),
     "html_words": f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split({TEXT}, ' ')) AS word FROM pages) WHERE word <> '' GROUP BY word",
     "html_safe": "SELECT page_id, md5(regexp_replace(" + _SAFE.replace("{x}", "replace(html, '<p>', '<p onclick=\"x()\" ONLOAD=y>')") + ", '(?i)[ \\t\\r\\n]on[a-z]+[ \\t\\r\\n]*=[ \\t\\r\\n]*(?:\"[^\"]*\"|''[^'']*''|[^ \\t\\r\\n>]+)', '', 'g')) AS digest FROM pages",
-    "html_urls": "WITH u AS (SELECT page_id, url FROM pages UNION ALL VALUES (-1, 'ftp://a.b/c'), (-2, 'http://localhost/x'), (-3, 'https://printer.local/'), (-4, 'https://a.example.com/' || repeat('x', 2100)), (-5, 'nonsense')), h AS (SELECT page_id, url, lower(regexp_extract(url, '^(?i:https?)://([^/:?#]+)', 1)) AS host FROM u) SELECT page_id, length(url) <= 2048 AND host <> '' AND host <> 'localhost' AND NOT ends_with(host, '.local') AS public FROM h",
+    "html_urls": "WITH u AS (SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'ftp://a.b/' || page_id WHEN 2 THEN 'http://localhost/' || page_id WHEN 3 THEN 'https://printer.local/' || page_id WHEN 4 THEN url || repeat('x', 2100) WHEN 5 THEN 'nonsense' || page_id ELSE url END AS url FROM pages), h AS (SELECT page_id, url, lower(regexp_extract(url, '^(?i:https?)://([^/:?#]+)', 1)) AS host FROM u) SELECT page_id, length(url) <= 2048 AND host <> '' AND host <> 'localhost' AND NOT ends_with(host, '.local') AS public FROM h",
     "markdown_blocks": f"WITH md AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: replace({_FORMS}[(i - 1) % {len(KINDS)} + 1], '{{}}', x)), chr(10)) AS text FROM documents), {BLOCKS} SELECT * FROM blocks",
     "markdown_as_is": f"WITH md AS (SELECT doc_id, text FROM documents), {BLOCKS} SELECT kind, count(*) AS n FROM blocks GROUP BY kind",
     "plain_lines": "WITH l AS (SELECT doc_id, unnest(range(len(p))) AS n, unnest(p) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)) AS p FROM documents)) SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(length(line) AS INTEGER) AS size, CAST(n // 42 AS INTEGER) AS page FROM l",

@@ -10,9 +10,10 @@ from quire.sources.tables import table
 
 
 def cell_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = F.concat(S.column_letters((F.col("p_partkey") * 7) % 18_000), (F.col("p_size") + 1).cast("string"))
-    made = spark.createDataFrame([(-1, "BC12"), (-2, "a1"), (-3, "A"), (-4, "12")], "p_partkey long, ref string")
-    rows = table(spark, sf_dir, "part").select("p_partkey", ref.alias("ref")).unionByName(made)
+    """Places written by each part, of which three in seven are none: in small letters, without row, without column."""
+    letters, digits = S.column_letters((F.col("p_partkey") * 7) % 18_000), (F.col("p_size") + 1).cast("string")
+    way, ref = F.col("p_partkey") % 7, F.concat(letters, digits)
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(way == 1, F.lower(ref)).when(way == 2, letters).when(way == 3, digits).otherwise(ref).alias("ref"))
     r = S.reference(F.col("ref"))
     return rows.select("p_partkey", "ref", r["row"].alias("row"), r["col"].alias("col"))
 
@@ -22,9 +23,9 @@ def column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def serial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = spark.createDataFrame([(float(x),) for x in (1, 59, 60, 61, 45219)], "serial double")
-    rows = table(spark, sf_dir, "orders").select((F.datediff(F.col("o_orderdate"), F.lit("1899-12-31").cast("date")) + 1).cast("double").alias("serial")).unionByName(made)
-    return rows.select("serial", S.serial_date(F.col("serial")).cast("string").alias("day"))
+    """Days of orders as serial numbers and back; one order in five has one of the first hundred, around the day that never was."""
+    serial = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") % 100 + 1).otherwise(F.datediff(F.col("o_orderdate"), F.lit("1899-12-31").cast("date")) + 1)
+    return table(spark, sf_dir, "orders").select(serial.cast("double").alias("serial")).select("serial", S.serial_date(F.col("serial")).cast("string").alias("day"))
 
 
 def serial_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +37,9 @@ CODES = tuple(S.BUILTIN.values()) + ('"d"0', "yyyy", '[h]:mm', "0.00E+00", "[Red
 
 
 def date_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(CODES)), "id int, code string").coalesce(1)
-    return rows.select("id", "code", S.is_date_code(F.col("code")).alias("is_date"))
+    """Whether the code of each part, one of those above behind its own text, is one of dates."""
+    code = F.concat(F.element_at(F.array(*map(F.lit, CODES)), (F.col("p_partkey") % len(CODES) + 1).cast("int")), F.lit('"'), F.col("p_name"), F.lit('"'))
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), S.is_date_code(code).alias("is_date"))
 
 
 def fixed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +130,7 @@ def sheet_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _L = "CASE WHEN {m} < 26 THEN chr(CAST(65 + {m} AS INTEGER)) WHEN {m} < 702 THEN chr(CAST(65 + ({m} - 26) // 26 AS INTEGER)) || chr(CAST(65 + ({m} - 26) % 26 AS INTEGER)) ELSE chr(CAST(65 + ({m} - 702) // 676 AS INTEGER)) || chr(CAST(65 + (({m} - 702) // 26) % 26 AS INTEGER)) || chr(CAST(65 + ({m} - 702) % 26 AS INTEGER)) END"
 _FIX2 = "(n // 100) || '.' || lpad((n % 100)::VARCHAR, 2, '0')"
-_CODES = ", ".join("({}, '{}')".format(i, c.replace("'", "''")) for i, c in enumerate(CODES))
+_CODES = ", ".join("'{}'".format(c.replace("'", "''")) for c in CODES)
 CELLS = "cells AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_partkey % 5 AS style_id, ['s', 'inlineStr', 'str', 'b', 'e', 'n', 'n'][l_suppkey % 7 + 1] AS kind, [l_partkey::VARCHAR, l_returnflag, NULL, (l_linenumber % 2)::VARCHAR, NULL, l_quantity::VARCHAR, 'x'][l_suppkey % 7 + 1] AS raw FROM lineitem)"
 QUERIES = {f.__name__: f for f in (cell_references, column_names, serial_dates, serial_instants, date_codes, fixed_formats, cell_formats, cell_types, cell_styles, cell_merges, cell_grid, sheet_scales, column_sizes, theme_tints, sheet_rows, sheet_stack, sheet_names)}
 
@@ -162,11 +164,11 @@ SELECT o_orderkey, code, CASE code {cases} END AS text FROM d"""
 
 SQL = {
     "cell_formats": _format_sql(),
-    "cell_references": f"WITH r AS (SELECT p_partkey, {_L.format(m='(p_partkey * 7 % 18000)')} || (p_size + 1) AS ref FROM part UNION ALL VALUES (-1, 'BC12'), (-2, 'a1'), (-3, 'A'), (-4, '12')), s AS (SELECT *, regexp_extract(ref, '^([A-Z]+)[0-9]+$', 1) AS l, regexp_extract(ref, '^[A-Z]+([0-9]+)$', 1) AS d FROM r) SELECT p_partkey, ref, CASE WHEN l <> '' THEN CAST(d AS INTEGER) - 1 END AS \"row\", CASE WHEN l <> '' THEN CAST(list_reduce(list_prepend(0, list_transform(string_split(l, ''), lambda c: ascii(c) - 64)), lambda a, c: a * 26 + c) - 1 AS INTEGER) END AS col FROM s",
+    "cell_references": f"WITH r AS (SELECT p_partkey, {_L.format(m='(p_partkey * 7 % 18000)')} || (p_size + 1) AS ref FROM part), q AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 1 THEN lower(ref) WHEN 2 THEN regexp_replace(ref, '[0-9]', '', 'g') WHEN 3 THEN regexp_replace(ref, '[A-Z]', '', 'g') ELSE ref END AS ref FROM r), s AS (SELECT *, regexp_extract(ref, '^([A-Z]+)[0-9]+$', 1) AS l, regexp_extract(ref, '^[A-Z]+([0-9]+)$', 1) AS d FROM q) SELECT p_partkey, ref, CASE WHEN l <> '' THEN CAST(d AS INTEGER) - 1 END AS \"row\", CASE WHEN l <> '' THEN CAST(list_reduce(list_prepend(0, list_transform(string_split(l, ''), lambda c: ascii(c) - 64)), lambda a, c: a * 26 + c) - 1 AS INTEGER) END AS col FROM s",
     "column_names": f"SELECT p_partkey, {_L.format(m='(p_partkey * 9 % 18000)')} AS name FROM part",
-    "serial_dates": "WITH s AS (SELECT CAST(date_diff('day', DATE '1899-12-31', CAST(o_orderdate AS DATE)) + 1 AS DOUBLE) AS serial FROM orders UNION ALL VALUES (1), (59), (60), (61), (45219)) SELECT serial, CAST(DATE '1899-12-31' + CAST(CASE WHEN serial > 59 THEN serial - 1 ELSE serial END AS INTEGER) AS VARCHAR) AS day FROM s",
+    "serial_dates": "WITH s AS (SELECT CAST(CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 100 + 1 ELSE date_diff('day', DATE '1899-12-31', CAST(o_orderdate AS DATE)) + 1 END AS DOUBLE) AS serial FROM orders) SELECT serial, CAST(DATE '1899-12-31' + CAST(CASE WHEN serial > 59 THEN serial - 1 ELSE serial END AS INTEGER) AS VARCHAR) AS day FROM s",
     "serial_instants": "WITH s AS (SELECT o_orderkey, o_orderkey % 60000 AS w, CAST(floor(o_totalprice) AS BIGINT) % 1024 / 1024.0::DOUBLE AS f FROM orders) SELECT o_orderkey, strftime(TIMESTAMP '1899-12-31' + to_milliseconds(CAST(CASE WHEN w > 59 THEN w - 1 ELSE w END * 86400000 + floor(f * 86400000 + 0.5) AS BIGINT)), '%Y-%m-%d %H:%M:%S.%g') AS \"at\" FROM s",
-    "date_codes": f"WITH c(id, code) AS (VALUES {_CODES}), b AS (SELECT id, code, regexp_replace(regexp_replace(replace(replace(replace(code, '[h]', '<h>'), '[hh]', '<hh>'), '[m]', '<m>'), '\\[[^\\]]*\\]', '', 'g'), '\"[^\"]*\"', '', 'g') AS bare FROM c) SELECT id, code, regexp_matches(bare, '(?i)(^|[^\\\\])[ymdhs]') AND NOT regexp_matches(bare, '(?i)e\\+') AS is_date FROM b",
+    "date_codes": f"WITH c AS (SELECT p_partkey AS id, [{_CODES}][p_partkey % {len(CODES)} + 1] || chr(34) || p_name || chr(34) AS code FROM part), b AS (SELECT id, code, regexp_replace(regexp_replace(replace(replace(replace(code, '[h]', '<h>'), '[hh]', '<hh>'), '[m]', '<m>'), '\\[[^\\]]*\\]', '', 'g'), '\"[^\"]*\"', '', 'g') AS bare FROM c) SELECT id AS p_partkey, code, regexp_matches(bare, '(?i)(^|[^\\\\])[ymdhs]') AND NOT regexp_matches(bare, '(?i)e\\+') AS is_date FROM b",
     "fixed_formats": f"WITH v AS (SELECT o_orderkey, o_totalprice - 200000 AS v FROM orders), n AS (SELECT o_orderkey, CASE WHEN v < 0 THEN '-' ELSE '' END AS s, CAST(floor(abs(v) * 100 + 0.5) AS BIGINT) AS n, CAST(floor(abs(v) + 0.5) AS BIGINT) AS w, CAST(floor(abs(v / 1024) + 0.5) AS BIGINT) AS p FROM v) SELECT o_orderkey, s || {_FIX2} AS fixed, s || format('{{:,}}', n // 100) || '.' || lpad((n % 100)::VARCHAR, 2, '0') AS grouped, s || format('{{:,}}', w) AS whole, s || p || '%' AS percent FROM n",
     "cell_types": f"WITH {CELLS}, sh AS (SELECT p_partkey::VARCHAR AS k, p_name FROM part WHERE p_partkey % 2 = 0) SELECT l_orderkey, l_linenumber, l_extendedprice, kind, CASE kind WHEN 's' THEN coalesce(p_name, '') WHEN 'inlineStr' THEN coalesce(raw, '') WHEN 'str' THEN coalesce(raw, '') WHEN 'b' THEN CASE WHEN raw = '1' THEN 'TRUE' ELSE 'FALSE' END WHEN 'e' THEN coalesce(raw, '#ERROR') END AS text, CASE WHEN kind = 'n' THEN try_cast(raw AS DOUBLE) END AS number FROM cells LEFT JOIN sh ON raw = k",
     "cell_styles": f"WITH {CELLS}, st(style_id, font_id, fill_id) AS (VALUES (0, 0, 0), (1, 1, 2), (2, 9, 1), (3, 2, 9)), f(font_id, bold) AS (VALUES (0, false), (1, true), (2, true)), c(fill_id, color) AS (VALUES (1, 'FF0000'), (2, '00FF00')) SELECT cells.style_id, coalesce(bold, false) AS bold, coalesce(color, 'none') AS color, count(*) AS n FROM cells LEFT JOIN st ON cells.style_id = st.style_id LEFT JOIN f ON st.font_id = f.font_id LEFT JOIN c ON st.fill_id = c.fill_id GROUP BY ALL",
