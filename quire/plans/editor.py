@@ -20,13 +20,14 @@ def editor_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def editor_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    size = F.col("p_size").cast("double")
+    size, m, to = F.col("size"), F.col("m"), F.col("to")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"))
     a = F.array(size / 8, F.lit(0.5), F.lit(-0.25), size / 16, F.col("p_partkey").cast("double"), F.lit(3.0))
     b = F.array(F.lit(0.0), F.lit(1.0), F.lit(-1.0), F.lit(0.0), F.lit(10.0), size)
-    m = E.multiplied(a, b)
-    box = E.box_around(m, F.lit(0.0), F.lit(0.0), F.lit(8.0), F.lit(4.0))
-    back = E.moved_point(E.inverted(m), E.moved_point(m, F.lit(2.0), F.lit(6.0))["x"], E.moved_point(m, F.lit(2.0), F.lit(6.0))["y"])
+    # each step in columns of its own: written into one another, they would grow with the product of their sizes
+    p = p.withColumns({"a": a, "b": b}).withColumn("m", E.multiplied(F.col("a"), F.col("b")))
+    p = p.withColumns({"back": E.inverted(m), "to": E.moved_point(m, F.lit(2.0), F.lit(6.0)), "box": E.box_around(m, F.lit(0.0), F.lit(0.0), F.lit(8.0), F.lit(4.0))})
+    back, box = E.moved_point(F.col("back"), to["x"], to["y"]), F.col("box")
     return p.select("p_partkey", F.element_at(m, 1).alias("a"), F.element_at(m, 6).alias("f"), *[box[c].alias(c) for c in ("x0", "y0", "x1", "y1")], F.round(back["x"], 6).alias("back_x"), F.round(E.clamped(size, 6.0, 24.0), 3).alias("clamped"))
 
 

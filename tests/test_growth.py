@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import pii
+from quire.operators import geometry as G
+from quire.operators import graph, pii
+from quire.operators import layout as L
+from quire.plans import editor
 from quire.plans import pii as cards
 
 
@@ -27,3 +30,8 @@ def test_cheap_conditions_lose_no_hit(spark):
     every = F.concat(*(pii._kinded(T.matches(F.col("t"), pii.java(p)), kind, checks.get(kind)) for kind, p in pii.PATTERNS.items()))
     rows = df.select("t", pii.pattern_hits(F.col("t")).alias("got"), every.alias("want")).collect()
     assert all(r.got == r.want for r in rows) and sum(len(r.got) for r in rows) >= 8
+
+
+def test_steps_of_transforms_do_not_grow_into_one_another(spark, sf_dir):
+    plan = editor.editor_transforms(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000
