@@ -40,6 +40,19 @@ def test_small_pages_are_dealt_to_all_cores(spark):
     assert L.per_page(pages.where("page < 0"), ["page"], "n int", lambda rows: [(1,)]).collect() == []
 
 
+def test_chains_have_no_bound_on_rows(spark):
+    with_limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 10)
+    try:
+        links = spark.createDataFrame([(i, i - 1) for i in range(1, 40)] + [(50, 51), (51, 50), (60, None)], "id long, base long")
+        got = {r.id: (r.depth, r.path) for r in graph.chains(links).collect()}
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", with_limit)
+    way = lambda ids: "/" + "".join(f"{i}/" for i in ids)
+    want = {i: (min(i - 1, 20), way(range(i, max(0, i - 21), -1))) for i in range(1, 40)}
+    assert got == want | {50: (1, "/50/51/"), 51: (1, "/51/50/"), 60: (0, "/60/")}
+
+
 def test_steps_of_transforms_do_not_grow_into_one_another(spark, sf_dir):
     plan = editor.editor_transforms(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 60_000
