@@ -134,14 +134,18 @@ def upper_median(value: str) -> Column:
 
 def covered(rules: DataFrame, spans: DataFrame, snap: float = 2.5) -> DataFrame:
     """Whether the rules near ``pos`` together cover low to high, with 1.5 points of slack, for each row of ``spans``."""
-    near = spans.join(rules.select("page", F.col("pos").alias("at"), "start", "end"), "page").where((F.abs(F.col("at") - F.col("pos")) <= snap) & (F.col("end") > F.col("low") + 0.5) & (F.col("start") < F.col("high") - 0.5))
-    near = near.select("page", "span_id", "low", "high", "start", "end").distinct()
-    w = Window.partitionBy("page", "span_id").orderBy("start", "end")
+    # rows of one place are judged once, and meet equal rules once, in rows of a grid
+    place = ["page", "pos", "low", "high"]
+    r = rules.select("page", F.col("pos").alias("at"), "start", "end").distinct().withColumn("g", cell(F.col("at")))
+    p = spans.select(*place).distinct().withColumn("g", cells(F.col("pos") - snap, F.col("pos") + snap))
+    near = p.join(r, ["page", "g"]).where((F.abs(F.col("at") - F.col("pos")) <= snap) & (F.col("end") > F.col("low") + 0.5) & (F.col("start") < F.col("high") - 0.5))
+    near = near.select(*place, "start", "end").distinct()
+    w = Window.partitionBy(*place).orderBy("start", "end")
     reach = F.greatest(F.col("low"), F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("low")))
     rows = near.withColumn("broken", (F.col("start") > reach + 1.5).cast("int"))
     rows = rows.withColumn("broken", F.max("broken").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    best = rows.where("broken = 0").groupBy("page", "span_id").agg(F.max("end").alias("reach"))
-    return spans.join(best, ["page", "span_id"], "left").withColumn("covered", F.coalesce(F.col("reach") >= F.col("high") - 1.5, F.lit(False)))
+    best = rows.where("broken = 0").groupBy(*place).agg(F.max("end").alias("reach"))
+    return spans.join(best, place, "left").withColumn("covered", F.coalesce(F.col("reach") >= F.col("high") - 1.5, F.lit(False)))
 
 
 def segments(spans: DataFrame) -> DataFrame:

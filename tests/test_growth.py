@@ -56,3 +56,27 @@ def test_chains_have_no_bound_on_rows(spark):
 def test_steps_of_transforms_do_not_grow_into_one_another(spark, sf_dir):
     plan = editor.editor_transforms(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 60_000
+
+
+def test_equal_spans_meet_equal_rules_once(spark):
+    rules = spark.createDataFrame([(1, 10.0, 0.0, 60.0)] * 300 + [(1, 11.0, 61.0, 100.0)] * 300 + [(1, 300.0, 0.0, 50.0)], "page int, pos double, start double, `end` double")
+    rows = [(1, i, 12.0, 0.0, 100.0) for i in range(300)] + [(1, 900, 300.0, 0.0, 100.0), (2, 901, 12.0, 0.0, 100.0), (1, 902, None, 0.0, 100.0)]
+    got = G.covered(rules, spark.createDataFrame(rows, "page int, span_id long, pos double, low double, high double"))
+    assert {r.span_id: r.covered for r in got.collect()} == {**{i: True for i in range(300)}, 900: False, 901: False, 902: False}
+    assert _joined(got) < 2_000
+
+
+def _joined(df):
+    """The most rows that a join of the finished query made."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    most, left = 0, [plan]
+    while left:
+        node = left.pop()
+        kids = node.children()
+        left += [kids.apply(i) for i in range(kids.size())]
+        if "QueryStage" in node.nodeName():
+            left.append(node.plan())
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return most
