@@ -48,12 +48,19 @@ def decorated(spans: DataFrame, rules: DataFrame, most: int = 400) -> DataFrame:
 
 def shaded(lines: DataFrame, fills: DataFrame, slack: float = 2.0) -> DataFrame:
     """Lines (x0..y1) with the colour of the smallest fill around them that is not white."""
-    f = fills.where("color <> 'FFFFFF'").select("page", "fill_id", F.col("x0").alias("fx0"), F.col("y0").alias("fy0"), F.col("x1").alias("fx1"), F.col("y1").alias("fy1"), "color")
-    f = f.withColumn("g", cells(F.col("fy0") - slack, F.col("fy1") + slack))
+    box = ["x0", "y0", "x1", "y1"]
+    # of fills in one place the first, and lines in one place, are judged once; a fill's rank is a number, as sums of fixed width need no sort
+    f = fills.where("color <> 'FFFFFF'").groupBy("page", *box).agg(F.min("fill_id").alias("fill_id"), F.min_by("color", "fill_id").alias("color"))
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    f = f.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy(size, "fill_id")))
+    colors = f.select("page", "rank", F.col("color").alias("shading"))
+    f = f.select("page", "rank", *[F.col(c).alias(f"f{c}") for c in box]).withColumn("g", cells(F.col("fy0") - slack, F.col("fy1") + slack))
+    places = lines.select("page", *box).distinct()
     inside = (F.col("x0") >= F.col("fx0") - slack) & (F.col("x1") <= F.col("fx1") + slack) & (F.col("y0") >= F.col("fy0") - slack) & (F.col("y1") <= F.col("fy1") + slack)
-    hits = lines.withColumn("g", cell(F.col("y0"))).join(f, ["page", "g"]).where(inside)
-    best = hits.groupBy("page", "line_id").agg(F.min_by("color", F.struct((F.col("fx1") - F.col("fx0")) * (F.col("fy1") - F.col("fy0")), "fill_id")).alias("shading"))
-    return lines.join(best, ["page", "line_id"], "left")
+    hits = places.withColumn("g", cell(F.col("y0"))).join(f, ["page", "g"]).where(inside)
+    best = hits.groupBy("page", *box).agg(F.min("rank").alias("rank"))
+    best = best.join(colors, ["page", "rank"]).drop("rank")
+    return lines.join(best, ["page", *box], "left")
 
 
 def linked(spans: DataFrame, links: DataFrame, slack: float = 1.0) -> DataFrame:

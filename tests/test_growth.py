@@ -66,6 +66,14 @@ def test_equal_spans_meet_equal_rules_once(spark):
     assert _joined(got) < 2_000
 
 
+def test_equal_lines_meet_equal_fills_once(spark):
+    fills = spark.createDataFrame([(1, i, 0.0, 0.0, 100.0, 50.0, f"c{i}") for i in range(300)] + [(1, 999, 0.0, 0.0, 90.0, 50.0, "small"), (1, 5000, 0.0, 0.0, 10.0, 10.0, "FFFFFF")], "page int, fill_id long, x0 double, y0 double, x1 double, y1 double, color string")
+    lines = spark.createDataFrame([(1, i, 5.0, 5.0, 95.0, 15.0) for i in range(300)] + [(1, 700, 5.0, 5.0, 20.0, 15.0), (1, 701, 500.0, 5.0, 520.0, 15.0)], "page int, line_id long, x0 double, y0 double, x1 double, y1 double")
+    got = G.shaded(lines, fills)
+    assert {r.line_id: r.shading for r in got.collect()} == {**{i: "c0" for i in range(300)}, 700: "small", 701: None}
+    assert _joined(got) < 2_000
+
+
 def _joined(df):
     """The most rows that a join of the finished query made."""
     plan = df._jdf.queryExecution().executedPlan()
