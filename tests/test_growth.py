@@ -1,8 +1,11 @@
 """What lets queries finish on larger tables: work is dealt out, and equal rows are judged once."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import areas
 from quire.operators import geometry as G
 from quire.operators import graph, pii
 from quire.operators import layout as L
@@ -88,3 +91,21 @@ def _joined(df):
         if "Join" in node.nodeName():
             most = max(most, node.metrics().apply("numOutputRows").value())
     return most
+
+
+def test_pages_of_any_size_are_clustered_alike(spark):
+    rng = random.Random(9)
+    places = [(p, i, rng.randrange(0, 900, 30), rng.randrange(0, 900, 30), rng.choice((0, 10, 40, -25))) for p, n in ((1, 5), (2, 40), (3, 90), (4, 1)) for i in range(n)]
+    rows = [(p, i, float(x), float(y), float(x + w), float(y + 10)) for p, i, x, y, w in places]
+    rows += [(2, 500, None, 1.0, 2.0, 3.0), (3, 500, 1.0, 1.0, None, 3.0), (3, 501, 1.0, 1.0, None, 3.0)]
+    df = spark.createDataFrame(rows, "page int, id long, x0 double, y0 double, x1 double, y1 double").repartition(5)
+    every = [{(r.page, r.id): r.cluster for r in areas.clusters(df, local=local).collect()} for local in (10**6, 60, 20, 0)]
+    assert every[0] == every[1] == every[2] == every[3] and len(every[0]) == len(rows)
+    assert len(set(every[0].items())) == len(rows) and len({(p, c) for (p, _), c in every[0].items()}) > 10
+
+
+def test_a_page_is_clustered_in_one_pass(spark, monkeypatch):
+    # rounds over all pages fill the disk
+    monkeypatch.setattr(areas, "components", None)
+    df = spark.range(3000).select((F.col("id") % 300).alias("page"), "id", (F.col("id") * 7 % 90).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") * 7 % 90 + 5).cast("double").alias("x1"), F.lit(9.0).alias("y1"))
+    assert areas.clusters(df).count() == 3000
