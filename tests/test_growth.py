@@ -109,3 +109,14 @@ def test_a_page_is_clustered_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(areas, "components", None)
     df = spark.range(3000).select((F.col("id") % 300).alias("page"), "id", (F.col("id") * 7 % 90).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") * 7 % 90 + 5).cast("double").alias("x1"), F.lit(9.0).alias("y1"))
     assert areas.clusters(df).count() == 3000
+
+
+def test_labels_of_pages_of_any_size(spark):
+    rng = random.Random(5)
+    regions = [(p, i, float(x), float(y), x + 60.0, y + 50.0, 600.0, 800.0) for p in range(5) for i in range(p) for x, y in [(rng.randrange(500), rng.randrange(700))]]
+    spans = [(p, rng.choice(("label", "", "x" * 50)), float(x), float(x + rng.choice((20, 70))), float(y), float(y + 9), float(rng.choice((7, 9, 14)))) for p in range(1, 6) for x, y in [(rng.randrange(600), rng.randrange(800)) for _ in range(300)]]
+    r = spark.createDataFrame(regions, "page int, region long, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double")
+    s = spark.createDataFrame(spans, "page int, text string, x double, x_end double, y0 double, y1 double, size double")
+    every = [sorted(tuple(x) for x in areas.with_labels(r, s, local=local).collect()) for local in (10**6, 302, 0)]
+    assert every[0] == every[1] == every[2] and len(every[0]) == len(regions)
+    assert every[0] != sorted(regions)
